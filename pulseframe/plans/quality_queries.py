@@ -117,14 +117,14 @@ def moving_means(spark: SparkSession, d: str) -> DataFrame:
     return _long(spark, d).select("l_suppkey", "idx", F.round(F.sum("v").over(w) / 10, 3).alias("mean10")).where("idx >= 9")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS expected FROM orders WHERE o_orderkey % 7 <> 0),
-b AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'R') AS found FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1)
+@query("""WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS expected FROM orders WHERE o_orderstatus <> 'P'),
+b AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'R') AS found FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, CAST(coalesce(expected, 0) AS INTEGER) AS expected, coalesce(found, 0) AS found,
   CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN expected > 0 AND found = 0 THEN 'unlabelled' ELSE 'complete' END AS status FROM a FULL JOIN b ON a.k = b.k""", shared=False)
 def completeness(spark: SparkSession, d: str) -> DataFrame:
-    """Raw keys (some left out) against processed keys (others left out)."""
-    a = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").cast("int").alias("expected"))
-    b = table(spark, d, "lineitem").where("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum((F.col("l_returnflag") == "R").cast("long")).alias("found"))
+    """Raw keys against processed keys, of which either side lacks some."""
+    a = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").cast("int").alias("expected"))
+    b = table(spark, d, "lineitem").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum((F.col("l_returnflag") == "R").cast("long")).alias("found"))
     return quality.completeness(a, b, ["k"], "expected", "found")
 
 
