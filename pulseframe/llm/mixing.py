@@ -83,10 +83,9 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
     three are numbered in both tables.
     """
     size = F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    tie = Window.partitionBy("_d", "_s", "_n")
-    plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies")
-    plan = plan.withColumn("_k", F.row_number().over(tie.orderBy(F.desc("copies"))))
-    rows = docs.withColumns({"_d2": F.col("doc_id"), "_s2": F.col("source"), "_n2": size})
-    rows = rows.withColumn("_k2", F.row_number().over(Window.partitionBy("_d2", "_s2", "_n2").orderBy("text")))
-    both = rows.join(plan, F.col("_d2").eqNullSafe(F.col("_d")) & F.col("_s2").eqNullSafe(F.col("_s")) & (F.col("_n2") == F.col("_n")) & (F.col("_k2") == F.col("_k")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    own = {"__doc": F.col("doc_id"), "__source": F.col("source"), "__size": size}
+    plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__copies"))
+    plan = plan.withColumn("__k", F.row_number().over(Window.partitionBy("__d", "__s", "__n").orderBy(F.desc("__copies"))))
+    rows = docs.withColumns(own).withColumn("__row", F.row_number().over(Window.partitionBy(*own).orderBy("text")))
+    same = F.col("__doc").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")) & (F.col("__row") == F.col("__k"))
+    return rows.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

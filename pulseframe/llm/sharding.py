@@ -106,6 +106,7 @@ def minimax_cuts(groups: DataFrame, shards: int, resolution: int = RESOLUTION) -
                 windows[-1] = (windows[-1][0], max(y, windows[-1][1]))
             else:
                 windows.append((x, y))
+        resolution *= 2  # at the latest, ranges of one value each are exact
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

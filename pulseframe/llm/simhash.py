@@ -12,7 +12,7 @@ found by a hash of the variant, so no task holds more than a bounded number of t
 fingerprints are all linked to each other, so a star to the smallest of them keeps every link's component.
 
 Defined cases: a null, empty or white text has fingerprint 0, which links like any other; with fewer words than a
-shingle the whole sequence is the shingle; equal fingerprints link; a null doc_id takes part and sorts before the
+shingle the whole sequence is the shingle; equal fingerprints link, equal doc_ids alone do not; a null doc_id takes part and sorts before the
 others; repeated rows each give a row; an empty table gives an empty result.  Extra columns are ignored.
 """
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, cut, id_of, partitions
+from .common import NO_ID, components, cut, id_of, partitions, text_of
 
 SEED = 42
 #: Variants that a task sorts at a time.
@@ -52,13 +52,13 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, _id and fp (the fingerprint as a signed long) of every document."""
+    """doc_id, _id, hash (of the text) and fp (the fingerprint as a signed long) of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "_id": b["_id"], "fp": np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "_id": b["_id"], "hash": b["hash"], "fp": np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64)})
 
-    return docs.select("doc_id", id_of().alias("_id"), "text").mapInPandas(run, "doc_id long, _id long, fp long")
+    return docs.select("doc_id", id_of().alias("_id"), F.xxhash64(text_of()).alias("hash"), "text").mapInPandas(run, "doc_id long, _id long, hash long, fp long")
 
 
 def _masks(bits: int, most: int) -> list[np.ndarray]:
@@ -169,28 +169,33 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInPandas(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint and component_id (the smallest doc_id reachable) of every document."""
+def _grouped(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """doc_id, _id, hash, fp and _component (the smallest _id reachable) of every document."""
     if radius % 2:
         raise ValueError("the radius must be even")
     each = cut(fingerprints(docs, width))
-    first = cut(each.groupBy("fp").agg(F.min("_id").alias("first")))
-    links = ball_links(first.select("fp"), radius)
-    a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    # Equal ids under different fingerprints are one node, so components follow documents as well as fingerprints.
-    joined = components(links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = first.join(joined, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("_component"))
-    out = each.join(named, "fp")
+    first = cut(each.groupBy("fp").agg(F.min("_id").alias("_first")))
+    linked = components(ball_links(first.select("fp"), radius))
+    named = first.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "_first", F.coalesce("component", "fp").alias("_group"))
+    smallest = named.groupBy("_group").agg(F.min("_first").alias("_component"))
+    return each.join(cut(named.join(smallest, "_group").select("fp", "_component")), "fp")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fingerprint and component_id (the smallest doc_id reachable) of every document."""
     component = F.when(F.col("_component") == NO_ID, F.lit(None)).otherwise(F.col("_component"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
+    return _grouped(docs, width, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns."""
-    found = near_duplicates(docs, width, radius)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(id_of().alias("_first")).agg(F.count("*").alias("_rows"))
-    firsts = cut(firsts)
-    kept = docs.join(firsts, id_of() == F.col("_first"), "left_semi")
-    if firsts.where("_rows > 1").limit(1).count():  # rows that share the smallest doc_id
-        kept = kept.groupBy(id_of().alias("_first")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
+
+    Of several rows with that doc_id the one whose text has the smallest hash stays.
+    """
+    rows = _grouped(docs, width, radius).where("_id = _component")
+    firsts = cut(rows.groupBy("_component", "_id", "hash").agg(F.count("*").alias("_rows")).groupBy("_component").agg(F.min(F.struct("_id", "hash", "_rows")).alias("_r")).select("_r._id", "_r.hash", "_r._rows"))
+    key = [id_of() == F.col("__first_id"), F.xxhash64(text_of()) == F.col("__first_hash")]
+    kept = docs.join(firsts.select(F.col("_id").alias("__first_id"), F.col("hash").alias("__first_hash")), key, "left_semi")
+    if firsts.where("_rows > 1").limit(1).count():  # rows that agree in doc_id and text
+        kept = kept.groupBy(id_of().alias("__id"), F.xxhash64(text_of()).alias("__hash")).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return kept

@@ -291,16 +291,16 @@ def scorer(model: Model | None):
 
 def _scored(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> DataFrame:
     run = scorer(fit(sample(docs, labels, "toxic", MODULUS, REST, per_class, max_bytes)))
-    return docs.withColumn("_toxicity", run(F.col("text")))
+    return docs.withColumn("__toxicity", run(F.col("text")))
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted and n_windows for every document."""
     d = _scored(docs.select("doc_id", "text"), labels, per_class, max_bytes)
-    d = d.select("doc_id", held_out(MODULUS, REST).alias("held_out"), F.col("_toxicity.score").alias("score"), F.col("_toxicity.n_windows").alias("n_windows"))
+    d = d.select("doc_id", held_out(MODULUS, REST).alias("held_out"), F.col("__toxicity.score").alias("score"), F.col("__toxicity.n_windows").alias("n_windows"))
     return d.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_windows")
 
 
 def reject(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not toxic, with all their columns."""
-    return _scored(docs, labels, per_class, max_bytes).where(F.col("_toxicity.score") < threshold).select(*docs.columns)
+    return _scored(docs, labels, per_class, max_bytes).where(F.col("__toxicity.score") < threshold).select(*docs.columns)
