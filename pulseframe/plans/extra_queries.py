@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -13,7 +13,12 @@ from .alarm_queries import _counts, _match_sql
 from .registry import query
 
 KEY = ["user_id"]
-W = Window.partitionBy("user_id").orderBy("idx")
+
+
+def _w() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("idx")
+
+
 _TW = "tw AS (SELECT *, idx // 20 AS k FROM se)"
 
 
@@ -78,7 +83,7 @@ SELECT CAST(k AS INTEGER) AS k, count(*) AS series, round(avg(ok), 6) AS accurac
 def topk_peak_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Share of series in which one of the k largest local maxima stands within two rows of an event."""
     e = (F.col("event_type") == "error").cast("int")
-    s = bridge.series(spark, d).withColumn("near", sequence.pad(e, W, 2, 2)).withColumn("peak", (F.col("value") > F.lag("value").over(W)) & (F.col("value") >= F.lead("value").over(W)))
+    s = bridge.series(spark, d).withColumn("near", sequence.pad(e, _w(), 2, 2)).withColumn("peak", (F.col("value") > F.lag("value").over(_w())) & (F.col("value") >= F.lead("value").over(_w())))
     r = s.where("peak").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "idx"))).where("r <= 5")
     k = r.select("user_id", "near", "r", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("k")).where("r <= k")
     return k.groupBy("k", "user_id").agg(F.max("near").alias("ok")).groupBy("k").agg(F.count("*").alias("series"), F.round(F.avg("ok"), 6).alias("accuracy"))
@@ -110,7 +115,7 @@ w AS (SELECT b.*, k FROM b JOIN ln ON ln.user_id = b.user_id, LATERAL (SELECT un
 SELECT user_id, CAST(k AS BIGINT) AS window_index, round(avg(value), 5) AS mean_nn, round(stddev_samp(value), 5) AS sdnn, round(sqrt(avg(dv * dv) FILTER (idx > k * 10)), 5) AS rmssd, round(avg(CASE WHEN abs(dv) > 50 THEN 1.0 ELSE 0.0 END) FILTER (idx > k * 10), 6) AS pnn50 FROM w GROUP BY ALL""")
 def hrv_windows(spark: SparkSession, d: str) -> DataFrame:
     """Mean, deviation, root mean square of steps and share of large steps over sliding windows of values."""
-    s = bridge.series(spark, d).withColumn("dv", sequence.difference(F.col("value"), W)).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    s = bridge.series(spark, d).withColumn("dv", sequence.difference(F.col("value"), _w())).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
     w = sequence.in_windows(s, KEY, "idx", 20, 10).where("window_index * 10 + 20 <= n")
     inner = F.col("idx") > F.col("window_index") * 10
     return w.groupBy("user_id", "window_index").agg(

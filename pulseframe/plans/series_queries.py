@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -12,7 +12,10 @@ from ..sources.bridge import HOUR
 from .registry import query
 
 KEY, ORDER = ["user_id"], ["idx"]
-W = Window.partitionBy("user_id").orderBy("idx")
+
+
+def _w() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("idx")
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +46,7 @@ def island_durations(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_LABEL} SELECT user_id, event_id, max(label) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS padded FROM la""")
 def padded_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels widened by three rows before and two after."""
-    return _labelled(spark, d).select("user_id", "event_id", sequence.pad(F.col("label"), W, 3, 2).alias("padded"))
+    return _labelled(spark, d).select("user_id", "event_id", sequence.pad(F.col("label"), _w(), 3, 2).alias("padded"))
 
 
 @query(f"""WITH {_LABEL} SELECT user_id, event_id, coalesce(max(label) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {6 * HOUR} PRECEDING AND {12 * HOUR} FOLLOWING), 0) AS dilated FROM la""")
@@ -152,17 +155,17 @@ def overlap_add(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, (t - lag(t) OVER (PARTITION BY user_id ORDER BY idx)) / CAST(1000 AS DOUBLE) AS rr_ms FROM se")
 def rr_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return bridge.series(spark, d).select("user_id", "event_id", (sequence.difference(F.col("t"), W) / 1000.0).alias("rr_ms"))
+    return bridge.series(spark, d).select("user_id", "event_id", (sequence.difference(F.col("t"), _w()) / 1000.0).alias("rr_ms"))
 
 
 @query("SELECT user_id, event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS median7 FROM se")
 def rr_median7(spark: SparkSession, d: str) -> DataFrame:
-    return bridge.series(spark, d).select("user_id", "event_id", F.round(sequence.rolling_median(F.col("value"), W.rowsBetween(-6, 0)), 6).alias("median7"))
+    return bridge.series(spark, d).select("user_id", "event_id", F.round(sequence.rolling_median(F.col("value"), _w().rowsBetween(-6, 0)), 6).alias("median7"))
 
 
 @query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean10 FROM se")
 def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
-    return bridge.series(spark, d).select("user_id", "event_id", F.round(F.avg("value").over(W.rowsBetween(-9, 0)), 6).alias("mean10"))
+    return bridge.series(spark, d).select("user_id", "event_id", F.round(F.avg("value").over(_w().rowsBetween(-9, 0)), 6).alias("mean10"))
 
 
 _CSI = """q0 AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY idx) AS b FROM se),
@@ -318,7 +321,7 @@ def zscore_series(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING), 6) AS smooth FROM se")
 def centered_smooth(spark: SparkSession, d: str) -> DataFrame:
     """Mean over the half-open window of eight values around each."""
-    return bridge.series(spark, d).select("user_id", "event_id", F.round(F.avg("value").over(W.rowsBetween(-4, 3)), 6).alias("smooth"))
+    return bridge.series(spark, d).select("user_id", "event_id", F.round(F.avg("value").over(_w().rowsBetween(-4, 3)), 6).alias("smooth"))
 
 
 @query(f"""WITH a AS (SELECT user_id, t, value, min(t) OVER (PARTITION BY user_id) AS t0, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS t1, lead(value) OVER (PARTITION BY user_id ORDER BY t) AS v1 FROM se),
@@ -334,7 +337,7 @@ def resample_linear(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, k, count(rr) AS beats, round(CAST({24 * HOUR} AS DOUBLE) / avg(rr), 6) AS rate FROM g WHERE rr IS NOT NULL GROUP BY user_id, k HAVING count(rr) >= 2""")
 def heart_rate_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events a day from the mean interval in each day with at least two intervals."""
-    s = bridge.series(spark, d).select("user_id", sequence.difference(F.col("t"), W).alias("rr"), F.floor((F.col("t") - F.min("t").over(Window.partitionBy("user_id"))) / (24 * HOUR)).cast("long").alias("k"))
+    s = bridge.series(spark, d).select("user_id", sequence.difference(F.col("t"), _w()).alias("rr"), F.floor((F.col("t") - F.min("t").over(Window.partitionBy("user_id"))) / (24 * HOUR)).cast("long").alias("k"))
     g = s.where("rr is not null").groupBy("user_id", "k").agg(F.count("*").alias("beats"), F.avg("rr").alias("m"))
     return g.where("beats >= 2").select("user_id", "k", "beats", F.round(float(24 * HOUR) / F.col("m"), 6).alias("rate"))
 
@@ -370,7 +373,7 @@ def metrics_tolerance(spark: SparkSession, d: str) -> DataFrame:
     """Events with an alarm within two rows, alarms near no event, over all series."""
     s = _labelled(spark, d)
     i = sequence.islands(s, KEY, ORDER, "label", "idx")
-    near = sequence.pad(F.col("label"), W, 2, 2)
+    near = sequence.pad(F.col("label"), _w(), 2, 2)
     a = s.withColumn("near", near).where("value > 90")
     wide = i.select("user_id", "island", (F.col("first") - 2).alias("low"), (F.col("last") + 2).alias("high"))
     tp = intervals.range_join(a.select("user_id", "idx"), wide, KEY, "idx", "low", "high", 32).select("user_id", "island").distinct().agg(F.count("*").alias("tp"))

@@ -1,6 +1,8 @@
 """Every query with SQL against DuckDB on the smallest tables; the others against invariants."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -47,3 +49,10 @@ def test_without_sql_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
+
+
+def test_entry_needs_no_session():
+    """The queries can be listed before any session is there."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[-2]) >= len(QUERIES)
