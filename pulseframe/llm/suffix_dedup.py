@@ -29,10 +29,13 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from .arrays import PIECE, encode, gram_hash, pieces, prefix_hash
+from .arrays import encode, gram_hash, pieces, prefix_hash
 from .chunks import Chunks, ask_parts, bits_of, pack, parts_of, repeated, short_bits, unpack
 
 LENGTH = 50
+#: Bytes of text that arrays are made of at a time.
+PIECE = 1 << 18
+CHUNK_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -189,7 +192,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("the length must be from 4 to 250")
     k = length // 2
     room = length - k
-    chunks = Chunks(docs)
+    chunks = Chunks(docs, CHUNK_BYTES)
     parts, bits = chunks.parts, short_bits(chunks.bytes)
 
     def short(h: np.ndarray) -> np.ndarray:
@@ -302,6 +305,21 @@ def _smallest(group: list[tuple[bytes, int]], length: int, room: int) -> np.ndar
     if len(group) == 1:
         out[:] = group[0][1]
         return out
+    if len(group) <= 12:  # each two entries share the strings that their common prefixes on either side reach
+        for i, (_, own) in enumerate(group):
+            out[i] = own
+        for i, (s, mine) in enumerate(group):
+            for j in range(i):
+                t, other = group[j]
+                right = min(common_prefix(s[:length], t[:length]), s[length], t[length])
+                left = min(common_prefix(s[length + 1 : -1], t[length + 1 : -1]), s[-1], t[-1])
+                a, b = max(0, length - right), left + 1
+                if a < b:
+                    if other < mine:
+                        np.minimum(out[i, a:b], other, out=out[i, a:b])
+                    else:
+                        np.minimum(out[j, a:b], mine, out=out[j, a:b])
+        return out
     for n in range(room + 1):
         best: dict[bytes, int] = {}
         keys = []
