@@ -192,7 +192,7 @@ class LineIndex:
 
     def dropped(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """(id, keys): what each document loses."""
-        common = self.counts().where(F.col("n_docs") >= min_docs)
+        common = cut(self.counts().where(F.col("n_docs") >= min_docs))  # kept, so that the join can split a crowded key
         lost = self.refs.join(common, "key").where("id <> last")
         return lost.groupBy("id").agg(F.collect_list("key").alias("keys"))
 
