@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,25 +16,34 @@ def held_out(modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, per_class: int, max_bytes: int) -> list[tuple[str, int]]:
-    """(text, label) of at most per_class documents a class that are not held out, in hash order.
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, per_class: int, max_bytes: int) -> DataFrame:
+    """_n, text, _label of at most per_class documents a class that are not held out.
 
-    Whole texts, shortest first dropped last: ids are taken in hash order while the texts' bytes stay within max_bytes.
-    A document labelled twice counts as the larger label.
+    Whole texts: ids are taken in hash order while the texts' bytes stay within max_bytes.  A document labelled twice
+    counts as the larger label.  Only ids and sizes come to the driver.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(modulus, rest)).groupBy("doc_id").agg(F.max(label).alias("_label"))
     order = [F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("doc_id")]
     picked = [r for k in (0, 1) for r in known.where(F.col("_label") == k).orderBy(*order).limit(per_class).collect()]
-    if not picked:
-        return []
     ids = F.broadcast(spark.createDataFrame([(r.doc_id, r._label, n) for n, r in enumerate(picked)], "_id long, _label int, _n int"))  # 2 * per_class rows at most
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"))
-    sizes = rows.select("_n", "_label", F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).collect()
     keep, left = [], max_bytes
-    for r in sorted(sizes, key=lambda r: (r.h, r._n)):
-        if r.b <= left:
-            keep.append(r._n)
-            left -= r.b
-    kept = rows.where(F.col("_n").isin(keep)).select("_n", "text", "_label").collect() if keep else []
-    return [(r.text or "", r._label) for r in sorted(kept, key=lambda r: (r._n, r.text or ""))]
+    if picked:
+        sizes = rows.select("_n", F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).collect()
+        for r in sorted(sizes, key=lambda r: (r.h, r._n)):
+            if r.b <= left:
+                keep.append(r._n)
+                left -= r.b
+    return rows.where(F.col("_n").isin(keep)).select("_n", F.coalesce("text", F.lit("")).alias("text"), "_label")
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[list[tuple[str, int]]], Any]) -> Any:
+    """fit of a bounded sample's (text, label), run by one task, so that the driver holds the model alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [x for b in batches for x in zip(b["_n"], b["text"], b["_label"], strict=True)]
+        yield pd.DataFrame({"model": [pickle.dumps(fit([(t, int(y)) for _, t, y in sorted(got)]))]})
+
+    got = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(got.model) if got else fit([])  # without rows there may be no task either

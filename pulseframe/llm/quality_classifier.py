@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, encode, mixed, pair_hash, pieces, split_long, words
-from .labelled import held_out, sample
+from .labelled import fit_in_task, held_out, sample
 
 BITS = 18
 #: The fit's sample: documents a class, and bytes of their texts.
@@ -87,7 +87,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 4, alpha: float = 0.3, beta:
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    weights, intercept = fit(sample(docs, labels, "quality", MODULUS, REST, per_class, max_bytes))
+    weights, intercept = fit_in_task(sample(docs, labels, "quality", MODULUS, REST, per_class, max_bytes), fit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

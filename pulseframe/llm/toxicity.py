@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, encode, gram_hash, pieces, split_long, words
-from .labelled import held_out, sample
+from .labelled import fit_in_task, held_out, sample
 
 WINDOW, STRIDE, GRAM = 32, 24, 5
 BITS, DIM, HIDDEN, ATTEND = 16, 4, 6, 8
@@ -62,9 +62,12 @@ def windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[doc] + k * STRIDE, np.minimum(WINDOW, n[doc] - k * STRIDE), doc
 
 
-def inputs(m: Model, w: Words) -> np.ndarray:
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def inputs(m: Model, t: Tokens) -> np.ndarray:
     """The network's input at each word."""
-    word, gram, first = tokens(w)
+    word, gram, first = t
     sums = np.add.reduceat(m["char"][gram], first[:-1], axis=0) if len(word) else np.zeros((0, DIM), np.float32)
     return np.concatenate([m["word"][word], sums], axis=1)
 
@@ -151,10 +154,10 @@ def _steps(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(on, first[None, :] + t, 0), on.astype(np.float32)
 
 
-def window_scores(m: Model, w: Words, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of all windows and their texts."""
+def window_scores(m: Model, w: Words, t: Tokens | None = None, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all windows and their texts; t has the words' tokens, if they are known."""
     first, length, doc = windows(w)
-    x = inputs(m, w)
+    x = inputs(m, t or tokens(w))
     scores = np.empty(len(first), np.float32)
     for a in range(0, len(first), at_once):
         at, mask = _steps(first[a : a + at_once], length[a : a + at_once])
@@ -162,7 +165,7 @@ def window_scores(m: Model, w: Words, at_once: int = 512) -> tuple[np.ndarray, n
     return scores, doc
 
 
-def _start(rows: list[tuple[Words, np.ndarray]]) -> tuple[Model, np.ndarray, np.ndarray]:
+def _start(rows: list[tuple[Words, Tokens, np.ndarray]]) -> tuple[Model, np.ndarray, np.ndarray]:
     """Small random weights; the embeddings' first part holds the log odds of the buckets."""
     rng = np.random.default_rng(5)
     size = 1 << BITS
@@ -170,8 +173,7 @@ def _start(rows: list[tuple[Words, np.ndarray]]) -> tuple[Model, np.ndarray, np.
     for kind in (0, 1):
         df = np.full((2, size), 0.5)
         n = np.ones(2)
-        for w, y in rows:
-            word, gram, first = tokens(w)
+        for w, (word, gram, first), y in rows:
             doc = w.doc if kind == 0 else np.repeat(w.doc, np.diff(first))
             seen = np.unique(doc.astype(np.int64) * size + (word if kind == 0 else gram))
             for c in (0, 1):
@@ -196,23 +198,28 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, batch: int = 128, rate: fl
     if not any(y for _, y in rows):
         return None
     texts, labels = [encode(t) for t, _ in rows], np.array([y for _, y in rows])
-    data = [(words([texts[i] for i in numbers], lower=True), labels[numbers]) for numbers, _ in pieces(texts)]
+    data = []
+    for numbers, group in pieces(texts):
+        w = words(group, lower=True)
+        t = tokens(w)
+        w.data, w.prefix = w.data[:0], w.prefix[:0]  # the tokens are all that is needed from here on
+        data.append((w, t, labels[numbers]))
     m, word_odds, char_odds = _start(data)
     squares = {k: np.full_like(v, 1e-3) for k, v in m.items()}
     rng = np.random.default_rng(9)
     for epoch in range(epochs):
         picked = []
-        for k, (w, y) in enumerate(data):
+        for k, (w, t, y) in enumerate(data):
             first, length, doc = windows(w)
             if not len(first):
                 continue
             if epoch == 0:
-                word, gram, at = tokens(w)
+                word, gram, at = t
                 each = word_odds[word] + np.maximum.reduceat(char_odds[gram], at[:-1])
                 total = np.concatenate(([0], np.cumsum(each)))
                 scores = total[first + length] - total[first]
             else:
-                scores, _ = window_scores(m, w)
+                scores, _ = window_scores(m, w, t)
             best = np.lexsort((scores, doc))
             best = best[np.concatenate((doc[best][1:] != doc[best][:-1], [True]))]
             other = rng.integers(0, len(first), len(first) // 16 + 1)
@@ -225,9 +232,8 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, batch: int = 128, rate: fl
             mask = np.zeros((WINDOW, len(some)), np.float32)
             used = []
             for c, (k, f, n, _) in enumerate(some):
-                w = data[k][0]
-                part = Words(w.data, w.prefix, w.start[f : f + n], w.end[f : f + n], w.hash[f : f + n], w.doc[f : f + n], w.n_docs)
-                word, gram, at = _cached(k, f, part)
+                word, gram, at = data[k][1]
+                word, gram, at = word[f : f + n], gram[at[f] : at[f + n]], at[f : f + n + 1] - at[f]
                 xs[:n, c, :DIM] = m["word"][word]
                 xs[:n, c, DIM:] = np.add.reduceat(m["char"][gram], at[:-1], axis=0)
                 mask[:n, c] = 1
@@ -244,22 +250,9 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, batch: int = 128, rate: fl
             for name, grad in g.items():
                 squares[name] += grad * grad
                 m[name] -= (rate * grad / np.sqrt(squares[name])).astype(np.float32)
-    _CACHE.clear()
     return m
 
 
-_CACHE: dict = {}
-
-
-def _cached(k: int, first: int, part: Words):
-    if (k, first) not in _CACHE:
-        # gram_hash over the whole piece would be repeated for each window, so only the window's bytes are hashed
-        a, b = part.start[0] - 1, part.end[-1] + 1
-        own = words([part.data[a + 1 : b - 1].tobytes()])
-        _CACHE[k, first] = tokens(own)
-    return _CACHE[k, first]
-
-
 def scorer(model: Model | None):
     """A column function: text -> struct of score and n_windows."""
     overlap = WINDOW - STRIDE
@@ -290,7 +283,7 @@ def scorer(model: Model | None):
 
 
 def _scored(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> DataFrame:
-    run = scorer(fit(sample(docs, labels, "toxic", MODULUS, REST, per_class, max_bytes)))
+    run = scorer(fit_in_task(sample(docs, labels, "toxic", MODULUS, REST, per_class, max_bytes), fit))
     return docs.withColumn("__toxicity", run(F.col("text")))
 
 
