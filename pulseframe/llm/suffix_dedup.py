@@ -36,6 +36,8 @@ LENGTH = 50
 #: Bytes of text that arrays are made of at a time.
 PIECE = 1 << 18
 CHUNK_BYTES = 4 << 20
+#: Parts for each shuffle partition; a task holds one part at a time.
+PARTS = 4
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -193,7 +195,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     k = length // 2
     room = length - k
     chunks = Chunks(docs, CHUNK_BYTES)
-    parts, bits = chunks.parts, short_bits(chunks.bytes)
+    parts, bits = PARTS * chunks.parts, short_bits(chunks.bytes)
 
     def short(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - bits)) << np.uint64(64 - bits)
