@@ -169,14 +169,19 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInPandas(meet, "a long, b long").distinct()
 
 
-def _grouped(docs: DataFrame, width: int, radius: int) -> DataFrame:
-    """doc_id, _id, hash, fp and _component (the smallest _id reachable) of every document."""
+def _groups(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, _id, hash, fp of every document; and fp, _first (its smallest _id), _group (the smallest fp reachable) of every fingerprint."""
     if radius % 2:
         raise ValueError("the radius must be even")
     each = cut(fingerprints(docs, width))
     first = cut(each.groupBy("fp").agg(F.min("_id").alias("_first")))
     linked = components(ball_links(first.select("fp"), radius))
-    named = first.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "_first", F.coalesce("component", "fp").alias("_group"))
+    return each, first.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "_first", F.coalesce("component", "fp").alias("_group"))
+
+
+def _grouped(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """doc_id, _id, hash, fp and _component (the smallest _id reachable) of every document."""
+    each, named = _groups(docs, width, radius)
     smallest = named.groupBy("_group").agg(F.min("_first").alias("_component"))
     return each.join(cut(named.join(smallest, "_group").select("fp", "_component")), "fp")
 
@@ -187,15 +192,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return _grouped(docs, width, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
 
 
-def keep_first(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
+def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One document of each _group, the one with the smallest doc_id, with all its columns; rows has _group, _id and hash.
 
-    Of several rows with that doc_id the one whose text has the smallest hash stays.
+    Of several rows with that doc_id the one whose text has the smallest hash stays.  A doc_id may stand in many groups,
+    each of which keeps a row of its own.
     """
-    rows = _grouped(docs, width, radius).where("_id = _component")
-    firsts = cut(rows.groupBy("_component", "_id", "hash").agg(F.count("*").alias("_rows")).groupBy("_component").agg(F.min(F.struct("_id", "hash", "_rows")).alias("_r")).select("_r._id", "_r.hash", "_r._rows"))
+    firsts = cut(rows.groupBy("_group", "_id", "hash").agg(F.count("*").alias("_rows")).groupBy("_group").agg(F.min(F.struct("_id", "hash", "_rows")).alias("_r")).select("_r._id", "_r.hash", "_r._rows"))
     key = [id_of() == F.col("__first_id"), F.xxhash64(text_of()) == F.col("__first_hash")]
     kept = docs.join(firsts.select(F.col("_id").alias("__first_id"), F.col("hash").alias("__first_hash")), key, "left_semi")
     if firsts.where("_rows > 1").limit(1).count():  # rows that agree in doc_id and text
         kept = kept.groupBy(id_of().alias("__id"), F.xxhash64(text_of()).alias("__hash")).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return kept
+
+
+def keep_first(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+    """One document of each group of linked fingerprints (see first_of_each)."""
+    each, named = _groups(docs, width, radius)
+    return first_of_each(docs, each.join(named.select("fp", "_group"), "fp"))

@@ -202,6 +202,16 @@ def test_simhash(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len({root(k) for k in range(len(rows))})
 
 
+def test_keep_first_with_tied_ids(spark):
+    """Groups whose smallest doc_id is the same value, null or not, keep one row each."""
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(9)]
+    given = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (50, texts[2]), (4, texts[3]), (4, texts[4]), (51, texts[4]), (4, texts[5]), (6, texts[6]), (6, texts[6]), (7, texts[7]), (None, texts[8]), (8, texts[8])]
+    d = spark.createDataFrame(given, "doc_id long, text string")
+    want = collections.Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (4, texts[5]), (6, texts[6]), (7, texts[7]), (None, texts[8])])
+    assert bag(simhash.keep_first(d), "doc_id", "text") == want
+
+
 def test_ball_links_find_all(spark):
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(40)]
