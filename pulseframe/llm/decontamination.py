@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import encode, pieces, split_long, word_hashes, words
+from .common import id_of, text_of
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -211,8 +212,8 @@ def search(ix: Index, texts: list[bytes], length: int, threshold: float, questio
     return list(best.values())
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """One row for each document and item that it leaks."""
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, index_bytes: int = INDEX_BYTES, with_hash: bool = False) -> DataFrame:
+    """One row for each document and item that it leaks; with_hash: also text_hash, as rows may share a doc_id."""
     spark = docs.sparkSession
     if {"question", "answer"} <= set(items.columns):
         items = items.select("item_id", F.coalesce("question", F.lit("")).alias("q"), F.coalesce("answer", F.lit("")).alias("a"))
@@ -237,24 +238,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     for k in range(shards):
         part = read(k)
         have = {int(x): df[int(x)] for _, q, a in part for x in own_words(f"{q} {a}")}
-        found = _against(docs, part, have, max(n_items, 1), total / max(n_items, 1) or 1.0, max(longest, 16), threshold, question, answer)
+        found = _against(docs, part, have, max(n_items, 1), total / max(n_items, 1) or 1.0, max(longest, 16), threshold, question, answer, with_hash)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], RESULT)
 
 
-def _against(docs: DataFrame, part: list[tuple], df: dict[int, int], n_items: int, mean: float, length: int, threshold: float, question: float, answer: float) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that leak no item.  A row is known by doc_id and text, so others with its doc_id stay."""
+    leaks = decontaminate(docs.withColumn("doc_id", id_of()), items, with_hash=True).select(F.col("doc_id").alias("__leak"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(leaks, (id_of() == F.col("__leak")) & (F.xxhash64(text_of()) == F.col("__hash")), "left_anti")
+
+
+def _against(docs: DataFrame, part: list[tuple], df: dict[int, int], n_items: int, mean: float, length: int, threshold: float, question: float, answer: float, with_hash: bool) -> DataFrame:
+    own = ["doc_id", "text_hash"] if with_hash else ["doc_id"]
     built: list[Index] = []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not built:
             built.append(Index.build(part, df, n_items, mean))
         for b in batches:
-            ids = b["doc_id"].to_list()
+            ids = list(zip(*[b[c].to_list() for c in own], strict=True))
             texts = [encode(t) for t in b["text"]]
             rows: list[tuple] = []
             for numbers, group in pieces(texts):
                 if len(group[0]) <= 1 << 22:
-                    rows += [(ids[numbers[d]], *rest) for d, *rest in search(built[0], group, length, threshold, question, answer)]
+                    rows += [(*ids[numbers[d]], *rest) for d, *rest in search(built[0], group, length, threshold, question, answer)]
                     continue
                 best: dict = {}  # a very long text in parts, each with the words of a passage before it
                 tail, done = b"", 0
@@ -265,7 +273,9 @@ def _against(docs: DataFrame, part: list[tuple], df: dict[int, int], n_items: in
                     last = (tail + p).split()
                     tail = b" ".join(last[-2 * length :]) + b" "
                     done += max(0, len(last) - 2 * length)
-                rows += [(ids[numbers[0]], item, *rest) for item, rest in best.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                rows += [(*ids[numbers[0]], item, *rest) for item, rest in best.items()]
+            yield pd.DataFrame(rows, columns=[*own, "item_id", "score", "question_overlap", "answer_overlap", "first_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
+    if with_hash:
+        return docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), "text").mapInPandas(run, RESULT.replace("doc_id long", "doc_id long, text_hash long"))
     return docs.select("doc_id", "text").mapInPandas(run, RESULT)

@@ -466,5 +466,19 @@ def test_pipeline(spark, tmp_path, rows):
     assert corpus_pipeline.run(spark, sf).count() == got.count()
 
 
+def test_pipeline_drops_only_leaking_rows(spark, tmp_path):
+    """A clean row stays, though a leaking one has the same doc_id or none as well."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    item, big = f"{prose(12)}? {prose(4)}.", 2**60 + 1
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = f"{prose(9)} {item} {prose(20)}"
+    clean = [(None, prose(40)), (None, prose(40)), (None, None), (5, prose(40)), (6, prose(40)), (big, prose(40))]
+    d = spark.createDataFrame([*clean, (None, leak), (5, leak), (5, f"{leak} more"), (big, leak), (9, leak)], "doc_id long, text string").coalesce(1)
+    assert bag(corpus_pipeline.without_benchmark(spark, d, str(tmp_path)), "doc_id", "text") == collections.Counter(clean)
+
+
 def test_sql_is_there():
     assert {"op3_mixing", "op6_substring_dedup", "op10_line_dedup"} <= set(ORACLE_SQL)
