@@ -466,6 +466,47 @@ def test_pipeline(spark, tmp_path, rows):
     assert corpus_pipeline.run(spark, sf).count() == got.count()
 
 
+def test_pipeline_finds_all_near_copies(spark, tmp_path):
+    """The stage keeps one text of each component of the pairs whose five-word shingles have a similarity of 0.8."""
+    import corpus_pipeline
+
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage, texts = [word() for _ in range(30)], [None, "", " \n", "one", "ONE ", "two words", "a b c d e", "a b c d e f"]
+    for k in range(30):
+        base = [word() for _ in range(r.choice([12, 80, 200]))] + (passage if k % 2 else [])
+        texts.append(" ".join(base))
+        for changed in (1, 1, 2, 3, 4, 5, 6):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), min(changed, len(copy) // 12 + 1)):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    chain = [word() for _ in range(100)]
+    for _ in range(25):  # a crowded bucket: each is near the one before, the ends are not
+        chain[r.randrange(100)] = word()
+        texts += [" ".join(chain)]
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    low = {}
+    for k in range(len(texts)):
+        low.setdefault(root(k), k)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.without_near_duplicates(spark, d, str(tmp_path))
+    assert bag(kept, "doc_id") == collections.Counter((k,) for k in low.values())
+    assert corpus_pipeline.without_near_duplicates(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_drops_only_leaking_rows(spark, tmp_path):
     """A clean row stays, though a leaking one has the same doc_id or none as well."""
     import corpus_pipeline
