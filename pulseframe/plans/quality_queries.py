@@ -46,6 +46,13 @@ def saturated_runs(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("percent", F.round("percent", 6))
 
 
+@query(f"WITH {_SEG} SELECT l_suppkey, segments, bad_segments, round(percent, 6) AS percent FROM sr WHERE percent >= 10 AND l_suppkey % 125 + 1 BETWEEN 97 AND 125")
+def saturated_test_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Saturated runs of the test subjects; saturated_runs has those of the training subjects."""
+    r = _saturation(spark, d).where((F.col("percent") >= 10) & (F.col("l_suppkey") % 125 + 1).between(97, 125))
+    return r.withColumn("percent", F.round("percent", 6))
+
+
 _LEVELS = [0.0, 5.0, 10.0, 20.0, 30.0, 40.0, 50.0, 75.0, 100.0]
 _LEVEL_SQL = ", ".join(f"CAST({x} AS DOUBLE)" for x in _LEVELS)
 

@@ -46,6 +46,17 @@ def test_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).schema.names
 
 
+def test_saturated_test_runs(spark):
+    """The saturated runs of subjects 97 to 125; with those of the training range these are all over 10 %."""
+    from pulseframe.plans import quality_queries as q
+
+    sf = "/root/testdata/sf0.1"
+    over = {r.l_suppkey for r in q._saturation(spark, sf).where("percent >= 10").collect()}
+    got = {r.l_suppkey for r in QUERIES["saturated_test_runs"](spark, sf).collect()}
+    assert got == {k for k in over if 97 <= k % 125 + 1 <= 125} and got
+    assert got | {r.l_suppkey for r in QUERIES["saturated_runs"](spark, sf).collect()} == over
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
