@@ -282,6 +282,21 @@ def type_metrics(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("events"), F.sum("hit").alias("detected"), F.countDistinct("subject").alias("subjects"), F.round(F.avg("hit"), 6).alias("sensitivity"))
 
 
+@query(f"""WITH {_TAX}, h AS (SELECT *, value > 60 AS hit FROM ty WHERE ty <> 'bckg'),
+u AS (SELECT 'type' AS kind, ty AS name, subject, hit FROM h UNION ALL SELECT 'onset', substr(ty, 1, 6), subject, hit FROM h
+  UNION ALL SELECT 'category', CASE ty WHEN 'sz_foc_a_m_tonic' THEN 'focal_aware' WHEN 'sz_foc_ia_nm' THEN 'focal_impaired' WHEN 'sz_gen_m_tonicClonic' THEN 'generalized_motor' ELSE 'unknown_nonmotor' END, subject, hit FROM h
+  UNION ALL SELECT 'motor', CASE ty WHEN 'sz_foc_a_m_tonic' THEN 'motor' WHEN 'sz_gen_m_tonicClonic' THEN 'motor' ELSE 'non-motor' END, subject, hit FROM h)
+SELECT kind, name, count(*) AS events, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS detected, count(DISTINCT subject) AS subjects, round(avg(CAST(hit AS INT)), 6) AS sensitivity FROM u GROUP BY ALL""")
+def type_metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    """Detection by type, onset, category and motor class, for all typed events; type_metrics has each series' first twenty."""
+    t = F.col("ty")
+    h = _typed(spark, d).where("ty <> 'bckg'").withColumn("hit", (F.col("value") > 60).cast("int"))
+    named = {"type": t, "onset": F.substring("ty", 1, 6), "category": scalars.category(t), "motor": scalars.motor_class(t)}
+    keys = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), name.alias("name")) for kind, name in named.items()])).alias("u")
+    g = h.select("subject", "hit", keys).groupBy("u.kind", "u.name")
+    return g.agg(F.count("*").alias("events"), F.sum("hit").alias("detected"), F.countDistinct("subject").alias("subjects"), F.round(F.avg("hit"), 6).alias("sensitivity"))
+
+
 @query("""SELECT subject % 5 AS threshold, event_type AS strategy, count(*) AS n, round(100.0 * CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY subject % 5), 6) AS percent,
   row_number() OVER (PARTITION BY subject % 5 ORDER BY count(*) DESC, event_type) = 1 AS most_used FROM ev GROUP BY 1, 2""")
 def strategy_usage_pct(spark: SparkSession, d: str) -> DataFrame:

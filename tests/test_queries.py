@@ -57,6 +57,18 @@ def test_saturated_test_runs(spark):
     assert got | {r.l_suppkey for r in QUERIES["saturated_runs"](spark, sf).collect()} == over
 
 
+def test_type_metrics_all_counts_every_event(spark):
+    """Each of the four keys counts all typed events, also those of series with over twenty."""
+    from pulseframe.plans import quality_queries as q
+
+    sf = "/root/testdata/sf0.1"
+    n = q._typed(spark, sf).where("ty <> 'bckg'").count()
+    got = {}
+    for r in QUERIES["type_metrics_all"](spark, sf).collect():
+        got[r.kind] = got.get(r.kind, 0) + r.events
+    assert got == dict.fromkeys(("type", "onset", "category", "motor"), n)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
