@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables; the others against invariants."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -74,6 +75,18 @@ def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
+@pytest.mark.parametrize("gone", [["pulseframe/llm", "tests/llm"], ["pulseframe/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_the_corpus_part(tmp_path, gone):
+    """The other queries are there when the corpus subpackage, the pipeline or both are missing."""
+    root, copy = os.path.dirname(os.path.abspath(entry.__file__)), tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.md", "*.json"))
+    for name in gone:
+        shutil.rmtree(copy / name) if (copy / name).is_dir() else (copy / name).unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES), sorted(e.oracle_sql()) == sorted(e.ORACLE_SQL))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True)
+    assert out.stdout.split()[-2:] == ["True", "True"]
+
+
 def test_entry_needs_no_session():
     """The queries can be listed before any session is there."""
     root = os.path.dirname(os.path.abspath(entry.__file__))
