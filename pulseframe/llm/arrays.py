@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -17,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts are cut into pieces of about so many bytes, at spaces, before arrays are made of them.
 PIECE = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 
 class _Powers:
@@ -104,7 +107,10 @@ def words(texts: list[bytes], lower: bool = False, bare: bool = False) -> Words:
         start, end = at[rank[start]], at[rank[end] - 1] + 1
     ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
     prefix = prefix_hash(data)
-    return Words(data, prefix, start, end, slice_hash(prefix, start, end), np.searchsorted(ends, start, side="right").astype(np.int32) if len(ends) else np.zeros(0, np.int32), len(texts))
+    hashes = slice_hash(prefix, start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():  # sums modulo a power of two are weak for long strings of a known kind
+        hashes[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+    return Words(data, prefix, start, end, hashes, np.searchsorted(ends, start, side="right").astype(np.int32) if len(ends) else np.zeros(0, np.int32), len(texts))
 
 
 def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -136,6 +142,30 @@ def split_long(text: bytes, size: int = PIECE) -> list[bytes]:
     return parts
 
 
+def windowed_parts(text: bytes, span: int, step: int, lower: bool = False, bare: bool = False, size: int | None = None) -> Iterator[tuple[Words, int, int]]:
+    """The windows of span words, one every step words, of one text of any length: (words of a part, words before it, its windows).
+
+    A part begins where its first window does, so the windows are those of the uncut text: the first, and one more as long
+    as words are left that no window holds.
+    """
+    tail, done = b"", 0
+    cut = split_long(text, size or PIECE)
+    for i, piece in enumerate(cut):
+        raw = tail + piece
+        w = words([raw], lower, bare)
+        n = len(w.start)
+        if i + 1 == len(cut):
+            count = 0 if n <= (span - step if done else 0) else 1 + max(0, -(-(n - span) // step))
+        else:
+            count = (n - span) // step + 1 if n >= span else 0
+        if count:
+            yield w, done, count
+        tail = raw
+        if count and i + 1 < len(cut):
+            tail = raw[max(0, int(w.start[count * step]) - 2) :]  # with the character before the word; data begins with a space of its own
+            done += count * step
+
+
 def word_hashes(text: bytes, lower: bool = False, bare: bool = False) -> np.ndarray:
     """Hashes of the words of one text of any length."""
     return np.concatenate([words([p], lower, bare).hash for p in split_long(text)])

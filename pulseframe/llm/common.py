@@ -45,12 +45,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set, as in tests."""
+    """The shared folder that the session names; one of our own only where none is set and all runs on one machine."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pulseframe-checkpoints-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -33,7 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import encode, pieces, split_long, word_hashes, words
+from . import arrays
+from .arrays import Words, encode, pieces, windowed_parts, word_hashes, words
 from .common import id_of, text_of
 
 K1, B = 1.2, 0.75
@@ -166,9 +167,11 @@ class Index:
         return found
 
 
-def search(ix: Index, texts: list[bytes], length: int, threshold: float, question: float, answer: float) -> list[tuple]:
-    """(text, item_id, score, question overlap, answer overlap, first word) of all verified hits, the best passage each."""
-    w = words(texts, lower=True, bare=True)
+def search(ix: Index, w: Words, length: int, threshold: float, question: float, answer: float, most: int | None = None) -> list[tuple]:
+    """(text, item_id, score, question overlap, answer overlap, first word) of all verified hits, the best passage each.
+
+    most: only that many passages of each text are queries.
+    """
     term = ix.term_of(w.hash)
     known = np.flatnonzero(term >= 0)
     at = w.docs_from()
@@ -176,10 +179,12 @@ def search(ix: Index, texts: list[bytes], length: int, threshold: float, questio
     # Windows of 2 * length words every length words: word i stands in window i // length and in the one before.
     n = np.diff(at)
     each = np.maximum(1, -(-n // length) - 1)
+    if most is not None:
+        each = np.minimum(each, most)
     base = np.concatenate(([0], np.cumsum(each)))
     own = in_doc // length
     doc = w.doc[known].astype(np.int64)
-    both = np.concatenate([np.where(own < each[doc], base[doc] + own, -1), np.where(own > 0, base[doc] + own - 1, -1)])
+    both = np.concatenate([np.where(own < each[doc], base[doc] + own, -1), np.where((own > 0) & (own <= each[doc]), base[doc] + own - 1, -1)])
     t2 = np.concatenate([term[known], term[known]])
     ok = both >= 0
     pair = np.sort(both[ok] * np.int64(len(ix.terms) + 1) + t2[ok])
@@ -260,19 +265,15 @@ def _against(docs: DataFrame, part: list[tuple], df: dict[int, int], n_items: in
             ids = list(zip(*[b[c].to_list() for c in own], strict=True))
             texts = [encode(t) for t in b["text"]]
             rows: list[tuple] = []
-            for numbers, group in pieces(texts):
-                if len(group[0]) <= 1 << 22:
-                    rows += [(*ids[numbers[d]], *rest) for d, *rest in search(built[0], group, length, threshold, question, answer)]
+            for numbers, group in pieces(texts, arrays.PIECE):
+                if len(group[0]) <= arrays.PIECE:
+                    rows += [(*ids[numbers[d]], *rest) for d, *rest in search(built[0], words(group, lower=True, bare=True), length, threshold, question, answer)]
                     continue
-                best: dict = {}  # a very long text in parts, each with the words of a passage before it
-                tail, done = b"", 0
-                for p in split_long(group[0]):
-                    for _, item, *rest in search(built[0], [tail + p], length, threshold, question, answer):
+                best: dict = {}  # a very long text, part by part
+                for w, done, n in windowed_parts(group[0], 2 * length, length, lower=True, bare=True):
+                    for _, item, *rest in search(built[0], w, length, threshold, question, answer, n):
                         if item not in best or best[item][0] < rest[0]:
                             best[item] = (*rest[:3], rest[3] + done)
-                    last = (tail + p).split()
-                    tail = b" ".join(last[-2 * length :]) + b" "
-                    done += max(0, len(last) - 2 * length)
                 rows += [(*ids[numbers[0]], item, *rest) for item, rest in best.items()]
             yield pd.DataFrame(rows, columns=[*own, "item_id", "score", "question_overlap", "answer_overlap", "first_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays
 from .arrays import Words, encode, mixed, pair_hash, pieces, split_long, words
 from .labelled import fit_in_task, held_out, sample
 
@@ -42,8 +43,8 @@ def _kind() -> np.ndarray:
 _KIND = _kind()
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of each feature occurrence."""
+def features(w: Words, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of each feature occurrence; the first known words are only there for the pairs that follow."""
     if not len(w.hash):
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     shift = np.uint64(64 - BITS)
@@ -51,14 +52,25 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     again = np.concatenate(([False], same_doc & (w.hash[1:] == w.hash[:-1])))
     shape = _KIND[w.data[w.start]] + np.uint64(8) * _KIND[w.data[w.end - 1]] + np.uint64(64) * _KIND[w.data[np.maximum(w.end - 2, w.start)]] + np.uint64(512) * again
     shape = mixed(shape + np.uint64(0x51ED2701))
-    first, second = np.flatnonzero(same_doc), np.flatnonzero(same_doc) + 1
-    grams = [w.hash, shape, pair_hash(w.hash[first], w.hash[second]), pair_hash(shape[first], shape[second])]
-    return np.concatenate([(g >> shift).astype(np.int64) for g in grams]), np.concatenate([w.doc, w.doc, w.doc[first], w.doc[first]])
+    first = np.flatnonzero(same_doc)
+    first = first[first >= known - 1]
+    grams = [w.hash[known:], shape[known:], pair_hash(w.hash[first], w.hash[first + 1]), pair_hash(shape[first], shape[first + 1])]
+    return np.concatenate([(g >> shift).astype(np.int64) for g in grams]), np.concatenate([w.doc[known:], w.doc[known:], w.doc[first], w.doc[first]])
+
+
+def long_features(text: bytes) -> Iterator[np.ndarray]:
+    """The features of one text of any length, part by part; a part repeats the last two words of the one before."""
+    tail, known = b"", 0
+    for p in split_long(text, arrays.PIECE):
+        raw = tail + p
+        w = words([raw])
+        yield features(w, known)[0]
+        known = min(2, len(w.start))
+        tail = raw[int(w.start[-known]) - 1 :] if known else b""  # data begins with a space of its own
 
 
 def _vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-    found = [features(words([p]))[0] for p in split_long(encode(text))]
-    index, count = np.unique(np.concatenate(found), return_counts=True)
+    index, count = np.unique(np.concatenate(list(long_features(encode(text)))), return_counts=True)
     return index, count / np.sqrt(max(count.sum(), 1))
 
 
@@ -85,22 +97,28 @@ def fit(rows: list[tuple[str, int]], epochs: int = 4, alpha: float = 0.3, beta:
     return w[:size], float(w[size])
 
 
+def score_texts(texts: list[bytes], weights: np.ndarray, intercept: float) -> np.ndarray:
+    total, count = np.zeros(len(texts)), np.zeros(len(texts))
+    for at, group in pieces(texts, arrays.PIECE):
+        if len(group[0]) <= arrays.PIECE:
+            index, part = features(words(group))
+            doc = np.array(at)[part] if len(part) else part
+            total += np.bincount(doc, weights[index], len(texts))
+            count += np.bincount(doc, minlength=len(texts))
+            continue
+        for index in long_features(group[0]):
+            total[at[0]] += weights[index].sum()
+            count[at[0]] += len(index)
+    return 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(count, 1)) + intercept, -30, 30)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     weights, intercept = fit_in_task(sample(docs, labels, "quality", MODULUS, REST, per_class, max_bytes), fit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [encode(t) for t in b["text"]]
-            parts = [(i, p) for i, t in enumerate(texts) for p in split_long(t)]
-            total, count = np.zeros(len(texts)), np.zeros(len(texts))
-            for at, group in pieces([p for _, p in parts]):
-                index, part = features(words(group))
-                doc = np.array([parts[i][0] for i in at])[part] if len(part) else part
-                total += np.bincount(doc, weights[index], len(texts))
-                count += np.bincount(doc, minlength=len(texts))
-            raw = np.clip(total / np.sqrt(np.maximum(count, 1)) + intercept, -30, 30)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": 1 / (1 + np.exp(-raw))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": score_texts([encode(t) for t in b["text"]], weights, intercept)})
 
     scored = docs.select("doc_id", held_out(MODULUS, REST).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

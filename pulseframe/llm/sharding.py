@@ -1,8 +1,9 @@
 """Sharding by minimax contiguous partition (operator 8).
 
 Documents with equal texts form an atomic group; groups stand in the order of their smallest doc_id.  The smallest
-capacity for which a greedy pass fills at most the given number of shards is found by binary search, and the shards are
-cut where that pass cuts.
+capacity for which a greedy pass fills at most the given number of shards is found by binary search.  Where a large group
+sets that capacity, a second search finds the least bound of the same pass for the shards without such a group, so that
+the rest is spread evenly; the shards are cut where this pass cuts.
 
 The running sizes of the groups stay distributed.  The driver holds a bounded picture of them, the exact running size at
 the end of each of some value ranges; with it the greedy pass is done twice for a capacity, with the least and the most
@@ -10,8 +11,8 @@ that each shard can hold.  Where the two disagree, the ranges that the open capa
 until the pass is exact.
 
 Defined cases: a null text counts as empty and equals it; its size is 1; a null doc_id sorts before the others; repeated
-rows belong to one group and have slots of their own; an empty table gives an empty result; shards may stay empty, the
-last ones first.  Extra columns are ignored.
+rows belong to one group and have slots of their own; an empty table gives an empty result; where there are fewer groups
+than shards the last shards stay empty.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def minimax_cuts(groups: DataFrame, shards: int, resolution: int = RESOLUTION) -
         high = a
         cuts, sure = _walk(p, high, shards, total, False)
         if low == high and sure:
-            return high, cuts
+            return high, level_cuts(p, high, shards, total)
         least, most = _walk(p, low, shards, total, False)[0], _walk(p, high, shards, total, True)[0]
         open_at, a, b = [], 0, 0
         for k in range(shards):  # where a pass with an open capacity may look for its next cut
@@ -109,6 +110,32 @@ def minimax_cuts(groups: DataFrame, shards: int, resolution: int = RESOLUTION) -
         resolution *= 2  # at the latest, ranges of one value each are exact
 
 
+def level_cuts(p: _Picture, capacity: int, shards: int, total: int) -> list[int]:
+    """Cuts at known running sizes, no shard over the capacity, with the least bound on the shards that hold several groups.
+
+    The capacity is that of the largest group where one is larger than its share.  The same greedy pass then levels the
+    rest: it takes a bound below the capacity, and a group over that bound gets a shard of its own.
+    """
+
+    def walk(bound: int) -> list[int]:
+        at, cuts = 0, []
+        while at < total and len(cuts) <= shards:
+            i = bisect_right(p.sums, at + bound) - 1
+            at = p.sums[i] if p.sums[i] > at else p.sums[i + 1]
+            cuts.append(at)
+        return cuts
+
+    low, high = 1, capacity
+    while low < high:
+        mid = (low + high) // 2
+        cuts = walk(mid)
+        if len(cuts) <= shards and all(b - a <= capacity for a, b in zip([0, *cuts], cuts, strict=False)):
+            high = mid
+        else:
+            low = mid + 1
+    return walk(high)
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and capacity for every document."""
     text = text_of()

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Words, encode, gram_hash, pieces, split_long, words
+from . import arrays
+from .arrays import Words, encode, gram_hash, pieces, windowed_parts, words
 from .labelled import fit_in_task, held_out, sample
 
 WINDOW, STRIDE, GRAM = 32, 24, 5
@@ -154,9 +155,9 @@ def _steps(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(on, first[None, :] + t, 0), on.astype(np.float32)
 
 
-def window_scores(m: Model, w: Words, t: Tokens | None = None, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of all windows and their texts; t has the words' tokens, if they are known."""
-    first, length, doc = windows(w)
+def window_scores(m: Model, w: Words, t: Tokens | None = None, at_once: int = 512, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all windows (or the first ones) and their texts; t has the words' tokens, if they are known."""
+    first, length, doc = (x[:most] for x in windows(w))
     x = inputs(m, t or tokens(w))
     scores = np.empty(len(first), np.float32)
     for a in range(0, len(first), at_once):
@@ -165,6 +166,27 @@ def window_scores(m: Model, w: Words, t: Tokens | None = None, at_once: int = 51
     return scores, doc
 
 
+def score_texts(m: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's largest window score (that of the bias alone without words) and number of windows."""
+    best, count = np.full(len(texts), _sigmoid(m["bias"][0]), np.float32), np.zeros(len(texts), np.int64)
+
+    def take(doc: np.ndarray, got: np.ndarray) -> None:
+        fresh = np.unique(doc)
+        best[fresh[count[fresh] == 0]] = 0
+        np.maximum.at(best, doc, got)
+        np.add.at(count, doc, 1)
+
+    for at, group in pieces(texts, arrays.PIECE):
+        if len(group[0]) <= arrays.PIECE:
+            got, doc = window_scores(m, words(group, lower=True))
+            take(np.array(at)[doc], got)
+            continue
+        for w, _, n in windowed_parts(group[0], WINDOW, STRIDE, lower=True):
+            got, doc = window_scores(m, w, most=n)
+            take(doc + at[0], got)
+    return best, count
+
+
 def _start(rows: list[tuple[Words, Tokens, np.ndarray]]) -> tuple[Model, np.ndarray, np.ndarray]:
     """Small random weights; the embeddings' first part holds the log odds of the buckets."""
     rng = np.random.default_rng(5)
@@ -255,28 +277,12 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, batch: int = 128, rate: fl
 
 def scorer(model: Model | None):
     """A column function: text -> struct of score and n_windows."""
-    overlap = WINDOW - STRIDE
 
     @F.pandas_udf("score double, n_windows long")
     def run(texts: pd.Series) -> pd.DataFrame:
         best, count = np.zeros(len(texts), np.float32), np.zeros(len(texts), np.int64)
         if model is not None:
-            best[:] = _sigmoid(model["bias"][0])
-            parts: list[tuple[int, bytes]] = []
-            for i, t in enumerate(texts):
-                cut, tail = split_long(encode(t)), b""
-                for p in cut:  # a part begins with the last words of the one before, so that windows overlap there too
-                    parts.append((i, tail + p))
-                    tail = b" ".join(p.split()[-overlap:]) if len(cut) > 1 else b""
-            seen = np.zeros(len(texts), bool)
-            for at, group in pieces([p for _, p in parts]):
-                got, doc = window_scores(model, words(group, lower=True))
-                doc = np.array([parts[i][0] for i in at])[doc] if len(doc) else doc.astype(np.int64)
-                fresh = np.unique(doc)
-                best[fresh[~seen[fresh]]] = 0
-                seen[fresh] = True
-                np.maximum.at(best, doc, got)
-                count += np.bincount(doc, minlength=len(texts))
+            best, count = score_texts(model, [encode(t) for t in texts])
         return pd.DataFrame({"score": best.astype(float), "n_windows": count})
 
     return run

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulseframe.llm import decontamination, line_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, toxicity
-from pulseframe.llm.arrays import encode, words
+from pulseframe.llm.arrays import encode, windowed_parts, words
 from pulseframe.llm.common import components
 from pulseframe.llm.queries import ORACLE_SQL
 
@@ -447,6 +447,119 @@ def test_windows_cover_all_words():
         assert len(seen) == n[d]
 
 
+def plain_network(m, text):
+    """Largest window score by a plain loop over words, steps and units, in double precision."""
+    w = words([encode(text)], lower=True)
+    if not len(w.start):
+        return 1 / (1 + math.exp(-m["bias"][0])), 0
+    word, gram, first = toxicity.tokens(w)
+    x = [np.concatenate([m["word"][word[i]], sum(m["char"][g].astype(float) for g in gram[first[i] : first[i + 1]])]).astype(float) for i in range(len(word))]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    scores, at = [], 0
+    while True:
+        part, states, n = x[at : at + toxicity.WINDOW], [], toxicity.HIDDEN
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            h, out = np.zeros(n), {}
+            for t in order:
+                p = part[t] @ m["W" + d] + m["c" + d]
+                gate = sigmoid(p[: 2 * n] + h @ m["U" + d])
+                u, r = gate[:n], gate[n:]
+                h = (1 - u) * h + u * np.tanh(p[2 * n :] + (r * h) @ m["V" + d])
+                out[t] = h
+            states.append(out)
+        s = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(part))]
+        e = np.array([np.tanh(v @ m["A"]) @ m["v"] for v in s])
+        e = np.exp(e - e.max())
+        scores.append(float(sigmoid(sum(a * v for a, v in zip(e / e.sum(), s, strict=True)) @ m["o"] + m["bias"][0])))
+        if at + toxicity.WINDOW >= len(x):
+            return max(scores), len(scores)
+        at += toxicity.STRIDE
+
+
+@pytest.fixture(scope="module")
+def network():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7)))
+    rows = [(" ".join([word() for _ in range(r.choice([3, 40, 120]))] + (["scum"] if k % 3 == 0 else [])), int(k % 3 == 0)) for k in range(90)]
+    return toxicity.fit(rows, epochs=2), [t for t, _ in rows] + ["", " \n", "one", "A\tb\n\nC " * 33, "\n".join(word() for _ in range(300)), "é ü " * 20]
+
+
+def test_toxicity_scores_by_a_plain_loop(network):
+    m, texts = network
+    score, n = toxicity.score_texts(m, [encode(t) for t in texts])
+    for t, a, b in zip(texts, score, n, strict=True):
+        want, windows = plain_network(m, t)
+        assert abs(a - want) < 1e-4 and b == windows
+
+
+@pytest.mark.parametrize("size", [64, 301])
+def test_scores_do_not_depend_on_where_long_texts_are_cut(network, monkeypatch, size):
+    """Toxicity, quality features and passages are those of the uncut text."""
+    m, texts = network
+    data = [encode(t) for t in texts]
+    r = random.Random(size)
+    weights = np.array([r.uniform(-1, 1) for _ in range(1 << quality_classifier.BITS)])
+    whole, quality = toxicity.score_texts(m, data), quality_classifier.score_texts(data, weights, 0.1)
+    monkeypatch.setattr("pulseframe.llm.arrays.PIECE", size)
+    cut, quality_cut = toxicity.score_texts(m, data), quality_classifier.score_texts(data, weights, 0.1)
+    assert np.allclose(whole[0], cut[0], atol=1e-5) and (whole[1] == cut[1]).all() and np.allclose(quality, quality_cut)
+    for t in data:
+        w = words([t], True, True)
+        found = [w.hash[k * 16 : k * 16 + 32].tolist() for k in range(max(1, -(-len(w.hash) // 16) - 1))] if len(w.hash) else []
+        parts = [p.hash[k * 16 : k * 16 + 32].tolist() for p, _, n in windowed_parts(t, 32, 16, True, True) for k in range(n)]
+        assert parts == found
+
+
+@pytest.mark.parametrize("size", [1 << 20, 200])
+def test_decontamination_finds_the_same_passages_in_cut_texts(spark, monkeypatch, size):
+    monkeypatch.setattr("pulseframe.llm.arrays.PIECE", size)
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(12)) + "? " + " ".join(word() for _ in range(4)) + ".") for k in range(8)]
+    docs = [(k, " ".join(word() for _ in range(n)) + " " + items[k][1] + " " + " ".join(word() for _ in range(90))) for k, n in enumerate([0, 1, 15, 16, 17, 31, 200, 333])]
+    part = [(k, *decontamination.question_and_answer(t)) for k, t in items]
+    df = collections.Counter(x for _, q, a in part for x in np.unique(decontamination.own_words(f"{q} {a}")).tolist())
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = decontamination._against(d, part, df, 8, 16.0, 16, 0.6, 0.8, 0.8, False).collect()
+    assert {(r.doc_id, r.item_id): r.first_word for r in found} == {(k, k): max(0, -(-(n + 16) // 16) * 16 - 32) for k, n in enumerate([0, 1, 15, 16, 17, 31, 200, 333])}
+
+
+def test_fit_follows_the_regularised_leader():
+    """Weights by a plain loop over dictionaries."""
+    rows = [("good text here now", 1), ("bad!! text here!!", 0), ("", 0), ("good good now", 1)]
+    got, intercept = quality_classifier.fit(rows, epochs=3)
+    z, n, order = collections.defaultdict(float), collections.defaultdict(float), np.random.default_rng(11)
+    alpha, beta, l1, l2, one = 0.3, 1.0, 0.05, 1.0, 1 << quality_classifier.BITS
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for k in order.permutation(4):
+            count = collections.Counter(quality_classifier.features(words([encode(rows[k][0])]))[0].tolist())
+            x = {i: c / math.sqrt(max(1, sum(count.values()))) for i, c in count.items()} | {one: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - rows[k][1]) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    assert abs(intercept - weight(one)) < 1e-9
+    assert {i: round(v, 9) for i, v in enumerate(got.tolist()) if v} == {i: round(weight(i), 9) for i in z if i != one and weight(i)}
+
+
+def test_sharding_levels_the_rest_around_a_large_group(spark):
+    for copies in (range(200), range(300, 500)):
+        texts = {i: "x" * 1000 for i in copies}
+        d = spark.createDataFrame([(i, texts.get(i, f"{i:04d} " + "y" * (i * 7 % 180))) for i in range(600)], "doc_id long, text string")
+        load = collections.Counter()
+        for r in sharding.shard_documents(d).collect():
+            load[r.shard] += r.size
+        small = sum(load.values()) - 200 * 1001
+        assert sorted(load) == list(range(16)) and max(load.values()) == 200 * 1001
+        assert sorted(load.values())[-2] <= 1.05 * small / 15 + 200
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
