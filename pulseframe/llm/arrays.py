@@ -113,8 +113,9 @@ def words(texts: list[bytes], lower: bool = False, bare: bool = False) -> Words:
     return Words(data, prefix, start, end, hashes, np.searchsorted(ends, start, side="right").astype(np.int32) if len(ends) else np.zeros(0, np.int32), len(texts))
 
 
-def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[list[int], list[bytes]]]:
+def pieces(texts: list[bytes], size: int | None = None) -> Iterator[tuple[list[int], list[bytes]]]:
     """Whole texts in groups of about size bytes: their numbers, and the texts. A longer text is a group of its own."""
+    size = size or PIECE
     numbers: list[int] = []
     group: list[bytes] = []
     held = 0
@@ -129,8 +130,9 @@ def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[list[int], l
         yield numbers, group
 
 
-def split_long(text: bytes, size: int = PIECE) -> list[bytes]:
+def split_long(text: bytes, size: int | None = None) -> list[bytes]:
     """Parts of a text of about size bytes, each ending with a space or at the text's end; no word is cut."""
+    size = size or PIECE
     parts, at = [], 0
     while len(text) - at > size:
         to = at + size
@@ -149,7 +151,7 @@ def windowed_parts(text: bytes, span: int, step: int, lower: bool = False, bare:
     as words are left that no window holds.
     """
     tail, done = b"", 0
-    cut = split_long(text, size or PIECE)
+    cut = split_long(text, size)
     for i, piece in enumerate(cut):
         raw = tail + piece
         w = words([raw], lower, bare)

@@ -16,9 +16,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_path, id_of, partitions, scratch_path, text_of
+from .common import cut, drop_path, evenly, id_of, partitions, scratch_path, text_of
 
 CHUNK_BYTES = 8 << 20
+#: Bytes of text whose questions meet in a part, where these are a hash for each window.
+PART_BYTES = 64 << 20
+MOST_BUCKETS = 32768
 QUESTION = "part int, chunk int, step int, blob binary"
 ANSWER = "chunk int, step int, part int, blob binary"
 
@@ -52,31 +55,47 @@ def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Chunks:
-    """The chunk table of some documents."""
+    """The chunk table of some documents; a context, at whose end the table goes.
 
-    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> None:
+    Documents are ranged by (doc_id, hash of the text), so that neither a doc_id with very many rows nor a group of copies is one
+    chunk.  A range is a file and a bucket; ranges larger than a chunk hold several, cut by row number.
+    """
+
+    def __init__(self, docs: DataFrame, chunk_bytes: int | None = None) -> None:
         self.spark = docs.sparkSession
-        rows = docs.select("doc_id", id_of().alias("_id"), text_of().alias("text"))
-        self.bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-        self.parts = partitions(self.spark)
-        n = max(self.parts, -(-self.bytes // chunk_bytes))
-        # Numbers of chunks that fall into different buckets, so that a bucket is a chunk.
-        taken: dict[int, int] = {}
-        for r in self.spark.range(0, 40 * n).selectExpr("cast(id as int) id", f"pmod(hash(cast(id as int)), {n}) b").collect():  # a few numbers a chunk
-            taken.setdefault(r.b, r.id)
-        names = F.array(*[F.lit(taken.get(b, b)) for b in range(n)])
-        ranged = rows.repartitionByRange(n, "_id").withColumn("chunk", F.element_at(names, F.spark_partition_id() + 1))
+        rows = docs.select("doc_id", id_of().alias("_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("_h"))
+        count, self.bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+        chunk_bytes = (chunk_bytes or CHUNK_BYTES) * min(8, max(1, self.bytes >> 40))  # up to eight times as large from 8 TiB on, so that questions stay large
+        wanted = max(partitions(self.spark), -(-self.bytes // chunk_bytes))
+        self.buckets = min(wanted, MOST_BUCKETS)
+        each = -(-wanted // self.buckets)  # chunks a bucket
+        self.chunks = self.buckets * each
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        sub = F.least(F.floor(row / F.lit(max(1, -(-count // self.chunks)))).cast("long"), F.lit(each - 1))
+        ranged = rows.repartitionByRange(self.buckets, "_id", "_h").sortWithinPartitions("_id", "_h")
+        ranged = ranged.withColumn("chunk", evenly(sub * self.buckets + F.spark_partition_id()))
         self.path = scratch_path(self.spark, "chunks")
         self.name = self.path.rsplit("/", 1)[1].replace("-", "_")
-        ranged.write.bucketBy(n, "chunk").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        ranged.write.bucketBy(self.buckets, "chunk").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
         self.answers = self.spark.createDataFrame([], ANSWER)
 
+    def __enter__(self) -> Chunks:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop_path(self.spark, self.path)
+
+    def parts(self, part_bytes: int) -> int:
+        """How many parts hold the questions about part_bytes of text each."""
+        return max(partitions(self.spark), -(-self.bytes // part_bytes))
+
     def ask(self, question: Callable[[pd.DataFrame, dict], list[tuple[int, bytes]]], answer: Callable[[list[bytes], list[int]], list[bytes]], step: int) -> None:
         """question(documents, answers so far) -> (part, blob); answer(blobs of one part, their chunks) -> one blob for each."""
 
         def make(key: tuple, docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-            rows = question(docs.sort_values("_id", kind="stable"), _by_step(got)) if len(docs) else []
+            rows = question(docs, _by_step(got)) if len(docs) else []
             return pd.DataFrame([(part, key[0], step, blob) for part, blob in rows], columns=["part", "chunk", "step", "blob"])
 
         def reply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,19 +114,28 @@ class Chunks:
             return pd.DataFrame({"chunk": rows["chunk"].to_numpy(), "step": step, "part": rows["part"].to_numpy(), "blob": blobs})
 
         asked = self._both().applyInPandas(make, QUESTION)
-        got = asked.repartition(self.parts, "part").sortWithinPartitions("part").mapInPandas(reply, ANSWER)
+        n = max(partitions(self.spark), min(self.buckets, MOST_BUCKETS))
+        got = asked.repartition(n, evenly(F.col("part"))).sortWithinPartitions("part").mapInPandas(reply, ANSWER)
         self.answers = self.answers.unionByName(cut(got))
 
+    def peek(self, look: Callable[[pd.DataFrame, dict], list[bytes]], most: int) -> list[bytes]:
+        """look(documents, answers so far) of most chunks, spread over all; for samples of a bounded size."""
+        some = self.table.select("chunk").distinct().orderBy(F.xxhash64("chunk")).limit(most)
+        names = [r.chunk for r in some.collect()]  # most at the most
+
+        def make(key: tuple, docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"blob": look(docs, _by_step(got)) if len(docs) else []})
+
+        table, answers = (x.where(F.col("chunk").isin(names)) for x in (self.table, self.answers))
+        return [r.blob for r in table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(make, "blob binary").collect()] if names else []
+
     def finish(self, result: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: str) -> DataFrame:
-        """result(documents, answers) -> rows; the chunk table goes once they are kept."""
+        """result(documents, answers) -> rows, kept apart from the chunk table."""
 
         def make(key: tuple, docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-            return result(docs.sort_values("_id", kind="stable"), _by_step(got)) if len(docs) else _empty(schema)
+            return result(docs, _by_step(got)) if len(docs) else _empty(schema)
 
-        out = cut(self._both().applyInPandas(make, schema))
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        drop_path(self.spark, self.path)
-        return out
+        return cut(self._both().applyInPandas(make, schema))
 
     def _both(self):
         return self.table.groupBy("chunk").cogroup(self.answers.groupBy("chunk"))

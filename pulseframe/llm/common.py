@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_M32 = (1 << 32) - 1
+
+
+def evenly(number: Column) -> Column:
+    """An int whose hash, as Spark deals rows by it, is number (0 to 2**31 - 1): so rows go to partition or bucket number mod n.
+
+    The 32-bit Murmur3 hash of an int is one to one; its steps are undone here from last to first.
+    """
+    low = lambda x: x.bitwiseAND(F.lit(_M32))
+    steps: list[Callable[[Column], Column]] = []
+
+    def undo_xor(*shifts: int) -> None:
+        steps.append(lambda x: reduce(Column.bitwiseXOR, [F.shiftright(x, n) for n in shifts], x))
+
+    def undo_times(c: int) -> None:  # in two halves, as a product of 64 bits may not overflow
+        i = pow(c, -1, 1 << 32)
+        steps.append(lambda x: low(x.bitwiseAND(F.lit(0xFFFF)) * F.lit(i) + F.shiftleft((F.shiftright(x, 16) * F.lit(i)).bitwiseAND(F.lit(0xFFFF)), 16)))
+
+    def undo_turn(n: int) -> None:
+        steps.append(lambda x: low(F.shiftright(x, n).bitwiseOR(F.shiftleft(x, 32 - n))))
+
+    undo_xor(16)
+    undo_times(0xC2B2AE35)
+    undo_xor(13, 26)
+    undo_times(0x85EBCA6B)
+    undo_xor(16)
+    steps.append(lambda x: low(x.bitwiseXOR(F.lit(4)) - F.lit(0xE6546B64)))
+    undo_times(5)
+    undo_turn(13)
+    steps.append(lambda x: x.bitwiseXOR(F.lit(42)))
+    undo_times(0x1B873593)
+    undo_turn(15)
+    undo_times(0xCC9E2D51)
+    x = reduce(let, steps, number.cast("long"))
+    return let(x, lambda v: F.when(v >= F.lit(1 << 31), v - F.lit(1 << 32)).otherwise(v).cast("int"))
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 

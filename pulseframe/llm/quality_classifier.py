@@ -61,7 +61,7 @@ def features(w: Words, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
 def long_features(text: bytes) -> Iterator[np.ndarray]:
     """The features of one text of any length, part by part; a part repeats the last two words of the one before."""
     tail, known = b"", 0
-    for p in split_long(text, arrays.PIECE):
+    for p in split_long(text):
         raw = tail + p
         w = words([raw])
         yield features(w, known)[0]
@@ -99,7 +99,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 4, alpha: float = 0.3, beta:
 
 def score_texts(texts: list[bytes], weights: np.ndarray, intercept: float) -> np.ndarray:
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
-    for at, group in pieces(texts, arrays.PIECE):
+    for at, group in pieces(texts):
         if len(group[0]) <= arrays.PIECE:
             index, part = features(words(group))
             doc = np.array(at)[part] if len(part) else part

@@ -176,7 +176,7 @@ def score_texts(m: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         np.maximum.at(best, doc, got)
         np.add.at(count, doc, 1)
 
-    for at, group in pieces(texts, arrays.PIECE):
+    for at, group in pieces(texts):
         if len(group[0]) <= arrays.PIECE:
             got, doc = window_scores(m, words(group, lower=True))
             take(np.array(at)[doc], got)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm import decontamination, line_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from pulseframe.llm.arrays import encode, windowed_parts, words
-from pulseframe.llm.common import components
+from pulseframe.llm.common import components, evenly
 from pulseframe.llm.queries import ORACLE_SQL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, chunk string, key string, score string"
@@ -129,7 +129,7 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.materialise(empty).count() == 0
 
 
-def test_suffix_dedup(docs, rows, empty):
+def plain_suffix_dedup(rows):
     first, want = {}, collections.Counter()
     for i, text, *_ in sorted(rows, key=lambda r: own_id(r[0])):
         b = encode(text)
@@ -143,10 +143,42 @@ def test_suffix_dedup(docs, rows, empty):
                 gone[k : k + 50] = b"\1" * 50
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         want[i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
-    assert bag(suffix_dedup.dedup_suffixes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    return want
+
+
+def test_suffix_dedup(docs, rows, empty):
+    assert bag(suffix_dedup.dedup_suffixes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_suffix_dedup(rows)
     assert suffix_dedup.dedup_suffixes(empty).count() == 0
 
 
+def crowded_rows():
+    """One phrase in many surroundings, some of them shared on one side or both, and one text with a third of the rows."""
+    r = random.Random(17)
+    some = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    phrase, left, right = "all rights are reserved by us.", [some(60) for _ in range(40)], [some(60) for _ in range(40)]
+    texts = [some(r.randint(0, 30)) + r.choice(left)[-r.randint(5, 60) :] + phrase + r.choice(right)[: r.randint(5, 60)] + some(9) for _ in range(250)]
+    texts += ["\0" * 90 + phrase + "\0" * 90, phrase + "\0" * 51, "\0" * 52 + phrase] + [some(70)] * 120
+    return [(None if k % 7 == 0 else k // 2, t) for k, t in enumerate(texts)]
+
+
+def test_suffix_dedup_of_crowded_strings(spark, monkeypatch):
+    """Small chunks, several of them in a bucket, many parts, texts longer than a piece, and k-grams over a part's share."""
+    for module, name, value in (("chunks", "CHUNK_BYTES", 3000), ("chunks", "MOST_BUCKETS", 4), ("suffix_dedup", "PIECE", 64), ("suffix_dedup", "MERGE_BYTES", 400), ("suffix_dedup", "MOST_RANGES", 40)):
+        monkeypatch.setattr(f"pulseframe.llm.{module}.{name}", value)
+    learned, learn = [], suffix_dedup._learn_order
+    monkeypatch.setattr(suffix_dedup, "_learn_order", lambda *x: learned.append(learn(*x)) or learned[-1])
+    given = crowded_rows()
+    out = suffix_dedup.dedup_suffixes(spark.createDataFrame(given, "doc_id long, text string"))
+    assert bag(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_suffix_dedup(given)
+    assert len(learned[0].heavy) and len(learned[0].light) and learned[0].each > 1 and len(learned[0].strings)
+
+
+def test_evenly_dealt(spark):
+    d = spark.range(5000).withColumn("n", F.col("id") * 429_496)
+    assert d.where(F.hash(evenly(F.col("n"))) != F.col("n")).count() == 0
+    assert sorted(r.n for r in d.limit(60).repartition(6, evenly(F.col("id"))).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) == [10] * 6
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6), max_size=12), min_size=1, max_size=9))
 def test_loser_tree(lists):
@@ -172,6 +204,39 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_dedup_compares_the_words_themselves(spark):
+    """Words on which sums modulo 2**64 collide: a long word of two letters and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    shared = " ".join(f"w{k}" for k in range(19))
+    out = substring_dedup.dedup_substrings(spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {two}"), (3, f"{shared}  {two}\n")], "doc_id long, text string"))
+    assert bag(out, "doc_id", "n_words", "n_removed") == collections.Counter([(1, 20, 0), (2, 20, 0), (3, 20, 20)])
+
+
+def test_substring_dedup_in_small_chunks(spark, monkeypatch):
+    """Many chunks in few buckets, many parts, texts longer than a piece, and rows that share a doc_id or have none."""
+    for module, name, value in (("chunks", "CHUNK_BYTES", 3000), ("chunks", "MOST_BUCKETS", 3), ("substring_dedup", "DECIDE_BYTES", 900), ("substring_dedup", "PART_BYTES", 900), ("arrays", "PIECE", 128)):
+        monkeypatch.setattr(f"pulseframe.llm.{module}.{name}", value)
+    r = random.Random(31)
+    prose = lambda n: " ".join(r.choice(["aa", "b", "cde", "fgh", "ij"]) + str(r.randrange(40)) for _ in range(n))
+    shared = [prose(45) for _ in range(4)]
+    given = [(k, f"{prose(r.randrange(40))} {r.choice(shared)[r.randrange(60):]} {prose(9)}\n{r.choice(shared)}") for k in range(120)] + [(200 + k, shared[0]) for k in range(60)]
+    seen, want = set(), collections.Counter()
+    for i, text in given:
+        w = text.split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            if g in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(g)
+        want[i, len(w), sum(gone)] += 1
+    assert bag(substring_dedup.dedup_substrings(spark.createDataFrame(given, "doc_id long, text string").repartition(5)), "doc_id", "n_words", "n_removed") == want
+    tied = spark.createDataFrame([(None, t) for _, t in given[:60]] + [(1, f"{shared[1]} x")], "doc_id long, text string")
+    out = {r.doc_id: r for r in substring_dedup.dedup_substrings(tied).collect()}
+    assert out[1].n_removed == 45  # the null ids come before it
+
+
 def plain_fingerprint(text):
     w = (text or "").translate(LOW).encode().split()
     grams = [b" ".join(w[k : k + 4]) for k in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
