@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_path, evenly, id_of, partitions, scratch_path, text_of
+from .common import NO_ID, cut, drop_path, evenly, id_of, partitions, scratch_path, text_of
 
 CHUNK_BYTES = 8 << 20
 #: Bytes of text whose questions meet in a part, where these are a hash for each window.
@@ -63,7 +63,7 @@ class Chunks:
 
     def __init__(self, docs: DataFrame, chunk_bytes: int | None = None) -> None:
         self.spark = docs.sparkSession
-        rows = docs.select("doc_id", id_of().alias("_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("_h"))
+        rows = docs.select(id_of().alias("_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("_h"))
         count, self.bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
         chunk_bytes = (chunk_bytes or CHUNK_BYTES) * min(8, max(1, self.bytes >> 40))  # up to eight times as large from 8 TiB on, so that questions stay large
         wanted = max(partitions(self.spark), -(-self.bytes // chunk_bytes))
@@ -145,6 +145,11 @@ def _empty(schema: str) -> pd.DataFrame:
     return pd.DataFrame(columns=[c.split()[0] for c in schema.split(",")])
 
 
+def names_of(ids: np.ndarray) -> list[int | None]:
+    """doc_ids of the inner ids, as objects, so that a null beside them does not make floats of them."""
+    return [None if i == NO_ID else i for i in ids.tolist()]
+
+
 def _by_step(got: pd.DataFrame) -> dict[int, list[bytes]]:
     """The answers of each step, by part."""
     return {int(s): g.sort_values("part")["blob"].to_list() for s, g in got.groupby("step")}

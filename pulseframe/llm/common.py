@@ -37,6 +37,11 @@ def id_of(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name), F.lit(NO_ID))
 
 
+def name_of(inner: str = "_id") -> Column:
+    """The doc_id of an inner id."""
+    return F.when(F.col(inner) != NO_ID, F.col(inner))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .arrays import Words, encode, pieces, windowed_parts, word_hashes, words
-from .common import id_of, text_of
+from .common import id_of, name_of, text_of
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -250,7 +250,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that leak no item.  A row is known by doc_id and text, so others with its doc_id stay."""
-    leaks = decontaminate(docs.withColumn("doc_id", id_of()), items, with_hash=True).select(F.col("doc_id").alias("__leak"), F.col("text_hash").alias("__hash")).distinct()
+    leaks = decontaminate(docs, items, with_hash=True).select(id_of().alias("__leak"), F.col("text_hash").alias("__hash")).distinct()
     return docs.join(leaks, (id_of() == F.col("__leak")) & (F.xxhash64(text_of()) == F.col("__hash")), "left_anti")
 
 
@@ -275,8 +275,8 @@ def _against(docs: DataFrame, part: list[tuple], df: dict[int, int], n_items: in
                         if item not in best or best[item][0] < rest[0]:
                             best[item] = (*rest[:3], rest[3] + done)
                 rows += [(*ids[numbers[0]], item, *rest) for item, rest in best.items()]
-            yield pd.DataFrame(rows, columns=[*own, "item_id", "score", "question_overlap", "answer_overlap", "first_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[*own, "item_id", "score", "question_overlap", "answer_overlap", "first_word"]).astype({"item_id": "Int64"})
 
-    if with_hash:
-        return docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), "text").mapInPandas(run, RESULT.replace("doc_id long", "doc_id long, text_hash long"))
-    return docs.select("doc_id", "text").mapInPandas(run, RESULT)
+    rows = docs.select(id_of().alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), "text").select(*own, "text")
+    found = rows.mapInPandas(run, RESULT.replace("doc_id long", "doc_id long, text_hash long") if with_hash else RESULT)
+    return found.withColumn("doc_id", name_of("doc_id"))

@@ -116,9 +116,9 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max
     """doc_id, held_out, score and predicted for every document."""
     weights, intercept = fit_in_task(sample(docs, labels, "quality", MODULUS, REST, per_class, max_bytes), fit)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": score_texts([encode(t) for t in b["text"]], weights, intercept)})
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(score_texts([encode(t) for t in texts], weights, intercept))
 
-    scored = docs.select("doc_id", held_out(MODULUS, REST).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
+    scored = docs.select("doc_id", held_out(MODULUS, REST).alias("held_out"), run(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, cut, id_of, partitions, text_of
+from .common import components, cut, id_of, name_of, partitions, text_of
 
 SEED = 42
 #: Variants that a task sorts at a time.
@@ -52,13 +52,13 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, _id, hash (of the text) and fp (the fingerprint as a signed long) of every document."""
+    """_id, hash (of the text) and fp (the fingerprint as a signed long) of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "_id": b["_id"], "hash": b["hash"], "fp": np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"_id": b["_id"], "hash": b["hash"], "fp": np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64)})
 
-    return docs.select("doc_id", id_of().alias("_id"), F.xxhash64(text_of()).alias("hash"), "text").mapInPandas(run, "doc_id long, _id long, hash long, fp long")
+    return docs.select(id_of().alias("_id"), F.xxhash64(text_of()).alias("hash"), "text").mapInPandas(run, "_id long, hash long, fp long")
 
 
 def _masks(bits: int, most: int) -> list[np.ndarray]:
@@ -170,7 +170,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def _groups(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, _id, hash, fp of every document; and fp, _first (its smallest _id), _group (the smallest fp reachable) of every fingerprint."""
+    """_id, hash, fp of every document; and fp, _first (its smallest _id), _group (the smallest fp reachable) of every fingerprint."""
     if radius % 2:
         raise ValueError("the radius must be even")
     each = cut(fingerprints(docs, width))
@@ -180,7 +180,7 @@ def _groups(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFr
 
 
 def _grouped(docs: DataFrame, width: int, radius: int) -> DataFrame:
-    """doc_id, _id, hash, fp and _component (the smallest _id reachable) of every document."""
+    """_id, hash, fp and _component (the smallest _id reachable) of every document."""
     each, named = _groups(docs, width, radius)
     smallest = named.groupBy("_group").agg(F.min("_first").alias("_component"))
     return each.join(cut(named.join(smallest, "_group").select("fp", "_component")), "fp")
@@ -188,8 +188,7 @@ def _grouped(docs: DataFrame, width: int, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint and component_id (the smallest doc_id reachable) of every document."""
-    component = F.when(F.col("_component") == NO_ID, F.lit(None)).otherwise(F.col("_component"))
-    return _grouped(docs, width, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
+    return _grouped(docs, width, radius).select(name_of().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), name_of("_component").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .arrays import encode, mixed, split_long, words
-from .chunks import PART_BYTES, Chunks, ask_parts, bits_of, pack, pack_bits, parts_of, repeated, short_bits, unpack
+from .chunks import PART_BYTES, Chunks, ask_parts, bits_of, names_of, pack, pack_bits, parts_of, repeated, short_bits, unpack
 
 WINDOW, BASE = 20, 5
 #: Bytes of text whose windows meet in a part at the deciding level.
@@ -51,7 +51,7 @@ class _Chunk:
 
     def __init__(self, docs: pd.DataFrame) -> None:
         docs = docs.assign(_t=[encode(t) for t in docs["text"]]).sort_values(["_id", "_h"], kind="stable")
-        self.ids, self.texts = docs["doc_id"].to_list(), docs["_t"].to_list()
+        self.ids, self.texts = names_of(docs["_id"].to_numpy(np.int64)), docs["_t"].to_list()
         self.first = int(docs["_id"].iloc[0]), int(docs["_h"].iloc[0])
         hashes, self.counts = [], []
         for t in self.texts:
@@ -162,7 +162,7 @@ def _dedup(chunks: Chunks, window: int, lengths: list[int]) -> DataFrame:
             kept = [w for w, x in zip(text.split(), mask.tolist(), strict=True) if not x] if mask.any() else text.split()
             rows.append((doc_id, n, int(mask.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
             begin += n
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"], dtype=object)
 
     return chunks.finish(result, SCHEMA)
 

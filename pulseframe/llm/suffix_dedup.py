@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from .arrays import encode, gram_hash, pieces, prefix_hash
-from .chunks import PART_BYTES, Chunks, ask_parts, bits_of, pack, repeated, short_bits, unpack
+from .chunks import PART_BYTES, Chunks, ask_parts, bits_of, names_of, pack, repeated, short_bits, unpack
 
 LENGTH = 50
 #: Bytes of text that arrays are made of at a time.
@@ -183,7 +183,7 @@ def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
 
 class _Chunk:
     def __init__(self, docs: pd.DataFrame, length: int, k: int) -> None:
-        self.ids, self.names = docs["_id"].to_numpy(np.int64), docs["doc_id"].to_list()
+        self.ids = docs["_id"].to_numpy(np.int64)
         self.texts = [encode(t) for t in docs["text"]]
         size = np.array([len(t) for t in self.texts], np.int64)
         self.begin = np.cumsum(size) - size
@@ -374,7 +374,7 @@ def _dedup(chunks: Chunks, length: int) -> DataFrame:
             for t, own in zip(*_split(texts, starts), strict=True):
                 gone[t] = own
         out = []
-        for doc_id, text, starts in zip(c.names, c.texts, gone, strict=True):
+        for doc_id, text, starts in zip(names_of(c.ids), c.texts, gone, strict=True):
             n, spans, kept = 0, 0, text
             if len(starts):
                 edge = np.zeros(len(text) + 1, np.int32)
@@ -384,7 +384,7 @@ def _dedup(chunks: Chunks, length: int) -> DataFrame:
                 n, spans = int(covered.sum()), int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
                 kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
             out.append((doc_id, len(text), n, spans, hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], dtype=object)
 
     return chunks.finish(result, SCHEMA)
 

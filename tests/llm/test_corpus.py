@@ -729,5 +729,17 @@ def test_pipeline_drops_only_leaking_rows(spark, tmp_path):
     assert bag(corpus_pipeline.without_benchmark(spark, d, str(tmp_path)), "doc_id", "text") == collections.Counter(clean)
 
 
+def test_large_doc_ids_beside_null_ones(spark):
+    """A null doc_id in a batch does not round the others."""
+    big = [2**60 + k for k in range(1, 4)] + [None, 5]
+    d = spark.createDataFrame([(i, f"one two three {i} words " * 9) for i in big], "doc_id long, text string").coalesce(1)
+    lab = spark.createDataFrame([(5, 1, 1)], "doc_id long, quality int, toxic int")
+    want = collections.Counter((i,) for i in big)
+    item = spark.createDataFrame([(2**60 + 1, "one two three 5 words one two three 5 words")], "item_id long, text string")
+    for out in (toxicity.score(d, lab), quality_rules.quality_rules(d, lab), mixing.mix(d.withColumn("source", F.lit("s"))), suffix_dedup.dedup_suffixes(d), substring_dedup.dedup_substrings(d), simhash.near_duplicates(d), sharding.shard_documents(d), quality_classifier.classify(d, lab), line_dedup.dedup_lines(d)):
+        assert bag(out, "doc_id") == want
+    assert bag(decontamination.decontaminate(d.where("doc_id = 5 or doc_id is null"), item), "doc_id", "item_id") == collections.Counter([(5, 2**60 + 1)])
+
+
 def test_sql_is_there():
     assert {"op3_mixing", "op6_substring_dedup", "op10_line_dedup"} <= set(ORACLE_SQL)
