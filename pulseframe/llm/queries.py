@@ -85,6 +85,24 @@ e AS (
 r AS (SELECT *, greatest(0, least(size, rest - start)) AS part FROM e)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + part AS BIGINT) AS taken,
   CAST(epochs + CASE WHEN part * 2 >= size AND part > 0 THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (
+  SELECT doc_id, i, md5_number(array_slice(b, i, i + 49)) AS gram
+  FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) < doc_id AS again FROM g),
+e AS (SELECT doc_id, b, unnest(range(1, octet_length(b) + 1)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM f WHERE again)),
+m AS (
+  SELECT e.doc_id, e.i, array_slice(b, e.i, e.i) AS x, coalesce(max(CAST(again AS INT)) OVER (
+    PARTITION BY e.doc_id ORDER BY e.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM e LEFT JOIN f ON e.doc_id = f.doc_id AND e.i = f.i),
+s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM m),
+r AS (
+  SELECT doc_id, sum(gone) AS n_removed, sum(CAST(opens AS INT)) AS n_spans,
+    sha256(unhex(coalesce(string_agg(CASE WHEN gone = 0 THEN hex(x) END, '' ORDER BY i), ''))) AS kept_sha256 FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(kept_sha256, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id""",
     "op6_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),

@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pulseframe.llm import decontamination, line_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from pulseframe.llm.arrays import encode, windowed_parts, words
 from pulseframe.llm.common import components, evenly
-from pulseframe.llm.queries import ORACLE_SQL
+from pulseframe.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, chunk string, key string, score string"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -741,5 +742,11 @@ def test_large_doc_ids_beside_null_ones(spark):
     assert bag(decontamination.decontaminate(d.where("doc_id = 5 or doc_id is null"), item), "doc_id", "item_id") == collections.Counter([(5, 2**60 + 1)])
 
 
-def test_sql_is_there():
-    assert {"op3_mixing", "op6_substring_dedup", "op10_line_dedup"} <= set(ORACLE_SQL)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_against_sql(spark, name):
+    sf, duck = "/root/testdata/sf0.001", duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = duck.execute(ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, sf).toPandas()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    assert (got.sort_values("doc_id")[sorted(got.columns)].to_numpy() == want.sort_values("doc_id")[sorted(got.columns)].to_numpy()).all()
