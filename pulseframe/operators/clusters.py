@@ -63,7 +63,7 @@ def percentile_theta(df: DataFrame, key: list[str], t: str, tie: str, p: float,
 
 def score_aware(df: DataFrame, key: list[str], t: str, score: str, tie: str, theta: int) -> DataFrame:
     """Clusters grown in the order of falling scores: a row joins the current cluster if any member is within theta,
-    else it begins a new one.  Sequential in a series; members are kept as sorted times.
+    else it begins a new one; equal scores in the order of time.  Sequential in a series; members are kept as sorted times.
     """
     columns = [*key, tie, t, score]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema), "cluster long"])
@@ -86,7 +86,7 @@ def score_aware(df: DataFrame, key: list[str], t: str, score: str, tie: str, the
                 out.append(number)
             yield b.assign(cluster=out)
 
-    dealt = df.select(*columns).repartition(*key).sortWithinPartitions(*key, F.desc(score), tie)
+    dealt = df.select(*columns).repartition(*key).sortWithinPartitions(*key, F.desc(score), t, tie)
     return dealt.mapInPandas(run, schema)
 
 

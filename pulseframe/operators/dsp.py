@@ -55,20 +55,35 @@ def _sections(poles: np.ndarray, order: int, fs: float, centre: float) -> np.nda
     return np.array(out)
 
 
-def run_sections(sos: np.ndarray, x: np.ndarray, start: bool = True) -> np.ndarray:
-    """The filter's output, from the state of a constant input of the first value if start."""
+def run_sections(sos: np.ndarray, x: np.ndarray, start: bool = True, block: int = 64) -> np.ndarray:
+    """The filter's output, from the state of a constant input of the first value if start.
+
+    A section is a system with two states.  In a block the output is a triangular product with its impulse response,
+    and only the states are carried from block to block one after the other.
+    """
     y = np.asarray(x, float)
     level = y[0] if start and len(y) else 0.0
     for b0, b1, b2, _, a1, a2 in sos:
+        step, gain = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        powers = [np.eye(2)]
+        for _ in range(block):
+            powers.append(step @ powers[-1])
+        free = np.array([p[0] for p in powers[:block]])  # output of a state alone
+        response = np.concatenate(([b0], free[:-1] @ gain))
+        lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+        forced = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+        into = np.array([powers[block - 1 - k] @ gain for k in range(block)])  # what each input leaves in the state
         dc = (b0 + b1 + b2) / (1 + a1 + a2)
         s2 = (b2 - a2 * dc) * level
-        s1 = (b1 - a1 * dc) * level + s2
-        out = np.empty_like(y)
-        for i, v in enumerate(y.tolist()):
-            o = b0 * v + s1
-            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
-            out[i] = o
-        y, level = out, level * dc
+        state = np.array([(b1 - a1 * dc) * level + s2, s2])
+        n = -(-len(y) // block)
+        rows = np.zeros((n, block))
+        rows.ravel()[: len(y)] = y
+        left, states = rows @ into, np.empty((n, 2))
+        for k in range(n):
+            states[k] = state
+            state = powers[block] @ state + left[k]
+        y, level = (rows @ forced.T + states @ free.T).ravel()[: len(y)], level * dc
     return y
 
 

@@ -31,18 +31,21 @@ def first_match(points: DataFrame, intervals: DataFrame, key: list[str], t: str,
     return joined.groupBy(*key, point, t).agg(F.min(interval).alias(interval))
 
 
-def overlaps(a: DataFrame, b: DataFrame, key: list[str], least: float | None = None) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, key: list[str], width: int, least: float | None = None) -> DataFrame:
     """Pairs of intervals (start, end) of the same key with a positive overlap, or one of at least a share of the shorter.
 
-    The columns of b get the suffix _b.
+    The columns of b get the suffix _b.  Both sides stand in each bucket of the given width that they touch, so the join is
+    an equi join on (key, bucket) and a long series is spread over its buckets; a pair counts in the bucket where its
+    overlap begins, so it is found once.
     """
-    r = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
-    on = (F.col("start") < F.col("end_b")) & (F.col("start_b") < F.col("end"))
+    touched = F.explode(F.sequence(F.floor(F.col("start") / width).cast("long"), F.floor(F.col("end") / width).cast("long")))
+    r = b.withColumn("_at", touched).select(*[F.col(c).alias(f"{c}_b") for c in [*b.columns, "_at"]])
+    begins = F.greatest("start", "start_b")
+    on = (F.col("_at") == F.col("_at_b")) & (F.col("start") < F.col("end_b")) & (F.col("start_b") < F.col("end")) & (F.col("_at") == F.floor(begins / width))
     for c in key:
         on = on & (F.col(c) == F.col(f"{c}_b"))
-    j = a.join(r, on)
-    common = F.least("end", "end_b") - F.greatest("start", "start_b")
-    j = j.withColumn("overlap", common.cast("double") / F.least(F.col("end") - F.col("start"), F.col("end_b") - F.col("start_b")))
+    j = a.withColumn("_at", touched).join(r, on).drop("_at", "_at_b")
+    j = j.withColumn("overlap", (F.least("end", "end_b") - begins).cast("double") / F.least(F.col("end") - F.col("start"), F.col("end_b") - F.col("start_b")))
     return j if least is None else j.where(F.col("overlap") >= least)
 
 

@@ -53,11 +53,11 @@ def responder_summary(counts: DataFrame, subject: str, rule: str = "two_thirds")
     return g.withColumn("share", F.col("subjects") / F.sum("subjects").over(Window.partitionBy(F.lit(1))))
 
 
-def mask_events(truth: DataFrame, predicted: DataFrame, key: list[str]) -> DataFrame:
-    """tp and fn over the true intervals, fp over the predicted ones, iou, a row for each series in either."""
+def mask_events(truth: DataFrame, predicted: DataFrame, key: list[str], width: int = 12 * 3600 * 1_000_000) -> DataFrame:
+    """tp and fn over the true intervals, fp over the predicted ones, iou, a row for each series in either; width: of the join's buckets."""
     number = lambda d: d.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy("start", "end")))
     t, p = number(truth), number(predicted)
-    pairs = overlaps(t, p, key)
+    pairs = overlaps(t, p, key, width)
     hits = pairs.groupBy(*key).agg(F.countDistinct("_i").alias("tp"), F.countDistinct("_i_b").alias("p_hit"))
     n = t.groupBy(*key).agg(F.count("*").alias("n")).join(p.groupBy(*key).agg(F.count("*").alias("m")), key, "full_outer").join(hits, key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -65,10 +65,37 @@ def mask_events(truth: DataFrame, predicted: DataFrame, key: list[str]) -> DataF
     return d.withColumn("iou", ratio(F.col("tp"), F.col("tp") + F.col("fn") + F.col("fp")))
 
 
+def percentiles(df: DataFrame, value: str, shares: list[float], buckets: int = 256) -> DataFrame:
+    """(share, percentile): exact percentiles with linear interpolation of a whole column, without one task that holds it.
+
+    Values are counted before they move, dealt over ranges that approximate percentiles bound, and numbered in each range;
+    only the rows with a wanted rank go on.  Nulls do not count; without values there is no row.
+    """
+    d = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    bounds = sorted(set(d.agg(F.percentile_approx("v", [k / buckets for k in range(1, buckets)], 10000)).first()[0] or []))  # at most buckets - 1
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b < F.col("v")))
+    d = d.groupBy("v").agg(F.count("*").alias("c")).withColumn("b", bucket)
+    every = Window.partitionBy(F.lit(1))  # over one row a bucket
+    sizes = d.groupBy("b").agg(F.sum("c").alias("s")).withColumn("n", F.sum("s").over(every)).withColumn("before", F.sum("s").over(every.orderBy("b")) - F.col("s"))
+    upto = F.sum("c").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("upto", upto).join(F.broadcast(sizes.select("b", "n", "before")), "b").withColumn("high", F.col("before") + F.col("upto"))
+    wanted = F.array(*[F.lit(x) for x in shares]).cast("array<double>")
+    at = lambda rank: (rank >= F.col("high") - F.col("c")) & (rank < F.col("high"))
+    found = d.select("v", "n", F.explode(F.filter(wanted, lambda x: at(F.floor(x * (F.col("n") - 1))) | at(F.ceil(x * (F.col("n") - 1))))).alias("share"))
+    part = F.col("share") * (F.first("n") - 1) - F.floor(F.col("share") * (F.first("n") - 1))
+    return found.groupBy("share").agg((F.min("v") + (F.max("v") - F.min("v")) * part).alias("percentile"))
+
+
 def threshold_grid(scores: DataFrame, score: str, n: int = 100, most: float = 99.9) -> DataFrame:
     """Distinct percentiles (linear) of the scores at n evenly spaced shares from 0 to most percent."""
-    shares = [most * k / (n - 1) / 100.0 for k in range(n)]
-    return scores.agg(F.percentile(score, F.array(*[F.lit(s) for s in shares])).alias("p")).select(F.explode("p").alias("threshold")).distinct()
+    return percentiles(scores, score, [most * k / (n - 1) / 100.0 for k in range(n)]).select(F.col("percentile").alias("threshold")).distinct()
+
+
+def score_threshold(scores: DataFrame, score: str, q: float) -> DataFrame:
+    """threshold: the percentile q of all scores, or q times the largest one where q is over 1."""
+    if q > 1:
+        return scores.agg((F.max(score) * q).alias("threshold"))
+    return percentiles(scores, score, [q]).select(F.col("percentile").alias("threshold"))
 
 
 def optimal_thresholds(curve: DataFrame) -> DataFrame:

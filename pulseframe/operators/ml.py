@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -30,21 +32,30 @@ def kmeans(df: DataFrame, columns: list[str], ks: range = range(2, 8), seed: int
         value = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out)
         if best is None or value > best[0]:
             best = (value, out)
+    v.unpersist()
     return best[1].drop("features")
 
 
-def dbscan_labels(x: np.ndarray, eps: float, least: int, block: int = 1024) -> np.ndarray:
-    """Density clusters of points: -1 for noise.  Distances are made for a block of points at a time."""
-    n = len(x)
-    near = [[]] * n
-    for a in range(0, n, block):
-        d = ((x[a : a + block, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-        for i, row in enumerate(d <= eps * eps):
-            near[a + i] = np.flatnonzero(row)
+def dbscan_labels(x: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Density clusters of points: -1 for noise.  Neighbours are looked for in the grid cells around a point when it is reached."""
+    n, dims = x.shape
+    cell = np.floor(x / eps).astype(np.int64)
+    members: dict[tuple, list[int]] = {}
+    for i, c in enumerate(map(tuple, cell.tolist())):
+        members.setdefault(c, []).append(i)
+    around = list(product((-1, 0, 1), repeat=dims))
+
+    def near(i: int) -> np.ndarray:
+        own = cell[i].tolist()
+        some = np.array([j for step in around for j in members.get(tuple(a + b for a, b in zip(own, step, strict=True)), ())])
+        return np.sort(some[((x[some] - x[i]) ** 2).sum(axis=1) <= eps * eps])
+
     label, cluster = np.full(n, -1), -1
     seen = np.zeros(n, bool)
     for i in range(n):
-        if seen[i] or len(near[i]) < least:
+        if seen[i]:
+            continue
+        if len(near(i)) < least:
             continue
         cluster += 1
         stack = [i]
@@ -52,14 +63,15 @@ def dbscan_labels(x: np.ndarray, eps: float, least: int, block: int = 1024) -> n
         while stack:
             p = stack.pop()
             label[p] = cluster
-            if len(near[p]) < least:
+            around_p = near(p)
+            if len(around_p) < least:
                 continue
-            for q in near[p]:
+            for q in around_p.tolist():
                 if label[q] == -1:
                     label[q] = cluster
                 if not seen[q]:
                     seen[q] = True
-                    stack.append(int(q))
+                    stack.append(q)
     return label
 
 
@@ -84,9 +96,9 @@ def centred_windows(df: DataFrame, key: list[str], position: str, value: str, la
 
 
 def forest(df: DataFrame, features: str, label: str, trees: int = 20, depth: int = 6, train: float = 0.7, seed: int = 42) -> tuple[RandomForestClassificationModel, DataFrame]:
-    """A forest with balanced classes, fitted to a share of each class, and the other rows with probability and prediction."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(features, F.lit(seed)))
-    d = df.withColumn("_v", array_to_vector(F.col(features))).withColumn("_part", F.percent_rank().over(order))
+    """A forest with balanced classes, fitted to a share of the rows by hash, and the other rows with probability and prediction."""
+    place = F.pmod(F.xxhash64(features, label, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    d = df.withColumn("_v", array_to_vector(F.col(features))).withColumn("_part", place)
     n = d.count()
     counts = {r[label]: r["count"] for r in d.groupBy(label).count().collect()}  # one row a class
     weight = F.lit(1.0)
@@ -105,32 +117,80 @@ def average_ranks(df: DataFrame, dataset: str, method: str, value: str) -> DataF
     return d.groupBy(method).agg(F.avg(F.col("_r") + (F.col("_c") - 1) / 2).alias("mean_rank"), F.count("*").alias("datasets"))
 
 
-def friedman(df: DataFrame, dataset: str, method: str, value: str) -> DataFrame:
-    """The Friedman statistic of the methods' mean ranks."""
-    r = average_ranks(df, dataset, method, value)
-    g = r.agg(F.count("*").alias("k"), F.max("datasets").alias("n"), F.sum(F.col("mean_rank") * F.col("mean_rank")).alias("s"))
-    return g.select("k", "n", (12 * F.col("n") / (F.col("k") * (F.col("k") + 1)) * (F.col("s") - F.col("k") * F.pow(F.col("k") + 1, 2) / 4)).alias("chi2"))
+def _chi2_tail(x: float, dof: int) -> float:
+    """Upper tail of the chi-squared distribution, by the series or the continued fraction of the incomplete gamma function."""
+    if x <= 0:
+        return 1.0
+    a, y = dof / 2, x / 2
+    scale = math.exp(-y + a * math.log(y) - math.lgamma(a))
+    if y < a + 1:
+        term = total = 1 / a
+        for k in range(1, 1000):
+            term *= y / (a + k)
+            total += term
+            if term < total * 1e-15:
+                break
+        return 1 - total * scale
+    b, c = y + 1 - a, 1e300
+    d = 1 / b
+    out = d
+    for k in range(1, 1000):
+        b += 2
+        d = 1 / (-k * (k - a) * d + b)
+        c = b - k * (k - a) / c
+        out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return out * scale
+
+
+def friedman(df: DataFrame, dataset: str, method: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """k, n, chi2 (corrected for ties), p, and whether the methods differ at alpha; methods with fewer datasets than others are left out."""
+    counts = df.groupBy(method).agg(F.count("*").alias("_n"))
+    most = counts.withColumn("_most", F.max("_n").over(Window.partitionBy(F.lit(1)))).where("_n = _most").select(method)  # a row a method
+    d = df.join(most, method)
+    w = Window.partitionBy(dataset)
+    d = d.withColumn("_r", F.rank().over(w.orderBy(F.desc(value)))).withColumn("_c", F.count("*").over(Window.partitionBy(dataset, value)))
+    g = d.groupBy(method).agg(F.sum(F.col("_r") + (F.col("_c") - 1) / 2).alias("_s"), F.count("*").alias("n"), F.sum(F.pow("_c", F.lit(2)) - 1).alias("_t"))
+    g = g.agg(F.count("*").alias("k"), F.max("n").alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.sum("_t").alias("_t"))
+    plain = 12 * F.col("_ss") / (F.col("n") * F.col("k") * (F.col("k") + 1)) - 3 * F.col("n") * (F.col("k") + 1)
+    g = g.select("k", "n", (plain / (1 - F.col("_t") / (F.col("n") * F.col("k") * (F.pow("k", F.lit(2)) - 1)))).alias("chi2"))
+
+    def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(p=[_chi2_tail(x, int(k) - 1) for x, k in zip(b["chi2"], b["k"], strict=True)])
+
+    return g.mapInPandas(tail, "k long, n long, chi2 double, p double").withColumn("differ", F.col("p") < alpha)
 
 
-def wilcoxon(df: DataFrame, dataset: str, method: str, value: str) -> DataFrame:
-    """Signed-rank statistics of all pairs of methods: w (the smaller sum), n, z, p (normal approximation) and p_holm."""
+def wilcoxon(df: DataFrame, dataset: str, method: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """Signed-rank statistics of all pairs of methods: w (the smaller sum), n, z, p, p_holm, and whether the pair differs.
+
+    Pairs that are equal are ranked with the others and then left out of the sums (n counts those that are left); z has
+    their and the ties' correction, p is by the normal approximation, and Holm's rule sets the level.
+    """
     a = df.select(F.col(dataset).alias("_d"), F.col(method).alias("a"), F.col(value).alias("_x"))
     b = df.select(F.col(dataset).alias("_e"), F.col(method).alias("b"), F.col(value).alias("_y"))
-    d = a.join(b, (F.col("_d") == F.col("_e")) & (F.col("a") < F.col("b"))).withColumn("_diff", F.col("_x") - F.col("_y")).where("_diff <> 0")
+    d = a.join(b, (F.col("_d") == F.col("_e")) & (F.col("a") < F.col("b"))).withColumn("_diff", F.col("_x") - F.col("_y"))
     w = Window.partitionBy("a", "b")
     d = d.withColumn("_abs", F.abs("_diff")).withColumn("_r", F.rank().over(w.orderBy("_abs"))).withColumn("_c", F.count("*").over(Window.partitionBy("a", "b", "_abs")))
     d = d.withColumn("_rank", F.col("_r") + (F.col("_c") - 1) / 2)
-    s = d.groupBy("a", "b").agg(F.sum(F.when(F.col("_diff") > 0, F.col("_rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("_diff") < 0, F.col("_rank")).otherwise(0.0)).alias("minus"), F.count("*").alias("n"))
-    s = s.withColumn("w", F.least("plus", "minus")).withColumn("z", (F.col("w") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24))
-    rows = s.select("a", "b", "w", "n", "z").orderBy("a", "b")
+    zero = F.col("_diff") == 0
+    s = d.groupBy("a", "b").agg(
+        F.sum(F.when(F.col("_diff") > 0, F.col("_rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("_diff") < 0, F.col("_rank")).otherwise(0.0)).alias("minus"),
+        F.count("*").alias("_n"), F.sum(zero.cast("long")).alias("_z"), F.sum(F.when(~zero, F.pow("_c", F.lit(2)) - 1).otherwise(0.0)).alias("_t"),
+    ).where("_n > _z")
+    cubic = lambda c: F.col(c) * (F.col(c) + 1) * (2 * F.col(c) + 1)
+    spread = F.sqrt((cubic("_n") - cubic("_z") - F.col("_t") / 2) / 24)
+    middle = (F.col("_n") * (F.col("_n") + 1) - F.col("_z") * (F.col("_z") + 1)) / 4
+    schema = "a string, b string, w double, n long, z double, p double, p_holm double"
+    rows = s.withColumn("w", F.least("plus", "minus")).select("a", "b", "w", (F.col("_n") - F.col("_z")).alias("n"), ((F.col("w") - middle) / spread).alias("z"))
 
     def holm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from math import erfc, sqrt
-
         p = pd.concat(list(batches))  # one row a pair of methods
-        p["p"] = [min(1.0, erfc(-z / sqrt(2))) for z in p["z"]]
+        p["p"] = [min(1.0, math.erfc(abs(z) / math.sqrt(2))) for z in p["z"]]
         p = p.sort_values(["p", "a", "b"])
         p["p_holm"] = np.minimum(1.0, np.maximum.accumulate(p["p"].to_numpy() * np.arange(len(p), 0, -1)))
         yield p
 
-    return rows.coalesce(1).mapInPandas(holm, rows.schema.add("p", "double").add("p_holm", "double"))
+    return rows.coalesce(1).mapInPandas(holm, schema).withColumn("differ", F.col("p_holm") <= alpha)

@@ -188,6 +188,24 @@ def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int,
     return _each(grid, key, "score double, pos long", run, ["m"])
 
 
+def best_so_far(discords: DataFrame, key: list[str], percentile: float) -> DataFrame:
+    """The best discords of each series, one a length, that reach a percentile (linear) of them, with rank by falling score."""
+    floor = discords.groupBy(*key).agg(F.percentile("score", percentile).alias("_floor"))  # a series has as many as lengths
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "m"))
+    return discords.join(floor, key).where("score >= _floor").withColumn("rank", rank).drop("_floor")
+
+
+def fit_problems(df: DataFrame, key: list[str], shortest: int, longest: int, split: int) -> DataFrame:
+    """(key, problem) for series that cannot be searched: short, split (nothing behind it), constant (for shortest values)."""
+    run = F.aggregate(
+        "values", F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).alias("n"), F.lit(0).alias("most")),
+        lambda a, x: F.struct(x.alias("v"), F.when(x == a["v"], a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["most"], F.when(x == a["v"], a["n"] + 1).otherwise(1)).alias("most")),
+    )["most"]
+    size = F.size("values")
+    found = F.array(F.when(size < longest, F.lit("short")), F.when(size <= split, F.lit("split")), F.when(run >= shortest, F.lit("constant")))
+    return df.select(*key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))
+
+
 def mass(df: DataFrame, key: list[str], start: int, m: int) -> DataFrame:
     """key, pos, dist: the distance profile of each series' own window at start."""
 

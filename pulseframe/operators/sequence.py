@@ -22,13 +22,13 @@ def difference(value: Column, w: WindowSpec) -> Column:
     return value - F.lag(value).over(w)
 
 
-def islands(df: DataFrame, key: list[str], order: list[str], flag: str, position: str) -> DataFrame:
-    """Maximal runs of rows where flag is true: key, island, first and last position, rows."""
+def islands(df: DataFrame, key: list[str], order: list[str], flag: str, position: str, **more: Column) -> DataFrame:
+    """Maximal runs of rows where flag is true: key, island, first and last position, rows, and more aggregates of a run's rows."""
     w = ordered(key, order)
     on = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
     d = df.withColumn("_on", on).withColumn("_new", (F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False))).cast("int"))
     d = d.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
-    return d.groupBy(*key, "island").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n"))
+    return d.groupBy(*key, "island").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n"), *[c.alias(name) for name, c in more.items()])
 
 
 def pad(flag: Column, w: WindowSpec, before: int, after: int) -> Column:

@@ -319,7 +319,7 @@ SELECT a.user_id, a.event_id, i.seizure, round(CAST(least(a."end", i."end") - gr
 FROM ai a JOIN tr i ON a.user_id = i.user_id AND a."start" < i."end" AND i."start" < a."end"
 WHERE CAST(least(a."end", i."end") - greatest(a."start", i."start") AS DOUBLE) / least(a."end" - a."start", i."end" - i."start") >= 0.1""")
 def overlap_ratio_match(spark: SparkSession, d: str) -> DataFrame:
-    j = intervals.overlaps(_alarm_intervals(spark, d), bridge.truth(spark, d), KEY, 0.1)
+    j = intervals.overlaps(_alarm_intervals(spark, d), bridge.truth(spark, d), KEY, 12 * HOUR, 0.1)
     return j.select("user_id", "event_id", F.col("seizure_b").alias("seizure"), F.round("overlap", 6).alias("overlap"))
 
 
@@ -383,7 +383,7 @@ j AS (SELECT coalesce(n.user_id, m.user_id) AS user_id, coalesce(n, 0) AS n, coa
 SELECT j.user_id, coalesce(tp, 0) AS tp, n - coalesce(tp, 0) AS fn, m - coalesce(hit, 0) AS fp, round(CAST(coalesce(tp, 0) AS DOUBLE) / nullif(n + m - coalesce(hit, 0), 0), 6) AS iou
 FROM j LEFT JOIN c ON j.user_id = c.user_id""")
 def cluster_iou(spark: SparkSession, d: str) -> DataFrame:
-    e = metrics.mask_events(bridge.truth(spark, d), _alarm_intervals(spark, d), KEY)
+    e = metrics.mask_events(bridge.truth(spark, d), _alarm_intervals(spark, d), KEY, 12 * HOUR)
     return e.withColumn("iou", F.round("iou", 6))
 
 

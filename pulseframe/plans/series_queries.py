@@ -72,7 +72,7 @@ def mask_events_eval(spark: SparkSession, d: str) -> DataFrame:
     """Runs of two masks against each other: labels, and scores strictly over a threshold."""
     s = _labelled(spark, d).withColumn("hit", F.col("value") > 90)
     span = lambda flag: sequence.islands(s, KEY, ORDER, flag, "idx").select("user_id", F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
-    return metrics.mask_events(span("label"), span("hit"), KEY).select("user_id", "tp", "fn", "fp")
+    return metrics.mask_events(span("label"), span("hit"), KEY, 64).select("user_id", "tp", "fn", "fp")
 
 
 @query(f"""WITH {_MASKS} SELECT p.user_id, p.first, p.last, p.best, CASE WHEN count(t.island) > 0 THEN 1 ELSE 0 END AS hit
@@ -80,9 +80,7 @@ FROM pl p LEFT JOIN il t ON t.user_id = p.user_id AND t.first <= p.last AND p.fi
 def mask_anomalies(spark: SparkSession, d: str) -> DataFrame:
     """Runs over the threshold with their largest score and whether they meet a labelled row."""
     s = _labelled(spark, d).withColumn("over", F.col("value") > 90)
-    i = sequence.islands(s, KEY, ORDER, "over", "idx").drop("n", "island")
-    j = s.join(i, KEY).where("idx between first and last")
-    return j.groupBy("user_id", "first", "last").agg(F.max("value").alias("best"), F.max("label").alias("hit"))
+    return sequence.islands(s, KEY, ORDER, "over", "idx", best=F.max("value"), hit=F.max("label")).drop("n", "island")
 
 
 _N = "ln AS (SELECT user_id, count(*) AS n FROM se GROUP BY user_id)"

@@ -79,15 +79,67 @@ def left_profile_pruned(spark: SparkSession, d: str) -> DataFrame:
     return profile.left_discords(_series(spark, d), ["user_id"], [M], SPLIT, pruned=True).select("user_id", F.round("score", 5).alias("score"))
 
 
-@query()
+_LENGTHS = [6, 8, 10, 12]
+
+
+def _lengths_sql(lengths: list[int], split: int, rows: str = "se", key: str = "user_id") -> str:
+    """ld: key, m, score, pos of the best left discord of each series (columns key, idx, value) and length."""
+    each = " UNION ALL ".join(
+        f"""SELECT {key}, pos, {m} AS m, w, list_avg(w) AS mu, list_stddev_pop(w) AS sd FROM (
+  SELECT {key}, idx AS pos, list(value) OVER (PARTITION BY {key} ORDER BY idx ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING) AS w FROM {rows}) WHERE len(w) = {m}""" for m in lengths
+    )
+    same = " AND ".join(f"a.{k} = b.{k}" for k in key.split(", "))
+    own = ", ".join(f"a.{k}" for k in key.split(", "))
+    whole = " AND ".join(f"g.{k} = p.{k}" for k in key.split(", "))
+    names = ", ".join(f"g.{k}" for k in key.split(", "))
+    return f"""lw AS ({each}),
+lp AS (
+  SELECT {own}, a.m, a.pos, min(sqrt(greatest(0, 2 * a.m * (1 - (list_dot_product(a.w, b.w) - a.m * a.mu * b.mu) / (a.m * a.sd * b.sd))))) AS dist
+  FROM lw a JOIN lw b ON {same} AND a.m = b.m AND b.pos <= a.pos - a.m WHERE a.pos > a.m AND a.pos >= {split} AND a.sd > 1e-5 AND b.sd > 1e-5 GROUP BY {own}, a.m, a.pos),
+lg AS (SELECT {key}, m, n FROM (SELECT {key}, count(*) AS n FROM {rows} GROUP BY {key}), (SELECT unnest({lengths}) AS m) WHERE n >= 2 * m),
+ld AS (
+  SELECT {names}, g.m, coalesce(max(dist), 0) / (2 * sqrt(g.m)) AS score, coalesce(arg_max(pos, dist), -1) AS pos FROM lg g LEFT JOIN lp p ON {whole} AND g.m = p.m GROUP BY {names}, g.m)"""
+
+
+@query(f"WITH {_lengths_sql(_LENGTHS, SPLIT)} SELECT user_id, CAST(m AS INTEGER) AS m, round(score, 5) AS score, CAST(pos AS BIGINT) AS pos FROM ld")
 def multi_length_discords(spark: SparkSession, d: str) -> DataFrame:
-    return profile.left_discords(_series(spark, d), ["user_id"], [6, 8, 10, 12], SPLIT).select("user_id", "m", F.round("score", 6).alias("score"), "pos")
-
-
-@query()
+    return profile.left_discords(_series(spark, d), ["user_id"], [6, 8, 10, 12], SPLIT).select("user_id", "m", F.round("score", 5).alias("score"), "pos")
+
+
+@query(f"""WITH {_lengths_sql(_LENGTHS, SPLIT)}, q AS (SELECT user_id, quantile_cont(score, CAST(0.95 AS DOUBLE)) AS lim FROM ld GROUP BY user_id)
+SELECT ld.user_id, CAST(m AS INTEGER) AS m, round(score, 5) AS score, CAST(pos AS BIGINT) AS pos, CAST(row_number() OVER (PARTITION BY ld.user_id ORDER BY score DESC, m) AS INTEGER) AS rank FROM ld JOIN q ON ld.user_id = q.user_id WHERE score >= lim""")
+def best_so_far_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    """Of each series' best discords, one a length, those from the 95th percentile up, by falling score."""
+    b = profile.left_discords(_series(spark, d), ["user_id"], _LENGTHS, SPLIT)
+    return profile.best_so_far(b, ["user_id"], 0.95).select("user_id", "m", F.round("score", 5).alias("score"), "pos", "rank")
+
+
+@query(f"""WITH p AS (SELECT user_id, count(*) AS n FROM se GROUP BY user_id),
+f0 AS (SELECT user_id, idx, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY idx) THEN 0 ELSE 1 END AS nw, event_type FROM se),
+f1 AS (SELECT user_id, sum(nw) OVER (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS g FROM f0),
+f2 AS (SELECT user_id, max(c) AS flat FROM (SELECT user_id, g, count(*) AS c FROM f1 GROUP BY ALL) GROUP BY user_id)
+SELECT p.user_id, x.problem FROM p JOIN f2 ON p.user_id = f2.user_id, LATERAL (SELECT unnest([CASE WHEN n < 60 THEN 'short' END, CASE WHEN n <= 55 THEN 'split' END, CASE WHEN flat >= 5 THEN 'constant' END]) AS problem) x WHERE x.problem IS NOT NULL""")
+def fit_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Why a series cannot be searched: fewer values than the longest length, none behind the split, a constant stretch."""
+    kind = F.transform(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), lambda x: x)
+    s = bridge.series(spark, d).withColumn("code", F.coalesce(F.nullif(F.array_position(kind, F.col("event_type")), F.lit(0)).cast("double"), F.lit(9.0)))
+    return profile.fit_problems(profile.gather(s, ["user_id"], ["idx"], "code"), ["user_id"], 5, 60, 55)
+
+
+@query(f"""WITH RECURSIVE {bridge.SQL}, {_WIN}, p AS (SELECT a.user_id, a.pos, min({_dist('a', 'b')}) AS dist FROM l1 a JOIN l1 b ON a.user_id = b.user_id AND b.pos <= a.pos - {M} WHERE a.pos > {M} AND a.pos >= {SPLIT} GROUP BY a.user_id, a.pos),
+c AS (SELECT p.* FROM p JOIN (SELECT user_id, quantile_cont(dist, CAST(0.95 AS DOUBLE)) AS lim FROM p GROUP BY user_id) q ON p.user_id = q.user_id WHERE dist >= lim),
+r AS (
+  SELECT user_id, CAST([] AS BIGINT[]) AS taken FROM c GROUP BY user_id
+  UNION ALL
+  SELECT user_id, list_append(taken, nxt) FROM (
+    SELECT r.user_id, r.taken, (SELECT arg_max(c.pos, struct_pack(a := c.dist, b := -c.pos)) FROM c WHERE c.user_id = r.user_id AND len(list_filter(r.taken, lambda x: abs(x - c.pos) < {M // 4})) = 0) AS nxt
+    FROM r WHERE len(taken) < 5) WHERE nxt IS NOT NULL),
+z AS (SELECT user_id, arg_max(taken, len(taken)) AS taken FROM r GROUP BY user_id),
+u AS (SELECT user_id, unnest(range(1, len(taken) + 1)) AS rank, unnest(taken) AS pos FROM z)
+SELECT u.user_id, CAST(rank AS INTEGER) AS rank, u.pos, round(c.dist, 4) AS score, round(c.dist / max(c.dist) OVER (PARTITION BY u.user_id), 4) AS confidence FROM u JOIN c ON u.user_id = c.user_id AND u.pos = c.pos""", shared=False)
 def profile_anomalies(spark: SparkSession, d: str) -> DataFrame:
     p = profile.matrix_profile(_series(spark, d), ["user_id"], M, M, left_only=True).where(f"pos > {M} AND pos >= {SPLIT}")
-    return profile.anomalies(p, ["user_id"], M)
+    return profile.anomalies(p, ["user_id"], M).withColumn("score", F.round("score", 4)).withColumn("confidence", F.round("confidence", 4))
 
 
 @query()
@@ -96,14 +148,23 @@ def approx_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.matrix_profile(_series(spark, d), ["user_id"], M, share=0.1)
 
 
-@query()
+@query(f"""WITH g0 AS (SELECT user_id, idx, value, coalesce((t - lag(t) OVER (PARTITION BY user_id ORDER BY idx)) / CAST({HOUR} AS DOUBLE), 0) AS gap FROM se),
+g1 AS (SELECT user_id, idx AS pos, list(value) OVER w AS v, list(gap) OVER w AS g FROM g0 WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND {M - 1} FOLLOWING)),
+g2 AS (SELECT user_id, pos, v, g, list_avg(v) AS mv, list_stddev_pop(v) AS sv, list_avg(g) AS mg, list_stddev_pop(g) AS sg FROM g1 WHERE len(v) = {M}),
+g3 AS (
+  SELECT a.user_id, a.pos, sqrt(greatest(0, 2 * {M} * (1 - (list_dot_product(a.v, b.v) - {M} * a.mv * b.mv) / ({M} * a.sv * b.sv)))) AS dv,
+    sqrt(greatest(0, 2 * {M} * (1 - (list_dot_product(a.g, b.g) - {M} * a.mg * b.mg) / ({M} * a.sg * b.sg)))) AS dg
+  FROM g2 a JOIN g2 b ON a.user_id = b.user_id AND abs(a.pos - b.pos) >= {-(-M // 4)}),
+g4 AS (SELECT user_id, pos, (min(least(dv, dg)) + min((dv + dg) / 2)) / 2 AS dist FROM g3 GROUP BY user_id, pos),
+g5 AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY dist DESC, pos DESC) AS r FROM g4)
+SELECT user_id, pos + {M // 2} AS pos, round(dist, 4) AS dist FROM g5 WHERE r <= greatest(1, floor(n * CAST(0.1 AS DOUBLE)))""")
 def multivariate_profile(spark: SparkSession, d: str) -> DataFrame:
     """Two dimensions, the value and the gap to the event before."""
     w = Window.partitionBy("user_id").orderBy("idx")
     s = bridge.series(spark, d).withColumn("gap", F.coalesce((F.col("t") - F.lag("t").over(w)) / float(HOUR), F.lit(0.0)))
     p = F.array_sort(F.collect_list(F.struct("idx", "value", "gap")))
     g = s.groupBy("user_id").agg(p.alias("p")).select("user_id", F.array(F.transform("p", lambda x: x["value"]), F.transform("p", lambda x: x["gap"])).alias("values"))
-    return profile.multivariate_anomalies(g, ["user_id"], M, 0.1)
+    return profile.multivariate_anomalies(g, ["user_id"], M, 0.1).withColumn("dist", F.round("dist", 4))
 
 
 @query()
@@ -123,15 +184,26 @@ def rpeaks(spark: SparkSession, d: str) -> DataFrame:
     return dsp.beats(g, ["l_suppkey"], 64.0)
 
 
+def _alarm_features(spark: SparkSession, d: str) -> DataFrame:
+    """Time, score, length (hours since the alarm before) and rank (by falling score) of each alarm."""
+    w = Window.partitionBy("user_id")
+    a = bridge.alarms(spark, d).withColumn("hours", F.col("t") / float(HOUR))
+    a = a.withColumn("length", F.coalesce((F.col("t") - F.lag("t").over(w.orderBy("t", "event_id"))) / float(HOUR), F.lit(0.0)))
+    return a.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "event_id")).cast("double"))
+
+
+_FEATURES = ["hours", "score", "length", "rank"]
+
+
 @query()
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
-    a = bridge.alarms(spark, d).withColumn("hours", F.col("t") / float(HOUR))
-    return ml.kmeans(a, ["hours", "score"], range(2, 5)).select("user_id", "event_id", "cluster")
+    """The number of clusters, 2 to 19, with the best silhouette."""
+    return ml.kmeans(_alarm_features(spark, d), _FEATURES, range(2, 20)).select("user_id", "event_id", "cluster")
 
 
 @query()
 def dbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return ml.dbscan(bridge.alarms(spark, d).withColumn("hours", F.col("t") / float(HOUR)), ["user_id"], ["hours", "score"], "event_id", 1.0, 2)
+    return ml.dbscan(_alarm_features(spark, d), ["user_id"], _FEATURES, "event_id", 0.5, 3)
 
 
 @query()
@@ -155,17 +227,32 @@ def average_ranks(spark: SparkSession, d: str) -> DataFrame:
     return ml.average_ranks(_methods(spark, d), "ds", "m", "v").withColumn("mean_rank", F.round("mean_rank", 6))
 
 
-@query(f"""WITH {_RANKS}, a AS (SELECT m, avg(r) AS r, count(*) AS n FROM rk GROUP BY m)
-SELECT count(*) AS k, max(n) AS n, round(12 * CAST(max(n) AS DOUBLE) / (count(*) * (count(*) + 1)) * (sum(r * r) - count(*) * (count(*) + 1) * (count(*) + 1) / CAST(4 AS DOUBLE)), 4) AS chi2 FROM a""")
+@query("""WITH me AS (SELECT user_id AS ds, event_type AS m, round(avg(value), 6) AS v FROM ev GROUP BY ALL),
+f AS (SELECT me.* FROM me WHERE m IN (SELECT m FROM (SELECT m, count(*) AS c, max(count(*)) OVER () AS most FROM me GROUP BY m) WHERE c = most)),
+rk AS (SELECT *, rank() OVER (PARTITION BY ds ORDER BY v DESC) + (count(*) OVER (PARTITION BY ds, v) - 1) / CAST(2 AS DOUBLE) AS r, count(*) OVER (PARTITION BY ds, v) AS c FROM f),
+a AS (SELECT m, sum(r) AS s, count(*) AS n, CAST(sum(c * c - 1) AS DOUBLE) AS t FROM rk GROUP BY m),
+b AS (SELECT CAST(count(*) AS DOUBLE) AS k, CAST(max(n) AS DOUBLE) AS n, sum(s * s) AS ss, sum(t) AS t FROM a),
+c AS (SELECT k, n, (12 * ss / (n * k * (k + 1)) - 3 * n * (k + 1)) / (1 - t / (n * k * (k * k - 1))) AS chi2 FROM b)
+SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, round(chi2, 4) AS chi2, round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS p, exp(-chi2 / 2) * (1 + chi2 / 2) < 0.05 AS differ FROM c""")
 def friedman(spark: SparkSession, d: str) -> DataFrame:
-    return ml.friedman(_methods(spark, d), "ds", "m", "v").withColumn("chi2", F.round("chi2", 4))
+    """Five methods, so the tail of the distribution has a closed form in SQL."""
+    return ml.friedman(_methods(spark, d), "ds", "m", "v").withColumn("chi2", F.round("chi2", 4)).withColumn("p", F.round("p", 6))
 
 
-@query(f"""WITH {_RANKS}, p AS (SELECT x.m AS a, y.m AS b, x.v - y.v AS d FROM me x JOIN me y ON x.ds = y.ds AND x.m < y.m WHERE x.v <> y.v),
-q AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / CAST(2 AS DOUBLE) AS r FROM p)
-SELECT a, b, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, count(*) AS n FROM q GROUP BY a, b""")
+@query("""WITH me AS (SELECT user_id AS ds, event_type AS m, round(avg(value), 6) AS v FROM ev GROUP BY ALL),
+p AS (SELECT x.m AS a, y.m AS b, x.v - y.v AS d FROM me x JOIN me y ON x.ds = y.ds AND x.m < y.m),
+q AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / CAST(2 AS DOUBLE) AS r, count(*) OVER (PARTITION BY a, b, abs(d)) AS c FROM p),
+s AS (SELECT a, b, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (d = 0) AS DOUBLE) AS o,
+  CAST(coalesce(sum(c * c - 1) FILTER (d <> 0), 0) AS DOUBLE) AS t FROM q GROUP BY a, b)
+SELECT a, b, w, CAST(n - o AS BIGINT) AS n, round((w - (n * (n + 1) - o * (o + 1)) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - o * (o + 1) * (2 * o + 1) - t / 2) / 24), 6) AS z FROM s WHERE n > o""")
 def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
-    return ml.wilcoxon(_methods(spark, d), "ds", "m", "v").select("a", "b", "w", "n")
+    return ml.wilcoxon(_methods(spark, d), "ds", "m", "v").select("a", "b", "w", "n", F.round("z", 6).alias("z"))
+
+
+@query()
+def wilcoxon_holm(spark: SparkSession, d: str) -> DataFrame:
+    """Probabilities and Holm's decision; SQL has no error function, so tested against worked values."""
+    return ml.wilcoxon(_methods(spark, d), "ds", "m", "v").select("a", "b", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"), "differ")
 
 
 @query()
