@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,78 @@ def representatives(df: DataFrame, key: list[str], t: str, tie: str, distinct_ti
     return best.select(*c, *[F.col(f"_r._x{i}").alias(x) for i, x in enumerate(kept)], "size", "span")
 
 
+def _medoids(t: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending times grouped by gaps over theta: each group's member with the smallest mean distance to others at other times
+    (the first on ties), the group's size and span."""
+    start = np.flatnonzero(np.concatenate(([True], np.diff(t) > theta)))
+    size = np.diff(np.append(start, len(t)))
+    first, n = np.repeat(start, size), np.repeat(size, size)
+    k = np.arange(len(t)) - first + 1
+    sums = np.concatenate(([0], np.cumsum(t - t[0])))
+    own, upto, every = t - t[0], sums[1:] - sums[first], sums[first + n] - sums[first]
+    total = own * k - upto + (every - upto) - own * (n - k)
+    same = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (first[1:] != first[:-1]))))
+    alike = np.diff(np.append(same, len(t)))
+    others = n - np.repeat(alike, alike)
+    mean = np.where(others > 0, total / np.maximum(others, 1), 0.0)
+    least = np.repeat(np.minimum.reduceat(mean, start), size)
+    hit = np.flatnonzero(mean == least)
+    group = np.repeat(np.arange(len(start)), size)[hit]
+    best = hit[np.concatenate(([True], group[1:] != group[:-1]))]
+    return best, size, t[start + size - 1] - t[start]
+
+
+def sweep(df: DataFrame, key: list[str], t: str, tie: str, thetas: str, value: str | None = None, least: list[float] | None = None) -> DataFrame:
+    """Representatives for many settings from one sort of each series: setting, key, tie, t, size, span.
+
+    thetas is a column with an array of gaps, the same in all rows of a series; setting is the place of a gap in it.  With
+    ``least`` there is one gap, and setting is the place of a least value: only rows that reach it take part.  A task
+    holds one series at a time; only representatives leave it.
+    """
+    columns = [*key, tie, t, thetas, *([value] if value else [])]
+    schema = ", ".join(["setting int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key, tie, t).schema), "size long", "span long"])
+    names = [*key, tie, t]
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        """Representatives of series that are complete."""
+        times, all_gaps = rows[t].to_numpy(np.int64), rows[thetas].to_numpy()
+        scores = rows[value].to_numpy() if value else None
+        ids = rows[key].to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1))))
+        picked: list[tuple[np.ndarray, ...]] = []
+        for a, b in zip(begin, np.append(begin[1:], len(rows)), strict=True):
+            gaps = all_gaps[a]
+            some = [(k, g, None) for k, g in enumerate(gaps)] if least is None else [(k, gaps[0], x) for k, x in enumerate(least)]
+            for k, gap, floor in some:
+                part = np.arange(a, b) if floor is None else a + np.flatnonzero(scores[a:b] >= floor)
+                if len(part):
+                    best, size, span = _medoids(times[part], gap)
+                    picked.append((np.full(len(best), k, np.int32), part[best], size, span))
+        if not picked:
+            return pd.DataFrame(columns=["setting", *names, "size", "span"])
+        setting, at, size, span = (np.concatenate(x) for x in zip(*picked, strict=True))
+        return rows[names].iloc[at].assign(setting=setting, size=size, span=span)[["setting", *names, "size", "span"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            last = b[key].iloc[-1]
+            if (held[0][key].iloc[0] == last).all():
+                continue  # one series so far
+            every = pd.concat(held, ignore_index=True)
+            open_ = int((every[key] == last).all(axis=1).to_numpy().argmax())
+            yield whole(every[:open_])
+            held = [every[open_:]]
+        if held:
+            yield whole(pd.concat(held, ignore_index=True))
+
+    dealt = df.select(*columns).repartition(*key).sortWithinPartitions(*key, t, tie)
+    return dealt.mapInPandas(run, schema)
+
+
 def gap_means(df: DataFrame, key: list[str], position: str, gap: int, least: int) -> DataFrame:
     """Mean positions (rounded half to even) of groups of at least ``least`` positions that stand at most gap apart."""
     d = by_gap(df, key, position, gap, position)

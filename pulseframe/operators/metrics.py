@@ -65,8 +65,8 @@ def mask_events(truth: DataFrame, predicted: DataFrame, key: list[str], width: i
     return d.withColumn("iou", ratio(F.col("tp"), F.col("tp") + F.col("fn") + F.col("fp")))
 
 
-def percentiles(df: DataFrame, value: str, shares: list[float], buckets: int = 256) -> DataFrame:
-    """(share, percentile): exact percentiles with linear interpolation of a whole column, without one task that holds it.
+def percentiles(df: DataFrame, value: str, shares: list[float], buckets: int = 256, lower: bool = False) -> DataFrame:
+    """(share, percentile): exact percentiles with linear interpolation (or the lower value) of a whole column, without one task that holds it.
 
     Values are counted before they move, dealt over ranges that approximate percentiles bound, and numbered in each range;
     only the rows with a wanted rank go on.  Nulls do not count; without values there is no row.
@@ -83,7 +83,7 @@ def percentiles(df: DataFrame, value: str, shares: list[float], buckets: int = 2
     at = lambda rank: (rank >= F.col("high") - F.col("c")) & (rank < F.col("high"))
     found = d.select("v", "n", F.explode(F.filter(wanted, lambda x: at(F.floor(x * (F.col("n") - 1))) | at(F.ceil(x * (F.col("n") - 1))))).alias("share"))
     part = F.col("share") * (F.first("n") - 1) - F.floor(F.col("share") * (F.first("n") - 1))
-    return found.groupBy("share").agg((F.min("v") + (F.max("v") - F.min("v")) * part).alias("percentile"))
+    return found.groupBy("share").agg((F.min("v") if lower else F.min("v") + (F.max("v") - F.min("v")) * part).alias("percentile"))
 
 
 def threshold_grid(scores: DataFrame, score: str, n: int = 100, most: float = 99.9) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,10 @@ def match_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 THETAS = [2 * HOUR, 6 * HOUR, 12 * HOUR, 24 * HOUR, 48 * HOUR]
+#: The test tables are sparser than recordings: what is a second there is so many microseconds here.
+UNIT = 160 * 1_000_000
+# The gaps of the strategy sweep, in seconds.
+GAPS = [2, 5, 10, 15, 20, 30, 45, 60, 90, 120, 180, 240, 300, 420, 600, 900, 1200, 1500, 1800]
 
 
 @query("""WITH th AS (SELECT unnest([%s]) AS theta),
@@ -187,7 +193,14 @@ def optimal_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return metrics.optimal_thresholds(_curve(spark, d))
 
 
-@query()
+def _split_curve_sql(split: str, subjects: str) -> str:
+    """The curve over some subjects, its tables named apart."""
+    own = re.sub(r"\b(e[0-9]|tt|cu|ev|tr|hr)\b", rf"\1_{split}", CLUSTER_METRICS_SQL)
+    return f"ev_{split} AS (SELECT * FROM ev WHERE subject {subjects}), tr_{split} AS (SELECT * FROM tr WHERE subject {subjects}), hr_{split} AS (SELECT * FROM hr WHERE subject {subjects}), {own}"
+
+
+@query(f"""WITH {_GRID_SQL}, ti AS (SELECT round(threshold, 6) AS threshold FROM th), {_split_curve_sql("a", "BETWEEN 1 AND 96")}, {_split_curve_sql("b", "BETWEEN 97 AND 125")}, be AS ({_BEST.replace("cu", "cu_a")})
+SELECT aim, be.threshold, be.sensitivity AS train_sensitivity, be.fa_per_hour AS train_fa_per_hour, t.sensitivity AS test_sensitivity, t.fa_per_hour AS test_fa_per_hour FROM be LEFT JOIN cu_b t ON t.threshold = be.threshold""")
 def train_select_test(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds chosen on the training subjects and measured on the others."""
     chosen = metrics.optimal_thresholds(_curve(spark, d, "train")).select("aim", "threshold", F.col("sensitivity").alias("train_sensitivity"), F.col("fa_per_hour").alias("train_fa_per_hour"))
@@ -212,11 +225,11 @@ b7 AS (
   FROM b6 a JOIN b6 z ON a.user_id = z.user_id AND z.theta = 0 LEFT JOIN nt n ON n.user_id = a.user_id WHERE a.theta > 0),
 b8 AS (
   SELECT *, CAST(0.6 AS DOUBLE) * CASE WHEN fp0 > 0 THEN CAST(fp0 - fp AS DOUBLE) / fp0 ELSE 0 END + CAST(0.3 AS DOUBLE) * CASE WHEN alarms0 > 0 THEN CAST(alarms0 - alarms AS DOUBLE) / alarms0 ELSE 0 END
-    - 2 * greatest(0, sens0 - sens) AS score FROM b7)""" % (", ".join(f"CAST({t} AS BIGINT)" for t in THETAS), PRE, POST)
+    - 2 * greatest(0, sens0 - sens) AS score FROM b7)""" % (", ".join(f"CAST({t * UNIT} AS BIGINT)" for t in GAPS), PRE, POST)
 
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    s = sweep_counts(bridge.alarms(spark, d), bridge.truth(spark, d), THETAS, PRE, POST)
+    s = sweep_counts(bridge.alarms(spark, d), bridge.truth(spark, d), [g * UNIT for g in GAPS], PRE, POST)
     score = clusters.strategy_score(F.col("fp0"), F.col("fp"), F.col("alarms0"), F.col("alarms"), F.col("sens0"), F.col("sens"))
     return s.withColumn("score", score)
 
@@ -226,11 +239,19 @@ def strategy_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _sweep(spark, d).groupBy("theta").agg(F.count("*").alias("series"), F.sum("alarms").alias("alarms"), F.sum("fp").alias("fp"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("sens"), 6).alias("mean_sensitivity"))
 
 
-@query(f"WITH {_SWEEP_SQL} SELECT theta, round(avg(score), 6) AS mean_score FROM b8 WHERE user_id % 125 + 1 <= 96 GROUP BY theta ORDER BY round(avg(score), 6) DESC, theta LIMIT 1")
+@query(f"""WITH {_SWEEP_SQL}, g AS (
+  SELECT theta, round(avg(score) FILTER (user_id % 125 + 1 <= 96), 6) AS train_score, round(avg(score) FILTER (user_id % 125 + 1 > 96), 6) AS test_score,
+    CAST(coalesce(sum(alarms) FILTER (user_id % 125 + 1 > 96), 0) AS BIGINT) AS test_alarms, CAST(coalesce(sum(fp) FILTER (user_id % 125 + 1 > 96), 0) AS BIGINT) AS test_fp FROM b8 GROUP BY theta)
+SELECT theta, train_score, test_score, test_alarms, test_fp FROM g ORDER BY train_score DESC NULLS LAST, theta LIMIT 1""")
 def best_strategy(spark: SparkSession, d: str) -> DataFrame:
-    """The gap with the best mean score over the training subjects."""
-    g = _sweep(spark, d).where("user_id % 125 + 1 <= 96").groupBy("theta").agg(F.round(F.avg("score"), 6).alias("mean_score"))
-    return g.orderBy(F.desc("mean_score"), "theta").limit(1)
+    """The gap with the best mean score over the training subjects, and what it does on the test subjects."""
+    split = scalars.split_of(F.col("user_id") % 125 + 1)
+    on = lambda name, c: F.when(split == name, F.col(c))
+    g = _sweep(spark, d).groupBy("theta").agg(
+        F.round(F.avg(on("train", "score")), 6).alias("train_score"), F.round(F.avg(on("test", "score")), 6).alias("test_score"),
+        *[F.coalesce(F.sum(on("test", c)), F.lit(0)).alias(f"test_{c}") for c in ("alarms", "fp")],
+    )
+    return g.orderBy(F.desc_nulls_last("train_score"), "theta").limit(1)
 
 
 @query(f"""WITH {CLUSTERS},
@@ -405,26 +426,43 @@ def percentile_thetas(spark: SparkSession, d: str) -> DataFrame:
     return clusters.percentile_theta(bridge.alarms(spark, d), KEY, "t", "event_id", 0.3, HOUR)
 
 
-@query()
+def score_aware_sql(thetas: list[int]) -> str:
+    """sr: theta, user_id, event_id, t, score, r (place by falling score), c (cluster); recursive."""
+    return f"""s0 AS (SELECT user_id, event_id, t, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, t, event_id) AS r FROM al),
+sr AS (
+  SELECT theta, user_id, event_id, t, score, r, CAST(0 AS BIGINT) AS c, [t] AS members FROM s0, (SELECT unnest([{", ".join(f"CAST({t} AS BIGINT)" for t in thetas)}]) AS theta) WHERE r = 1
+  UNION ALL
+  SELECT theta, user_id, event_id, t, score, r, CASE WHEN near THEN c ELSE c + 1 END, CASE WHEN near THEN list_append(members, t) ELSE [t] END FROM (
+    SELECT sr.theta, s.user_id, s.event_id, s.t, s.score, s.r, sr.c, sr.members, len(list_filter(sr.members, lambda x: abs(x - s.t) <= sr.theta)) > 0 AS near
+    FROM sr JOIN s0 s ON s.user_id = sr.user_id AND s.r = sr.r + 1))"""
+
+
+@query(f"WITH RECURSIVE {bridge.SQL}, {score_aware_sql([THETA])} SELECT user_id, c AS cluster, count(*) AS size, max(score) AS best FROM sr GROUP BY user_id, c", shared=False)
 def score_aware_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Sequential by falling score, so tested against a plain loop."""
+    """Sequential by falling score."""
     c = clusters.score_aware(bridge.alarms(spark, d), KEY, "t", "score", "event_id", THETA)
     return c.groupBy("user_id", "cluster").agg(F.count("*").alias("size"), F.max("score").alias("best"))
 
 
-@query(f"""WITH {CLUSTERS}, s AS (SELECT CAST(unnest(range(1, 11)) AS BIGINT) AS least),
+@query(f"""WITH {CLUSTERS}, s AS (SELECT CAST(unnest(range(1, 51)) AS BIGINT) AS least),
 k AS (SELECT least, rp.* FROM rp, s WHERE size >= least),
 m AS (SELECT k.least, k.user_id, k.event_id, min(i.seizure) AS seizure FROM k LEFT JOIN tr i ON k.user_id = i.user_id AND k.t BETWEEN i."start" - {PRE} AND i."end" + {POST} GROUP BY ALL),
-g AS (SELECT least, count(*) AS clusters, count(seizure) AS tp, count(*) - count(seizure) AS fp FROM m GROUP BY least)
-SELECT s.least, coalesce(clusters, 0) AS clusters, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp FROM s LEFT JOIN g ON s.least = g.least""")
+g AS (SELECT least, count(*) AS clusters, count(seizure) AS tp, count(*) - count(seizure) AS fp FROM m GROUP BY least),
+b AS (SELECT clusters AS c1, tp AS t1, fp AS f1 FROM g WHERE least = 1)
+SELECT s.least, coalesce(clusters, 0) AS clusters, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, round(CASE WHEN clusters IS NULL THEN -10.0 ELSE
+  CAST(0.6 AS DOUBLE) * (f1 - fp) / greatest(f1, 1) + CAST(0.3 AS DOUBLE) * (c1 - clusters) / c1 - CAST(2 AS DOUBLE) * (t1 - tp) / greatest(t1, 1) END, 6) AS score FROM s LEFT JOIN g ON s.least = g.least LEFT JOIN b ON true""")
 def min_size_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters, hits and false alarms for each least cluster size; sizes that leave nothing have zeros."""
+    """Clusters, hits, false alarms and score for each least cluster size; sizes that leave nothing have zeros and a score of -10."""
     r = _representatives(spark, d)
     m = intervals.first_match(r, bridge.truth(spark, d), KEY, "t", "event_id", "seizure", PRE, POST).join(r.select("user_id", "event_id", "size"), ["user_id", "event_id"])
-    sizes = spark.range(1, 11).withColumnRenamed("id", "least")
-    k = m.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("size"), F.lit(10)))).alias("least"))
+    sizes = spark.range(1, 51).withColumnRenamed("id", "least")
+    k = m.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("size"), F.lit(50)))).alias("least"))
     g = k.groupBy("least").agg(F.count("*").alias("clusters"), F.count("seizure").alias("tp"), F.sum(F.col("seizure").isNull().cast("long")).alias("fp"))
-    return sizes.join(g, "least", "left").na.fill(0)
+    every = sizes.join(g, "least", "left").na.fill(0)  # fifty rows
+    at_one = lambda c: F.max(F.when(F.col("least") == 1, F.col(c))).over(Window.partitionBy(F.lit(1)))
+    less = lambda c: (at_one(c) - F.col(c)) / F.greatest(at_one(c), F.lit(1))
+    score = F.when(F.col("clusters") == 0, -10.0).otherwise(0.6 * less("fp") + 0.3 * less("clusters") - 2.0 * less("tp"))
+    return every.withColumn("score", F.round(score, 6))
 
 
 @query(f"""WITH {CLUSTERS}, m AS (SELECT rp.user_id, rp.event_id, size, min(i.seizure) AS seizure FROM rp LEFT JOIN tr i ON rp.user_id = i.user_id AND rp.t BETWEEN i."start" - {PRE} AND i."end" + {POST} GROUP BY ALL)

@@ -11,9 +11,11 @@ from ..sources.bridge import POST, PRE, THETA
 
 def cluster_metrics(events: DataFrame, truth: DataFrame, hours: DataFrame, grid: DataFrame, theta: int, pre: int, post: int) -> DataFrame:
     """Metrics after clustering for each threshold of a small grid: threshold, alarms, clusters, counts, rates, score."""
-    e = events.select("user_id", "subject", "event_id", "t", "value").crossJoin(F.broadcast(grid)).where(F.col("value") >= F.col("threshold"))  # a grid has at most as many rows as it was made of
-    c = clusters.by_gap(e, ["threshold", "user_id"], "t", theta, "event_id")
-    r = clusters.representatives(c, ["threshold", "user_id"], "t", "event_id")
+    levels = sorted(r.threshold for r in grid.collect())  # a grid has at most as many rows as it was made of
+    e = events.where(F.col("value") >= levels[0]) if levels else events.limit(0)
+    r = clusters.sweep(e.withColumn("_gaps", F.array(F.lit(theta))), ["user_id"], "t", "event_id", "_gaps", "value", levels)
+    named = F.element_at(F.array(*[F.lit(x) for x in levels]).cast("array<double>"), F.col("setting") + 1)
+    r = r.withColumn("threshold", named)
     wide = truth.select("user_id", "seizure", (F.col("start") - pre).alias("_low"), (F.col("end") + post).alias("_high"))
     m = intervals.range_join(r.select("threshold", "user_id", "event_id", "t", "size"), wide, ["user_id"], "t", "_low", "_high", 12 * 3600 * 1_000_000, "left")
     m = m.groupBy("threshold", "user_id", "event_id", "size").agg(F.min("seizure").alias("seizure"))
@@ -51,9 +53,9 @@ cu AS (SELECT *, round(CAST(100 AS DOUBLE) * sensitivity - CAST(0.4 AS DOUBLE) *
 def sweep_counts(alarms: DataFrame, truth: DataFrame, thetas: list[int], pre: int, post: int) -> DataFrame:
     """theta, user_id, alarms0, alarms, fp0, fp, sens0, sens: each series before and after clustering by each gap."""
     a = alarms.select("user_id", "event_id", "t")
-    grid = F.explode(F.array(*[F.lit(t).cast("long") for t in thetas])).alias("theta")
-    c = clusters.by_gap(a.select("*", grid), ["theta", "user_id"], "t", F.col("theta"), "event_id")
-    r = clusters.representatives(c, ["theta", "user_id"], "t", "event_id").select("theta", "user_id", "event_id", "t")
+    gaps = F.array(*[F.lit(t).cast("long") for t in thetas])
+    r = clusters.sweep(a.withColumn("_gaps", gaps), ["user_id"], "t", "event_id", "_gaps")
+    r = r.select(F.element_at(gaps, F.col("setting") + 1).alias("theta"), "user_id", "event_id", "t")
     every = a.select(F.lit(0).cast("long").alias("theta"), "user_id", "event_id", "t").unionByName(r)
     wide = truth.select("user_id", "seizure", (F.col("start") - pre).alias("_low"), (F.col("end") + post).alias("_high"))
     m = intervals.range_join(every, wide, ["user_id"], "t", "_low", "_high", 12 * 3600 * 1_000_000, "left").groupBy("theta", "user_id", "event_id").agg(F.min("seizure").alias("seizure"))
