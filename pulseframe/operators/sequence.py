@@ -97,6 +97,11 @@ def in_windows(df: DataFrame, key: list[str], position: str, width: int, stride:
     return df.withColumn("window_index", F.explode(F.sequence(low, F.floor(F.col(position) / stride).cast("long"))))
 
 
+def reconstruct(df: DataFrame, key: list[str], position: str, value: str) -> DataFrame:
+    """One series from overlapping windows: the mean of what they hold at each position."""
+    return df.groupBy(*key, position).agg(F.avg(value).alias(value))
+
+
 def resample(df: DataFrame, key: list[str], t: str, value: str, step: int) -> DataFrame:
     """Linear interpolation on a regular grid from each series' first to its last time.
 
