@@ -226,3 +226,20 @@ def time_features(values: Column) -> dict[str, Column]:
     power = add(F.transform(values, lambda x: x * x)) / n
     steps = F.zip_with(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))), lambda a, b: F.abs(a - b))
     return {"std": F.sqrt(F.greatest(power - mean * mean, F.lit(0.0))), "low": F.array_min(values), "high": F.array_max(values), "line_length": add(steps), "rms": F.sqrt(power)}
+
+
+def peaks(df: DataFrame, key: list[str], distance: int, height: float = 0.3, prominence: float = 0.0) -> DataFrame:
+    """key, pos: simple_peaks of each series' values."""
+    return _each(df, key, "pos long", lambda x: {"pos": simple_peaks(x, distance, height, prominence)})
+
+
+def upsampled(values: Column, n: int, to: int) -> Column:
+    """An array of n values stretched linearly to another length; values stand in the middle of their stretches."""
+
+    def at(i: Column) -> Column:
+        s = F.greatest(F.lit(0.0), (i + 0.5) * (n / to) - 0.5)
+        low = F.floor(s).cast("int")
+        part = s - low
+        return F.element_at(values, low + 1) * (1 - part) + F.element_at(values, F.least(F.lit(n - 1), low + 1) + 1) * part
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to - 1)), at)

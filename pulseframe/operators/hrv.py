@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import ratio
-from .sequence import ordered, pad
+from .sequence import in_windows, ordered, pad
 
 DAY = 24 * 3600 * 1_000_000
 
@@ -89,3 +89,36 @@ def island_hits(df: DataFrame, key: list[str], order: list[str], label: str, pre
     d = d.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(on)
     return d.groupBy(*key, "_i").agg(F.max(F.col(predicted).cast("int")).alias("_h")).groupBy(*key).agg(F.count("*").alias("islands"), F.sum("_h").alias("hit"))
 
+
+
+def sliding_rate(beats: DataFrame, key: list[str], t: str, width: int, stride: int, per: float) -> DataFrame:
+    """key, k, beats, rate: ``per`` over the mean interval of the beats in [k * stride, k * stride + width), from two beats on."""
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col(t) - width) / stride).cast("long") + 1)
+    w = beats.withColumn("k", F.explode(F.sequence(first, F.floor(F.col(t) / stride).cast("long"))))
+    g = w.groupBy(*key, "k").agg(F.count("*").alias("beats"), (F.max(t) - F.min(t)).alias("_span")).where("beats >= 2 and _span > 0")
+    return g.select(*key, "k", "beats", (F.lit(per) / (F.col("_span") / (F.col("beats") - 1))).alias("rate"))
+
+
+def time_domain(df: DataFrame, key: list[str], position: str, value: str, width: int, stride: int, low: float, high: float) -> DataFrame:
+    """Time-domain features of the intervals in every whole window that another interval follows.
+
+    Windows with an interval under low or over high are left out.  Percentages are of steps; the median absolute deviation
+    is scaled by 1.4826 to that of a normal distribution.
+    """
+    step = F.col(value) - F.lag(value).over(ordered(key, [position]))
+    d = df.select(*key, position, F.col(value).cast("double").alias("_v"), step.alias("_d"), F.count("*").over(Window.partitionBy(*key)).alias("_n"))
+    w = in_windows(d, key, position, width, stride).where(F.col("window_index") * stride + width < F.col("_n"))
+    inner = lambda c: F.when(F.col(position) > F.col("window_index") * stride, c)
+    over = lambda x: 100 * F.avg(inner((F.abs("_d") > x).cast("double")))
+    g = w.groupBy(*key, "window_index").agg(
+        F.avg("_v").alias("mean_nn"), F.stddev_samp("_v").alias("sdnn"), F.sqrt(F.avg(inner(F.col("_d") * F.col("_d")))).alias("rmssd"), F.stddev_samp(inner(F.col("_d"))).alias("sdsd"),
+        F.percentile("_v", 0.5).alias("median_nn"), (F.percentile("_v", 0.75) - F.percentile("_v", 0.25)).alias("iqr_nn"), F.percentile("_v", 0.2).alias("prc20_nn"), F.percentile("_v", 0.8).alias("prc80_nn"),
+        over(50).alias("pnn50"), over(20).alias("pnn20"), F.min("_v").alias("min_nn"), F.max("_v").alias("max_nn"), F.collect_list("_v").alias("_all"),
+    )
+    g = g.where((F.col("min_nn") >= low) & (F.col("max_nn") <= high))
+    far = F.array_sort(F.transform("_all", lambda x: F.abs(x - F.col("median_nn"))))  # width values
+    mad = F.lit(1.4826) * (F.element_at(far, (width + 1) // 2) + F.element_at(far, width // 2 + 1)) / 2
+    g = g.withColumn("mad_nn", mad).drop("_all")
+    share = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
+    more = {"cvnn": share("sdnn", "mean_nn"), "cvsd": share("rmssd", "mean_nn"), "mcv_nn": share("mad_nn", "median_nn"), "sd_rmssd": share("sdnn", "rmssd")}
+    return g.withColumns(more)

@@ -232,6 +232,16 @@ def anomalies(profiles: DataFrame, key: list[str], m: int, most: int = 5, percen
     return _each(rows, key, "rank int, pos long, score double, confidence double", run)
 
 
+def greedy(df: DataFrame, key: list[str], radius: float, most: int, strict: bool = True, positive: bool = False) -> DataFrame:
+    """key, rank, pos, score: greedy_peaks of each series' values."""
+
+    def run(x: np.ndarray) -> dict:
+        at = greedy_peaks(x, radius, most, strict, positive)
+        return {"rank": np.arange(1, len(at) + 1), "pos": at, "score": x[at] if at else []}
+
+    return _each(df, key, "rank int, pos long, score double", run)
+
+
 def multivariate_anomalies(df: DataFrame, key: list[str], m: int, ratio: float) -> DataFrame:
     """key, pos (the window's centre), dist: the top share of windows by mean distance over the dimensions.
 

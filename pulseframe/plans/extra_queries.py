@@ -11,6 +11,7 @@ from ..sources import bridge
 from ..sources.bridge import HOUR, POST, PRE, table
 from .alarm_queries import _counts, _match_sql
 from .registry import query
+from .signal_queries import _lengths_sql
 
 KEY = ["user_id"]
 
@@ -152,14 +153,21 @@ def candidate_windows(spark: SparkSession, d: str) -> DataFrame:
     return a.select("user_id", "event_id", "window_index", first.alias("most_likely"))
 
 
-@query()
+_PARTS = """pt AS (SELECT l_suppkey, (row_number() OVER w - 1) // 150 AS k, (row_number() OVER w - 1) % 150 AS idx, CAST(l_quantity AS DOUBLE) AS value FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice))"""
+
+
+@query(f"""WITH {_PARTS}, {_lengths_sql([8, 16], 30, "pt", "l_suppkey, k")}, n AS (SELECT l_suppkey, k, count(*) AS n FROM pt GROUP BY ALL)
+SELECT l_suppkey, k, CAST(m AS INTEGER) AS m, round(score, 5) AS score, CAST(pos AS BIGINT) AS pos FROM ld UNION ALL SELECT l_suppkey, k, 0, 0.0, -1 FROM n WHERE n < 16""")
 def windowed_discords(spark: SparkSession, d: str) -> DataFrame:
-    """The individual-window strategy: each window of a long series is searched by itself, with lengths for its duration."""
+    """The individual-window strategy: each window of a long series is searched by itself, the shorter last ones too, with the
+    lengths that fit; a window too short for any has length 0 and position -1."""
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     s = table(spark, d, "lineitem").select("l_suppkey", (F.row_number().over(w).cast("long") - 1).alias("idx"), F.col("l_quantity").alias("v"))
     s = s.withColumn("k", F.floor(F.col("idx") / 150).cast("long"))
-    g = profile.gather(s, ["l_suppkey", "k"], ["idx"], "v").where(F.size("values") == 150)
-    return profile.left_discords(g, ["l_suppkey", "k"], [8, 16], 30)
+    g = profile.gather(s, ["l_suppkey", "k"], ["idx"], "v")
+    found = profile.left_discords(g, ["l_suppkey", "k"], [8, 16], 30).withColumn("score", F.round("score", 5))
+    short = g.where(F.size("values") < 16).select("l_suppkey", "k", F.lit(0).alias("m"), F.lit(0.0).alias("score"), F.lit(-1).cast("long").alias("pos"))
+    return found.select("l_suppkey", "k", "m", "score", "pos").unionByName(short)
 
 
 @query(f"""WITH {_match_sql('al', 0, 0)}, a AS (SELECT 'strict' AS margin, sum(detected) AS d, sum(n_truth) AS n, sum(fp) AS fp FROM co),

@@ -256,7 +256,7 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_TAX}, x AS (SELECT ty, value, CASE ty WHEN 'sz_foc_a_m_tonic' THEN 'focal_aware' WHEN 'sz_foc_ia_nm' THEN 'focal_impaired' WHEN 'sz_gen_m_tonicClonic' THEN 'generalized_motor' WHEN 'bckg' THEN 'non_seizure' ELSE 'unknown_nonmotor' END AS category,
   CASE ty WHEN 'sz_foc_a_m_tonic' THEN 'Focal Aware' WHEN 'sz_foc_ia_nm' THEN 'Focal Impaired-Awareness' WHEN 'sz_gen_m_tonicClonic' THEN 'Generalized Seizures' WHEN 'bckg' THEN 'Non-Seizure' ELSE 'Seizures Unknown Onset' END AS category_v2,
-  CASE ty WHEN 'sz_foc_a_m_tonic' THEN 'focal_motor' WHEN 'sz_foc_ia_nm' THEN 'focal_nonmotor' WHEN 'sz_gen_m_tonicClonic' THEN 'generalized_motor' WHEN 'bckg' THEN 'unclassified' ELSE 'unknown_nonmotor' END AS category_v1 FROM ty)
+  CASE ty WHEN 'sz_foc_a_m_tonic' THEN 'focal_mit_moption' WHEN 'sz_foc_ia_nm' THEN 'focal_ohne_moption' WHEN 'sz_gen_m_tonicClonic' THEN 'gen_mit_moption' WHEN 'bckg' THEN 'unclassified' ELSE 'unknown_ohne_moption' END AS category_v1 FROM ty)
 SELECT category, category_v1, category_v2, count(*) AS n, round(avg(value), 5) AS mean FROM x GROUP BY ALL""")
 def category_rules(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("ty")
@@ -269,16 +269,13 @@ def motor_class(spark: SparkSession, d: str) -> DataFrame:
     return _typed(spark, d).groupBy(scalars.motor_class(F.col("ty")).alias("motor")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_TAX}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ty WHERE ty <> 'bckg'),
-h AS (SELECT *, value > 60 AS hit FROM r WHERE k <= 20),
-u AS (SELECT 'type' AS kind, ty AS name, subject, hit FROM h UNION ALL SELECT 'onset', substr(ty, 1, 6), subject, hit FROM h)
-SELECT kind, name, count(*) AS events, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS detected, count(DISTINCT subject) AS subjects, round(avg(CAST(hit AS INT)), 6) AS sensitivity FROM u GROUP BY ALL""")
+@query(f"""WITH {_TAX}, h AS (SELECT *, value > 60 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ty WHERE ty <> 'bckg')
+SELECT k AS ordinal, ty AS name, count(*) AS events, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS detected, count(DISTINCT subject) AS subjects, round(avg(CAST(hit AS INT)), 6) AS sensitivity FROM h GROUP BY ALL""")
 def type_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Detection by several keys at once, for each series' first twenty typed events (by ordinal)."""
+    """Detection by type and ordinal of the event in its series; type_metrics_all has the keys without the ordinal."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    h = _typed(spark, d).where("ty <> 'bckg'").withColumn("k", F.row_number().over(w)).where("k <= 20").withColumn("hit", (F.col("value") > 60).cast("int"))
-    keys = F.explode(F.array(F.struct(F.lit("type").alias("kind"), F.col("ty").alias("name")), F.struct(F.lit("onset").alias("kind"), F.substring("ty", 1, 6).alias("name")))).alias("u")
-    g = h.select("subject", "hit", keys).groupBy("u.kind", "u.name")
+    h = _typed(spark, d).where("ty <> 'bckg'").withColumn("ordinal", F.row_number().over(w).cast("long")).withColumn("hit", (F.col("value") > 60).cast("int"))
+    g = h.groupBy("ordinal", F.col("ty").alias("name"))
     return g.agg(F.count("*").alias("events"), F.sum("hit").alias("detected"), F.countDistinct("subject").alias("subjects"), F.round(F.avg("hit"), 6).alias("sensitivity"))
 
 
@@ -288,7 +285,7 @@ u AS (SELECT 'type' AS kind, ty AS name, subject, hit FROM h UNION ALL SELECT 'o
   UNION ALL SELECT 'motor', CASE ty WHEN 'sz_foc_a_m_tonic' THEN 'motor' WHEN 'sz_gen_m_tonicClonic' THEN 'motor' ELSE 'non-motor' END, subject, hit FROM h)
 SELECT kind, name, count(*) AS events, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS detected, count(DISTINCT subject) AS subjects, round(avg(CAST(hit AS INT)), 6) AS sensitivity FROM u GROUP BY ALL""")
 def type_metrics_all(spark: SparkSession, d: str) -> DataFrame:
-    """Detection by type, onset, category and motor class, for all typed events; type_metrics has each series' first twenty."""
+    """Detection by type, onset, category and motor class, for all typed events."""
     t = F.col("ty")
     h = _typed(spark, d).where("ty <> 'bckg'").withColumn("hit", (F.col("value") > 60).cast("int"))
     named = {"type": t, "onset": F.substring("ty", 1, 6), "category": scalars.category(t), "motor": scalars.motor_class(t)}

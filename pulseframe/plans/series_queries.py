@@ -225,9 +225,18 @@ def baseline_cutoff_first(spark: SparkSession, d: str) -> DataFrame:
     return hrv.baseline_cutoff(_recordings(spark, d), KEY, "rec", "t", "value", "label", first_only=True).select("user_id", F.round("cutoff", 6).alias("first_recording_cutoff"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {bridge.SQL}, {_REC},
+n0 AS (SELECT rc.user_id, rc.rec, rc.t, rc.value FROM rc WHERE event_type <> 'error'),
+n1 AS (SELECT user_id, rec, min(t) AS a, row_number() OVER (PARTITION BY user_id ORDER BY rec) AS k FROM n0 GROUP BY user_id, rec),
+lf AS (
+  SELECT n1.user_id, n1.rec, k, a, base AS rest FROM n1 JOIN ba ON n1.user_id = ba.user_id WHERE k = 1
+  UNION ALL
+  SELECT n.user_id, n.rec, n.k, n.a, l.rest - l.used FROM (
+    SELECT lf.user_id, lf.k, lf.rest, CASE WHEN lf.rest > 0 THEN (SELECT max(n0.t) FROM n0 WHERE n0.user_id = lf.user_id AND n0.rec = lf.rec AND n0.t <= lf.a + lf.rest) - lf.a ELSE 0 END AS used FROM lf) l
+  JOIN n1 n ON n.user_id = l.user_id AND n.k = l.k + 1)
+SELECT lf.user_id, round(coalesce(max(n0.value) FILTER (rest > 0 AND n0.t <= a + rest) * 1.05, 0), 6) AS cutoff FROM lf JOIN n0 ON n0.user_id = lf.user_id AND n0.rec = lf.rec GROUP BY lf.user_id""", shared=False)
 def baseline_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    """The cutoff from as many recordings as the baseline takes; the carried rest is sequential, so tested by a loop."""
+    """The cutoff from as many recordings as the baseline takes, each using what the ones before have left."""
     return hrv.baseline_cutoff(_recordings(spark, d), KEY, "rec", "t", "value", "label").select("user_id", F.round("cutoff", 6).alias("cutoff"))
 
 
@@ -324,11 +333,12 @@ def centered_smooth(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH a AS (SELECT user_id, t, value, min(t) OVER (PARTITION BY user_id) AS t0, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS t1, lead(value) OVER (PARTITION BY user_id ORDER BY t) AS v1 FROM se),
 g AS (SELECT user_id, t0, k, t0 + k * {12 * HOUR} AS pt FROM (SELECT user_id, min(t) AS t0, unnest(range(0, (max(t) - min(t)) // {12 * HOUR} + 1)) AS k FROM se GROUP BY user_id))
-SELECT g.user_id, k, round(CASE WHEN t1 IS NULL OR g.pt = t THEN value ELSE value + (g.pt - t) / CAST(t1 - t AS DOUBLE) * (v1 - value) END, 5) AS value
+SELECT g.user_id, k, round(least(200, greatest(30, CASE WHEN t1 IS NULL OR g.pt = t THEN value ELSE value + (g.pt - t) / CAST(t1 - t AS DOUBLE) * (v1 - value) END)), 5) AS value
 FROM g JOIN a ON a.user_id = g.user_id AND a.t <= g.pt AND (a.t1 > g.pt OR a.t1 IS NULL)""")
 def resample_linear(spark: SparkSession, d: str) -> DataFrame:
+    """On a regular grid, clipped to 30 to 200."""
     r = sequence.resample(bridge.series(spark, d).select("user_id", "t", "value"), KEY, "t", "value", 12 * HOUR)
-    return r.select("user_id", "k", F.round("value", 5).alias("value"))
+    return r.select("user_id", "k", F.round(F.least(F.lit(200.0), F.greatest(F.lit(30.0), "value")), 5).alias("value"))
 
 
 @query(f"""WITH g AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY idx) AS rr, (t - min(t) OVER (PARTITION BY user_id)) // {24 * HOUR} AS k FROM se)

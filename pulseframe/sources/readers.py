@@ -93,6 +93,49 @@ def windowed_problems(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, reason string")
 
 
+# Parameters that tell that a recording was cut into windows.
+WINDOW_PARAMETERS = ["window_size", "stride", "overlap", "windowing", "min_window_size"]
+
+
+def windowed_method() -> Column:
+    """The first sign by which a row is known to be a windowed recording; null if it has none.
+
+    For columns windows (arrays of samples), preprocessing_params, metadata (a map for each window), n_windows, processed_fs.
+    """
+    p, meta, n = F.col("preprocessing_params"), F.get("metadata", F.lit(0)), F.size("windows")
+    has = lambda m, k: F.coalesce(F.map_contains_key(m, k), F.lit(False))
+    true = lambda m, k: F.coalesce(F.lower(F.element_at(m, k)) == "true", F.lit(False))
+    any_parameter = has(p, WINDOW_PARAMETERS[0])
+    for k in WINDOW_PARAMETERS[1:]:
+        any_parameter = any_parameter | has(p, k)
+    minutes = F.size(F.get("windows", F.lit(0))) / (F.coalesce("processed_fs", F.lit(32.0)) * 60)
+    sign = (
+        F.when(has(p, "window_size") & has(p, "stride"), "window_size and stride").when(n > 1, "several windows").when(true(p, "flexible_windowing"), "flexible_windowing").when(any_parameter, "window parameter")
+        .when((n >= 1) & has(meta, "start_time") & has(meta, "end_time"), "window times").when((n >= 1) & true(meta, "is_flexible_window"), "flexible window")
+        .when(F.col("n_windows") >= 1, "n_windows").when((n >= 1) & minutes.between(1, 120), "duration")
+    )
+    return F.when(F.col("windows").isNotNull(), sign)
+
+
+def profiles(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """Stored profiles whose file name begins with prefix, with the name as ``file``."""
+    d = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name"))
+    return d.where(F.col("file").startswith(prefix))
+
+
+def scores(spark: SparkSession, path: str, windowed: bool | None = None) -> DataFrame:
+    """Stored scores with the number in their file's name as ``id``; of windowed recordings, of others, or of all."""
+    d = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_name"))
+    d = d.withColumn("id", F.regexp_extract("_file", r"(\d+)", 1).cast("long")).withColumn("windowed", F.lower("_file").contains("windowed"))
+    return (d if windowed is None else d.where(F.col("windowed") == windowed)).drop("_file")
+
+
+def file_list(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The distinct values of one column of a list of files, from CSV with a header or from Parquet."""
+    d = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    return d.select(F.trim(F.col(column).cast("string")).alias(column)).where(F.length(column) > 0).distinct()
+
+
 def sample_files(files: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """Exactly ceil(share * n) files, the same ones each time."""
     n = files.count()
