@@ -8,7 +8,7 @@ compared with the passage, by their shares of word runs found in it.
 
 For many passages at once the first pivot test of WAND is done with array operations: the sum over a passage's terms
 of each item block's largest weight bounds every item of that block.  Passages and blocks over the threshold go through
-the block-max WAND loop.
+the block-max WAND loop.  Postings and block maxima are kept sparse, about 30 bytes for a word of an item.
 
 The index is built by the driver.  Where the items are larger than ``INDEX_BYTES`` they are dealt into shards of at most
 that size, each of which is run against all passages; document frequencies and the mean length are always those of all
@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +42,7 @@ THRESHOLD = 0.6
 #: Share of the question's and of the answer's word runs that must stand in the passage.
 QUESTION, ANSWER, RUN = 0.8, 0.8, 5
 BLOCK = 4
+#: Twice the bytes of items' texts in a shard; a shard's index takes about ten times their bytes in each Python worker.
 INDEX_BYTES = 32 << 20
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
@@ -79,13 +80,18 @@ class Index:
     question: list[tuple[int, np.ndarray]] = field(default_factory=list)  # words a run, and the runs
     answer: list[tuple[int, np.ndarray]] = field(default_factory=list)
     terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    postings: list[tuple[list[int], list[float], float]] = field(default_factory=list)
-    blocks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where each term's postings begin, and their number
+    item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))  # a term's largest weight
+    n_blocks: int = 0
+    block_key: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # term * n_blocks + block, ascending
+    block_most: np.ndarray = field(default_factory=lambda: np.zeros(0))
     table: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))
 
     @classmethod
-    def build(cls, items: list, df: dict[int, int], n_items: int, mean: float) -> Index:
-        """items: (item_id, question, answer)."""
+    def build(cls, items: list, df: Mapping[int, int], n_items: int, mean: float) -> Index:
+        """items: (item_id, question, answer); df has the document frequency of each of their words."""
         ix, found = cls(), defaultdict(list)
         for item_id, question, answer in items:
             q, a = own_words(question), own_words(answer)
@@ -100,12 +106,17 @@ class Index:
             ix.question.append((min(RUN, len(q)), runs(q)))
             ix.answer.append((min(RUN, len(a)), runs(a)))
         ix.terms = np.array(sorted(found), np.uint64)
-        n_blocks = -(-len(ix.item_id) // BLOCK)
-        ix.blocks = np.zeros((len(ix.terms), n_blocks), np.float32)
-        for k, t in enumerate(ix.terms.tolist()):
-            own, weights = (list(x) for x in zip(*found[t], strict=True))
-            ix.postings.append((own, weights, max(weights)))
-            np.maximum.at(ix.blocks[k], np.array(own) // BLOCK, np.array(weights, np.float32) * np.float32(1.00001))
+        ix.n_blocks = -(-len(ix.item_id) // BLOCK)
+        if not found:
+            return ix
+        lists = [found[t] for t in ix.terms.tolist()]
+        ix.first = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        ix.item = np.array([i for x in lists for i, _ in x], np.int32)
+        ix.weight = np.array([w for x in lists for _, w in x])
+        ix.most = np.maximum.reduceat(ix.weight, ix.first[:-1])
+        key = np.repeat(np.arange(len(lists)), np.diff(ix.first)) * np.int64(ix.n_blocks) + ix.item // BLOCK
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))  # items ascend in a term, and so do keys
+        ix.block_key, ix.block_most = key[new], np.maximum.reduceat(ix.weight, new)
         ix.table = np.full(1 << 18, -1, np.int32)  # by the hash's high bits: the last term with these
         ix.table[(ix.terms >> np.uint64(46)).astype(np.int64)] = np.arange(len(ix.terms))
         return ix
@@ -121,27 +132,60 @@ class Index:
         out[maybe[hit]] = at[hit]
         return out
 
-    def wand(self, terms: list[int], bounds: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+    def blocks(self, window: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(window, block) pairs whose block maxima add up to the threshold; the input is ascending by window.
+
+        Terms with the smallest maxima whose sum stays under the threshold cannot lift an item to it by themselves, so
+        only blocks of the other terms are looked at; their bounds count all terms.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(window):
+            return none
+        order = np.lexsort((self.most[term], window))
+        w, t = window[order], term[order]
+        start = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        upto = np.cumsum(self.most[t])
+        size = np.diff(np.append(start, len(w)))
+        upto -= np.repeat(upto[start] - self.most[t[start]], size)
+        main = np.flatnonzero(upto >= threshold * (1 - 1e-9))
+        if not len(main):
+            return none
+        low, high = (np.searchsorted(self.block_key, (t[main] + k) * np.int64(self.n_blocks)) for k in (0, 1))
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.unique(np.repeat(np.searchsorted(w[start], w[main]), n) * np.int64(self.n_blocks) + self.block_key[at] % self.n_blocks)
+        own, block = pair // self.n_blocks, pair % self.n_blocks
+        each = size[own]
+        back = np.repeat(np.arange(len(pair)), each)
+        k = start[own][back] + np.arange(len(back)) - np.repeat(np.cumsum(each) - each, each)
+        key = t[k] * np.int64(self.n_blocks) + block[back]
+        place = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+        bound = np.bincount(back, np.where(self.block_key[place] == key, self.block_most[place], 0.0), len(pair))
+        good = bound >= threshold * (1 - 1e-9)
+        return w[start][own[good]], block[good]
+
+    def wand(self, terms: list[int], good: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items with at least the threshold, by block-max WAND.
 
-        bounds holds the sum of the terms' largest weights in each block.  The postings of the terms are walked together
-        in the order of their current items; the pivot is the first item that the lists up to it can lift to the threshold,
-        and a pivot in a block that cannot reach it moves all lists on to the next block that can.
+        good: the blocks, ascending, whose maxima reach the threshold.  The postings of the terms are walked together in the
+        order of their current items; the pivot is the first item that the lists up to it can lift to the threshold, and
+        a pivot in a block that cannot reach it moves all lists on to the next block that can.
         """
-        good = np.flatnonzero(bounds >= threshold).tolist()
+        if not good:
+            return []
         lists = []  # [position, items, weights, largest weight]
         for t in terms:
-            items, weights, most = self.postings[t]
-            at = bisect_left(items, good[0] * BLOCK)
-            if at < len(items):
-                lists.append([at, items, weights, most])
+            a, b = self.first[t], self.first[t + 1]
+            at = int(np.searchsorted(self.item[a:b], good[0] * BLOCK))
+            if at < b - a:
+                lists.append([at, self.item[a:b].tolist(), self.weight[a:b], float(self.most[t])])
         found = []
         while lists:
             lists.sort(key=lambda x: x[1][x[0]])
             bound, pivot = 0.0, -1
             for k, x in enumerate(lists):
                 bound += x[3]
-                if bound >= threshold:
+                if bound >= threshold * (1 - 1e-9):
                     pivot = k
                     break
             if pivot < 0:
@@ -153,8 +197,7 @@ class Index:
             if good[block] != item // BLOCK:
                 to = good[block] * BLOCK
             elif lists[0][1][lists[0][0]] == item:
-                here = [x for x in lists if x[1][x[0]] == item]
-                score = sum(x[2][x[0]] for x in here)
+                score = float(sum(x[2][x[0]] for x in lists if x[1][x[0]] == item))
                 if score >= threshold:
                     found.append((item, score))
                 to = item + 1
@@ -192,14 +235,15 @@ def search(ix: Index, w: Words, length: int, threshold: float, question: float,
     window, t = pair // (len(ix.terms) + 1), pair % (len(ix.terms) + 1)
     first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1]))) if len(window) else np.zeros(0, np.int64)
     best: dict[tuple[int, int], tuple] = {}
-    step = 4096
+    step = 1024
     for a in range(0, len(first), step):
         lo, hi = first[a], first[a + step] if a + step < len(first) else len(window)
-        bounds = np.add.reduceat(ix.blocks[t[lo:hi]], first[a : a + step] - lo, axis=0)
-        for k in np.flatnonzero((bounds >= threshold).any(axis=1)):
-            s = first[a + k]
-            e = first[a + k + 1] if a + k + 1 < len(first) else len(window)
-            hits = ix.wand(t[s:e].tolist(), bounds[k], threshold)
+        own, block = ix.blocks(window[lo:hi], t[lo:hi], threshold)
+        edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        for e0, e1 in zip(edge.tolist(), [*edge[1:].tolist(), len(own)], strict=False):
+            s = lo + int(np.searchsorted(window[lo:hi], own[e0]))
+            e = lo + int(np.searchsorted(window[lo:hi], own[e0], side="right"))
+            hits = ix.wand(t[s:e].tolist(), block[e0:e1].tolist(), threshold)
             if not hits:
                 continue
             d = int(np.searchsorted(base, window[s], side="right") - 1)
@@ -231,18 +275,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
         rows = items.where(F.pmod(F.xxhash64("q", "item_id"), F.lit(shards)) == k).collect()  # about half of index_bytes
         return sorted({(r.item_id, *((r.q, r.a) if r.a is not None else question_and_answer(r.q))) for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
 
-    df: dict[int, int] = defaultdict(int)
+    words_, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # document frequencies of all items' words
     n_items = total = longest = 0
     for k in range(shards):
+        found = [words_]
         for _, q, a in read(k):
             h = own_words(f"{q} {a}")
-            for x in np.unique(h).tolist():
-                df[x] += 1
+            found.append(np.unique(h))
             n_items, total, longest = n_items + bool(len(h)), total + len(h), max(longest, len(h))
+        size = np.concatenate([counts, np.ones(sum(map(len, found[1:])), np.int64)])
+        words_, back = np.unique(np.concatenate(found), return_inverse=True)
+        counts = np.bincount(back, size, len(words_)).astype(np.int64)
     out = None
     for k in range(shards):
         part = read(k)
-        have = {int(x): df[int(x)] for _, q, a in part for x in own_words(f"{q} {a}")}
+        own = np.unique(np.concatenate([own_words(f"{q} {a}") for _, q, a in part])) if part else words_[:0]
+        have = dict(zip(own.tolist(), counts[np.searchsorted(words_, own)].tolist(), strict=True))
         found = _against(docs, part, have, max(n_items, 1), total / max(n_items, 1) or 1.0, max(longest, 16), threshold, question, answer, with_hash)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], RESULT)
@@ -254,7 +302,7 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.join(leaks, (id_of() == F.col("__leak")) & (F.xxhash64(text_of()) == F.col("__hash")), "left_anti")
 
 
-def _against(docs: DataFrame, part: list[tuple], df: dict[int, int], n_items: int, mean: float, length: int, threshold: float, question: float, answer: float, with_hash: bool) -> DataFrame:
+def _against(docs: DataFrame, part: list[tuple], df: Mapping[int, int], n_items: int, mean: float, length: int, threshold: float, question: float, answer: float, with_hash: bool) -> DataFrame:
     own = ["doc_id", "text_hash"] if with_hash else ["doc_id"]
     built: list[Index] = []
 

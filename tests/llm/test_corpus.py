@@ -463,9 +463,11 @@ def test_wand_finds_all_over_the_threshold(seed):
         t = t[t >= 0].tolist()
         score = collections.Counter()
         for k in t:
-            for item, w in zip(*ix.postings[k][:2], strict=True):
+            for item, w in zip(ix.item[ix.first[k] : ix.first[k + 1]].tolist(), ix.weight[ix.first[k] : ix.first[k + 1]], strict=True):
                 score[item] += w
-        got = ix.wand(t, ix.blocks[t].sum(axis=0), 0.5)
+        _, good = ix.blocks(np.zeros(len(t), np.int64), np.array(t, np.int64), 0.5)
+        assert {i // decontamination.BLOCK for i, x in score.items() if x >= 0.5} <= set(good.tolist())
+        got = ix.wand(t, good.tolist(), 0.5)
         assert sorted(i for i, _ in got) == sorted(i for i, s in score.items() if s >= 0.5)
 
 
