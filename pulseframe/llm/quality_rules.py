@@ -89,7 +89,7 @@ def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """The log ratio of each bucket, from counts over all documents; the trusted ones are labelled quality 1."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct().withColumn("_good", F.lit(1))
-    d = docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    d = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left")
     grams = d.select(F.explode(buckets_of(words_of(text_of()), buckets)).alias("b"), F.coalesce("_good", F.lit(0)).cast("long").alias("g"))
     counts = {r.b: (r.t, r.n) for r in grams.groupBy("b").agg(F.sum("g").alias("t"), F.count("*").alias("n")).collect()}  # one row a bucket at most
     target, raw = (sum(x[i] for x in counts.values()) for i in (0, 1))
