@@ -261,6 +261,22 @@ def search(ix: Index, w: Words, length: int, threshold: float, question: float,
     return list(best.values())
 
 
+def leaks(ix: Index, texts: list[bytes], length: int, threshold: float, question: float, answer: float) -> list[tuple]:
+    """search() over texts of any length."""
+    rows: list[tuple] = []
+    for numbers, group in pieces(texts):
+        if len(group[0]) <= arrays.PIECE:
+            rows += [(numbers[d], *rest) for d, *rest in search(ix, words(group, lower=True, bare=True), length, threshold, question, answer)]
+            continue
+        best: dict = {}  # a very long text, part by part
+        for w, done, n in windowed_parts(group[0], 2 * length, length, lower=True, bare=True):
+            for _, item, *rest in search(ix, w, length, threshold, question, answer, n):
+                if item not in best or best[item][0] < rest[0]:
+                    best[item] = (*rest[:3], rest[3] + done)
+        rows += [(numbers[0], item, *rest) for item, rest in best.items()]
+    return rows
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, index_bytes: int = INDEX_BYTES, with_hash: bool = False) -> DataFrame:
     """One row for each document and item that it leaks; with_hash: also text_hash, as rows may share a doc_id."""
     spark = docs.sparkSession
@@ -312,17 +328,7 @@ def _against(docs: DataFrame, part: list[tuple], df: Mapping[int, int], n_items:
         for b in batches:
             ids = list(zip(*[b[c].to_list() for c in own], strict=True))
             texts = [encode(t) for t in b["text"]]
-            rows: list[tuple] = []
-            for numbers, group in pieces(texts):
-                if len(group[0]) <= arrays.PIECE:
-                    rows += [(*ids[numbers[d]], *rest) for d, *rest in search(built[0], words(group, lower=True, bare=True), length, threshold, question, answer)]
-                    continue
-                best: dict = {}  # a very long text, part by part
-                for w, done, n in windowed_parts(group[0], 2 * length, length, lower=True, bare=True):
-                    for _, item, *rest in search(built[0], w, length, threshold, question, answer, n):
-                        if item not in best or best[item][0] < rest[0]:
-                            best[item] = (*rest[:3], rest[3] + done)
-                rows += [(*ids[numbers[0]], item, *rest) for item, rest in best.items()]
+            rows = [(*ids[d], *rest) for d, *rest in leaks(built[0], texts, length, threshold, question, answer)]
             yield pd.DataFrame(rows, columns=[*own, "item_id", "score", "question_overlap", "answer_overlap", "first_word"]).astype({"item_id": "Int64"})
 
     rows = docs.select(id_of().alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), "text").select(*own, "text")

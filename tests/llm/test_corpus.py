@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -609,17 +610,29 @@ def test_scores_do_not_depend_on_where_long_texts_are_cut(network, monkeypatch,
 
 
 @pytest.mark.parametrize("size", [1 << 20, 200])
-def test_decontamination_finds_the_same_passages_in_cut_texts(spark, monkeypatch, size):
+def test_decontamination_finds_the_same_passages_in_cut_texts(monkeypatch, size):
     monkeypatch.setattr("pulseframe.llm.arrays.PIECE", size)
     r = random.Random(21)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     items = [(k, " ".join(word() for _ in range(12)) + "? " + " ".join(word() for _ in range(4)) + ".") for k in range(8)]
-    docs = [(k, " ".join(word() for _ in range(n)) + " " + items[k][1] + " " + " ".join(word() for _ in range(90))) for k, n in enumerate([0, 1, 15, 16, 17, 31, 200, 333])]
+    before = [0, 1, 15, 16, 17, 31, 200, 333]
+    texts = [encode(" ".join(word() for _ in range(n)) + " " + items[k][1] + " " + " ".join(word() for _ in range(90))) for k, n in enumerate(before)]
     part = [(k, *decontamination.question_and_answer(t)) for k, t in items]
     df = collections.Counter(x for _, q, a in part for x in np.unique(decontamination.own_words(f"{q} {a}")).tolist())
-    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
-    found = decontamination._against(d, part, df, 8, 16.0, 16, 0.6, 0.8, 0.8, False).collect()
-    assert {(r.doc_id, r.item_id): r.first_word for r in found} == {(k, k): max(0, -(-(n + 16) // 16) * 16 - 32) for k, n in enumerate([0, 1, 15, 16, 17, 31, 200, 333])}
+    found = decontamination.leaks(decontamination.Index.build(part, df, 8, 16.0), texts, 16, 0.6, 0.8, 0.8)
+    assert {(d, item): first for d, item, _, _, _, first in found} == {(k, k): max(0, -(-(n + 16) // 16) * 16 - 32) for k, n in enumerate(before)}
+
+
+def test_anchors_and_words_of_cut_texts(monkeypatch):
+    """A chunk's anchors and word hashes do not depend on where long texts are cut."""
+    texts = [t for _, t in crowded_rows()] + [" ".join(t for _, t in crowded_rows()), "", None]
+    d = pd.DataFrame({"_id": np.arange(len(texts)), "_h": 0, "text": texts})
+    whole, words_ = suffix_dedup._Chunk(d, 50, 25), substring_dedup._Chunk(d)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    monkeypatch.setattr("pulseframe.llm.arrays.PIECE", 64)
+    cut, cut_words = suffix_dedup._Chunk(d, 50, 25), substring_dedup._Chunk(d)
+    starts = lambda c: {(t, s): (int(h), a) for t, a, x, y, h in zip(c.of.tolist(), c.at.tolist(), c.first.tolist(), c.last.tolist(), c.hash.tolist(), strict=True) for s in range(x, y + 1)}
+    assert starts(whole) == starts(cut) and (words_.hash == cut_words.hash).all() and words_.counts == cut_words.counts
 
 
 def test_fit_follows_the_regularised_leader():
