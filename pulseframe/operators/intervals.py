@@ -34,7 +34,7 @@ def first_match(points: DataFrame, intervals: DataFrame, key: list[str], t: str,
 def overlaps(a: DataFrame, b: DataFrame, key: list[str], width: int, least: float | None = None) -> DataFrame:
     """Pairs of intervals (start, end) of the same key with a positive overlap, or one of at least a share of the shorter.
 
-    The columns of b get the suffix _b.  Both sides stand in each bucket of the given width that they touch, so the join is
+    The columns of b get the suffix _b; an interval without length has no share.  Both sides stand in each bucket of the given width that they touch, so the join is
     an equi join on (key, bucket) and a long series is spread over its buckets; a pair counts in the bucket where its
     overlap begins, so it is found once.
     """
@@ -45,7 +45,7 @@ def overlaps(a: DataFrame, b: DataFrame, key: list[str], width: int, least: floa
     for c in key:
         on = on & (F.col(c) == F.col(f"{c}_b"))
     j = a.withColumn("_at", touched).join(r, on).drop("_at", "_at_b")
-    j = j.withColumn("overlap", (F.least("end", "end_b") - begins).cast("double") / F.least(F.col("end") - F.col("start"), F.col("end_b") - F.col("start_b")))
+    j = j.withColumn("overlap", (F.least("end", "end_b") - begins).cast("double") / F.nullif(F.least(F.col("end") - F.col("start"), F.col("end_b") - F.col("start_b")), F.lit(0)))
     return j if least is None else j.where(F.col("overlap") >= least)
 
 

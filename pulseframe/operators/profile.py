@@ -1,7 +1,8 @@
 """Similarity search in series: distance profiles, matrix profiles, discords.
 
 The kernels are functions of numpy arrays; the operators run them for each series (and length) of a DataFrame with
-columns key, ``values`` array<double>.  A series is a row, so a task holds one series at a time.
+columns key, ``values`` array<double>.  A series is a row, so a task holds one series at a time; the search in a long one
+is split over tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FLOOR = 1e-10
+#: Windows of a series that are one task.
+TILE = 8192
 
 
 def moments(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +44,11 @@ def normalised_windows(x: np.ndarray, m: int) -> np.ndarray:
     return (w - w.mean(axis=1, keepdims=True)) / np.where(dev < FLOOR, np.inf, dev)
 
 
-def profile(x: np.ndarray, m: int, exclusion: int, left_only: bool = False, share: float = 1.0, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def profile(x: np.ndarray, m: int, exclusion: int, left_only: bool = False, share: float = 1.0, seed: int = 1, part: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
     """Nearest-neighbour distance and position of all windows, over all diagonals at least exclusion apart.
 
-    left_only: neighbours that stand before.  share: of the diagonals, drawn by the seed.  Windows without a neighbour
-    have NaN and -1.
+    left_only: neighbours that stand before.  share: of the diagonals, drawn by the seed.  part: (k, n) for the k-th of n
+    equal parts of the diagonals.  Windows without a neighbour have NaN and -1.
     """
     n = len(x) - m + 1
     if n < 1:
@@ -55,6 +58,7 @@ def profile(x: np.ndarray, m: int, exclusion: int, left_only: bool = False, shar
     gaps = np.arange(max(1, exclusion), n)
     if share < 1 and len(gaps):
         gaps = np.sort(np.random.default_rng(seed).choice(gaps, max(1, int(len(gaps) * share)), replace=False))
+    gaps = gaps[part[0] :: part[1]]
     centred = x - x.mean()
     mean = mean - x.mean()
     flat = dev <= np.sqrt(FLOOR) * 1.01
@@ -75,15 +79,16 @@ def profile(x: np.ndarray, m: int, exclusion: int, left_only: bool = False, shar
     return np.where(np.isinf(best), np.nan, best), at
 
 
-def left_profile_pruned(x: np.ndarray, m: int, split: int) -> tuple[np.ndarray, float, int]:
+def left_profile_pruned(x: np.ndarray, m: int, split: int, upto: int | None = None) -> tuple[np.ndarray, float, int]:
     """Left profile with pruning: exact wherever a value may be the largest, else a value below the best so far.
 
     A prefix of 16 m windows is exact; a later window looks backwards over pieces that double in length and stops
     as soon as its distance is under the best so far; a piece ahead whose distance to the window is under it is skipped.
+    Windows before split and from upto on are not looked at.
     """
-    n = len(x) - m + 1
+    n = len(x) - m + 1 if upto is None else min(upto, len(x) - m + 1)
     out = np.full(max(n, 0), np.nan)
-    best, where, skip = 0.0, -1, np.zeros(max(n, 0), bool)
+    best, where, skip = 0.0, -1, np.zeros(len(x), bool)
     ahead = 1 << int(np.ceil(np.log2(16 * m)))
     for i in range(max(split, m + 1), n):
         if skip[i]:
@@ -158,34 +163,50 @@ def gather(df: DataFrame, key: list[str], order: list[str], value: str) -> DataF
 
 
 def matrix_profile(df: DataFrame, key: list[str], m: int, exclusion: int | None = None, left_only: bool = False, share: float = 1.0) -> DataFrame:
-    """key, pos, dist, nn for every window of every series; the exclusion is a quarter of m unless given."""
+    """key, pos, dist, nn for every window of every series; the exclusion is a quarter of m unless given.
+
+    A long series' diagonals are dealt over several tasks, and each window keeps the nearest that any of them found.
+    """
     gap = -(-m // 4) if exclusion is None else exclusion
+    parts = F.greatest(F.lit(1), F.ceil((F.size("values") - m + 1) / TILE)).cast("int")
+    grid = df.select(*key, "values", parts.alias("_parts")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    grid = grid.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "_part")
 
-    def run(x: np.ndarray) -> dict:
-        d, at = profile(x, m, gap, left_only, share)
+    def run(x: np.ndarray, k: int, n: int) -> dict:
+        d, at = profile(x, m, gap, left_only, share, part=(k, n))
         return {"pos": np.arange(len(d)), "dist": pd.array(d, "Float64") if not np.isnan(d).any() else [None if np.isnan(v) else v for v in d], "nn": [None if a < 0 else int(a) for a in at]}
 
-    return _each(df, key, "pos long, dist double, nn long", run)
+    each = _each(grid, key, "pos long, dist double, nn long", run, ["_part", "_parts"])
+    best = F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "nn"))).alias("_b")
+    return each.groupBy(*key, "pos").agg(best).select(*key, "pos", "_b.dist", "_b.nn")
 
 
 def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int, pruned: bool = True) -> DataFrame:
     """key, m, score (normalised by 1 / (2 sqrt m)), pos: the best left discord of every series and length.
 
-    A task is a (series, length), so lengths run side by side.
+    Pairs of a series and a length are dealt over the shuffle partitions, so lengths run side by side; so are the tiles of
+    windows of a long series, each with a best so far of its own.
     """
-    grid = df.withColumn("m", F.explode(F.array(*[F.lit(m) for m in lengths]))).where(F.size("values") >= F.col("m") * 2)
+    grid = df.select(*key, "values").withColumn("m", F.explode(F.array(*[F.lit(m) for m in lengths]))).where(F.size("values") >= F.col("m") * 2)
+    tiles = F.greatest(F.lit(1), F.ceil((F.size("values") - F.col("m") + 1 - split) / TILE)).cast("int")
+    grid = grid.withColumn("_tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    grid = grid.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "m", "_tile")
 
-    def run(x: np.ndarray, m: int) -> dict:
+    def run(x: np.ndarray, m: int, tile: int) -> dict:
+        low, high = split + tile * TILE, split + (tile + 1) * TILE
         if pruned:
-            _, best, at = left_profile_pruned(x, m, split)
+            _, best, at = left_profile_pruned(x, m, low, high)
         else:
             d = profile(x, m, m, True)[0]
-            d[: max(split, m + 1)] = np.nan
+            d[: max(low, m + 1)] = np.nan
+            d[high:] = np.nan
             at = int(np.nanargmax(d)) if np.isfinite(d).any() else -1
             best = float(d[at]) if at >= 0 else 0.0
         return {"score": [best / (2 * np.sqrt(m))], "pos": [at]}
 
-    return _each(grid, key, "score double, pos long", run, ["m"])
+    each = _each(grid, key, "score double, pos long", run, ["m", "_tile"])
+    best = F.max(F.struct("score", (-F.col("pos")).alias("_before"))).alias("_b")
+    return each.groupBy(*key, "m").agg(best).select(*key, "m", "_b.score", (-F.col("_b._before")).alias("pos"))
 
 
 def best_so_far(discords: DataFrame, key: list[str], percentile: float) -> DataFrame:

@@ -270,3 +270,65 @@ def test_empty_tables(spark):
     assert sequence.refractory(e.select("k", "t"), ["k"], "t", 5).count() == 0
     i = spark.createDataFrame([], "k string, start long, end long")
     assert intervals.merge(i, ["k"]).count() == 0 and metrics.mask_events(i, i, ["k"]).count() == 0
+
+
+def test_long_series_are_searched_in_tiles(spark, monkeypatch):
+    """Several tiles give what one gives."""
+    rng = np.random.default_rng(3)
+    rows = [("a", rng.standard_normal(300).tolist()), ("b", rng.standard_normal(61).tolist()), ("c", [1.0] * 20)]
+    d = spark.createDataFrame(rows, "k string, values array<double>")
+    want = {(r.k, r.pos): (r.dist, r.nn) for r in profile.matrix_profile(d, ["k"], 8).collect()}
+    best = {(r.k, r.m): (r.score, r.pos) for r in profile.left_discords(d, ["k"], [6, 9], 20).collect()}
+    monkeypatch.setattr(profile, "TILE", 37)
+    got = {(r.k, r.pos): (r.dist, r.nn) for r in profile.matrix_profile(d, ["k"], 8).collect()}
+    assert got == want and len(want) == 293 + 54 + 13
+    for (k, m), (score, pos) in {(r.k, r.m): (r.score, r.pos) for r in profile.left_discords(d, ["k"], [6, 9], 20).collect()}.items():
+        assert abs(score - best[k, m][0]) < 1e-9 and pos == best[k, m][1]
+
+
+def test_exact_percentiles_from_ranges(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.standard_normal(500), np.full(400, 0.25), [7.0]])
+    d = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(5)
+    shares = [0.0, 0.1, 0.5, 0.777, 0.95, 1.0]
+    got = {r.share: r.percentile for r in metrics.percentiles(d, "v", shares, buckets=7).collect()}
+    low = {r.share: r.percentile for r in metrics.percentiles(d, "v", shares, buckets=7, lower=True).collect()}
+    for s in shares:
+        assert abs(got[s] - np.quantile(v, s)) < 1e-12 and low[s] == np.sort(v)[int(s * (len(v) - 1))]
+    assert metrics.percentiles(d.limit(0), "v", shares).count() == 0
+
+
+def test_overlaps_by_bucket_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    make = lambda n: [(int(k), int(s), int(s + w)) for k, s, w in zip(rng.integers(0, 3, n), rng.integers(-200, 900, n), rng.integers(0, 300, n), strict=True)]
+    a, b = make(70), make(60)
+    frame = lambda rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, k long, start long, end long")
+    got = sorted((r.i, r.i_b) for r in intervals.overlaps(frame(a), frame(b), ["k"], 50).collect())
+    assert got == sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
+
+
+def test_sweep_is_clustering_for_each_gap(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(u), i, int(t)) for i, (u, t) in enumerate(zip(rng.integers(0, 4, 120), rng.integers(0, 400, 120), strict=True))]
+    d = spark.createDataFrame(rows, "user_id long, event_id long, t long")
+    gaps = [0, 2, 5, 11, 400]
+    got = {(r.setting, r.user_id, r.event_id, r["size"], r.span) for r in clusters.sweep(d.withColumn("g", F.array(*[F.lit(g) for g in gaps])), ["user_id"], "t", "event_id", "g").collect()}
+    want = set()
+    for k, g in enumerate(gaps):
+        for r in clusters.representatives(clusters.by_gap(d, ["user_id"], "t", g, "event_id"), ["user_id"], "t", "event_id").collect():
+            want.add((k, r.user_id, r.event_id, r["size"], r.span))
+    assert got == want
+
+
+def test_lists_and_scans_by_file_name(spark, tmp_path):
+    d = spark.range(4).withColumnRenamed("id", "v")
+    for name in ("profile_01", "other_02"):
+        d.toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    assert {r.file for r in readers.profiles(spark, str(tmp_path), "profile_").select("file").collect()} == {"profile_01.parquet"}
+    (tmp_path / "s").mkdir()
+    for name in ("run_07_windowed", "run_08"):
+        d.toPandas().to_parquet(tmp_path / "s" / f"{name}.parquet")
+    assert {(r.id, r.windowed) for r in readers.scores(spark, str(tmp_path / "s")).collect()} == {(7, True), (8, False)}
+    assert {r.id for r in readers.scores(spark, str(tmp_path / "s"), windowed=False).collect()} == {8}
+    (tmp_path / "list.csv").write_text("run,x\n a ,1\nb,2\na,3\n,4\n")
+    assert {r.run for r in readers.file_list(spark, str(tmp_path / "list.csv"), "run").collect()} == {"a", "b"}
