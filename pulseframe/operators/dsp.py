@@ -243,3 +243,34 @@ def upsampled(values: Column, n: int, to: int) -> Column:
         return F.element_at(values, low + 1) * (1 - part) + F.element_at(values, F.least(F.lit(n - 1), low + 1) + 1) * part
 
     return F.transform(F.sequence(F.lit(0), F.lit(to - 1)), at)
+
+
+def stft(x: np.ndarray, n_fft: int) -> np.ndarray:
+    """Normalised Fourier transforms (bins, frames) of periodic Hann windows every quarter of n_fft; the ends are mirrored."""
+    half, hop = n_fft // 2, max(1, n_fft // 4)
+    padded = np.concatenate([x[half:0:-1], x, x[-2 : -half - 2 : -1]])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+    return np.fft.rfft(frames * window, axis=1).T / np.sqrt(n_fft)
+
+
+def istft(z: np.ndarray, n_fft: int) -> np.ndarray:
+    """The values that stft() came from (as far as whole frames reach), by overlap-add over the squared windows."""
+    half, hop, n = n_fft // 2, max(1, n_fft // 4), z.shape[1]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+    total, weight = np.zeros(n_fft + hop * (n - 1)), np.zeros(n_fft + hop * (n - 1))
+    for k, frame in enumerate(np.fft.irfft(z.T * np.sqrt(n_fft), n_fft, axis=1)):
+        total[k * hop : k * hop + n_fft] += frame * window
+        weight[k * hop : k * hop + n_fft] += window * window
+    return (total / np.where(weight > 1e-11, weight, 1.0))[half:-half]
+
+
+def spectrogram(df: DataFrame, key: list[str], n_fft: int) -> DataFrame:
+    """key, frame, bin, re, im: stft() of each series longer than half a window."""
+
+    def run(x: np.ndarray) -> dict:
+        z = stft(x, n_fft)
+        frame, bin_ = np.meshgrid(np.arange(z.shape[1]), np.arange(z.shape[0]))
+        return {"frame": frame.ravel(), "bin": bin_.ravel(), "re": z.real.ravel(), "im": z.imag.ravel()}
+
+    return _each(df.where(F.size("values") > n_fft // 2 + 1), key, "frame int, bin int, re double, im double", run)

@@ -209,6 +209,25 @@ def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int,
     return each.groupBy(*key, "m").agg(best).select(*key, "m", "_b.score", (-F.col("_b._before")).alias("pos"))
 
 
+def hinted(df: DataFrame, discords: DataFrame, key: list[str], middle: int) -> DataFrame:
+    """discords, where those of other lengths are replaced by the window at the middle length's position if it scores higher.
+
+    The position of the best discord of the middle length is a hint for the others: their left distance there is looked at too.
+    """
+    hint = discords.where(F.col("m") == middle).select(*key, F.col("pos").alias("_hint"))
+    rows = discords.join(hint, key, "left").join(df.select(*key, "values"), key)
+
+    def run(x: np.ndarray, m: int, score: float, pos: int, at: float) -> dict:
+        if at == at and at is not None and at != pos and m <= at <= len(x) - m:
+            found = float(distance_profile(x[int(at) : int(at) + m], x[: int(at)]).min()) / (2 * np.sqrt(m))
+            if np.isfinite(found) and found > score:
+                score, pos = found, int(at)
+        return {"score": [score], "pos": [pos]}
+
+    out = _each(rows.withColumnRenamed("score", "_score").withColumnRenamed("pos", "_pos"), key, "score double, pos long", run, ["m", "_score", "_pos", "_hint"])
+    return out.select(*key, "m", "score", "pos")
+
+
 def best_so_far(discords: DataFrame, key: list[str], percentile: float) -> DataFrame:
     """The best discords of each series, one a length, that reach a percentile (linear) of them, with rank by falling score."""
     floor = discords.groupBy(*key).agg(F.percentile("score", percentile).alias("_floor"))  # a series has as many as lengths

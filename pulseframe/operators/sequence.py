@@ -97,6 +97,15 @@ def in_windows(df: DataFrame, key: list[str], position: str, width: int, stride:
     return df.withColumn("window_index", F.explode(F.sequence(low, F.floor(F.col(position) / stride).cast("long"))))
 
 
+def clean_windows(df: DataFrame, key: list[str], position: str, exclude: Column, width: int, stride: int, batch: int) -> DataFrame:
+    """key, window_index, start, batch: windows without an excluded row, and the mini-batch of so many windows that each is in."""
+    n = F.count("*").over(Window.partitionBy(*key))
+    w = in_windows(df.select(*key, position, exclude.cast("int").alias("_x"), n.alias("_n")), key, position, width, stride).where(F.col("window_index") * stride + width <= F.col("_n"))
+    clean = w.groupBy(*key, "window_index").agg(F.max("_x").alias("_x")).where("_x = 0")
+    order = F.row_number().over(ordered(key, ["window_index"])) - 1
+    return clean.select(*key, "window_index", (F.col("window_index") * stride).alias("start"), F.floor(order / batch).cast("long").alias("batch"))
+
+
 def reconstruct(df: DataFrame, key: list[str], position: str, value: str) -> DataFrame:
     """One series from overlapping windows: the mean of what they hold at each position."""
     return df.groupBy(*key, position).agg(F.avg(value).alias(value))

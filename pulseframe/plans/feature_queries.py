@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import dsp, hrv, intervals, metrics, profile
+from ..operators import dsp, hrv, intervals, metrics, profile, sequence
 from ..sources import bridge, readers
 from ..sources.bridge import HOUR, POST, PRE, table
 from .registry import query
-from .signal_queries import _VEC, _vectors
+from .signal_queries import _LENGTHS, _VEC, SPLIT, _lengths_sql, _series, _vectors
 
 KEY = ["user_id"]
 
@@ -169,3 +169,32 @@ def latent_linear(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("values")
     latent = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.aggregate(F.slice(v, j * 8 + 1, 8), F.lit(0.0), lambda a, x: a + x) / 8)
     return _vectors(spark, d).select("vec_id", F.posexplode(dsp.upsampled(latent, 8, 64)).alias("i", "score")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_VEC}, fr AS (SELECT vec_id, v, unnest(range(0, 33)) AS frame FROM ve), sm AS (SELECT vec_id, frame, unnest(range(0, 8)) AS i, v FROM fr),
+px AS (SELECT vec_id, frame, i, frame * 2 + i - 4 AS p, v FROM sm), pv AS (SELECT vec_id, frame, i, v[CAST(CASE WHEN p < 0 THEN -p WHEN p > 63 THEN 126 - p ELSE p END AS INT) + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 8)) AS x FROM px),
+k AS (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS bin)
+SELECT vec_id, CAST(frame AS INTEGER) AS frame, bin, round(sum(x * cos(2 * pi() * i * bin / 8)) / sqrt(8), 6) + 0.0 AS re, round(-sum(x * sin(2 * pi() * i * bin / 8)) / sqrt(8), 6) + 0.0 AS im FROM pv, k GROUP BY vec_id, frame, bin""", shared=False)
+def spectrogram(spark: SparkSession, d: str) -> DataFrame:
+    """Short-time Fourier transforms with windows of eight samples."""
+    return dsp.spectrogram(_vectors(spark, d), ["vec_id"], 8).withColumns({c: F.round(c, 6) + 0.0 for c in ("re", "im")})
+
+
+@query("""WITH n AS (SELECT user_id, count(*) AS n FROM se GROUP BY user_id), w AS (SELECT user_id, unnest(range(0, CASE WHEN n >= 10 THEN (n - 10) // 5 + 1 ELSE 0 END)) AS k FROM n),
+c AS (SELECT w.user_id, k FROM w JOIN se s ON s.user_id = w.user_id AND s.idx >= k * 5 AND s.idx < k * 5 + 10 GROUP BY ALL HAVING count(*) FILTER (event_type = 'error') = 0)
+SELECT user_id, k AS window_index, k * 5 AS "start", (row_number() OVER (PARTITION BY user_id ORDER BY k) - 1) // 4 AS batch FROM c""")
+def clean_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Sliding windows that hold no excluded row, in mini-batches of four."""
+    return sequence.clean_windows(bridge.series(spark, d), KEY, "idx", F.col("event_type") == "error", 10, 5, 4)
+
+
+@query(f"""WITH {_lengths_sql(_LENGTHS, SPLIT)}, hi AS (SELECT user_id, pos AS hint FROM ld WHERE m = 8),
+hp AS (SELECT lw.user_id, lw.m, lw.pos, min(sqrt(greatest(0, 2 * lw.m * (1 - (list_dot_product(lw.w, b.w) - lw.m * lw.mu * b.mu) / (lw.m * lw.sd * b.sd))))) / (2 * sqrt(lw.m)) AS score
+  FROM lw JOIN hi ON lw.user_id = hi.user_id AND lw.pos = hi.hint JOIN lw b ON b.user_id = lw.user_id AND b.m = lw.m AND b.pos <= lw.pos - lw.m WHERE lw.pos >= lw.m GROUP BY lw.user_id, lw.m, lw.pos)
+SELECT ld.user_id, CAST(ld.m AS INTEGER) AS m, round(greatest(ld.score, coalesce(hp.score, 0)), 5) AS score, CAST(CASE WHEN hp.score > ld.score + 1e-9 THEN hp.pos ELSE ld.pos END AS BIGINT) AS pos
+FROM ld LEFT JOIN hp ON ld.user_id = hp.user_id AND ld.m = hp.m""")
+def hinted_discords(spark: SparkSession, d: str) -> DataFrame:
+    """Discords of several lengths with the middle length's position as a hint for the others."""
+    s = _series(spark, d)
+    found = profile.left_discords(s, KEY, _LENGTHS, SPLIT)
+    return profile.hinted(s, found, KEY, 8).withColumn("score", F.round("score", 5))

@@ -332,3 +332,9 @@ def test_lists_and_scans_by_file_name(spark, tmp_path):
     assert {r.id for r in readers.scores(spark, str(tmp_path / "s"), windowed=False).collect()} == {8}
     (tmp_path / "list.csv").write_text("run,x\n a ,1\nb,2\na,3\n,4\n")
     assert {r.run for r in readers.file_list(spark, str(tmp_path / "list.csv"), "run").collect()} == {"a", "b"}
+
+
+@pytest.mark.parametrize("n_fft", [4, 8, 16])
+def test_short_time_transform_goes_back(n_fft):
+    x = np.random.default_rng(n_fft).standard_normal(64)
+    assert np.allclose(dsp.istft(dsp.stft(x, n_fft), n_fft), x)
