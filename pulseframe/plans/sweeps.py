@@ -46,7 +46,7 @@ e8 AS (
   SELECT ti.threshold, CAST(coalesce(alarms, 0) AS BIGINT) AS alarms, CAST(coalesce(clusters, 0) AS BIGINT) AS clusters, n_truth, CAST(coalesce(detected, 0) AS BIGINT) AS detected,
     CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(coalesce(clusters, 0) - coalesce(tp, 0) AS BIGINT) AS fp, hours
   FROM ti LEFT JOIN e7 ON ti.threshold = e7.threshold, tt),
-e9 AS (SELECT *, round(CAST(detected AS DOUBLE) / nullif(n_truth, 0), 6) AS sensitivity, round(fp / hours, 6) AS fa_per_hour FROM e8),
+e9 AS (SELECT *, round(CAST(detected AS DOUBLE) / nullif(n_truth, 0), 6) AS sensitivity, round(coalesce(fp / nullif(hours, 0), 0), 6) AS fa_per_hour FROM e8),
 cu AS (SELECT *, round(CAST(100 AS DOUBLE) * sensitivity - CAST(0.4 AS DOUBLE) * fa_per_hour, 6) AS score FROM e9)"""
 
 
