@@ -8,7 +8,8 @@ compared with the passage, by their shares of word runs found in it.
 
 For many passages at once the first pivot test of WAND is done with array operations: the sum over a passage's terms
 of each item block's largest weight bounds every item of that block.  Passages and blocks over the threshold go through
-the block-max WAND loop.  Postings and block maxima are kept sparse, about 30 bytes for a word of an item.
+the block-max WAND loop.  Postings and block maxima are kept sparse, about 30 bytes for a word of an item,
+but for the block maxima of small sets of items.
 
 The index is built by the driver.  Where the items are larger than ``INDEX_BYTES`` they are dealt into shards of at most
 that size, each of which is run against all passages; document frequencies and the mean length are always those of all
@@ -42,6 +43,8 @@ THRESHOLD = 0.6
 #: Share of the question's and of the answer's word runs that must stand in the passage.
 QUESTION, ANSWER, RUN = 0.8, 0.8, 5
 BLOCK = 4
+#: Block maxima are a table of terms by blocks up to so many cells (16 MB), and sparse beyond; both give the same blocks.
+DENSE_CELLS = 1 << 22
 #: Twice the bytes of items' texts in a shard; a shard's index takes about ten times their bytes in each Python worker.
 INDEX_BYTES = 32 << 20
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
@@ -87,6 +90,7 @@ class Index:
     n_blocks: int = 0
     block_key: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # term * n_blocks + block, ascending
     block_most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    dense: np.ndarray | None = None  # the same block maxima, terms by blocks, where that is small
     table: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))
 
     @classmethod
@@ -117,6 +121,9 @@ class Index:
         key = np.repeat(np.arange(len(lists)), np.diff(ix.first)) * np.int64(ix.n_blocks) + ix.item // BLOCK
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))  # items ascend in a term, and so do keys
         ix.block_key, ix.block_most = key[new], np.maximum.reduceat(ix.weight, new)
+        if len(lists) * ix.n_blocks <= DENSE_CELLS:
+            ix.dense = np.zeros((len(lists), ix.n_blocks), np.float32)
+            ix.dense.ravel()[ix.block_key] = ix.block_most * 1.00001
         ix.table = np.full(1 << 18, -1, np.int32)  # by the hash's high bits: the last term with these
         ix.table[(ix.terms >> np.uint64(46)).astype(np.int64)] = np.arange(len(ix.terms))
         return ix
@@ -141,6 +148,10 @@ class Index:
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(window):
             return none
+        if self.dense is not None:
+            start = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+            own, block = np.nonzero(np.add.reduceat(self.dense[term], start, axis=0) >= np.float32(threshold))
+            return window[start][own], block
         order = np.lexsort((self.most[term], window))
         w, t = window[order], term[order]
         start = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
@@ -235,7 +246,7 @@ def search(ix: Index, w: Words, length: int, threshold: float, question: float,
     window, t = pair // (len(ix.terms) + 1), pair % (len(ix.terms) + 1)
     first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1]))) if len(window) else np.zeros(0, np.int64)
     best: dict[tuple[int, int], tuple] = {}
-    step = 1024
+    step = 4096 if ix.dense is not None else 1024
     for a in range(0, len(first), step):
         lo, hi = first[a], first[a + step] if a + step < len(first) else len(window)
         own, block = ix.blocks(window[lo:hi], t[lo:hi], threshold)

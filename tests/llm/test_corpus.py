@@ -452,8 +452,10 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.decontaminate(docs, bm).count() == 0
 
 
+@pytest.mark.parametrize("cells", [0, 1 << 22])
 @pytest.mark.parametrize("seed", range(3))
-def test_wand_finds_all_over_the_threshold(seed):
+def test_wand_finds_all_over_the_threshold(seed, cells, monkeypatch):
+    monkeypatch.setattr(decontamination, "DENSE_CELLS", cells)
     r = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(60)]
     items = [(k, " ".join(r.choices(vocabulary, k=12)), " ".join(r.choices(vocabulary, k=3))) for k in range(50)]
@@ -609,9 +611,11 @@ def test_scores_do_not_depend_on_where_long_texts_are_cut(network, monkeypatch,
         assert parts == found
 
 
+@pytest.mark.parametrize("cells", [0, 1 << 22])
 @pytest.mark.parametrize("size", [1 << 20, 200])
-def test_decontamination_finds_the_same_passages_in_cut_texts(monkeypatch, size):
+def test_decontamination_finds_the_same_passages_in_cut_texts(monkeypatch, size, cells):
     monkeypatch.setattr("pulseframe.llm.arrays.PIECE", size)
+    monkeypatch.setattr(decontamination, "DENSE_CELLS", cells)
     r = random.Random(21)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     items = [(k, " ".join(word() for _ in range(12)) + "? " + " ".join(word() for _ in range(4)) + ".") for k in range(8)]
