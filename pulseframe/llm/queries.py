@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, line_dedup, mixing, prefix_trie, quality_classifier, quality_rules, resampling, sharding, simhash, substring_dedup, suffix_dedup, toxicity, vector_topk
 from .common import read
 
 
@@ -54,13 +54,38 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.top_products(read(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_substring_dedup, op7_simhash, op8_sharding, op9_quality_classifier, op10_line_dedup)
+    for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_substring_dedup, op7_simhash, op8_sharding, op9_quality_classifier, op10_line_dedup, op11_vector_topk, op12_resampling, op13_prefix_trie)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: crc: the checksum's byte table, made from its polynomial. Bytes are read off the hexadecimal form.
+_CRC = """crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc_sql(hexed: str) -> str:
+    """The CRC-32 of what hexed is the upper-case hexadecimal form of; t is in scope."""
+    digit = "(strpos('0123456789ABCDEF', substr({0}, {1}, 1)) - 1)"
+    byte = f"16 * {digit.format(hexed, '2 * k + 1')} + {digit.format(hexed, '2 * k + 2')}"
+    return f"xor(CAST(4294967295 AS BIGINT), list_reduce(range(length({hexed}) // 2), lambda c, k: xor(t[(xor(c, {byte}) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": f"""
 WITH d AS (
@@ -129,4 +154,55 @@ m AS (SELECT k.doc_id, i, line, c.last IS NOT NULL AND c.last <> k.doc_id AS gon
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op11_vector_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_resampling": rf"""
+WITH {_CRC},
+a AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM a),
+f AS (
+  SELECT side, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+    list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS f FROM w),
+c AS (SELECT side, id, f, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT f, h, t FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM c)), crc),
+b AS (SELECT f, {_crc_sql("h")} % 10000 AS bucket FROM u),
+g AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM c JOIN b ON c.f = b.f GROUP BY bucket),
+z AS (SELECT CAST(sum(s) AS DOUBLE) AS ss, CAST(sum(t) AS DOUBLE) AS tt FROM g),
+e AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * (ss + 10000)) / (CAST(s + 1 AS DOUBLE) * (tt + 10000)))) AS BIGINT) AS gain FROM g, z),
+d AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM c JOIN b ON c.f = b.f JOIN e ON b.bucket = e.bucket WHERE side = 0 GROUP BY id),
+k AS (SELECT id, len(ws) AS n_words, list_reduce(range(8), lambda v, i: 16 * v + strpos('0123456789abcdef', substr(sha256('42:' || CAST(id AS VARCHAR)), i + 1, 1)) - 1, CAST(0 AS BIGINT)) AS h FROM w WHERE side = 0),
+o AS (
+  SELECT k.id AS doc_id, n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM k LEFT JOIN d ON k.id = d.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_words >= 20) OVER () AS n FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM r""",
+    "op13_prefix_trie": f"""
+WITH {_CRC},
+t AS (
+  SELECT conv_id, sha256(coalesce(role, '') || chr(1) || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, ''))) AS b,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c0 AS (SELECT conv_id, list(struct_pack(k := k, b := b) ORDER BY pos) AS own FROM t GROUP BY conv_id),
+c1 AS (SELECT conv_id, own, {_crc_sql("h")} % 9 AS h FROM (SELECT conv_id, own, hex(encode(CAST(conv_id AS VARCHAR))) AS h FROM c0), crc),
+c AS (
+  SELECT x.conv_id, list_concat(coalesce(y.own[1:x.h], CAST([] AS STRUCT(k VARCHAR, b BIGINT)[])), x.own[x.h + 1:]) AS s
+  FROM c1 x LEFT JOIN c1 y ON y.conv_id = x.conv_id - x.conv_id % 5),
+r AS (
+  SELECT conv_id, d, len(s) AS size, sha256('/' || array_to_string(list_transform(s[1:d], lambda x: x.k), ',')) AS node, sha256('/' || array_to_string(list_transform(s[1:d - 1], lambda x: x.k), ',')) AS parent,
+    s[d].b AS b FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM c)),
+n AS (
+  SELECT d AS depth, node, CASE WHEN d > 0 THEN min(parent) END AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(min(b), 0) AS own,
+    sha256(coalesce(string_agg(CASE WHEN size = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM r GROUP BY d, node),
+k AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.node = k.parent AND n.node IS NOT NULL),
+u AS (SELECT DISTINCT a.node AS top, z.node AS low FROM r a JOIN r z ON a.conv_id = z.conv_id AND z.d >= a.d),
+v AS (SELECT top, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM u JOIN m ON u.low = m.node GROUP BY top)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN v ON m.node = v.top LEFT JOIN m p ON m.parent = p.node""",
 }
