@@ -32,8 +32,8 @@ SCALE, LIMIT = 256, 2**62
 SEGMENTS = (1, 4, 16)
 #: Rows of a block, blocks with a box of their own, ranges of the order, and queries that a block is searched for at a time.
 BLOCK, BOXES, RANGES, SLICE = 32768, 8192, 32768, 8192
-#: Candidates by falling bound that are looked at first, to raise a query's threshold.
-FIRST = 32
+#: Candidates by falling bound that are looked at first, to raise a query's threshold; queries whose bounds are computed together.
+FIRST, TOGETHER = 32, 64
 HITS = "query long, q_id long, score long, vec_id long, row long"
 _MOST = np.iinfo(np.int64).max
 
@@ -70,8 +70,13 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([max(-_MOST - 1, min(_MOST, sum(int(a) * b for a, b in zip(row, ints, strict=True)))) for row in x], np.int64)
 
 
+def _below(score: float) -> float:
+    """A threshold that no rounding of scores beyond 53 bits lifts over the score."""
+    return score - abs(score) * 2.0**-51
+
+
 class Searched:
-    """The vectors of a block with their statistics, and the search for a query's best among them."""
+    """The vectors of a block with their statistics, and the search for queries' best among them."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         self.x, self.ids, self.rows = x, ids, rows
@@ -79,34 +84,44 @@ class Searched:
         self.size = float(np.sqrt((x.astype(float) ** 2).sum(axis=1)).max(initial=0.0))
         self.exact = 0  # products computed
 
-    def best(self, q: np.ndarray, own: int, floor: float, k: int) -> np.ndarray:
-        """Positions and scores, best first, of up to k rows other than own that score floor or more."""
-        slack = 1 + 1e-9 * self.size * float(np.sqrt((q.astype(float) ** 2).sum()))  # for the rounding of bounds
-        at = np.flatnonzero(self.rows != own)
-        found: list[tuple[int, int, int, int]] = []
-        bounds = None
-        for level, s in zip(self.levels, SEGMENTS, strict=True):
-            own_level = np.concatenate([p[0] for p in segment_statistics(q[None, :], s)])
-            bounds = (level if len(at) == len(level) else level[at]) @ own_level
-            keep = bounds + slack >= floor
-            at, bounds = at[keep], bounds[keep]
-            if not len(at):
-                return np.zeros((0, 2), np.int64)
+    def best(self, qs: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query: positions and scores, best first, of up to k rows other than own that score floor or more."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(qs), TOGETHER):
+            q = qs[at : at + TOGETHER]
+            slack = 1 + 1e-9 * self.size * np.sqrt((q.astype(float) ** 2).sum(axis=1))  # for the rounding of bounds
+            least = floors[at : at + TOGETHER] - slack
+            among, alive = np.arange(len(self.rows)), own[at : at + TOGETHER, None] != self.rows[None, :]
+            bounds = np.zeros(alive.shape)
+            for level, s in zip(self.levels, SEGMENTS, strict=True):
+                bounds = np.hstack(segment_statistics(q, s)) @ (level if len(among) == len(level) else level[among]).T
+                alive &= bounds >= least[:, None]
+                some = alive.any(axis=0)
+                if not some.all():
+                    among, alive, bounds = among[some], alive[:, some], bounds[:, some]
+            out += [self._one(q[i], among[a], bounds[i, a], floors[at + i], slack[i], k) for i, a in enumerate(alive)]
+        return out
+
+    def _one(self, q: np.ndarray, at: np.ndarray, bounds: np.ndarray, floor: float, slack: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(at) > FIRST:
             lead = np.argpartition(-bounds, FIRST)[:FIRST]
-            found = self._scored(at[lead], q)
-            if len(found) >= k:
-                floor = max(floor, sorted(found)[k - 1][0] * -1)
+            first = products(self.x[at[lead]], q)
+            if k <= FIRST:
+                floor = max(floor, _below(float(np.partition(first, FIRST - k)[FIRST - k])))
             keep = bounds + slack >= floor
             keep[lead] = False
-            at = at[keep]
-        found = sorted(found + self._scored(at, q))[:k]
-        return np.array([(p, -score) for score, _, _, p in found if -score >= floor], np.int64).reshape(-1, 2)
-
-    def _scored(self, at: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int, int]]:
-        self.exact += len(at)
-        scores = products(self.x[at], q) if len(at) else at
-        return [(-s, i, r, p) for s, i, r, p in zip(scores.tolist(), self.ids[at].tolist(), self.rows[at].tolist(), at.tolist(), strict=True)]
+            self.exact += FIRST + int(keep.sum())
+            at, scores = np.concatenate([at[lead], at[keep]]), np.concatenate([first, products(self.x[at[keep]], q)])
+        else:
+            self.exact += len(at)
+            scores = products(self.x[at], q)
+        good = scores >= floor
+        at, scores = at[good], scores[good]
+        if len(at) > k:
+            good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            at, scores = at[good], scores[good]
+        order = np.lexsort((self.rows[at], self.ids[at], ~scores))[:k]  # ~ falls as the score rises, without overflow
+        return at[order], scores[order]
 
 
 def _box(x: np.ndarray) -> bytes:
@@ -115,12 +130,10 @@ def _box(x: np.ndarray) -> bytes:
 
 
 def _hits(q: pd.DataFrame, vectors: np.ndarray, block: Searched, k: int) -> pd.DataFrame:
-    out = []
-    for row, q_id, floor, v in zip(q["row"].tolist(), q["_id"].tolist(), q["floor"].tolist(), vectors, strict=True):
-        got = block.best(v, row, floor, k)
-        p = got[:, 0]
-        out.append(pd.DataFrame({"query": row, "q_id": q_id, "score": got[:, 1], "vec_id": block.ids[p], "row": block.rows[p]}))
-    return pd.concat(out) if out else pd.DataFrame({c.split()[0]: np.zeros(0, np.int64) for c in HITS.split(", ")})
+    got = block.best(vectors, q["row"].to_numpy(np.int64), q["floor"].to_numpy(float), k)
+    each = [len(p) for p, _ in got]
+    at, scores = (np.concatenate([g[i] for g in got] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    return pd.DataFrame({"query": np.repeat(q["row"].to_numpy(np.int64), each), "q_id": np.repeat(q["_id"].to_numpy(np.int64), each), "score": scores, "vec_id": block.ids[at], "row": block.rows[at]})
 
 
 def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_name: str = "vec_id", value: str = "embedding", block_rows: int = BLOCK) -> DataFrame:
@@ -189,7 +202,7 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_name: str =
                 yield q.iloc[i].assign(shared=names[j])[["_id", "row", "v", "home", "floor", "shared"]]
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
-    floors = home.withColumn("_k", rank).where(F.col("_k") == k).select(F.col("query").alias("row"), F.col("score").cast("double").alias("floor"))
+    floors = home.withColumn("_k", rank).where(F.col("_k") == k).select(F.col("query").alias("row"), (F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * 2.0**-51).alias("floor"))
     queries = table.where(asked).withColumnRenamed("block", "home").join(floors, "row", "left").select("_id", "row", "v", "home", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
     sent = queries.mapInPandas(routed, "_id long, row long, v binary, home long, floor double, shared long")
     if group == 1:
