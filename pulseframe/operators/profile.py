@@ -1,8 +1,7 @@
 """Similarity search in series: distance profiles, matrix profiles, discords.
 
-The kernels are functions of numpy arrays; the operators run them for each series (and length) of a DataFrame with
-columns key, ``values`` array<double>.  A series is a row, so a task holds one series at a time; the search in a long one
-is split over tasks.
+Series are rows (key, pos, v), or short ones a row each (key, ``values`` array<double>).  The searches work on segments of a series and
+pairs of these (see segments); what is done for a whole series in one place works on short ones or on few of its rows.
 """
 
 from __future__ import annotations
@@ -14,28 +13,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from . import segments
+
 FLOOR = 1e-10
-#: Windows of a series that are one task.
+#: Windows of a segment, whose pairs are the tasks' work.
 TILE = 8192
 
 
-def moments(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means and deviations of all windows of m values."""
-    c, s = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
-    mean = (c[m:] - c[:-m]) / m
-    return mean, np.sqrt(np.maximum((s[m:] - s[:-m]) / m - mean * mean, FLOOR))
-
-
 def distance_profile(query: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """z-normalised distances of the query to all windows of x, by one Fourier product; a constant query is infinitely far."""
+    """z-normalised distances of the query to all windows of x, by one Fourier product; a constant query is infinitely far.
+
+    Query and series are centred first, so the offset of the series does not matter.
+    """
     m = len(query)
     if query.std() < FLOOR:
         return np.full(len(x) - m + 1, np.inf)
+    w, q = segments.Windows(x, m), query - query.mean()
     size = 1 << int(np.ceil(np.log2(len(x) + m)))
-    dot = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(query[::-1], size), size)[m - 1 : len(x)]
-    mean, dev = moments(x, m)
-    corr = (dot - m * mean * query.mean()) / (m * dev * query.std())
-    return np.sqrt(np.maximum(2 * m * (1 - corr), 0))
+    dot = np.fft.irfft(np.fft.rfft(w.x, size) * np.fft.rfft(q[::-1], size), size)[m - 1 : len(x)]
+    norm = np.sqrt((q * q).sum())
+    for i in np.flatnonzero(dot * w.inverse > 0.99 * norm).tolist():  # near windows directly: a small distance shows the product's rounding
+        dot[i] = w.centred(i) @ q
+    return segments.distance(dot * w.inverse / norm, m)
 
 
 def normalised_windows(x: np.ndarray, m: int) -> np.ndarray:
@@ -44,86 +44,14 @@ def normalised_windows(x: np.ndarray, m: int) -> np.ndarray:
     return (w - w.mean(axis=1, keepdims=True)) / np.where(dev < FLOOR, np.inf, dev)
 
 
-def profile(x: np.ndarray, m: int, exclusion: int, left_only: bool = False, share: float = 1.0, seed: int = 1, part: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest-neighbour distance and position of all windows, over all diagonals at least exclusion apart.
+def profile(x: np.ndarray, m: int, exclusion: int, left_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest-neighbour distance and position of all windows of one short series.
 
-    left_only: neighbours that stand before.  share: of the diagonals, drawn by the seed.  part: (k, n) for the k-th of n
-    equal parts of the diagonals.  Windows without a neighbour have NaN and -1.
-    """
-    n = len(x) - m + 1
-    if n < 1:
-        return np.zeros(0), np.zeros(0, np.int64)
-    mean, dev = moments(x, m)
-    best, at = np.full(n, np.inf), np.full(n, -1)
-    gaps = np.arange(max(1, exclusion), n)
-    if share < 1 and len(gaps):
-        gaps = np.sort(np.random.default_rng(seed).choice(gaps, max(1, int(len(gaps) * share)), replace=False))
-    gaps = gaps[part[0] :: part[1]]
-    centred = x - x.mean()
-    mean = mean - x.mean()
-    flat = dev <= np.sqrt(FLOOR) * 1.01
-    for g in gaps:
-        p = np.concatenate(([0.0], np.cumsum(centred[:-g] * centred[g:])))
-        dot = p[m:] - p[:-m]
-        k = len(dot)
-        corr = (dot - m * mean[:k] * mean[g:]) / (m * dev[:k] * dev[g:])
-        d = np.sqrt(np.maximum(2 * m * (1 - corr), 0))
-        d[flat[:k] | flat[g:]] = np.inf
-        later = np.arange(g, g + k)
-        better = d < best[later]
-        best[later[better]], at[later[better]] = d[better], later[better] - g
-        if not left_only:
-            early = np.arange(k)
-            better = d < best[early]
-            best[early[better]], at[early[better]] = d[better], early[better] + g
-    return np.where(np.isinf(best), np.nan, best), at
-
-
-def left_profile_pruned(x: np.ndarray, m: int, split: int, upto: int | None = None) -> tuple[np.ndarray, float, int]:
-    """Left profile with pruning: exact wherever a value may be the largest, else a value below the best so far.
-
-    A prefix of 16 m windows is exact; a later window looks backwards over pieces that double in length and stops
-    as soon as its distance is under the best so far; a piece ahead whose distance to the window is under it is skipped.
-    Windows before split and from upto on are not looked at.
+    left_only: neighbours that stand before.  Windows without a neighbour have NaN and -1.
     """
-    n = len(x) - m + 1 if upto is None else min(upto, len(x) - m + 1)
-    out = np.full(max(n, 0), np.nan)
-    best, where, skip = 0.0, -1, np.zeros(len(x), bool)
-    ahead = 1 << int(np.ceil(np.log2(16 * m)))
-    for i in range(max(split, m + 1), n):
-        if skip[i]:
-            out[i] = out[i - 1] - 1e-5 if i and not np.isnan(out[i - 1]) else 0.0
-            continue
-        query, size, found, stop = x[i : i + m], ahead, np.inf, i
-        if i - split < 16 * m:
-            found = distance_profile(query, x[:i]).min()
-        else:
-            while stop > 0 and found >= best:
-                start = max(0, stop - size)
-                if stop - start >= m:
-                    found = min(found, distance_profile(query, x[start:stop]).min())
-                stop, size = (start + m - 1 if start else 0), size * 2
-        out[i] = found
-        if found > best and np.isfinite(found):
-            best, where = float(found), i
-        a, b = i + m, min(i + m + ahead, len(x))
-        if b - a >= m and best > 0:
-            near = np.flatnonzero(distance_profile(query, x[a:b]) < best)
-            skip[near + a] = True
-    return out, best, where
-
-
-def multivariate(xs: np.ndarray, m: int, exclusion: int) -> np.ndarray:
-    """Row d: for each window the smallest mean of the d + 1 best dimensions' distances to another window."""
-    dims, n = len(xs), xs.shape[1] - m + 1
-    w = np.stack([normalised_windows(x, m) for x in xs])
-    best = np.full((dims, n), np.inf)
-    for i in range(n):
-        d = np.sqrt(np.maximum(2 * m - 2 * (w @ w[:, i, :, None])[:, :, 0], 0))
-        d = np.cumsum(np.sort(d, axis=0), axis=0) / np.arange(1, dims + 1)[:, None]
-        d[:, max(0, i - exclusion + 1) : i + exclusion] = np.inf
-        best[:, i] = d.min(axis=1)
-    return np.where(np.isinf(best), np.nan, best)
+    w = segments.Windows(x, m)
+    _, _, best, at = segments.nearest(w, w, 0, max(1, exclusion), left_only, same=True)
+    return np.where(np.isinf(best), np.nan, segments.distance(best, m)), at
 
 
 def greedy_peaks(score: np.ndarray, radius: float, most: int, strict: bool = True, positive: bool = False) -> list[int]:
@@ -165,48 +93,15 @@ def gather(df: DataFrame, key: list[str], order: list[str], value: str) -> DataF
 def matrix_profile(df: DataFrame, key: list[str], m: int, exclusion: int | None = None, left_only: bool = False, share: float = 1.0) -> DataFrame:
     """key, pos, dist, nn for every window of every series; the exclusion is a quarter of m unless given.
 
-    A long series' diagonals are dealt over several tasks, and each window keeps the nearest that any of them found.
+    Series are rows (key, pos, v), or one row each with values; pairs of segments are compared side by side.
     """
     gap = -(-m // 4) if exclusion is None else exclusion
-    parts = F.greatest(F.lit(1), F.ceil((F.size("values") - m + 1) / TILE)).cast("int")
-    grid = df.select(*key, "values", parts.alias("_parts")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    grid = grid.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "_part")
-
-    def run(x: np.ndarray, k: int, n: int) -> dict:
-        d, at = profile(x, m, gap, left_only, share, part=(k, n))
-        return {"pos": np.arange(len(d)), "dist": pd.array(d, "Float64") if not np.isnan(d).any() else [None if np.isnan(v) else v for v in d], "nn": [None if a < 0 else int(a) for a in at]}
+    return segments.joined(df, key, F.array(F.lit(m)), lambda _: gap, left_only, share, size=TILE, longest=m).select(*key, "pos", "dist", "nn")
 
-    each = _each(grid, key, "pos long, dist double, nn long", run, ["_part", "_parts"])
-    best = F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "nn"))).alias("_b")
-    return each.groupBy(*key, "pos").agg(best).select(*key, "pos", "_b.dist", "_b.nn")
 
-
-def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int, pruned: bool = True) -> DataFrame:
-    """key, m, score (normalised by 1 / (2 sqrt m)), pos: the best left discord of every series and length.
-
-    Pairs of a series and a length are dealt over the shuffle partitions, so lengths run side by side; so are the tiles of
-    windows of a long series, each with a best so far of its own.
-    """
-    grid = df.select(*key, "values").withColumn("m", F.explode(F.array(*[F.lit(m) for m in lengths]))).where(F.size("values") >= F.col("m") * 2)
-    tiles = F.greatest(F.lit(1), F.ceil((F.size("values") - F.col("m") + 1 - split) / TILE)).cast("int")
-    grid = grid.withColumn("_tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    grid = grid.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "m", "_tile")
-
-    def run(x: np.ndarray, m: int, tile: int) -> dict:
-        low, high = split + tile * TILE, split + (tile + 1) * TILE
-        if pruned:
-            _, best, at = left_profile_pruned(x, m, low, high)
-        else:
-            d = profile(x, m, m, True)[0]
-            d[: max(low, m + 1)] = np.nan
-            d[high:] = np.nan
-            at = int(np.nanargmax(d)) if np.isfinite(d).any() else -1
-            best = float(d[at]) if at >= 0 else 0.0
-        return {"score": [best / (2 * np.sqrt(m))], "pos": [at]}
-
-    each = _each(grid, key, "score double, pos long", run, ["m", "_tile"])
-    best = F.max(F.struct("score", (-F.col("pos")).alias("_before"))).alias("_b")
-    return each.groupBy(*key, "m").agg(best).select(*key, "m", "_b.score", (-F.col("_b._before")).alias("pos"))
+def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int, pruned: bool = True, count: bool = False) -> DataFrame:
+    """key, m, score (normalised by 1 / (2 sqrt m)), pos: the best left discord of every series and length (see segments)."""
+    return segments.left_discords(df, key, lengths, split, pruned, TILE, count)
 
 
 def hinted(df: DataFrame, discords: DataFrame, key: list[str], middle: int) -> DataFrame:
@@ -214,18 +109,24 @@ def hinted(df: DataFrame, discords: DataFrame, key: list[str], middle: int) -> D
 
     The position of the best discord of the middle length is a hint for the others: their left distance there is looked at too.
     """
+    discords = kept(discords)
     hint = discords.where(F.col("m") == middle).select(*key, F.col("pos").alias("_hint"))
-    rows = discords.join(hint, key, "left").join(df.select(*key, "values"), key)
+    rows = discords.join(hint, key, "left")
+    longest = [r.m for r in discords.select("m").distinct().collect()]  # as many as lengths
+    cut_up = segments.segmented(segments.long_form(df, key), key, max(longest, default=1), TILE)
+    asked = rows.where("_hint <> pos and _hint >= m").select(*key, "m", F.col("_hint").alias("pos"))
+    asked = asked.join(cut_up.where("seg = 0").select(*key, "n"), key).where("pos <= n - m").drop("n")
+    asked = asked.withColumn("_look", F.sequence(F.lit(0).cast("long"), F.floor((F.col("pos") - F.col("m")) / TILE).cast("long")))
+    asked = segments.windows_at(cut_up, asked, key, TILE).withColumn("seg", F.explode("_look"))
 
-    def run(x: np.ndarray, m: int, score: float, pos: int, at: float) -> dict:
-        if at == at and at is not None and at != pos and m <= at <= len(x) - m:
-            found = float(distance_profile(x[int(at) : int(at) + m], x[: int(at)]).min()) / (2 * np.sqrt(m))
-            if np.isfinite(found) and found > score:
-                score, pos = found, int(at)
-        return {"score": [score], "pos": [pos]}
+    def run(q: np.ndarray, pos: int, start: int, corr: np.ndarray) -> dict | None:
+        best = float(corr[: max(0, pos - len(q) + 1 - start)].max(initial=-np.inf))
+        return {"pos": [pos], "far": [float(segments.distance(np.array(best), len(q)))]} if best > -np.inf else None
 
-    out = _each(rows.withColumnRenamed("score", "_score").withColumnRenamed("pos", "_pos"), key, "score double, pos long", run, ["m", "_score", "_pos", "_hint"])
-    return out.select(*key, "m", "score", "pos")
+    found = segments.queried(asked, cut_up, key, TILE, run, "pos long, far double", ["pos", "far"]).groupBy(*key, "m").agg((F.min("far") / (2 * F.sqrt("m"))).alias("_found"))
+    better = F.coalesce(F.col("_found") > F.col("score"), F.lit(False))
+    out = rows.join(found, [*key, "m"], "left")
+    return out.select(*key, "m", F.when(better, F.col("_found")).otherwise(F.col("score")).alias("score"), F.when(better, F.col("_hint")).otherwise(F.col("pos")).alias("pos"))
 
 
 def best_so_far(discords: DataFrame, key: list[str], percentile: float) -> DataFrame:
@@ -247,13 +148,16 @@ def fit_problems(df: DataFrame, key: list[str], shortest: int, longest: int, spl
 
 
 def mass(df: DataFrame, key: list[str], start: int, m: int) -> DataFrame:
-    """key, pos, dist: the distance profile of each series' own window at start."""
+    """key, pos, dist: the distance profile of each series' own window at start, a segment at a time; null where there is none."""
+    cut_up = segments.segmented(segments.long_form(df, key), key, m, TILE)
+    asked = cut_up.where((F.col("seg") == 0) & (F.col("n") >= start + m)).select(*key, F.lit(m).alias("m"), F.lit(start).cast("long").alias("pos"), F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - m) / TILE).cast("long")).alias("_look"))
+    asked = segments.windows_at(cut_up, asked, key, TILE).withColumn("seg", F.explode("_look"))
 
-    def run(x: np.ndarray) -> dict:
-        d = distance_profile(x[start : start + m], x) if len(x) >= start + m else np.zeros(0)
-        return {"pos": np.arange(len(d)), "dist": [None if np.isinf(v) else float(v) for v in d]}
+    def run(q: np.ndarray, pos: int, first: int, corr: np.ndarray) -> dict:
+        some = corr > -np.inf
+        return {"at": np.arange(len(corr)) + first, "dist": [float(d) if s else None for d, s in zip(segments.distance(np.where(some, corr, 0.0), m), some, strict=True)]}
 
-    return _each(df, key, "pos long, dist double", run)
+    return segments.queried(asked, cut_up, key, TILE, run, "at long, dist double", ["at", "dist"]).select(*key, F.col("at").alias("pos"), "dist")
 
 
 def anomalies(profiles: DataFrame, key: list[str], m: int, most: int = 5, percentile: float = 0.95) -> DataFrame:
@@ -285,14 +189,9 @@ def greedy(df: DataFrame, key: list[str], radius: float, most: int, strict: bool
 def multivariate_anomalies(df: DataFrame, key: list[str], m: int, ratio: float) -> DataFrame:
     """key, pos (the window's centre), dist: the top share of windows by mean distance over the dimensions.
 
-    values is array<array<double>>, a row a dimension.
+    Series are rows (key, pos, v) where v is an array with a value for each dimension.
     """
-
-    def run(xs: np.ndarray) -> dict:
-        d = multivariate(xs, m, -(-m // 4)).mean(axis=0)
-        return {"pos": np.arange(len(d)) + m // 2, "dist": [None if np.isnan(v) else float(v) for v in d]}
-
-    p = _each(df, key, "pos long, dist double", run)
+    p = segments.multivariate(df, key, m, -(-m // 4)).groupBy(*key, "pos").agg(F.avg("dist").alias("dist")).withColumn("pos", F.col("pos") + m // 2)
     w = Window.partitionBy(*key)
     p = p.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc_nulls_last("dist"), F.desc("pos"))))
     return p.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_n", "_r")

@@ -163,10 +163,9 @@ def windowed_discords(spark: SparkSession, d: str) -> DataFrame:
     lengths that fit; a window too short for any has length 0 and position -1."""
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     s = table(spark, d, "lineitem").select("l_suppkey", (F.row_number().over(w).cast("long") - 1).alias("idx"), F.col("l_quantity").alias("v"))
-    s = s.withColumn("k", F.floor(F.col("idx") / 150).cast("long"))
-    g = profile.gather(s, ["l_suppkey", "k"], ["idx"], "v")
-    found = profile.left_discords(g, ["l_suppkey", "k"], [8, 16], 30).withColumn("score", F.round("score", 5))
-    short = g.where(F.size("values") < 16).select("l_suppkey", "k", F.lit(0).alias("m"), F.lit(0.0).alias("score"), F.lit(-1).cast("long").alias("pos"))
+    s = s.select("l_suppkey", F.floor(F.col("idx") / 150).cast("long").alias("k"), (F.col("idx") % 150).alias("pos"), F.col("v").cast("double").alias("v"))
+    found = profile.left_discords(s, ["l_suppkey", "k"], [8, 16], 30).withColumn("score", F.round("score", 5))
+    short = s.groupBy("l_suppkey", "k").count().where("count < 16").select("l_suppkey", "k", F.lit(0).alias("m"), F.lit(0.0).alias("score"), F.lit(-1).cast("long").alias("pos"))
     return found.select("l_suppkey", "k", "m", "score", "pos").unionByName(short)
 
 

@@ -21,8 +21,8 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
-    """Users' series as arrays."""
-    return profile.gather(bridge.events(spark, d), ["user_id"], ["t", "event_id"], "value")
+    """Users' series, a row a value."""
+    return bridge.series(spark, d).select("user_id", F.col("idx").alias("pos"), F.col("value").cast("double").alias("v"))
 
 
 _VEC = "ve AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
@@ -162,8 +162,7 @@ def multivariate_profile(spark: SparkSession, d: str) -> DataFrame:
     """Two dimensions, the value and the gap to the event before."""
     w = Window.partitionBy("user_id").orderBy("idx")
     s = bridge.series(spark, d).withColumn("gap", F.coalesce((F.col("t") - F.lag("t").over(w)) / float(HOUR), F.lit(0.0)))
-    p = F.array_sort(F.collect_list(F.struct("idx", "value", "gap")))
-    g = s.groupBy("user_id").agg(p.alias("p")).select("user_id", F.array(F.transform("p", lambda x: x["value"]), F.transform("p", lambda x: x["gap"])).alias("values"))
+    g = s.select("user_id", F.col("idx").alias("pos"), F.array(F.col("value").cast("double"), "gap").alias("v"))
     return profile.multivariate_anomalies(g, ["user_id"], M, 0.1).withColumn("dist", F.round("dist", 4))
 
 

@@ -165,10 +165,10 @@ def window_strategies(spark: SparkSession, d: str) -> DataFrame:
     A discord of the reconstructed signal is given to the first window that holds it.
     """
     s = _in_windows(spark, d)
-    one = profile.gather(s.withColumn("at", F.col("idx") - F.col("window_index") * 10), ["user_id", "window_index"], ["at"], "value")
+    one = s.select("user_id", "window_index", (F.col("idx") - F.col("window_index") * 10).alias("pos"), F.col("value").cast("double").alias("v"))
     one = profile.left_discords(one, ["user_id", "window_index"], _WINDOW_LENGTHS, _WINDOW_SPLIT).select(F.lit("individual").alias("strategy"), "user_id", "window_index", "m", "score", "pos")
     back = sequence.reconstruct(s, KEY, "idx", "value")
-    two = profile.left_discords(profile.gather(back, KEY, ["idx"], "value"), KEY, _WINDOW_LENGTHS, _WINDOW_SPLIT)
+    two = profile.left_discords(back.select("user_id", F.col("idx").alias("pos"), F.col("value").alias("v")), KEY, _WINDOW_LENGTHS, _WINDOW_SPLIT)
     first = F.when(F.col("pos") >= 0, F.greatest(F.lit(0).cast("long"), F.ceil((F.col("pos") - 19) / 10).cast("long")))
     two = two.select(F.lit("reconstruct").alias("strategy"), "user_id", first.alias("window_index"), "m", "score", "pos")
     return one.unionByName(two).withColumn("score", F.round("score", 5))

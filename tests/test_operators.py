@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import scalars
-from pulseframe.operators import clusters, dsp, hrv, intervals, metrics, ml, profile, quality, sequence
+from pulseframe.operators import clusters, dsp, hrv, intervals, metrics, ml, profile, quality, segments, sequence
 from pulseframe.sources import readers, sinks
 
 RR = [800.0, 810, 790, 805, 795, 850, 700, 720, 710, 730]
@@ -52,22 +52,114 @@ def test_rolling(rr):
     near(column(sequence.relative_slope(rr, ["k"], ["i"], "v", 5), "slope"), [None] * 4 + [0.001875, 0.01049383, 0.01713198, 0.03423773, 0.0397351, 0.0309973])
 
 
-def test_left_profile():
+def series_of(spark, xs):
+    return spark.createDataFrame([(k, i, float(v)) for k, x in xs.items() for i, v in enumerate(x)], "k string, pos long, v double")
+
+
+def plain_distances(x, m):
+    """Of all windows to all others, by the definition."""
+    w = profile.normalised_windows(x, m)
+    d = np.sqrt(((w[:, None] - w[None]) ** 2).sum(axis=2))
+    flat = np.lib.stride_tricks.sliding_window_view(x, m).std(axis=1) < 1e-5
+    d[flat] = d[:, flat] = np.inf
+    return d
+
+
+def test_left_profile(spark):
     x = np.array([0, 1, 2, 1, 0, 1, 2, 1, 0, 5, 0, 1, 2, 1], float)
     d, _ = profile.profile(x, 4, 4, left_only=True)
     near([round(v, 6) for v in d[5:]], [0, 2.230759, 1.584943, 1.584943, 1.397343, 0], 5)
-    _, best, at = profile.left_profile_pruned(x, 4, 1)
-    assert at == 6 and abs(best / 4 - 0.557690) < 1e-5
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_pruned_finds_the_best(seed):
-    x = np.cumsum(np.random.default_rng(seed).standard_normal(900)) + 5 * np.sin(np.arange(900) / 7)
-    m, split = 12, 60
-    d = profile.profile(x, m, m, left_only=True)[0]
-    d[: max(split, m + 1)] = np.nan
-    _, best, at = profile.left_profile_pruned(x, m, split)
-    assert abs(best - np.nanmax(d)) < 1e-5 and abs(d[at] - best) < 1e-5
+    r = profile.left_discords(series_of(spark, {"a": x}), ["k"], [4], 1).first()
+    assert r.pos == 6 and abs(r.score - 0.557690) < 1e-5
+
+
+def walks(seeds, n=900):
+    return {str(s): np.cumsum(np.random.default_rng(s).standard_normal(n)) + 5 * np.sin(np.arange(n) / 7) for s in seeds}
+
+
+def test_pruned_finds_the_best(spark, monkeypatch):
+    """Score and place of the exact search on all seeds, with fewer pairs of windows compared."""
+    monkeypatch.setattr(profile, "TILE", 64)
+    xs, m, split = walks(range(6)), 12, 60
+    d = series_of(spark, xs)
+    exact, pruned = ({r.k: r for r in profile.left_discords(d, ["k"], [m], split, p, count=True).collect()} for p in (False, True))
+    for k, x in xs.items():
+        left = np.where(np.subtract.outer(np.arange(len(x) - m + 1), np.arange(len(x) - m + 1)) >= m, plain_distances(x, m), np.inf).min(axis=1)
+        left[: max(split, m + 1)] = -1
+        assert abs(exact[k].score - left.max() / (2 * np.sqrt(m))) < 1e-9 and exact[k].pos == left.argmax()
+        assert (pruned[k].pos, round(pruned[k].score - exact[k].score, 9)) == (exact[k].pos, 0)
+        assert pruned[k].looked < exact[k].looked
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e4, -1e6, 1e7])
+def test_distances_do_not_depend_on_the_offset(spark, monkeypatch, offset):
+    monkeypatch.setattr(profile, "TILE", 400)
+    x = np.cumsum(np.random.default_rng(8).standard_normal(2000))
+    moved = x + offset
+    centred = moved - offset  # what is left of the values beside the offset
+    m = 50
+    want, _ = profile.profile(centred, m, 13)
+    assert np.abs(profile.distance_profile(moved[100:150], moved) - profile.distance_profile(centred[100:150], centred)).max() < 1e-6
+    d = series_of(spark, {"a": moved})
+    got = {r.pos: r.dist for r in profile.matrix_profile(d, ["k"], m).collect()}
+    assert max(abs(got[i] - want[i]) for i in range(len(want))) < 1e-6
+    mass = {r.pos: r.dist for r in profile.mass(d, ["k"], 700, m).collect()}
+    near_one = profile.distance_profile(centred[700:750], centred)
+    assert max(abs(mass[i] - near_one[i]) for i in range(len(want))) < 1e-6
+    a, b = (profile.left_discords(series_of(spark, {"a": y}), ["k"], [m], 300).first() for y in (moved, centred))
+    assert a.pos == b.pos and abs(a.score - b.score) < 1e-6
+
+
+def test_segments_of_a_long_series_stay_small(spark, monkeypatch):
+    """200,000 values: no task gets more than pairs of segments, and the values moved are those of the pairs."""
+    size, m, n = 20_000, 32, 200_000
+    d = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("pos"), (F.sin(F.col("id") / 17.0) + F.cos(F.col("id") / 5.3) + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1e4).alias("v"))
+    cut_up = segments.segmented(d, ["k"], m, size)
+    pairs = segments.paired(cut_up, ["k"], F.array(F.lit(m)), size)
+    got = pairs.select("lo", "hi", F.size("values").alias("n")).collect()
+    parts = -(-(n - m + 1) // size)
+    assert len(got) == parts * parts and max(r.n for r in got) == size + m - 1 and len({(r.lo, r.hi) for r in got}) == parts * (parts + 1) // 2
+    monkeypatch.setattr(profile, "TILE", size)
+    near_ones = profile.matrix_profile(d, ["k"], m).where("pos % 9973 = 0").collect()
+    x = np.array([r.v for r in d.orderBy("pos").collect()])
+    for r in near_ones:
+        far = profile.distance_profile(x[r.pos : r.pos + m], x)
+        far[max(0, r.pos - 7) : r.pos + 8] = np.inf
+        assert abs(r.dist - far.min()) < 1e-6
+
+
+def test_joins_by_the_definition(spark):
+    """Exclusion, sides, dimensions, flat stretches, missing values and series that are too short; for segments of all sizes."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal(150)
+    x[40:60], x[100] = 2.0, np.nan
+    xs = {"a": x, "b": rng.standard_normal(33), "c": np.ones(30), "d": np.arange(5.0)}
+    m, d = 7, series_of(spark, xs)
+    for size in (9, 50, 1000):
+        for left in (False, True):
+            got = {(r.k, r.pos): (r.dist, r.nn) for r in segments.joined(d, ["k"], F.array(F.lit(m)), lambda _: 3, left, size=size, longest=m).collect()}
+            assert len(got) == sum(max(0, len(v) - m + 1) for v in xs.values())
+            for k in "abc":
+                y = xs[k]
+                far = plain_distances(np.nan_to_num(y), m)
+                holes = [i for i in range(len(y) - m + 1) if np.isnan(y[i : i + m]).any()]
+                far[holes] = far[:, holes] = np.inf
+                gap = np.subtract.outer(np.arange(len(far)), np.arange(len(far)))
+                far[np.abs(gap) < 3] = np.inf
+                far[(gap < 0) & left] = np.inf
+                for i, row in enumerate(far):
+                    if np.isfinite(row.min()):
+                        assert abs(got[k, i][0] - row.min()) < 1e-7 and row[got[k, i][1]] < row.min() + 1e-7
+                    else:
+                        assert got[k, i] == (None, None)
+    two = np.stack([rng.standard_normal(80), np.sin(np.arange(80) / 3)])
+    rows = spark.createDataFrame([("a", i, [float(v) for v in two[:, i]]) for i in range(80)], "k string, pos long, v array<double>")
+    far = np.sort(np.stack([plain_distances(y, m) for y in two]), axis=0)
+    far[:, np.abs(np.subtract.outer(np.arange(74), np.arange(74))) < 2] = np.inf
+    for size in (10, 500):
+        got = {(r.pos, r.k): r.dist for r in segments.multivariate(rows.withColumnRenamed("k", "key"), ["key"], m, 2, size).collect()}
+        for i in range(74):
+            assert abs(got[i, 1] - far[0, i].min()) < 1e-7 and abs(got[i, 2] - far[:, i].mean(axis=0).min()) < 1e-7
 
 
 def test_mass_and_constant():
@@ -281,7 +373,8 @@ def test_long_series_are_searched_in_tiles(spark, monkeypatch):
     best = {(r.k, r.m): (r.score, r.pos) for r in profile.left_discords(d, ["k"], [6, 9], 20).collect()}
     monkeypatch.setattr(profile, "TILE", 37)
     got = {(r.k, r.pos): (r.dist, r.nn) for r in profile.matrix_profile(d, ["k"], 8).collect()}
-    assert got == want and len(want) == 293 + 54 + 13
+    assert {k: nn for k, (_, nn) in got.items()} == {k: nn for k, (_, nn) in want.items()} and len(want) == 293 + 54 + 13
+    assert all(v == w or abs(v - w) < 1e-9 for v, w in ((got[k][0], want[k][0]) for k in want))
     for (k, m), (score, pos) in {(r.k, r.m): (r.score, r.pos) for r in profile.left_discords(d, ["k"], [6, 9], 20).collect()}.items():
         assert abs(score - best[k, m][0]) < 1e-9 and pos == best[k, m][1]
 
