@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import kept
 
-#: Windows of a segment; rows after which products are computed anew; deviation under which a window is flat.
-SEGMENT, RESEED, FLAT = 8192, 512, 1e-5
+#: Windows of a segment; rows after which products are computed anew; deviation under which a window is flat; and one window in
+#: so many is looked up by itself, more by rows.
+SEGMENT, RESEED, FLAT, SPARSE = 8192, 512, 1e-5, 6
 _CHUNK = 1 << 20
 
 
@@ -368,18 +369,58 @@ def _total(parts: list[DataFrame], key: list[str]) -> DataFrame:
 
 
 def _closer(rows: DataFrame, first: Column, last: Column, segments: DataFrame, key: list[str], size: int) -> DataFrame:
-    """rows (key, m, pos, dist, seg) with dist lowered to what segments first to last hold before the window."""
-    asked = windows_at(segments, rows.select(*key, "m", "pos", F.sequence(first, last).alias("_look")), key, size).withColumn("seg", F.explode("_look"))
+    """rows (key, m, pos, dist, seg) with dist lowered to what segments first to last hold; these end before the window's own.
 
-    def run(q: np.ndarray, pos: int, start: int, corr: np.ndarray) -> dict | None:
-        c = corr[: max(0, pos - len(q) + 1 - start)]
-        best = float(c.max(initial=-np.inf))
-        return {"pos": [pos], "found": [float(distance(np.array(best), len(q)))]} if best > -np.inf else None
+    The unit is a pair of segments and the places of the windows that look; no window travels by itself.
+    """
+    asked = rows.groupBy(*key, "m", "seg").agg(F.collect_list("pos").alias("who")).select(*key, "m", "seg", "who", F.explode(F.sequence(first, last)).alias("lo"))  # size places at most
+    own = segments.select(*key, "seg", F.col("values").alias("own"))
+    before = segments.select(*key, F.col("seg").alias("lo"), F.col("values").alias("before"))
+    units = asked.join(own, [*key, "seg"]).join(before, [*key, "lo"]).select(*key, "m", "seg", "who", "own", "before")
 
-    got = queried(asked, segments, key, size, run, "pos long, found double", ["pos", "found"]).groupBy(*key, "m", "pos").agg(F.min("found").alias("found"))
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                m, seg, who, own, before = row[len(key) :]
+                who = np.sort(np.asarray(who, np.int64))
+                best = greatest(Windows(np.asarray(own, float), m, size), Windows(np.asarray(before, float), m, size), who - seg * size)
+                some = best > -np.inf
+                out.append(pd.DataFrame({"m": m, "pos": who[some], "found": distance(best[some], m)}).assign(**dict(zip(key, row, strict=False))))
+            if out:
+                yield pd.concat(out)[[*key, "m", "pos", "found"]]
+
+    got = units.mapInPandas(search, f"{key_schema(segments, key)}, m int, pos long, found double").groupBy(*key, "m", "pos").agg(F.min("found").alias("found"))
     return rows.join(got, [*key, "m", "pos"], "left").withColumn("dist", F.least("dist", F.coalesce("found", "dist"))).drop("found")
 
 
+def greatest(a: Windows, b: Windows, who: np.ndarray) -> np.ndarray:
+    """The greatest correlation of some of a's windows with any of b's.
+
+    Many windows run through all rows, few each take a Fourier product; their best is computed anew without its rounding.
+    """
+    out, barred = np.full(len(who), -np.inf), np.where(b.flat, -np.inf, 0.0)
+    if not b.n:
+        return out
+    if len(who) * SPARSE > a.n:
+        place = np.full(a.n, -1)
+        place[who] = np.arange(len(who))
+        for i, cov in rows_of(a, b):
+            if place[i] >= 0 and not a.flat[i]:
+                out[place[i]] = (cov * b.inverse + barred).max() * a.inverse[i]
+        return out
+    full = 1 << int(np.ceil(np.log2(len(b.x) + a.m)))
+    image = np.fft.rfft(b.x, full)
+    for at in range(0, len(who), 16):
+        q = np.stack([a.centred(i) for i in who[at : at + 16]])
+        c = np.fft.irfft(np.fft.rfft(q[:, ::-1], full) * image, full)[:, a.m - 1 : len(b.x)] * b.inverse + barred
+        for k, j in enumerate(c.argmax(axis=1).tolist()):
+            i = who[at + k]
+            if not a.flat[i] and not b.flat[j]:
+                out[at + k] = (q[k] @ b.centred(j)) * a.inverse[i] * b.inverse[j]
+    return out
+
+
 def multivariate(df: DataFrame, key: list[str], m: int, exclusion: int, size: int | None = None) -> DataFrame:
     """key, pos, k, dist: for each window the smallest mean of its k best dimensions' distances; v is an array of dimensions."""
     size = size or SEGMENT // 2
