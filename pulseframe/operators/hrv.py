@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,3 +123,127 @@ def time_domain(df: DataFrame, key: list[str], position: str, value: str, width:
     share = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
     more = {"cvnn": share("sdnn", "mean_nn"), "cvsd": share("rmssd", "mean_nn"), "mcv_nn": share("mad_nn", "median_nn"), "sd_rmssd": share("sdnn", "rmssd")}
     return g.withColumns(more)
+
+
+#: Bands of the spectrum of intervals, in Hz.
+BANDS = {"vlf": (0.0033, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.4), "vhf": (0.4, 0.5)}
+#: Length of a template, tolerance in deviations, and lengths of the pieces that are detrended.
+TEMPLATE, TOLERANCE, SCALES = 2, 0.2, (4, 6, 8, 10, 12, 16)
+
+
+def whole_windows(df: DataFrame, key: list[str], position: str, value: str, width: int, stride: int, low: float, high: float) -> DataFrame:
+    """key, window_index, values: every whole window that another interval follows and whose intervals lie within low and high."""
+    d = df.select(*key, position, F.col(value).cast("double").alias("_v"), F.count("*").over(Window.partitionBy(*key)).alias("_n"))
+    w = in_windows(d, key, position, width, stride).where(F.col("window_index") * stride + width < F.col("_n"))
+    g = w.groupBy(*key, "window_index").agg(F.transform(F.array_sort(F.collect_list(F.struct(position, "_v"))), lambda p: p["_v"]).alias("values"))  # width values
+    return g.where((F.array_min("values") >= low) & (F.array_max("values") <= high))
+
+
+def _by_window(windows: DataFrame, key: list[str], names: list[str], run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """run(windows as rows of a matrix) -> a column a name, NaN as null; for windows of one width."""
+    own = [f for f in windows.select(*key, "window_index").schema]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"{n} double" for n in names)])
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                got = run(np.stack([np.asarray(v, float) for v in b["values"]]))
+                yield pd.concat([b[[f.name for f in own]].reset_index(drop=True), pd.DataFrame(got, columns=names)], axis=1)
+
+    out = windows.select(*key, "window_index", "values").mapInPandas(go, schema)
+    return out.select(*key, "window_index", *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names])
+
+
+def lomb_scargle(t: np.ndarray, x: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+    """One-sided power density of values x at times t, for each row and frequency; the mean is taken out."""
+    x = x - x.mean(axis=1, keepdims=True)
+    out = np.empty((len(x), len(frequencies)))
+    spacing = (t[:, -1] - t[:, 0]) / (t.shape[1] - 1)
+    for k, f in enumerate(frequencies):
+        w = 2 * np.pi * f
+        turn = np.arctan2(np.sin(2 * w * t).sum(axis=1), np.cos(2 * w * t).sum(axis=1)) / 2
+        c, s = np.cos(w * t - turn[:, None]), np.sin(w * t - turn[:, None])
+        out[:, k] = ((x * c).sum(axis=1) ** 2 / (c * c).sum(axis=1) + (x * s).sum(axis=1) ** 2 / (s * s).sum(axis=1)) / 2
+    return 2 * spacing[:, None] * out
+
+
+def frequency_domain(windows: DataFrame, key: list[str], per_second: float, step: float = 0.005) -> DataFrame:
+    """Power of the intervals (seconds squared) in each band, by the periodogram for irregular times.
+
+    windows: key, window_index, values (intervals, per_second of their unit in a second). An interval stands at its end.  Also the
+    total, the ratio of low to high, their shares of the total, and the logarithm of the high band; null where a divisor is 0.
+    """
+    grid = np.arange(1, int(round(max(b for _, b in BANDS.values()) / step)) + 1) * step
+    inside = [(grid >= a - 1e-12) & (grid < b - 1e-12) for a, b in BANDS.values()]
+
+    def run(x: np.ndarray) -> np.ndarray:
+        x = x / per_second
+        p = lomb_scargle(np.cumsum(x, axis=1), x, grid)
+        return np.stack([p[:, i].sum(axis=1) * step for i in inside], axis=1)
+
+    d = _by_window(windows, key, list(BANDS), run)
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    d = d.withColumn("tp", sum((F.col(c) for c in list(BANDS)[1:]), F.col(list(BANDS)[0])))
+    return d.withColumns({"lf_hf": share("lf", "hf"), "lf_n": share("lf", "tp"), "hf_n": share("hf", "tp"), "ln_hf": F.when(F.col("hf") > 0, F.log("hf"))})
+
+
+def matches(x: np.ndarray, m: int, r: float, count: int) -> np.ndarray:
+    """For each of the first count templates of m values: how many others lie within r in all places.
+
+    Templates are sorted by their first value, and only neighbours in that order are looked at, as far as the first values allow.
+    """
+    t = np.lib.stride_tricks.sliding_window_view(x, m)[:count]
+    order = np.argsort(t[:, 0], kind="stable")
+    s, found = t[order], np.zeros(count, np.int64)
+    for k in range(1, count):
+        near = np.flatnonzero(s[k:, 0] - s[:-k, 0] <= r)
+        if not len(near):
+            break
+        near = near[(np.abs(s[near + k] - s[near]) <= r).all(axis=1)]
+        np.add.at(found, order[near], 1)
+        np.add.at(found, order[near + k], 1)
+    return found
+
+
+def sample_entropy(x: np.ndarray, m: int = TEMPLATE, tolerance: float = TOLERANCE) -> float:
+    """-log of the share of matching templates that match in one more value too; NaN if none do."""
+    r, n = tolerance * x.std(ddof=1), len(x) - m
+    a, b = matches(x, m + 1, r, n).sum(), matches(x, m, r, n).sum()
+    return float(-np.log(a / b)) if a and b else np.nan
+
+
+def approximate_entropy(x: np.ndarray, m: int = TEMPLATE, tolerance: float = TOLERANCE) -> float:
+    r = tolerance * x.std(ddof=1)
+    return float(np.subtract(*[np.log((matches(x, k, r, len(x) - k + 1) + 1) / (len(x) - k + 1)).mean() for k in (m, m + 1)]))
+
+
+def fluctuation_slope(x: np.ndarray, scales: tuple[int, ...] = SCALES) -> np.ndarray:
+    """Of each row: the slope of log fluctuation over log length, where pieces of the summed row are detrended by lines."""
+    y = np.cumsum(x - x.mean(axis=1, keepdims=True), axis=1)
+    logs = []
+    for n in scales:
+        p = y[:, : y.shape[1] // n * n].reshape(len(y), -1, n)
+        t = np.arange(n) - (n - 1) / 2
+        left = ((p - p.mean(axis=2, keepdims=True)) ** 2).sum(axis=2) - (p @ t) ** 2 / (t @ t)
+        with np.errstate(divide="ignore"):
+            logs.append(np.log(np.maximum(left, 0).mean(axis=1) / n) / 2)
+    f, n = np.stack(logs, axis=1), np.log(scales)
+    with np.errstate(invalid="ignore"):
+        return (f @ (n - n.mean())) / ((n - n.mean()) ** 2).sum()
+
+
+def nonlinear(windows: DataFrame, key: list[str]) -> DataFrame:
+    """Poincare deviations and what follows from them, entropies, and the short-term fluctuation slope; null where undefined."""
+    names = ["sd1", "sd2", "sampen", "apen", "dfa_alpha1"]
+
+    def run(x: np.ndarray) -> np.ndarray:
+        a, b = (x[:, :-1] - x[:, 1:]) / np.sqrt(2), (x[:, :-1] + x[:, 1:]) / np.sqrt(2)
+        slope = fluctuation_slope(x)
+        flat = x.std(axis=1) == 0
+        slope[flat | ~np.isfinite(slope)] = np.nan
+        return np.stack([a.std(axis=1, ddof=1), b.std(axis=1, ddof=1), [sample_entropy(v) for v in x], [approximate_entropy(v) for v in x], slope], axis=1)
+
+    d = _by_window(windows, key, names, run)
+    share = lambda a, b: F.when(F.col("sd1") > 0, a / b)
+    s1, s2 = F.col("sd1"), F.col("sd2")
+    return d.withColumns({"sd_ratio": share(s1, F.when(s2 > 0, s2)), "ellipse": np.pi * s1 * s2, "csi": share(s2, s1), "cvi": F.when((s1 > 0) & (s2 > 0), F.log10(16 * s1 * s2)), "csi_modified": share(4 * s2 * s2, s1)})

@@ -52,6 +52,60 @@ def hrv_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select("user_id", "window_index", *[F.round(F.col(c) + (1e-9 if c == "mad_nn" else 0.0), 5).alias(c) for c in f.columns if c not in ("user_id", "window_index")])
 
 
+_WINDOWS40 = """ln AS (SELECT user_id, count(*) AS n FROM se GROUP BY user_id),
+w0 AS (SELECT se.user_id, k, idx - k * 20 AS i, value AS v FROM se JOIN ln ON ln.user_id = se.user_id, LATERAL (SELECT unnest(range(0, CASE WHEN n > 40 THEN (n - 41) // 20 + 1 ELSE 0 END)) AS k) WHERE idx >= k * 20 AND idx < k * 20 + 40),
+w AS (SELECT * FROM w0 WHERE (user_id, k) IN (SELECT (user_id, k) FROM w0 GROUP BY user_id, k HAVING min(v) >= 0.01 AND max(v) <= 250))"""
+
+
+def _windows40(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 40 intervals, every 20; their unit is a hundredth of a second."""
+    return hrv.whole_windows(bridge.series(spark, d), KEY, "idx", "value", 40, 20, 0.01, 250.0)
+
+
+_PHASE = "2 * pi() * f * t"
+
+
+@query(f"""WITH {_WINDOWS40}, a AS (SELECT user_id, k, i, v / 100 AS v, sum(v / 100) OVER (PARTITION BY user_id, k ORDER BY i) AS t FROM w),
+m AS (SELECT user_id, k, avg(v) AS mv, (max(t) - min(t)) / 39 AS dt FROM a GROUP BY ALL), x AS (SELECT a.user_id, a.k, t, v - mv AS x, dt FROM a JOIN m ON a.user_id = m.user_id AND a.k = m.k),
+fr AS (SELECT j * CAST(0.005 AS DOUBLE) AS f FROM (SELECT unnest(range(1, 100)) AS j)),
+tu AS (SELECT user_id, k, f, atan2(sum(sin(2 * {_PHASE})), sum(cos(2 * {_PHASE}))) / 2 AS z FROM x, fr GROUP BY ALL),
+p AS (SELECT x.user_id, x.k, tu.f, 2 * max(dt) * (sum(x * cos({_PHASE} - z)) ** 2 / sum(cos({_PHASE} - z) ** 2) + sum(x * sin({_PHASE} - z)) ** 2 / sum(sin({_PHASE} - z) ** 2)) / 2 AS p
+  FROM x JOIN tu ON x.user_id = tu.user_id AND x.k = tu.k GROUP BY x.user_id, x.k, tu.f),
+b AS (SELECT user_id, k, 0.005 * coalesce(sum(p) FILTER (f >= 0.0033 AND f < 0.0399), 0) AS vlf, 0.005 * coalesce(sum(p) FILTER (f >= 0.0399 AND f < 0.1499), 0) AS lf,
+  0.005 * coalesce(sum(p) FILTER (f >= 0.1499 AND f < 0.3999), 0) AS hf, 0.005 * coalesce(sum(p) FILTER (f >= 0.3999 AND f < 0.4999), 0) AS vhf FROM p GROUP BY ALL)
+SELECT user_id, CAST(k AS BIGINT) AS window_index, round(vlf, 6) AS vlf, round(lf, 6) AS lf, round(hf, 6) AS hf, round(vhf, 6) AS vhf, round(vlf + lf + hf + vhf, 6) AS tp,
+  round(lf / hf, 6) AS lf_hf, round(lf / (vlf + lf + hf + vhf), 6) AS lf_n, round(hf / (vlf + lf + hf + vhf), 6) AS hf_n, round(ln(hf), 6) AS ln_hf FROM b""")
+def hrv_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """The frequency domain of heart-rate variability over sliding windows."""
+    f = hrv.frequency_domain(_windows40(spark, d), KEY, 100.0)
+    return f.select("user_id", "window_index", *[F.round(c, 6).alias(c) for c in f.columns[2:]])
+
+
+def _within(n: int) -> str:
+    return " AND ".join(f"abs(a.l[{i}] - b.l[{i}]) <= r" for i in range(1, n + 1))
+
+
+@query(f"""WITH {_WINDOWS40}, g AS (SELECT user_id, k, list(v ORDER BY i) AS v, CAST(0.2 AS DOUBLE) * stddev_samp(v) AS r FROM w GROUP BY ALL),
+t AS (SELECT user_id, k, r, j, v[j:j + 2] AS l FROM g, LATERAL (SELECT unnest(range(1, 40)) AS j)),
+c AS (SELECT a.user_id, a.k, a.j, count(*) FILTER ({_within(2)}) AS m2, count(*) FILTER (a.j <= 38 AND b.j <= 38 AND {_within(2)}) AS s2, count(*) FILTER (a.j <= 38 AND b.j <= 38 AND {_within(3)}) AS m3
+  FROM t a JOIN (SELECT user_id, k, j, l FROM t) b ON a.user_id = b.user_id AND a.k = b.k GROUP BY a.user_id, a.k, a.j),
+e AS (SELECT user_id, k, sum(CASE WHEN j <= 38 THEN m3 - 1 END) AS aa, sum(CASE WHEN j <= 38 THEN s2 - 1 END) AS bb,
+  avg(ln(CAST(m2 AS DOUBLE) / 39)) - avg(CASE WHEN j <= 38 THEN ln(CAST(m3 AS DOUBLE) / 38) END) AS apen FROM c GROUP BY ALL),
+q AS (SELECT user_id, k, stddev_samp((v - nv) / sqrt(2)) AS sd1, stddev_samp((v + nv) / sqrt(2)) AS sd2 FROM (SELECT *, lead(v) OVER (PARTITION BY user_id, k ORDER BY i) AS nv FROM w) GROUP BY ALL),
+y AS (SELECT user_id, k, i, sum(v - mv) OVER (PARTITION BY user_id, k ORDER BY i) AS y FROM (SELECT *, avg(v) OVER (PARTITION BY user_id, k) AS mv FROM w)),
+sc AS (SELECT unnest([4, 6, 8, 10, 12, 16]) AS n),
+h AS (SELECT user_id, k, n, i // n AS piece, var_pop(y) * n - (covar_pop(y, i % n) * n) ** 2 / (var_pop(CAST(i % n AS DOUBLE)) * n) AS rest FROM y, sc WHERE i < 40 // n * n GROUP BY user_id, k, n, i // n),
+fl AS (SELECT user_id, k, ln(CAST(n AS DOUBLE)) AS x, ln(avg(greatest(rest, 0)) / n) / 2 AS f FROM h GROUP BY user_id, k, n),
+ap AS (SELECT user_id, k, regr_slope(f, x) AS alpha FROM fl GROUP BY ALL)
+SELECT q.user_id, CAST(q.k AS BIGINT) AS window_index, round(sd1, 6) AS sd1, round(sd2, 6) AS sd2, round(CASE WHEN aa > 0 AND bb > 0 THEN -ln(CAST(aa AS DOUBLE) / bb) END, 6) AS sampen, round(apen, 6) AS apen, round(alpha, 6) AS dfa_alpha1,
+  round(sd1 / sd2, 6) AS sd_ratio, round(pi() * sd1 * sd2, 4) AS ellipse, round(sd2 / sd1, 6) AS csi, round(log10(16 * sd1 * sd2), 6) AS cvi, round(4 * sd2 * sd2 / sd1, 4) AS csi_modified
+FROM q JOIN e ON q.user_id = e.user_id AND q.k = e.k JOIN ap ON q.user_id = ap.user_id AND q.k = ap.k""")
+def hrv_nonlinear(spark: SparkSession, d: str) -> DataFrame:
+    """Poincare plot, entropies and fluctuation slope of heart-rate variability over sliding windows."""
+    f = hrv.nonlinear(_windows40(spark, d), KEY)
+    return f.select("user_id", "window_index", *[F.round(c, 4 if c in ("ellipse", "csi_modified") else 6).alias(c) for c in f.columns[2:]])
+
+
 _GREEDY = """r AS (
   SELECT {key}, CAST([] AS BIGINT[]) AS taken FROM c GROUP BY {key}
   UNION ALL
