@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
 from pyspark.sql import types as T
 
 from ..functions.scalars import run_id
+from . import edf as edf_source
 
 ANNOTATION = "onset double, duration double, eventType string, lateralization string, localization string, vigilance string, confidence string, channels string, dateTime timestamp, recordingDuration double"
 SIDECAR = (
@@ -27,7 +26,6 @@ WINDOWED = (
     "subject_id string, run_id string, channel string, window_index int, start_idx bigint, end_idx bigint, start_time double, end_time double, window_label int, "
     "n_seizure_samples int, seizure_ratio double, samples array<double>"
 )
-EDF_SAMPLES = "path string, channel_index int, channel string, fs double, start_idx bigint, v array<double>, digital_min double, digital_max double"
 
 
 def with_ids(df: DataFrame, path: Column) -> DataFrame:
@@ -147,50 +145,20 @@ def download_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.lower("value").rlike(r"/(eeg|emg|mov)/[^/]*_(eeg|emg|mov)\."))
 
 
-def parse_edf(data: bytes, channels: list[str] | None = None, primary: int | None = None) -> list[dict]:
-    """Signals of an EDF file in physical units: fixed header, a header for each signal, records of 16-bit samples."""
-    text = lambda a, b: data[a:b].decode("latin-1").strip()
-    head, records, seconds, n = int(text(184, 192)), int(text(236, 244)), float(text(244, 252)), int(text(252, 256))
-    at = 256
-
-    def column(width: int) -> list[str]:
-        nonlocal at
-        out = [text(at + i * width, at + (i + 1) * width) for i in range(n)]
-        at += n * width
-        return out
-
-    label, _, _, pmin, pmax, dmin, dmax, _, per, _ = (column(w) for w in (16, 80, 8, 8, 8, 8, 8, 80, 8, 32))
-    per = [int(x) for x in per]
-    raw = np.frombuffer(data, "<i2", offset=head)
-    records = len(raw) // sum(per) if records < 0 else min(records, len(raw) // max(1, sum(per)))
-    raw = raw[: records * sum(per)].reshape(records, sum(per))
-    pick = range(n) if primary is None else [primary if primary < n else 0]
-    out, ends = [], np.cumsum(per)
-    for i in pick:
-        if channels and label[i] not in channels:
-            continue
-        low, high, d0, d1 = float(pmin[i]), float(pmax[i]), float(dmin[i]), float(dmax[i])
-        scale = (high - low) / (d1 - d0) if d1 != d0 else 1.0
-        out.append({"channel_index": i, "channel": label[i], "fs": per[i] / seconds, "v": (raw[:, ends[i] - per[i] : ends[i]].ravel() - d0) * scale + low, "digital_min": low, "digital_max": high})
-    return out
-
-
-def edf(spark: SparkSession, path: str, channels: list[str] | None = None, primary: int | None = None, chunk: int = 1 << 16) -> DataFrame:
-    """Signals of all EDF files below a path, in chunks of samples; files that are no EDF give no rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, data in zip(b["path"], b["content"], strict=True):
-                try:
-                    signals = parse_edf(bytes(data), channels, primary)
-                except (ValueError, IndexError):
-                    continue
-                for s in signals:
-                    for a in range(0, len(s["v"]), chunk):
-                        yield pd.DataFrame([{"path": name, "channel_index": s["channel_index"], "channel": s["channel"], "fs": s["fs"], "start_idx": a, "v": s["v"][a : a + chunk].tolist(), "digital_min": s["digital_min"], "digital_max": s["digital_max"]}])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.edf").load(path).select("path", "content")
-    return files.mapInPandas(run, EDF_SAMPLES)
+def edf(spark: SparkSession, path: str, channels: list[str] | None = None, primary: int | None = None, chunk: int = 1 << 16, partition_bytes: int | None = None) -> DataFrame:
+    """Signals of all EDF files below a path, in physical units and in chunks of samples; files that are no EDF give no rows.
+
+    A recording is read by ranges of its records (see sources.edf); a range ends with a shorter chunk.
+    """
+    edf_source.register(spark)
+    read = spark.read.format(edf_source.NAME).option("chunk", chunk)
+    if channels:
+        read = read.option("channels", "\n".join(channels))
+    if primary is not None:
+        read = read.option("primary", primary)
+    if partition_bytes:
+        read = read.option("partitionBytes", partition_bytes)
+    return read.load(path)
 
 
 def synthetic(spark: SparkSession, n: int = 1000, seed: int = 42, bursts: tuple[tuple[int, int], ...] = ((200, 250), (500, 580), (750, 800))) -> DataFrame:

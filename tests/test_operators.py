@@ -314,6 +314,52 @@ def test_edf(spark, tmp_path):
     assert {(x.subject_id, x.run_id, x.modality) for x in readers.discover(spark, str(tmp_path), "sub*.edf").collect()} == {("sub-001", "run-02", "ecg")}
 
 
+def large_edf(path, signals, records, filled):
+    """A file of any size whose records are holes but for those filled: {(record, signal): samples}."""
+    width = sum(2 * per for _, per in signals)
+    head = "0".ljust(8) + " " * 160 + "01.01.0001.01.01" + str(256 * (len(signals) + 1)).ljust(8) + "".ljust(44) + str(records).ljust(8) + "1".ljust(8) + str(len(signals)).ljust(4)
+    for wide, of in ((16, lambda s: s[0]), (80, lambda s: ""), (8, lambda s: "mV"), (8, lambda s: "-2"), (8, lambda s: "2"), (8, lambda s: "-1000"), (8, lambda s: "1000"), (80, lambda s: ""), (8, lambda s: str(s[1])), (32, lambda s: "")):
+        head += "".join(of(s).ljust(wide) for s in signals)
+    with open(path, "wb") as f:
+        f.write(head.encode())
+        f.truncate(len(head) + records * width)
+        for (r, k), samples in filled.items():
+            f.seek(len(head) + r * width + sum(2 * per for _, per in signals[:k]))
+            f.write(np.array(samples, "<i2").tobytes())
+
+
+def test_recordings_above_two_gigabytes(spark, tmp_path):
+    """A channel of a recording of 2.4 GB is read by many tasks, and the bytes of the others are not."""
+    large_edf(tmp_path / "long.edf", [("EEG", 600_000), ("ECG", 2)], 2000, {(0, 1): [500, 0], (1999, 1): [250, -1000]})
+    d = readers.edf(spark, str(tmp_path), ["ECG"])
+    assert (tmp_path / "long.edf").stat().st_size > 2**31 and d.rdd.getNumPartitions() > 20
+    v = {r.start_idx + i: x for r in d.collect() for i, x in enumerate(r.v)}
+    assert len(v) == 4000 and {i: x for i, x in v.items() if x} == {0: 1.0, 3998: 0.5, 3999: -2.0}
+    assert readers.edf(spark, str(tmp_path)).where("channel = 'ECG' and start_idx > 3000").count() == d.where("start_idx > 3000").count()
+
+
+def test_ranges_of_records_hold_the_whole_recording(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    signals, filled = [("A", 7), ("B", 3), ("A", 50)], {}
+    for r in range(40):
+        for k, (_, per) in enumerate(signals):
+            filled[r, k] = rng.integers(-1000, 1000, per)
+    large_edf(tmp_path / "x.edf", signals, 40, filled)
+    (tmp_path / "broken.edf").write_bytes(b"0".ljust(8) + b" " * 90)
+    (tmp_path / "empty.edf").write_bytes(b"")
+    for size, chunk in ((1 << 20, 1 << 16), (1 << 20, 11), (500, 64), (1, 5)):
+        got = {}
+        for r in readers.edf(spark, str(tmp_path), chunk=chunk, partition_bytes=size).collect():
+            got.setdefault(r.channel_index, {}).update({r.start_idx + i: x for i, x in enumerate(r.v)})
+            assert len(r.v) <= chunk and r.fs == signals[r.channel_index][1]
+        for k in range(3):
+            want = np.concatenate([filled[r, k] for r in range(40)]) * 0.002
+            assert np.allclose([got[k][i] for i in range(len(want))], want) and len(got[k]) == len(want)
+    assert {r.channel_index for r in readers.edf(spark, str(tmp_path), primary=1).collect()} == {1} and {r.channel_index for r in readers.edf(spark, str(tmp_path), primary=9).collect()} == {0}
+    some = readers.edf(spark, str(tmp_path)).where("channel in ('A') and v[0] < 100")
+    assert {r.channel for r in some.collect()} == {"A"} and readers.edf(spark, str(tmp_path), ["B"]).where("channel = 'A'").count() == 0
+
+
 def test_annotations(spark, tmp_path):
     f = tmp_path / "sub-001" / "ses-01" / "eeg"
     f.mkdir(parents=True)
