@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -260,13 +258,9 @@ def synthetic_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _alarm_stream(spark: SparkSession, d: str, least: float) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return s.where(F.col("value") >= least).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-
-
-def _name(what: str) -> str:
-    return f"{what}_{uuid.uuid4().hex[:12]}"
+    """Alarms as they arrive: in files by time, one a batch."""
+    s = table(spark, d, "events").where(F.col("value") >= least).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return streaming.in_batches(s, "ts", 3)
 
 
 @query(f"""WITH a AS (SELECT user_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {12 * HOUR} THEN 1 ELSE 0 END AS nw FROM ev WHERE value >= 150),
@@ -274,13 +268,13 @@ b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRE
 SELECT user_id, min(t) AS first, count(*) AS size FROM b GROUP BY user_id, c HAVING max(t) + {12 * HOUR} < (SELECT max(t) FROM ev WHERE value >= 150)""")
 def stream_session_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters that the stream has closed: those whose gap has passed the last alarm seen."""
-    out = streaming.drain(streaming.session_clusters(_alarm_stream(spark, d, 150.0), "user_id", "ts", "12 hours", "0 seconds"), _name("sessions"))
+    out = streaming.drain(streaming.session_clusters(_alarm_stream(spark, d, 150.0), "user_id", "ts", "12 hours", "0 seconds"), "sessions")
     return out.select("user_id", F.unix_micros("first").alias("first"), "size")
 
 
 @query(f"""SELECT (t // {24 * HOUR}) * {24 * HOUR} AS "start", count(*) AS alarms FROM ev WHERE value >= 150 GROUP BY 1 HAVING (t // {24 * HOUR} + 1) * {24 * HOUR} <= (SELECT max(t) FROM ev WHERE value >= 150)""".replace("HAVING (t // ", "HAVING (min(t) // "))
 def stream_alarm_rate(spark: SparkSession, d: str) -> DataFrame:
-    out = streaming.drain(streaming.alarm_rate(_alarm_stream(spark, d, 150.0), "ts", "24 hours", "0 seconds"), _name("rate"))
+    out = streaming.drain(streaming.alarm_rate(_alarm_stream(spark, d, 150.0), "ts", "24 hours", "0 seconds"), "rate")
     return out.select(F.unix_micros("start").alias("start"), "alarms")
 
 
@@ -292,5 +286,5 @@ r AS (SELECT user_id, min(t) AS t FROM a GROUP BY user_id UNION ALL SELECT user_
 SELECT user_id, t FROM r, z WHERE t <= m""", shared=False)
 def stream_refractory(spark: SparkSession, d: str) -> DataFrame:
     """Alarms that the stream has accepted by its last watermark; the same as the batch rule up to there."""
-    out = streaming.drain(streaming.refractory(_alarm_stream(spark, d, 60.0), "user_id", "ts", _HOLD / 1e6, "0 seconds"), _name("refractory"))
+    out = streaming.drain(streaming.refractory(_alarm_stream(spark, d, 60.0), "user_id", "ts", _HOLD / 1e6, "0 seconds"), "refractory")
     return out.select("user_id", F.unix_micros("ts").alias("t"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..sources.shared import kept, shared_path
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def session_clusters(stream: DataFrame, key: str, ts: str, theta: str, late: str) -> DataFrame:
@@ -22,39 +27,100 @@ def alarm_rate(stream: DataFrame, ts: str, width: str, late: str, slide: str | N
     return w.agg(F.count("*").alias("alarms")).select(F.col("w.start").alias("start"), "alarms")
 
 
-def refractory(stream: DataFrame, key: str, ts: str, hold_seconds: float, late: str) -> DataFrame:
-    """Alarms that are accepted when each accepted one suppresses the others for the hold (closed at the end).
+def _micros(x: pd.Timestamp) -> int:
+    return int((x.tz_localize(None) if x.tzinfo else x).value // 1000)
 
-    Rows wait in the state until the watermark says that no earlier one can come, so the result does not depend on the
-    order of arrival; then the rule walks them in the order of time.
+
+class Refractory(StatefulProcessor):
+    """Accepts alarms of one key in the order of time; an accepted one suppresses the others for the hold (closed at the end).
+
+    State: the last accepted time, the times that wait, and one timer, at the earliest of them.  A time is decided when the
+    watermark has passed it, as no earlier one can come then; so neither the order of arrival nor where batches end matters.
     """
-    hold = pd.Timedelta(seconds=hold_seconds)
-    schema = f"{key} long, {ts} timestamp"
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, [])
-        waiting = [pd.Timestamp(x, unit="us") for x in waiting]
-        for b in batches:
-            waiting += [x.tz_localize(None) if x.tzinfo else x for x in b[ts]]
-        waiting.sort()
-        sure = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        accepted, at = [], pd.Timestamp(last, unit="us") if last is not None else None
-        while waiting and waiting[0] <= sure:
-            x = waiting.pop(0)
-            if at is None or x > at + hold:
-                accepted.append(x)
-                at = x
-        state.update((None if at is None else int(at.value // 1000), [int(x.value // 1000) for x in waiting]))
-        if waiting:
-            state.setTimeoutTimestamp(max(int(waiting[0].value // 1_000_000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [name[0]] * len(accepted), ts: accepted})
-
-    return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, schema, "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a query over all that its source has now, and gives the result as a table."""
-    spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+
+    def __init__(self, key: str, ts: str, hold_micros: int) -> None:
+        self.key, self.ts, self.hold = key, ts, hold_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+        self.waiting = handle.getListState("waiting", "t long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(_micros(t),) for b in rows for t in b[self.ts]]
+        before = self._earliest()
+        self.waiting.appendList(new)
+        first = min(t for (t,) in new) if new else None
+        if first is not None and (before is None or first < before):
+            self._rewind(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        sure = timerValues.getCurrentWatermarkInMs() * 1000
+        times = sorted(t for (t,) in self.waiting.get())
+        at = self.last.get()[0] if self.last.exists() else None
+        accepted = []
+        for t in times:
+            if t > sure:
+                break
+            if at is None or t > at + self.hold:
+                accepted.append(t)
+                at = t
+        rest = [(t,) for t in times if t > sure]
+        if at is not None:
+            self.last.update((at,))
+        if rest:
+            self.waiting.put(rest)
+            self._rewind(rest[0][0])
+        else:
+            self.waiting.clear()
+        if accepted:
+            yield pd.DataFrame({self.key: [key[0]] * len(accepted), self.ts: pd.to_datetime(accepted, unit="us")})
+
+    def close(self) -> None:
+        pass
+
+    def _earliest(self) -> int | None:
+        return min((t for (t,) in self.waiting.get()), default=None) if self.waiting.exists() else None
+
+    def _rewind(self, t: int) -> None:
+        """One timer, in the millisecond after t."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(t // 1000 + 1)
+
+
+def refractory(stream: DataFrame, key: str, ts: str, hold_seconds: float, late: str) -> DataFrame:
+    """Alarms that are accepted when each accepted one suppresses the others for the hold (see Refractory)."""
+    rows = stream.select(key, ts).withWatermark(ts, late)
+    state = Refractory(key, ts, round(hold_seconds * 1_000_000))
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # the store that timers and lists need
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).transformWithStateInPandas(state, f"`{key}` {kind}, `{ts}` timestamp", "append", "EventTime")
+
+
+def in_batches(df: DataFrame, ts: str, parts: int, most: int = 100) -> DataFrame:
+    """A stream of df's rows in the order of time: files in the shared folder, of which a trigger reads one."""
+    spark = df.sparkSession
+    path = shared_path(spark, "arriving")
+    kept_rows = kept(df)
+    cuts = kept_rows.agg(F.percentile_approx(F.unix_micros(ts), [k / parts for k in range(1, parts)], 1000).alias("q")).first()[0] or []
+    t, low = F.unix_micros(ts), None
+    for k, high in enumerate([*sorted(set(cuts)), None][:most]):  # one after the other, as files are read by age
+        part = kept_rows if low is None else kept_rows.where(t > low)
+        (part if high is None else part.where(t <= high)).write.parquet(f"{path}/{k:04d}")
+        low = high
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def run_into(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a query over all that its source has now, into files; called again, it goes on where it stopped."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """run_into files of its own in the shared folder, and what is there then; nothing passes through the driver."""
+    spark: SparkSession = stream.sparkSession
+    path = shared_path(spark, f"stream-{name}")
+    run_into(stream, path, shared_path(spark, f"progress-{name}"))
+    return spark.read.schema(stream.schema).parquet(path)
