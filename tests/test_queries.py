@@ -2,6 +2,7 @@
 
 import collections
 import math
+import importlib.util
 import os
 import shutil
 import subprocess
@@ -203,16 +204,35 @@ def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("gone", [["pulseframe/llm", "tests/llm"], ["pulseframe/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
-def test_entry_without_the_corpus_part(tmp_path, gone):
-    """The other queries are there when the corpus subpackage, the pipeline or both are missing."""
+def _in_a_copy(tmp_path, gone, code):
+    """What code prints in a copy of the repository without some of it, whatever PYTHONPATH says here."""
     root, copy = os.path.dirname(os.path.abspath(entry.__file__)), tmp_path / "copy"
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.md", "*.json"))
     for name in gone:
         shutil.rmtree(copy / name) if (copy / name).is_dir() else (copy / name).unlink(missing_ok=True)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    return subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True).stdout.split()
+
+
+@pytest.mark.parametrize("gone", [["pulseframe/llm", "tests/llm"], ["pulseframe/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_without_the_corpus_part(tmp_path, gone):
+    """The other queries are there when the corpus subpackage is missing, with and without the pipeline."""
     code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES), sorted(e.oracle_sql()) == sorted(e.ORACLE_SQL))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True)
-    assert out.stdout.split()[-2:] == ["True", "True"]
+    assert _in_a_copy(tmp_path, gone, code)[-2:] == ["True", "True"]
+
+
+def test_entry_without_the_pipeline_alone(tmp_path):
+    """The corpus operators, where there are any, do not depend on the pipeline."""
+    if importlib.util.find_spec("pulseframe.llm") is None:
+        pytest.skip("no corpus part here")
+    code = "import __spark_entry__ as e; q = e.queries(); print(set(e.QUERIES) < set(q), any(n.startswith('op1_') for n in q), 'pipeline' in q)"
+    assert _in_a_copy(tmp_path, ["corpus_pipeline.py"], code)[-3:] == ["True", "True", "False"]
+
+
+def test_entry_where_the_corpus_part_cannot_be_imported(tmp_path):
+    """A package that only the corpus part needs may be missing."""
+    code = "import sys; sys.modules['zstandard'] = sys.modules['xxhash'] = None; import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES))"
+    assert _in_a_copy(tmp_path, [], code)[-1:] == ["True"]
 
 
 def test_entry_needs_no_session():
