@@ -42,6 +42,23 @@ def name_of(inner: str = "_id") -> Column:
     return F.when(F.col(inner) != NO_ID, F.col(inner))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where df has a column of that name; for columns put beside its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

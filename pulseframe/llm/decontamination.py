@@ -11,7 +11,7 @@ of each item block's largest weight bounds every item of that block.  Passages a
 the block-max WAND loop.  Postings and block maxima are kept sparse, about 30 bytes for a word of an item,
 but for the block maxima of small sets of items.
 
-The index is built by the driver.  Where the items are larger than ``INDEX_BYTES`` they are dealt into shards of at most
+The index is built once, by the driver, and sent to each worker as arrays.  Where the items are larger than ``INDEX_BYTES`` they are dealt into shards of at most
 that size, each of which is run against all passages; document frequencies and the mean length are always those of all
 items, so the shards change nothing but the number of passes.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .arrays import Words, encode, pieces, windowed_parts, word_hashes, words
-from .common import id_of, name_of, text_of
+from .common import id_of, name_of, text_of, unused
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -325,21 +325,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that leak no item.  A row is known by doc_id and text, so others with its doc_id stay."""
-    leaks = decontaminate(docs, items, with_hash=True).select(id_of().alias("__leak"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(leaks, (id_of() == F.col("__leak")) & (F.xxhash64(text_of()) == F.col("__hash")), "left_anti")
+    leak, hashed = unused(docs, "_leak", "_hash")
+    leaks = decontaminate(docs, items, with_hash=True).select(id_of().alias(leak), F.col("text_hash").alias(hashed)).distinct()
+    return docs.join(leaks, (id_of() == F.col(leak)) & (F.xxhash64(text_of()) == F.col(hashed)), "left_anti")
 
 
 def _against(docs: DataFrame, part: list[tuple], df: Mapping[int, int], n_items: int, mean: float, length: int, threshold: float, question: float, answer: float, with_hash: bool) -> DataFrame:
     own = ["doc_id", "text_hash"] if with_hash else ["doc_id"]
-    built: list[Index] = []
+    built = docs.sparkSession.sparkContext.broadcast(Index.build(part, df, n_items, mean))  # of bounded size, see INDEX_BYTES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not built:
-            built.append(Index.build(part, df, n_items, mean))
         for b in batches:
             ids = list(zip(*[b[c].to_list() for c in own], strict=True))
             texts = [encode(t) for t in b["text"]]
-            rows = [(*ids[d], *rest) for d, *rest in leaks(built[0], texts, length, threshold, question, answer)]
+            rows = [(*ids[d], *rest) for d, *rest in leaks(built.value, texts, length, threshold, question, answer)]
             yield pd.DataFrame(rows, columns=[*own, "item_id", "score", "question_overlap", "answer_overlap", "first_word"]).astype({"item_id": "Int64"})
 
     rows = docs.select(id_of().alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), "text").select(*own, "text")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of
+from .common import columns_of, text_of, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -43,14 +43,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies for every document.
+    """doc_id, source, size, source_size, target, taken, copies and text_hash for every document.
 
     taken counts words, repeats included, cut at exactly floor(target); copies is that in whole documents, where the
     one on the cut is in if its middle is.
     """
     size = F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
-    d = docs.select("doc_id", "source", size.alias("size"), key.alias("_key"))
+    text_hash = F.md5(text_of().cast("binary"))  # in the key, as very many rows may share a doc_id
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text_hash))
+    d = docs.select("doc_id", "source", size.alias("size"), key.alias("_key"), text_hash.alias("text_hash"))
     d = d.withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
     ranges = d.groupBy("source", "_range").agg(F.sum("size").alias("_n"))
     aims = targets(ranges.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, share, most)
@@ -73,19 +74,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         "target",
         (F.col("_epochs") * F.col("size") + part).alias("taken"),
         (F.col("_epochs") + F.when((part * 2 >= F.col("size")) & (part > 0), 1).otherwise(0)).alias("copies"),
+        "text_hash",
     )
 
 
 def materialise(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row as often as copies says, with all columns of the input.
 
-    copies depends on doc_id, source and size alone up to ties, so it is joined back on these; rows that agree in all
-    three are numbered in both tables.
+    copies depends on doc_id, source and text alone up to ties, so it is joined back on these; rows that agree in all three are
+    numbered in both tables.
     """
-    size = F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    own = {"__doc": F.col("doc_id"), "__source": F.col("source"), "__size": size}
-    plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__copies"))
-    plan = plan.withColumn("__k", F.row_number().over(Window.partitionBy("__d", "__s", "__n").orderBy(F.desc("__copies"))))
-    rows = docs.withColumns(own).withColumn("__row", F.row_number().over(Window.partitionBy(*own).orderBy("text")))
-    same = F.col("__doc").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")) & (F.col("__row") == F.col("__k"))
-    return rows.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    doc, source, hashed, row, copies, copy, d, s, h, k = unused(docs, "_doc", "_source", "_hash", "_row", "_copies", "_copy", "_d", "_s", "_h", "_k")
+    plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("text_hash").alias(h), F.col("copies").alias(copies))
+    plan = plan.withColumn(k, F.row_number().over(Window.partitionBy(d, s, h).orderBy(F.desc(copies))))
+    rows = docs.withColumns({doc: F.col("doc_id"), source: F.col("source"), hashed: F.md5(text_of().cast("binary"))})
+    rows = rows.withColumn(row, F.row_number().over(Window.partitionBy(doc, source, hashed).orderBy(F.lit(0))))
+    same = F.col(doc).eqNullSafe(F.col(d)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(hashed) == F.col(h)) & (F.col(row) == F.col(k))
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    return rows.join(plan, same).withColumn(copy, every).select(*columns_of(docs))

@@ -89,7 +89,7 @@ def _crc_sql(hexed: str) -> str:
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": f"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS k FROM documents),
+  SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS DOUBLE) AS weight FROM s),
 c AS (SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / weight AS ratio FROM w),

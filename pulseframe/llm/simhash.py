@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, id_of, name_of, partitions, text_of
+from .common import columns_of, components, cut, id_of, name_of, partitions, text_of, unused
 
 SEED = 42
 #: Variants that a task sorts at a time.
 AT_ONCE = 4_000_000
+#: Rows whose variants are made together before those of other slices go.
+MADE = 1024
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -79,16 +81,17 @@ def _links(key: np.ndarray, fp: np.ndarray, slices: np.ndarray, which: np.ndarra
     masks = [np.concatenate(_masks(low, half - k)) for k in range(half + 1)]
     variants, owner = [], []
     for k in range(half + 1):
-        rows = np.flatnonzero(used == k)
-        if len(rows):
+        every = np.flatnonzero(used == k)
+        for at in range(0, len(every), MADE):
+            rows = every[at : at + MADE]
             base = (key[rows] << np.uint64(low)) | (fp[rows] & rest)
-            variants.append((base[:, None] ^ masks[k][None, :]).ravel())
-            owner.append((rows, len(masks[k])))
-    z = np.concatenate(variants)
-    who = np.concatenate([np.repeat(r.astype(np.int32), n) for r, n in owner])
-    if (slices > 1).any():
-        mine = (_mix(z) >> np.uint64(40)) % slices[who].astype(np.uint64) == which[who].astype(np.uint64)
-        z, who = z[mine], who[mine]
+            z, who = (base[:, None] ^ masks[k][None, :]).ravel(), np.repeat(rows.astype(np.int32), len(masks[k]))
+            if (slices[rows] > 1).any():  # only this slice's are kept
+                mine = (_mix(z) >> np.uint64(40)) % slices[who].astype(np.uint64) == which[who].astype(np.uint64)
+                z, who = z[mine], who[mine]
+            variants.append(z)
+            owner.append(who)
+    z, who = np.concatenate(variants), np.concatenate(owner)
     ordered = np.sort(z)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
@@ -198,10 +201,12 @@ def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     each of which keeps a row of its own.
     """
     firsts = cut(rows.groupBy("_group", "_id", "hash").agg(F.count("*").alias("_rows")).groupBy("_group").agg(F.min(F.struct("_id", "hash", "_rows")).alias("_r")).select("_r._id", "_r.hash", "_r._rows"))
-    key = [id_of() == F.col("__first_id"), F.xxhash64(text_of()) == F.col("__first_hash")]
-    kept = docs.join(firsts.select(F.col("_id").alias("__first_id"), F.col("hash").alias("__first_hash")), key, "left_semi")
+    first_id, first_hash = unused(docs, "_first_id", "_first_hash")
+    key = [id_of() == F.col(first_id), F.xxhash64(text_of()) == F.col(first_hash)]
+    kept = docs.join(firsts.select(F.col("_id").alias(first_id), F.col("hash").alias(first_hash)), key, "left_semi")
     if firsts.where("_rows > 1").limit(1).count():  # rows that agree in doc_id and text
-        kept = kept.groupBy(id_of().alias("__id"), F.xxhash64(text_of()).alias("__hash")).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+        kept = kept.select(id_of().alias("_id"), F.xxhash64(text_of()).alias("_hash"), F.struct(*columns_of(docs)).alias("_row"))
+        kept = kept.groupBy("_id", "_hash").agg(F.min("_row").alias("_row")).select("_row.*")
     return kept
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .arrays import Words, encode, gram_hash, pieces, windowed_parts, words
+from .common import columns_of, unused
 from .labelled import fit_in_task, held_out, sample
 
 WINDOW, STRIDE, GRAM = 32, 24, 5
@@ -288,18 +289,19 @@ def scorer(model: Model | None):
     return run
 
 
-def _scored(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, name: str, per_class: int, max_bytes: int) -> DataFrame:
     run = scorer(fit_in_task(sample(docs, labels, "toxic", MODULUS, REST, per_class, max_bytes), fit))
-    return docs.withColumn("__toxicity", run(F.col("text")))
+    return docs.withColumn(name, run(F.col("text")))
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted and n_windows for every document."""
-    d = _scored(docs.select("doc_id", "text"), labels, per_class, max_bytes)
-    d = d.select("doc_id", held_out(MODULUS, REST).alias("held_out"), F.col("__toxicity.score").alias("score"), F.col("__toxicity.n_windows").alias("n_windows"))
+    d = _scored(docs.select("doc_id", "text"), labels, "_toxicity", per_class, max_bytes)
+    d = d.select("doc_id", held_out(MODULUS, REST).alias("held_out"), F.col("_toxicity.score").alias("score"), F.col("_toxicity.n_windows").alias("n_windows"))
     return d.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_windows")
 
 
 def reject(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not toxic, with all their columns."""
-    return _scored(docs, labels, per_class, max_bytes).where(F.col("__toxicity.score") < threshold).select(*docs.columns)
+    (name,) = unused(docs, "_toxicity")
+    return _scored(docs, labels, name, per_class, max_bytes).where(F.col(name)["score"] < threshold).select(*columns_of(docs))
