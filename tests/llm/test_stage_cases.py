@@ -5,11 +5,12 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseframe.llm import decontamination, labelled, mixing, simhash, toxicity
+from pulseframe.llm import decontamination, labelled, mixing, near_copies, simhash, toxicity
 
 CLASH = ["_doc", "_source", "__source", "__k", "_k", "_row", "__row", "_copies", "_copy", "_hash", "__hash", "_d", "_s", "_h", "_toxicity", "__toxicity", "_first_id", "_first_hash", "__first_id", "_leak", "__leak", "_id", "_group", "text_hash", "key", "chunk", "a.b"]
 
@@ -147,3 +148,35 @@ def test_first_of_each_and_reject_with_their_own_names(spark):
     assert kept.columns == docs.columns and set(map(tuple, kept.collect())) <= set(rows)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert collections.Counter(map(tuple, toxicity.reject(docs, labels).collect())) == collections.Counter(rows)
+
+
+@pytest.mark.parametrize(("at_once", "block"), [(40, 7), (24, 1000)])
+def test_crowded_buckets_in_parts_and_blocks(spark, monkeypatch, at_once, block):
+    """Very many texts that share their rare shingles, near copies only of some: the components are those of all pairs."""
+    monkeypatch.setattr(near_copies, "AT_ONCE", at_once)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "_common", lambda docs: np.zeros(0, np.uint64))
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    shared, texts = [word() for _ in range(12)], []
+    for _ in range(40):
+        own = [word() for _ in range(9)]
+        for _ in range(r.choice([1, 1, 3])):
+            copy = list(own)
+            copy[r.randrange(9)] = word() if r.random() < 0.5 else copy[0]
+            texts.append(" ".join(shared + copy))
+    texts += texts[:5] * 30
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {x.doc_id for x in near_copies.keep_first(d).collect()} == {root(k) for k in range(len(texts))}
