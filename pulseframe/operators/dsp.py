@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from .profile import _each
 
 
+@lru_cache(maxsize=64)
 def butter_sections(order: int, low: float, high: float, fs: float) -> np.ndarray:
     """Band-pass Butterworth as second-order sections (b0 b1 b2 1 a1 a2), by the bilinear transform of the analog poles."""
     high = min(high, 0.99 * fs / 2)
@@ -22,6 +25,7 @@ def butter_sections(order: int, low: float, high: float, fs: float) -> np.ndarra
     return _sections(np.concatenate([half + root, half - root]), order, fs, centre)
 
 
+@lru_cache(maxsize=64)
 def cheby_sections(order: int, ripple: float, cut: float) -> np.ndarray:
     """Low-pass Chebyshev type I as sections; cut is a share of the Nyquist frequency."""
     eps = np.sqrt(10 ** (ripple / 10) - 1)
@@ -55,24 +59,33 @@ def _sections(poles: np.ndarray, order: int, fs: float, centre: float) -> np.nda
     return np.array(out)
 
 
+@lru_cache(maxsize=256)
+def _blocked(section: tuple[float, ...], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a section: outputs of a block's inputs, outputs of the states before it, what inputs leave in the states, and what states become."""
+    b0, b1, b2, _, a1, a2 = section
+    step, gain = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    free = np.array([p[0] for p in powers[:block]])
+    response = np.concatenate(([b0], free[:-1] @ gain))
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    forced = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    into = np.array([powers[block - 1 - k] @ gain for k in range(block)])
+    return forced, free, into, powers[block]
+
+
 def run_sections(sos: np.ndarray, x: np.ndarray, start: bool = True, block: int = 64) -> np.ndarray:
     """The filter's output, from the state of a constant input of the first value if start.
 
     A section is a system with two states.  In a block the output is a triangular product with its impulse response,
-    and only the states are carried from block to block one after the other.
+    and only the states are carried from block to block one after the other.  What a section does to a block is worked out once.
     """
     y = np.asarray(x, float)
     level = y[0] if start and len(y) else 0.0
-    for b0, b1, b2, _, a1, a2 in sos:
-        step, gain = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
-        powers = [np.eye(2)]
-        for _ in range(block):
-            powers.append(step @ powers[-1])
-        free = np.array([p[0] for p in powers[:block]])  # output of a state alone
-        response = np.concatenate(([b0], free[:-1] @ gain))
-        lag = np.arange(block)[:, None] - np.arange(block)[None, :]
-        forced = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
-        into = np.array([powers[block - 1 - k] @ gain for k in range(block)])  # what each input leaves in the state
+    for section in sos.tolist():
+        b0, b1, b2, _, a1, a2 = section
+        forced, free, into, after = _blocked(tuple(section), block)
         dc = (b0 + b1 + b2) / (1 + a1 + a2)
         s2 = (b2 - a2 * dc) * level
         state = np.array([(b1 - a1 * dc) * level + s2, s2])
@@ -82,7 +95,7 @@ def run_sections(sos: np.ndarray, x: np.ndarray, start: bool = True, block: int
         left, states = rows @ into, np.empty((n, 2))
         for k in range(n):
             states[k] = state
-            state = powers[block] @ state + left[k]
+            state = after @ state + left[k]
         y, level = (rows @ forced.T + states @ free.T).ravel()[: len(y)], level * dc
     return y
 

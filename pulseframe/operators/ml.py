@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds features: the columns, centred and scaled."""
@@ -36,57 +37,9 @@ def kmeans(df: DataFrame, columns: list[str], ks: range = range(2, 8), seed: int
     return best[1].drop("features")
 
 
-def dbscan_labels(x: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Density clusters of points: -1 for noise.  Neighbours are looked for in the grid cells around a point when it is reached."""
-    n, dims = x.shape
-    cell = np.floor(x / eps).astype(np.int64)
-    members: dict[tuple, list[int]] = {}
-    for i, c in enumerate(map(tuple, cell.tolist())):
-        members.setdefault(c, []).append(i)
-    around = list(product((-1, 0, 1), repeat=dims))
-
-    def near(i: int) -> np.ndarray:
-        own = cell[i].tolist()
-        some = np.array([j for step in around for j in members.get(tuple(a + b for a, b in zip(own, step, strict=True)), ())])
-        return np.sort(some[((x[some] - x[i]) ** 2).sum(axis=1) <= eps * eps])
-
-    label, cluster = np.full(n, -1), -1
-    seen = np.zeros(n, bool)
-    for i in range(n):
-        if seen[i]:
-            continue
-        if len(near(i)) < least:
-            continue
-        cluster += 1
-        stack = [i]
-        seen[i] = True
-        while stack:
-            p = stack.pop()
-            label[p] = cluster
-            around_p = near(p)
-            if len(around_p) < least:
-                continue
-            for q in around_p.tolist():
-                if label[q] == -1:
-                    label[q] = cluster
-                if not seen[q]:
-                    seen[q] = True
-                    stack.append(q)
-    return label
-
-
 def dbscan(df: DataFrame, key: list[str], columns: list[str], tie: str, eps: float = 0.5, least: int = 3) -> DataFrame:
-    """key, tie, cluster: density clusters of each group's rows, with the columns standardised in the group."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key, tie).schema), "cluster int"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(tie)
-        x = rows[columns].to_numpy(float)
-        dev = x.std(axis=0)
-        x = (x - x.mean(axis=0)) / np.where(dev == 0, 1, dev)
-        return rows[[*key, tie]].assign(cluster=dbscan_labels(x, eps, least).astype(np.int32))
-
-    return df.select(*key, tie, *columns).groupBy(*key).applyInPandas(run, schema)
+    """key, tie, cluster: density clusters of each group's rows, with the columns standardised in the group (see graph)."""
+    return graph.density_clusters(df, key, columns, tie, eps, least).select(*key, tie, "cluster")
 
 
 def centred_windows(df: DataFrame, key: list[str], position: str, value: str, label: str, half: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import scalars, tables
 from ..operators import hrv, intervals, metrics, ml, sequence
 from ..sources import bridge
 from ..sources.bridge import HOUR
@@ -96,6 +96,18 @@ def fixed_windows(spark: SparkSession, d: str) -> DataFrame:
     return sequence.fixed_windows(_lengths(spark, d), KEY, "n", 20, 10).drop("kind")
 
 
+@query(f"""WITH {_N}, {_FULL},
+x AS (SELECT user_id, window_index, "start", "end", 'full' AS kind FROM fw
+  UNION ALL SELECT user_id, (n - 20) // 10 + 1, ((n - 20) // 10) * 10 + 20, n, 'trailing' FROM ln WHERE n >= 20 AND n - ((n - 20) // 10) * 10 - 20 >= 3)
+SELECT x.user_id, window_index, "start", "end", kind, round(avg(se.value), 5) AS mean FROM x JOIN se ON x.user_id = se.user_id AND se.idx >= x."start" AND se.idx < x."end" GROUP BY ALL""")
+def exploded_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows with their means by the table function, called from SQL on partitions in order."""
+    tables.register(spark)
+    rows = bridge.series(spark, d).select("user_id", "idx", "value")
+    call = "SELECT * FROM explode_windows(TABLE({rows}) PARTITION BY user_id ORDER BY idx, key => 'user_id', value => 'value', width => 20, stride => 10, least_tail => 3)"
+    return spark.sql(call, rows=rows).withColumn("mean", F.round("mean", 5))
+
+
 @query(f"""WITH {_N}, {_FULL},
 x AS (SELECT user_id, n, (n - 20) // 10 + 1 AS k, ((n - 20) // 10) * 10 + 20 AS covered FROM ln WHERE n >= 20)
 SELECT user_id, CAST(window_index AS INTEGER) AS window_index, "start", "end", 'full' AS kind FROM fw

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import dsp, ml, profile
+from ..operators import dsp, graph, ml, profile, quantize
 from ..sources import bridge, readers
 from ..sources.bridge import HOUR, table
 from ..streaming import alarms as streaming
@@ -198,11 +201,64 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     return ml.kmeans(_alarm_features(spark, d), _FEATURES, range(2, 20)).select("user_id", "event_id", "cluster")
 
 
-@query()
+def _density_sql(features: str, dims: int) -> str:
+    """Clusters of z's columns f1.. by user_id: core points, their closure by near pairs, numbers by the first, and what borders on them."""
+    scaled = ", ".join(f"CASE WHEN stddev_pop(f{i}) OVER w > 0 THEN (f{i} - avg(f{i}) OVER w) / stddev_pop(f{i}) OVER w ELSE 0 END AS f{i}" for i in range(1, dims + 1))
+    far = " + ".join(f"(a.f{i} - b.f{i}) ** 2" for i in range(1, dims + 1))
+    return f"""WITH RECURSIVE {bridge.SQL}, {features}, z AS (SELECT user_id, event_id, {scaled} FROM fa WINDOW w AS (PARTITION BY user_id)),
+nb AS (SELECT a.user_id, a.event_id AS i, b.event_id AS j FROM z a JOIN z b ON a.user_id = b.user_id AND {far} <= 0.25),
+cp AS (SELECT user_id, i FROM nb GROUP BY user_id, i HAVING count(*) >= 3),
+ce AS (SELECT nb.user_id, nb.i, nb.j FROM nb JOIN cp a ON nb.user_id = a.user_id AND nb.i = a.i JOIN cp b ON nb.user_id = b.user_id AND nb.j = b.i),
+rc AS (SELECT user_id, i, j FROM ce UNION SELECT rc.user_id, rc.i, ce.j FROM rc JOIN ce ON rc.user_id = ce.user_id AND rc.j = ce.i),
+cc AS (SELECT user_id, i, min(j) AS first FROM rc GROUP BY user_id, i), cn AS (SELECT user_id, i, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS cluster FROM cc),
+bo AS (SELECT nb.user_id, nb.i, min(cn.cluster) AS cluster FROM nb JOIN cn ON nb.user_id = cn.user_id AND nb.j = cn.i GROUP BY nb.user_id, nb.i),
+dc AS (SELECT z.user_id, z.event_id, cn.cluster IS NOT NULL AS core, CAST(coalesce(cn.cluster, bo.cluster, -1) AS INTEGER) AS cluster
+  FROM z LEFT JOIN cn ON z.user_id = cn.user_id AND z.event_id = cn.i LEFT JOIN bo ON z.user_id = bo.user_id AND z.event_id = bo.i)"""
+
+
+_ALARM_POINTS = f"""fa AS (SELECT user_id, event_id, t / CAST({HOUR} AS DOUBLE) AS f1, score AS f2, coalesce((t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id)) / CAST({HOUR} AS DOUBLE), 0) AS f3,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS DOUBLE) AS f4 FROM al)"""
+
+
+@query(f"{_density_sql(_ALARM_POINTS, 4)} SELECT user_id, event_id, cluster FROM dc", shared=False)
 def dbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
     return ml.dbscan(_alarm_features(spark, d), ["user_id"], _FEATURES, "event_id", 0.5, 3)
 
 
+@query(f"{_density_sql(f'fa AS (SELECT user_id, event_id, t / CAST({HOUR} AS DOUBLE) AS f1, value AS f2 FROM ev)', 2)} SELECT user_id, event_id, core, cluster FROM dc", shared=False)
+def event_density(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each user in the plane of time and value: core points and clusters."""
+    e = bridge.events(spark, d).select("user_id", "event_id", (F.col("t") / float(HOUR)).alias("hours"), "value")
+    return graph.density_clusters(e, ["user_id"], ["hours", "value"], "event_id", 0.5, 3)
+
+
+_CODES, _DECAY = 16, 0.8
+_FAR = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) ** 2))"
+
+
+def _round_sql(k: int) -> str:
+    """c{k}: the codebook after another round over ve, from c{k - 1} (code, v, size, total)."""
+    return f"""a{k} AS (SELECT vec_id, w.v AS v, arg_min(code, {_FAR.format(a="w.v", b="c.v")}) AS code FROM ve w, c{k - 1} c GROUP BY vec_id, w.v),
+n{k} AS (SELECT code, count(*) AS n FROM a{k} GROUP BY code), d{k} AS (SELECT code, i, sum(v[i]) AS s FROM a{k}, (SELECT unnest(range(1, 65)) AS i) GROUP BY code, i),
+l{k} AS (SELECT code, list(s ORDER BY i) AS s FROM d{k} GROUP BY code),
+t{k} AS (SELECT c.code, {_DECAY} * size + {1 - _DECAY!r} * coalesce(n, 0) AS size, CASE WHEN l.s IS NULL THEN list_transform(total, lambda x: {_DECAY} * x) ELSE list_transform(list_zip(total, l.s), lambda z: {_DECAY} * z[1] + {1 - _DECAY!r} * z[2]) END AS total
+  FROM c{k - 1} c LEFT JOIN n{k} n ON c.code = n.code LEFT JOIN l{k} l ON c.code = l.code),
+e{k} AS (SELECT code, size, total, (size + 1e-5) / (sum(size) OVER () + {_CODES} * 1e-5) * sum(size) OVER () AS even FROM t{k}),
+c{k} AS (SELECT code, list_transform(total, lambda x: x / even) AS v, size, total FROM e{k})"""
+
+
+_VQ = f"{_VEC}, c0 AS (SELECT CAST(vec_id AS INTEGER) AS code, v, CAST(1 AS DOUBLE) AS size, v AS total FROM ve WHERE vec_id < {_CODES}), {_round_sql(1)}, {_round_sql(2)}"
+
+
+@query(f"""WITH {_VQ}, z AS (SELECT vec_id, code, {_FAR.format(a="w.v", b="c.v")} AS far FROM ve w, c2 c)
+SELECT vec_id, arg_min(code, far) AS code, round(min(far) / 64, 6) AS error FROM z GROUP BY vec_id""", shared=False)
+def vq_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Windows by the nearest of 16 codes, after two rounds from the first windows."""
+    w = _vectors(spark, d).withColumnRenamed("values", "window")
+    first = [r.window for r in w.where(F.col("vec_id") < _CODES).orderBy("vec_id").collect()]  # one row a code
+    return quantize.encode(w, quantize.learn(w, np.array(first), 2, _DECAY)).select("vec_id", "code", F.round("error", 6).alias("error"))
+
+
 @query()
 def rf_profile_windows(spark: SparkSession, d: str) -> DataFrame:
     s = bridge.series(spark, d).withColumn("label", (F.col("event_type") == "error").cast("int"))
@@ -246,12 +302,40 @@ def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     return ml.wilcoxon(_methods(spark, d), "ds", "m", "v").select("a", "b", "w", "n", F.round("z", 6).alias("z"))
 
 
+#: Pairs of methods with the decision of Holm's rule at 0.05: sorted by falling |z|, a pair differs if it and all before pass their bounds.
+_HOLM = """me AS (SELECT user_id AS ds, event_type AS m, round(avg(value), 6) AS v FROM ev GROUP BY ALL),
+p AS (SELECT x.m AS a, y.m AS b, x.v - y.v AS d FROM me x JOIN me y ON x.ds = y.ds AND x.m < y.m),
+q AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / CAST(2 AS DOUBLE) AS r, count(*) OVER (PARTITION BY a, b, abs(d)) AS c FROM p),
+s AS (SELECT a, b, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (d = 0) AS DOUBLE) AS o,
+  CAST(coalesce(sum(c * c - 1) FILTER (d <> 0), 0) AS DOUBLE) AS t FROM q GROUP BY a, b),
+zz AS (SELECT a, b, abs((w - (n * (n + 1) - o * (o + 1)) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - o * (o + 1) * (2 * o + 1) - t / 2) / 24)) AS z FROM s WHERE n > o),
+bd AS (SELECT * FROM (VALUES """ + ", ".join(f"({k}, CAST({NormalDist().inv_cdf(1 - 0.025 / k)!r} AS DOUBLE))" for k in range(1, 11)) + """) t(k, bound)),
+zr AS (SELECT a, b, z, row_number() OVER (ORDER BY z DESC, a, b) AS i, count(*) OVER () - row_number() OVER (ORDER BY z DESC, a, b) + 1 AS k FROM zz),
+hd AS (SELECT a, b, bool_and(z >= bound) OVER (ORDER BY i) AS differ FROM zr JOIN bd ON zr.k = bd.k)"""
+
+
 @query()
 def wilcoxon_holm(spark: SparkSession, d: str) -> DataFrame:
-    """Probabilities and Holm's decision; SQL has no error function, so tested against worked values."""
+    """Probabilities and Holm's decision; SQL has no error function, so the probabilities are tested against worked values."""
     return ml.wilcoxon(_methods(spark, d), "ds", "m", "v").select("a", "b", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"), "differ")
 
 
+@query(f"WITH {_HOLM} SELECT a, b, differ FROM hd")
+def holm_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the (up to ten) pairs of methods differ by Holm's rule."""
+    return ml.wilcoxon(_methods(spark, d), "ds", "m", "v").select("a", "b", "differ")
+
+
+@query(f"""WITH RECURSIVE {bridge.SQL}, {_HOLM}, ed AS (SELECT a, b FROM hd WHERE NOT differ UNION SELECT b, a FROM hd WHERE NOT differ),
+nd AS (SELECT DISTINCT a AS m FROM ed),
+cq AS (SELECT [m] AS c FROM nd UNION ALL SELECT list_append(c, m) FROM cq, nd WHERE m > c[len(c)] AND (SELECT count(*) FROM ed WHERE ed.a = m AND list_contains(c, ed.b)) = len(c))
+SELECT array_to_string(c, ', ') AS clique, CAST(len(c) AS INTEGER) AS methods FROM cq WHERE NOT EXISTS (SELECT 1 FROM nd WHERE (SELECT count(*) FROM ed WHERE ed.a = nd.m AND list_contains(c, ed.b)) = len(c))""", shared=False)
+def method_cliques(spark: SparkSession, d: str) -> DataFrame:
+    """Maximal groups of methods of which no two differ."""
+    pairs = ml.wilcoxon(_methods(spark, d), "ds", "m", "v").where("not differ").select(F.lit(0).alias("g"), "a", "b")
+    return graph.maximal_cliques(pairs, ["g"]).select(F.array_join("clique", ", ").alias("clique"), F.size("clique").alias("methods"))
+
+
 @query()
 def synthetic_series(spark: SparkSession, d: str) -> DataFrame:
     return readers.synthetic(spark)

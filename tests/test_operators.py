@@ -1,12 +1,14 @@
 """Hand-worked values and invariants of the engine's operators."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import scalars
-from pulseframe.operators import clusters, dsp, hrv, intervals, metrics, ml, profile, quality, segments, sequence
+from pulseframe.operators import clusters, dsp, graph, hrv, intervals, metrics, ml, profile, quality, segments, sequence
 from pulseframe.sources import readers, sinks
 
 RR = [800.0, 810, 790, 805, 795, 850, 700, 720, 710, 730]
@@ -282,9 +284,49 @@ def test_baseline_cutoff(spark):
     assert hrv.baseline_cutoff(d.withColumn("v", F.lit(None).cast("double")), ["k"], "rec", "t", "v", "label").first().cutoff == 0.0
 
 
-def test_dbscan():
-    x = np.array([[0, 0], [0, 0.1], [0.1, 0], [5, 5], [5, 5.1], [5.1, 5], [9, 0]])
-    assert ml.dbscan_labels(x, 0.5, 3).tolist() == [0, 0, 0, 1, 1, 1, -1]
+def plain_density(x, eps, least):
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= eps * eps
+    core, label, k = near.sum(axis=1) >= least, np.full(len(x), -1), 0
+    for i in range(len(x)):
+        if core[i] and label[i] < 0:
+            stack = [i]
+            while stack:
+                p = stack.pop()
+                if label[p] < 0:
+                    label[p] = k
+                    stack += [q for q in np.flatnonzero(near[p]).tolist() if core[p] and label[q] < 0]
+            k += 1
+    return core, label
+
+
+@pytest.mark.parametrize("dims", [1, 2, 4])
+def test_density_clusters_over_many_parts(spark, dims):
+    """A group whose clusters run through many parts, with copies, noise, a column without variation and missing values."""
+    rng = np.random.default_rng(dims)
+    line = np.stack([np.linspace(0, 40, 260)] * dims, axis=1) + rng.normal(scale=0.02, size=(260, dims))
+    x = np.concatenate([line, rng.uniform(-5, 45, (60, dims)), np.repeat(line[:3], 5, axis=0)])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    eps = 0.06
+    core, label = plain_density(x, eps, 4)
+    rows = [("a", i, *map(float, v), 3.0) for i, v in enumerate(x)] + [("a", 1000, *[None] * dims, 3.0), ("b", 1, *[1.0] * dims, 3.0), ("b", 2, *[1.0] * dims, 3.0)]
+    names = [f"c{k}" for k in range(dims)]
+    d = spark.createDataFrame(rows, "k string, i long, " + ", ".join(f"{n} double" for n in [*names, "flat"])).repartition(5)
+    got = {(r.k, r.i): (r.core, r.cluster) for r in graph.density_clusters(d, ["k"], [*names, "flat"], "i", eps, 4, cells=3).collect()}
+    assert [got["a", i] for i in range(len(x))] == list(zip(core.tolist(), label.tolist(), strict=True))
+    assert got["a", 1000] == got["b", 1] == got["b", 2] == (False, -1) and len(got) == len(rows) and (label == 0).sum() > 50
+
+
+def test_cliques(spark):
+    rng = np.random.default_rng(1)
+    edges = [(g, int(a), int(b)) for g in range(4) for a in range(9) for b in range(a) if rng.random() < 0.2 + 0.2 * g] + [(9, 1, 1)]
+    got = {}
+    for r in graph.maximal_cliques(spark.createDataFrame(edges, "g long, a long, b long"), ["g"]).collect():
+        got.setdefault(r.g, []).append(tuple(r.clique))
+    for g in range(4):
+        linked = {frozenset(e[1:]) for e in edges if e[0] == g}
+        full = [set(c) for k in range(2, 10) for c in combinations(range(9), k) if all(frozenset(p) in linked for p in combinations(c, 2))]
+        assert sorted(got.get(g, [])) == sorted(tuple(sorted(c)) for c in full if not any(c < o for o in full))
+    assert 9 not in got
 
 
 def test_greedy_peaks():
