@@ -27,6 +27,8 @@ from ..sources.shared import kept
 #: Windows of a segment; rows after which products are computed anew; deviation under which a window is flat; and one window in
 #: so many is looked up by itself, more by rows.
 SEGMENT, RESEED, FLAT, SPARSE = 8192, 512, 1e-5, 6
+#: Distances that are equal: two windows that are each other's nearest have one distance, up to rounding.
+SAME = 1e-9
 _CHUNK = 1 << 20
 
 
@@ -333,7 +335,7 @@ def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int,
         if open_.limit(1).count():
             lead = open_.withColumn("_r", rank).where("_r = 1").drop("_r")
             looked.append(lead.groupBy(*key, "m").agg((F.sum("seg") - F.count("*")).alias("looked")))
-            lead = kept(_closer(lead, F.lit(0).cast("long"), F.col("seg") - 2, segments, key, size))
+            lead = kept(_closer(lead, F.sequence(F.lit(0).cast("long"), F.col("seg") - 2), segments, key, size))
             done.append(lead.select(*key, "m", "pos", "dist"))
             every = done[0].unionByName(done[1]).where(F.col("dist") < float("inf"))
             bound = kept(every.groupBy(*key, "m").agg(F.max("dist").alias("bound")))  # one row a series and length
@@ -348,7 +350,7 @@ def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int,
                     break
                 first = F.greatest(F.lit(0).cast("long"), F.col("seg") - (back + step - 1))
                 looked.append(left.groupBy(*key, "m").agg(F.sum(F.col("seg") - back - first + 1).alias("looked")))
-                left, back, step = _closer(left, first, F.col("seg") - back, segments, key, size), back + step, 2 * step
+                left, back, step = _closer(left, F.sequence(first, F.col("seg") - back), segments, key, size), back + step, 2 * step
         found = done[0]
         for d in done[1:]:
             found = found.unionByName(d)
@@ -362,18 +364,60 @@ def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int,
 
 
 def _total(parts: list[DataFrame], key: list[str]) -> DataFrame:
+    return _all(parts).groupBy(*key, "m").agg(F.sum("looked").alias("looked"))
+
+
+def range_discords(df: DataFrame, key: list[str], lengths: list[int], shrink: float = 0.75, size: int | None = None) -> DataFrame:
+    """key, m, score (normalised by 1 / (2 sqrt m)), pos: the best discord of every series and length of at least 2 m values, lengths side by side.
+
+    A window scores the distance to its nearest that does not overlap it; equal scores go to the earlier window; without any the
+    score is 0 and pos -1.  Segments and their neighbours bound all windows from above.  Candidates of a series and length are the
+    windows whose bound reaches its range; they are compared with all other segments, so their distances are exact.  If the best of them is
+    no less than every other bound it is the discord, else the range falls: to that best distance, or by shrink where that is less.
+    """
+    size = max(size or SEGMENT, *lengths)
+    segments = segmented(long_form(df, key), key, max(lengths), size)
+    sizes = segments.where("seg = 0").select(*key, "segs", "n", F.explode(F.array(*map(F.lit, lengths))).alias("m")).where("n >= 2 * m")
+    near = joined(df, key, F.array(*map(F.lit, lengths)), lambda m: m, size=size, most_apart=1, segments=segments, flat=False)
+    near = near.select(*key, "m", "pos", F.coalesce("dist", F.lit(float("inf"))).alias("dist"), F.floor(F.col("pos") / size).cast("long").alias("seg"))
+    open_ = kept(near.join(sizes.select(*key, "m", "segs"), [*key, "m"]))
+    most = F.least(F.max("dist"), 2 * F.sqrt("m"))  # no distance is larger
+    reach = kept(open_.groupBy(*key, "m").agg((0.9 * most).alias("range")))
+    found = []
+    while open_.limit(1).count():
+        d = open_.join(reach, [*key, "m"])
+        before = F.when(F.col("seg") >= 2, F.sequence(F.lit(0).cast("long"), F.col("seg") - 2)).otherwise(F.array().cast("array<bigint>"))
+        after = F.when(F.col("seg") + 2 < F.col("segs"), F.sequence(F.col("seg") + 2, F.col("segs") - 1)).otherwise(F.array().cast("array<bigint>"))
+        some = kept(d.where("dist >= range").select(*key, "m", "pos", "dist", "seg", "segs"))
+        looks = some.select(*key, "m", "seg", "segs", "pos", "dist").withColumn("_look", F.concat(before, after))
+        exact = kept(_closer(looks, F.col("_look"), segments, key, size).select(*key, "m", "pos", "dist"))
+        found.append(exact.where(F.col("dist") < float("inf")))
+        rest = d.where("dist < range").drop("range")
+        best = _all(found).groupBy(*key, "m").agg(F.max("dist").alias("best"))
+        left = kept(rest.join(best, [*key, "m"], "left").where(F.col("best").isNull() | (F.col("dist") >= F.col("best") - SAME)))  # an equal one may stand earlier
+        reach = kept(left.select(*key, "m", "best").distinct().join(reach, [*key, "m"]).select(*key, "m", F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("range") > 1e-3, F.col("range") * shrink).otherwise(0.0)).alias("range")))
+        open_ = left.drop("best")
+    top = F.max(F.struct(F.round(F.col("dist") / SAME).alias("step"), (-F.col("pos")).alias("before"), "dist")).alias("_b")
+    out = sizes.select(*key, "m")
+    if not found:
+        return out.withColumns({"score": F.lit(0.0), "pos": F.lit(-1).cast("long")})
+    out = out.join(_all(found).groupBy(*key, "m").agg(top), [*key, "m"], "left")
+    return out.select(*key, "m", (F.coalesce("_b.dist", F.lit(0.0)) / (2 * F.sqrt("m"))).alias("score"), F.coalesce(-F.col("_b.before"), F.lit(-1)).cast("long").alias("pos"))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy(*key, "m").agg(F.sum("looked").alias("looked"))
+    return every
 
 
-def _closer(rows: DataFrame, first: Column, last: Column, segments: DataFrame, key: list[str], size: int) -> DataFrame:
-    """rows (key, m, pos, dist, seg) with dist lowered to what segments first to last hold; these end before the window's own.
+def _closer(rows: DataFrame, look: Column, segments: DataFrame, key: list[str], size: int) -> DataFrame:
+    """rows (key, m, pos, dist, seg) with dist lowered to what the segments in look hold; these are two or more from the window's own.
 
     The unit is a pair of segments and the places of the windows that look; no window travels by itself.
     """
-    asked = rows.groupBy(*key, "m", "seg").agg(F.collect_list("pos").alias("who")).select(*key, "m", "seg", "who", F.explode(F.sequence(first, last)).alias("lo"))  # size places at most
+    asked = rows.withColumn("_to", look).groupBy(*key, "m", "seg", "_to").agg(F.collect_list("pos").alias("who")).select(*key, "m", "seg", "who", F.explode("_to").alias("lo"))  # size places at most
     own = segments.select(*key, "seg", F.col("values").alias("own"))
     before = segments.select(*key, F.col("seg").alias("lo"), F.col("values").alias("before"))
     units = asked.join(own, [*key, "seg"]).join(before, [*key, "lo"]).select(*key, "m", "seg", "who", "own", "before")

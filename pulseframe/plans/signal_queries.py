@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import dsp, graph, ml, profile, quantize
+from ..operators import dsp, graph, ml, profile, quantize, segments
 from ..sources import bridge, readers
 from ..sources.bridge import HOUR, table
 from ..streaming import alarms as streaming
@@ -107,6 +107,19 @@ def multi_length_discords(spark: SparkSession, d: str) -> DataFrame:
     return profile.left_discords(_series(spark, d), ["user_id"], [6, 8, 10, 12], SPLIT).select("user_id", "m", F.round("score", 5).alias("score"), "pos")
 
 
+_RANGES = [8, 11]
+
+
+@query(f"""WITH rw AS ({" UNION ALL ".join(f"SELECT user_id, pos, {m} AS m, w, list_avg(w) AS mu, list_stddev_pop(w) AS sd FROM (SELECT user_id, idx AS pos, list(value) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING) AS w FROM se) WHERE len(w) = {m}" for m in _RANGES)}),
+rp AS (SELECT a.user_id, a.m, a.pos, min(sqrt(greatest(0, 2 * a.m * (1 - (list_dot_product(a.w, b.w) - a.m * a.mu * b.mu) / (a.m * a.sd * b.sd))))) AS dist
+  FROM rw a JOIN rw b ON a.user_id = b.user_id AND a.m = b.m AND abs(a.pos - b.pos) >= a.m WHERE a.sd > 1e-5 AND b.sd > 1e-5 GROUP BY a.user_id, a.m, a.pos),
+rg AS (SELECT user_id, m FROM (SELECT user_id, count(*) AS n FROM se GROUP BY user_id), (SELECT unnest({_RANGES}) AS m) WHERE n >= 2 * m)
+SELECT g.user_id, CAST(g.m AS INTEGER) AS m, round(coalesce(max(dist), 0) / (2 * sqrt(g.m)), 5) AS score, CAST(coalesce(arg_max(pos, struct_pack(a := round(dist, 9), b := -pos)), -1) AS BIGINT) AS pos FROM rg g LEFT JOIN rp p ON g.user_id = p.user_id AND g.m = p.m GROUP BY g.user_id, g.m""")
+def range_discords(spark: SparkSession, d: str) -> DataFrame:
+    """The best discord of each series and length by candidates within a falling range."""
+    return segments.range_discords(_series(spark, d), ["user_id"], _RANGES).withColumn("score", F.round("score", 5))
+
+
 @query(f"""WITH {_lengths_sql(_LENGTHS, SPLIT)}, q AS (SELECT user_id, quantile_cont(score, CAST(0.95 AS DOUBLE)) AS lim FROM ld GROUP BY user_id)
 SELECT ld.user_id, CAST(m AS INTEGER) AS m, round(score, 5) AS score, CAST(pos AS BIGINT) AS pos, CAST(row_number() OVER (PARTITION BY ld.user_id ORDER BY score DESC, m) AS INTEGER) AS rank FROM ld JOIN q ON ld.user_id = q.user_id WHERE score >= lim""")
 def best_so_far_anomalies(spark: SparkSession, d: str) -> DataFrame:

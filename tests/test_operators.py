@@ -93,6 +93,22 @@ def test_pruned_finds_the_best(spark, monkeypatch):
         assert pruned[k].looked < exact[k].looked
 
 
+def test_range_search_finds_the_best(spark):
+    """Place and score of all pairs, for series of many segments, one that repeats, a flat one and one that is too short."""
+    xs = walks(range(3), 400) | {"same": np.tile([0.0, 1, 4, 2, 7, 3], 40), "flat": np.ones(60), "short": np.arange(11.0)}
+    lengths = [8, 13]
+    got = {(r.k, r.m): (r.score, r.pos) for r in segments.range_discords(series_of(spark, xs), ["k"], lengths, size=40).collect()}
+    assert set(got) == {(k, m) for k, x in xs.items() for m in lengths if len(x) >= 2 * m}
+    for (k, m), (score, pos) in got.items():
+        far = plain_distances(xs[k], m)
+        far[np.abs(np.subtract.outer(np.arange(len(far)), np.arange(len(far)))) < m] = np.inf
+        best = np.where(np.isinf(far.min(axis=1)), -1, far.min(axis=1))
+        if best.max() < 0:
+            assert (score, pos) == (0.0, -1)
+        else:
+            assert abs(score * 2 * np.sqrt(m) - best.max()) < 1e-6 and best[pos] > best.max() - 1e-6
+
+
 @pytest.mark.parametrize("offset", [0.0, 1e4, -1e6, 1e7])
 def test_distances_do_not_depend_on_the_offset(spark, monkeypatch, offset):
     monkeypatch.setattr(profile, "TILE", 400)

@@ -51,7 +51,7 @@ def test_codes_that_nothing_uses_move(spark):
 
 @pytest.mark.parametrize(("width", "stride", "tail"), [(4, 2, None), (4, 2, 1), (3, 3, 1), (2, 5, 1), (5, 1, 2), (50, 10, 1)])
 def test_table_function(spark, width, stride, tail):
-    series = {"a": [1.0, 2, None, 4, 5, 6, 7, 8, 9], "b": [1.0, 2.0, 3.0], "c": [None] * 6}
+    series = {"a": [1.0, 2.0, None, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0], "b": [1.0, 2.0, 3.0], "c": [None] * 6}
     tables.register(spark)
     rows = spark.createDataFrame([(k, i, v) for k, x in series.items() for i, v in enumerate(x)], "k string, i long, v double").orderBy(F.desc("i"))
     more = "" if tail is None else f", least_tail => {tail}"
