@@ -139,9 +139,11 @@ def joint_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT CAST(w AS BIGINT) AS w, CAST(CASE WHEN floor(w * CAST(0.3 AS DOUBLE)) = 0 THEN 1 WHEN floor(w * CAST(0.3 AS DOUBLE)) % 2 <> 0 THEN floor(w * CAST(0.3 AS DOUBLE)) WHEN ceil(w * CAST(0.3 AS DOUBLE)) % 2 <> 0 THEN ceil(w * CAST(0.3 AS DOUBLE)) ELSE floor(w * CAST(0.3 AS DOUBLE)) + 1 END AS BIGINT) AS latent
-FROM (SELECT unnest(range(1, 200)) AS w)""", shared=False)
+FROM (SELECT DISTINCT p_size AS w FROM part WHERE p_size IS NOT NULL)""", shared=False)
 def latent_windows(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 200).select(F.col("id").alias("w"), scalars.latent_window(F.col("id").cast("double"), 0.3).alias("latent"))
+    """Odd widths of windows in latent cells, for every width in the table."""
+    w = table(spark, d, "part").where("p_size IS NOT NULL").select(F.col("p_size").cast("long").alias("w")).distinct()
+    return w.select("w", scalars.latent_window(F.col("w").cast("double"), 0.3).alias("latent"))
 
 
 @query(f"""SELECT a.user_id, a.event_id, k.k AS window_index, row_number() OVER (PARTITION BY a.user_id, a.event_id ORDER BY k.k) = 1 AS most_likely FROM (SELECT * FROM se WHERE value >= 150) a,

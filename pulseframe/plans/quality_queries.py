@@ -351,28 +351,29 @@ def json_accessors(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("0")).cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("n/a")).alias("missing"))
 
 
-@query("""WITH x AS (SELECT unnest(range(1, 200)) AS i), y AS (SELECT i, i * 37 AS n, 8 AS fs FROM x)
+@query("""WITH x AS (SELECT c_custkey + 1 AS i FROM customer WHERE c_custkey IS NOT NULL), y AS (SELECT i, i * 37 AS n, 8 AS fs FROM x)
 SELECT i, CAST(trunc(i * CAST(1.37 AS DOUBLE)) AS BIGINT) AS cut, CAST(round_even(i * CAST(1.5 AS DOUBLE), 0) AS BIGINT) AS half_even, round(1 / (2 * sqrt(CAST(i AS DOUBLE))), 8) AS scale,
   round(greatest(0, (200 - i) / CAST(200 AS DOUBLE)), 8) AS overlap, 'run-' || CASE WHEN i < 10 THEN '0' ELSE '' END || i AS run,
   CASE WHEN i BETWEEN 1 AND 96 THEN 'train' WHEN i BETWEEN 97 AND 125 THEN 'test' END AS split,
   greatest(256, least(CAST(round_even(8 * 60.0 / greatest(i, 30) * 120, 0) AS BIGINT), 1280)) AS beats FROM y""", shared=False)
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The column functions for numbers of subjects, seconds and widths, on every customer's number plus one."""
     i = F.col("i")
-    return spark.range(1, 200).select(F.col("id").alias("i")).select(
+    return bridge.table(spark, d, "customer").where("c_custkey IS NOT NULL").select((F.col("c_custkey") + 1).cast("long").alias("i")).select(
         "i", scalars.samples(i.cast("double"), 1.37).alias("cut"), scalars.samples_rounded(i.cast("double"), 1.5).alias("half_even"), F.round(scalars.discord_scale(i), 8).alias("scale"),
         F.round(scalars.overlap_ratio(F.lit(200.0), i.cast("double")), 8).alias("overlap"), scalars.run_id(F.concat(F.lit("sub-001_run-"), i.cast("string"), F.lit("_ecg.edf"))).alias("run"),
         scalars.split_of(i).alias("split"), scalars.beats_window(F.lit(8.0), i.cast("double"), 120.0).alias("beats"),
     )
 
 
-@query("""WITH x AS (SELECT unnest(range(20, 20000, 37)) AS n), y AS (SELECT n, n / CAST(8 AS DOUBLE) AS s FROM x),
+@query("""WITH x AS (SELECT DISTINCT 20 + o_orderkey % 20000 AS n FROM orders), y AS (SELECT n, n / CAST(8 AS DOUBLE) AS s FROM x),
 a AS (SELECT n, s, CASE WHEN s < 30 THEN 16 WHEN s < 300 THEN 40 ELSE 80 END AS low, CASE WHEN s < 30 THEN CAST(0.3 AS DOUBLE) WHEN s < 300 THEN CAST(0.4 AS DOUBLE) WHEN s < 1800 THEN CAST(0.5 AS DOUBLE) END AS part FROM y)
 SELECT n, CAST(low AS BIGINT) AS low, CAST(CASE WHEN s < 1800 THEN least(greatest(CAST(trunc(n * part) AS BIGINT), low * 2), n - 1) ELSE 800 END AS BIGINT) AS high,
   CAST(CASE WHEN s < 30 THEN 8 WHEN s < 300 THEN 16 WHEN s < 1800 THEN 40 ELSE 80 END AS BIGINT) AS step,
   greatest(1, least(CASE WHEN 1200 >= s THEN CAST(trunc(n * CAST(0.5 AS DOUBLE)) AS BIGINT) ELSE least(9600, n - 1) END, n - 1)) AS split FROM a""", shared=False)
 def length_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Subsequence lengths and training part by window duration."""
-    x = spark.range(20, 20000, 37).select(F.col("id").alias("n"))
+    x = bridge.table(spark, d, "orders").select((20 + F.col("o_orderkey") % 20000).alias("n")).distinct()
     r = x.select("n", scalars.length_range(F.col("n"), F.lit(8)).alias("r"), scalars.train_split(F.col("n"), F.lit(8.0), 20.0, 0.5).alias("split"))
     return r.select("n", "r.*", "split")
 

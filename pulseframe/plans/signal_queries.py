@@ -349,9 +349,15 @@ def method_cliques(spark: SparkSession, d: str) -> DataFrame:
     return graph.maximal_cliques(pairs, ["g"]).select(F.array_join("clique", ", ").alias("clique"), F.size("clique").alias("methods"))
 
 
-@query()
+_WORD = "list_reduce(range(8), lambda v, i: 16 * v + strpos('0123456789abcdef', substr(md5('42:' || s_suppkey || ':' || idx || ':{k}'), i + 1, 1)) - 1, CAST(0 AS BIGINT))"
+
+
+@query(f"""WITH x AS (SELECT s_suppkey, unnest(range(0, 300)) AS idx FROM supplier),
+u AS (SELECT s_suppkey, idx, ({_WORD.format(k=1)} + CAST(0.5 AS DOUBLE)) / 4294967296 AS a, ({_WORD.format(k=2)} + CAST(0.5 AS DOUBLE)) / 4294967296 AS b, CASE WHEN idx >= 200 AND idx < 250 THEN 1 ELSE 0 END AS label FROM x)
+SELECT s_suppkey, idx, round(sqrt(-2 * ln(a)) * cos(2 * pi() * b) * CASE WHEN label = 1 THEN 2.5 ELSE 0.5 END, 6) AS v, CAST(label AS INTEGER) AS label FROM u""", shared=False)
 def synthetic_series(spark: SparkSession, d: str) -> DataFrame:
-    return readers.synthetic(spark)
+    """A made-up recording for each supplier."""
+    return readers.synthetic_recordings(table(spark, d, "supplier"), "s_suppkey", 300).withColumn("v", F.round("v", 6))
 
 
 def _alarm_stream(spark: SparkSession, d: str, least: float) -> DataFrame:

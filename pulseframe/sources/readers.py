@@ -161,11 +161,26 @@ def edf(spark: SparkSession, path: str, channels: list[str] | None = None, prima
     return read.load(path)
 
 
-def synthetic(spark: SparkSession, n: int = 1000, seed: int = 42, bursts: tuple[tuple[int, int], ...] = ((200, 250), (500, 580), (750, 800))) -> DataFrame:
+#: Stretches of a made-up series in which it varies more.
+BURSTS = ((200, 250), (500, 580), (750, 800))
+
+
+def synthetic(spark: SparkSession, n: int = 1000, seed: int = 42, bursts: tuple[tuple[int, int], ...] = BURSTS) -> DataFrame:
     """idx, v, label: noise of deviation 0.5 with bursts of deviation 2.5."""
+    return spark.range(n).select(F.col("id").alias("idx"), *_noise(F.col("id"), F.lit(str(seed)), bursts))
+
+
+def synthetic_recordings(series: DataFrame, key: str, n: int = 1000, seed: int = 42, bursts: tuple[tuple[int, int], ...] = BURSTS) -> DataFrame:
+    """key, idx, v, label: such a series for each row of a table, by its key and the seed."""
+    rows = series.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("idx"))
+    return rows.select(key, "idx", *_noise(F.col("idx"), F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), bursts))
+
+
+def _noise(at: Column, seed: Column, bursts: tuple[tuple[int, int], ...]) -> list[Column]:
     inside = F.lit(False)
     for a, b in bursts:
-        inside = inside | ((F.col("id") >= a) & (F.col("id") < b))
-    u = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        inside = inside | ((at >= a) & (at < b))
+    word = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", seed, at.cast("string"), F.lit(str(k))).cast("binary")), 1, 8), 16, 10).cast("double")
+    u = lambda k: (word(k) + 0.5) / float(1 << 32)
     noise = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
-    return spark.range(n).select(F.col("id").alias("idx"), (noise * F.when(inside, 2.5).otherwise(0.5)).alias("v"), inside.cast("int").alias("label"))
+    return [(noise * F.when(inside, 2.5).otherwise(0.5)).alias("v"), inside.cast("int").alias("label")]

@@ -48,7 +48,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_has_a_test_here():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"approx_profile", "bandpass", "decimate", "rpeaks", "decimated_beats", "kmeans_clusters", "rf_profile_windows", "synthetic_series", "wilcoxon_holm"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"approx_profile", "bandpass", "decimate", "rpeaks", "decimated_beats", "kmeans_clusters", "rf_profile_windows", "wilcoxon_holm"}
 
 
 def test_approx_profile_is_never_under_the_exact_one(spark):
@@ -145,10 +145,11 @@ def test_forest_scores_rows_that_it_was_not_fitted_to(spark):
 
 
 def test_synthetic_series_has_its_bursts(spark):
-    rows = QUERIES["synthetic_series"](spark, SF).orderBy("idx").toPandas()
-    assert len(rows) == 1000 and rows.label.sum() == 180
-    assert 0.4 < rows.v[rows.label == 0].std() < 0.6 and 2.0 < rows.v[rows.label == 1].std() < 3.0
-    assert rows.equals(QUERIES["synthetic_series"](spark, SF).orderBy("idx").toPandas())
+    order = ["s_suppkey", "idx"]
+    rows = QUERIES["synthetic_series"](spark, SF).orderBy(*order).toPandas()
+    assert (rows.groupby("s_suppkey").label.sum() == 50).all() and len(rows) == 300 * rows.s_suppkey.nunique()
+    assert 0.45 < rows.v[rows.label == 0].std() < 0.55 and 2.4 < rows.v[rows.label == 1].std() < 2.6
+    assert rows.equals(QUERIES["synthetic_series"](spark, SF).orderBy(*order).toPandas())
 
 
 def test_holm_by_hand(spark):
