@@ -6,9 +6,9 @@ in a third of all documents is spread over all shards.  Kept in the shared folde
 and the changes made to its exact table: a row with sign 1 for each reference that was added, -1 for each that was taken.
 
 An insertion reads the shards' filters, not their tables.  References that the filters have surely not seen are new; only
-the others are looked up in the exact table, so inserting a document twice counts once.  A deletion looks up what the
+the others are looked up in the exact table (its rows meet them before they are summed or shuffled), so inserting a document twice counts once.  A deletion looks up what the
 filters may have, takes it out of both, and ignores what they surely lack.  Either writes the changed filters and the
-new rows and nothing else.  A filter without room for a batch is built anew from its shard's table, twice as large.  Reference counts and the largest
+new rows and nothing else, but for every eighth change, which also sums up the table.  A filter without room for a batch is built anew from its shard's table, twice as large.  Reference counts and the largest
 document of a key are sums and maxima over the tables, combined before the shuffle.
 
 Defined cases: a null or empty text is one empty line; a null doc_id counts as a document before all others; rows with
@@ -35,6 +35,8 @@ MIN_DOCS = 5
 #: References that a shard of a new index is made for.
 SHARD_ROWS = 250_000
 MOST_PARTITIONS = 32768
+#: Changes after which an index sums up its table.
+COMPACT = 8
 _BLANKS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -155,8 +157,8 @@ class LineIndex:
     #: Of a pass over shards: kind 0 is a shard's filter, 1 a row of its table, 2 a row of the batch.
     ROWS = "shard int, kind int, key string, id long, value long, room long, filter binary"
 
-    def __init__(self, table: DataFrame, filters: DataFrame, shards: int, min_chars: int) -> None:
-        self.table, self.filters, self.shards, self.min_chars = table, filters, shards, min_chars
+    def __init__(self, table: DataFrame, filters: DataFrame, shards: int, min_chars: int, changes: int = 0) -> None:
+        self.table, self.filters, self.shards, self.min_chars, self.changes = table, filters, shards, min_chars, changes
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int | None = None, min_chars: int = MIN_CHARS) -> LineIndex:
@@ -166,6 +168,11 @@ class LineIndex:
         """(shard, key, id): the references that are there."""
         return self.table.groupBy("shard", "key", "id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
+    def known(self, asked: DataFrame) -> DataFrame:
+        """(key, id) of the references in asked that are there; no other row of the table is shuffled or summed."""
+        own = self.table.join(asked.select("shard", "key", "id").distinct(), ["shard", "key", "id"], "left_semi")
+        return own.groupBy("key", "id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+
     def counts(self) -> DataFrame:
         """(key, n_docs, last): reference count and largest document of each key."""
         return self.live().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("id").alias("last"))
@@ -184,7 +191,7 @@ class LineIndex:
         maybe = met.where("kind = 1").select("shard", "key", "id", "value")
         new, filters = met.where("kind = 2"), met.where("kind = 0")
         if maybe.limit(1).count():  # the exact table decides, and the filters get what it lacks
-            missing = cut(maybe.join(self.live().select("key", "id"), ["key", "id"], "left_anti"))
+            missing = cut(maybe.join(self.known(maybe), ["key", "id"], "left_anti"))
             new = new.select("shard", "key", "id").unionByName(missing.select("shard", "key", "id"))
             if missing.limit(1).count():
                 filters = self._pass(filters.unionByName(self._kind(missing, 2)), _add)
@@ -193,7 +200,7 @@ class LineIndex:
     def delete_references(self, refs: DataFrame) -> LineIndex:
         batch = self._rows(refs, 2)
         met = self._pass(self._filter_rows().unionByName(batch), _probe).where("kind = 1")
-        gone = cut(met.select("shard", "key", "id", "value").join(self.live().select("key", "id"), ["key", "id"]))
+        gone = cut(met.select("shard", "key", "id", "value").join(self.known(met), ["key", "id"]))
         return self._changed(gone, -1, self._pass(self._filter_rows().unionByName(self._kind(gone, 2)), _remove))
 
     def _rows(self, refs: DataFrame, kind: int) -> DataFrame:
@@ -241,8 +248,12 @@ class LineIndex:
         return cut(dealt.mapInPandas(run, self.ROWS))
 
     def _changed(self, rows: DataFrame, sign: int, filters: DataFrame) -> LineIndex:
-        table = self.table.unionByName(rows.select("shard", "key", "id", F.lit(sign).alias("sign")))
-        return LineIndex(table, filters.select("shard", "room", "filter"), self.shards, self.min_chars)
+        """The index with these rows; after COMPACT changes the table is summed up, so that it does not grow with what came and went."""
+        table, changes = self.table.unionByName(rows.select("shard", "key", "id", F.lit(sign).alias("sign"))), self.changes + 1
+        new = LineIndex(table, filters.select("shard", "room", "filter"), self.shards, self.min_chars, changes)
+        if changes >= COMPACT:
+            new.table, new.changes = cut(new.live().withColumn("sign", F.lit(1))), 0
+        return new
 
 
 def _values(rows: pd.DataFrame) -> np.ndarray:

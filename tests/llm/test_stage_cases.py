@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseframe.llm import decontamination, labelled, mixing, near_copies, simhash, toxicity
+from pulseframe.llm import decontamination, labelled, line_dedup, mixing, near_copies, simhash, toxicity
 
 CLASH = ["_doc", "_source", "__source", "__k", "_k", "_row", "__row", "_copies", "_copy", "_hash", "__hash", "_d", "_s", "_h", "_toxicity", "__toxicity", "_first_id", "_first_hash", "__first_id", "_leak", "__leak", "_id", "_group", "text_hash", "key", "chunk", "a.b"]
 
@@ -180,3 +180,19 @@ def test_crowded_buckets_in_parts_and_blocks(spark, monkeypatch, at_once, block)
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     assert {x.doc_id for x in near_copies.keep_first(d).collect()} == {root(k) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("compact", [1, 3])
+def test_line_index_looks_up_what_the_filters_ask_for(spark, monkeypatch, compact):
+    """A batch without repeats asks the exact table for next to nothing, one with repeats for these; the table stays summed up."""
+    monkeypatch.setattr(line_dedup, "COMPACT", compact)
+    asked, known = [], line_dedup.LineIndex.known
+    monkeypatch.setattr(line_dedup.LineIndex, "known", lambda ix, rows: asked.append(rows.count()) or known(ix, rows))
+    batch = lambda a, b: spark.createDataFrame([(i, "\n".join(f"line {i} {k} " + "x" * 40 for k in range(20))) for i in range(a, b)], "doc_id long, text string")
+    ix = line_dedup.LineIndex.empty(spark, 4).insert(batch(0, 100)).insert(batch(100, 200))
+    assert sum(asked) < 20
+    asked.clear()
+    ix = ix.insert(batch(190, 230))
+    assert 200 <= sum(asked) < 230
+    ix = ix.delete(batch(0, 230)).insert(batch(5, 15))
+    assert ix.counts().count() == 200 and (compact > 1 or ix.table.count() == 200)
