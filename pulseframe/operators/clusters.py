@@ -138,26 +138,33 @@ def score_aware(df: DataFrame, key: list[str], t: str, score: str, tie: str, the
     """Clusters grown in the order of falling scores: a row joins the current cluster if any member is within theta,
     else it begins a new one; equal scores in the order of time.  Sequential in a series; members are kept as sorted times.
     """
+    return score_aware_sweep(df, key, t, score, tie, [theta]).withColumn("cluster", F.element_at("clusters", 1)).drop("clusters")
+
+
+def score_aware_sweep(df: DataFrame, key: list[str], t: str, score: str, tie: str, thetas: list[int]) -> DataFrame:
+    """key, tie, t, score and clusters: the number of a row's score-aware cluster for each theta, from one pass over each series."""
     columns = [*key, tie, t, score]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema), "cluster long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema), "clusters array<long>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from bisect import bisect_left, insort
 
-        at, number, members = None, -1, []
+        at, number, members = None, [], []
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
                 name, now = row[: len(key)], row[-2]
                 if name != at:
-                    at, number, members = name, -1, []
-                k = bisect_left(members, now)
-                near = (k < len(members) and members[k] - now <= theta) or (k > 0 and now - members[k - 1] <= theta)
-                if not near:
-                    number, members = number + 1, []
-                insort(members, now)
-                out.append(number)
-            yield b.assign(cluster=out)
+                    at, number, members = name, [-1] * len(thetas), [[] for _ in thetas]
+                for i, theta in enumerate(thetas):
+                    own = members[i]
+                    k = bisect_left(own, now)
+                    if not ((k < len(own) and own[k] - now <= theta) or (k > 0 and now - own[k - 1] <= theta)):
+                        number[i], own = number[i] + 1, []
+                        members[i] = own
+                    insort(own, now)
+                out.append(list(number))
+            yield b.assign(clusters=pd.Series(out, index=b.index, dtype=object))
 
     dealt = df.select(*columns).repartition(*key).sortWithinPartitions(*key, F.desc(score), t, tie)
     return dealt.mapInPandas(run, schema)

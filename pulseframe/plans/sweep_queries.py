@@ -133,10 +133,11 @@ def large_sweep(spark: SparkSession, d: str) -> DataFrame:
     every = [F.lit(float(g)) for _, _, g in _fixed()] + [F.lit(float(g)) for _, g in adaptive] + by_subject
     r = clusters.sweep(a.join(median, "subject", "left").withColumn("_gaps", F.array(*every)), KEY, "t", "event_id", "_gaps")
     r = r.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("setting") + 1).alias("strategy"), "user_id", "event_id", "t")
-    for s in SCORE_AWARE:
-        c = clusters.score_aware(a, KEY, "t", "score", "event_id", s * UNIT)
-        first = c.groupBy("user_id", "cluster").agg(F.min(F.struct((-F.col("score")).alias("s"), "t", "event_id")).alias("x"))
-        r = r.unionByName(first.select(F.lit(f"score_aware_{s}s").alias("strategy"), "user_id", "x.event_id", "x.t"))
+    c = clusters.score_aware_sweep(a, KEY, "t", "score", "event_id", [s * UNIT for s in SCORE_AWARE])
+    c = c.select("user_id", "event_id", "t", "score", F.posexplode("clusters").alias("setting", "cluster"))
+    first = c.groupBy("user_id", "setting", "cluster").agg(F.min(F.struct((-F.col("score")).alias("s"), "t", "event_id")).alias("x"))
+    aware = F.element_at(F.array(*[F.lit(f"score_aware_{s}s") for s in SCORE_AWARE]), F.col("setting") + 1)
+    r = r.unionByName(first.select(aware.alias("strategy"), "user_id", "x.event_id", "x.t"))
     r = r.unionByName(a.select(F.lit("none").alias("strategy"), "user_id", "event_id", "t"))
     wide = tr.select("user_id", "seizure", (F.col("start") - PRE).alias("low"), (F.col("end") + POST).alias("high"))
     m = intervals.range_join(r, wide, KEY, "t", "low", "high", 12 * HOUR, "left").groupBy("strategy", "user_id", "event_id").agg(F.min("seizure").alias("seizure"))
