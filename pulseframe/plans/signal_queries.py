@@ -180,14 +180,36 @@ def multivariate_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.multivariate_anomalies(g, ["user_id"], M, 0.1).withColumn("dist", F.round("dist", 4))
 
 
-@query()
+def _pass_sql(sos: np.ndarray, name: str, source: str) -> str:
+    """name: the values of source (vec_id, x) run through sections one sample after the other, in reverse order."""
+    start, step, level = [], [], "x[1]"
+    number = lambda c: f"({c:.17e})"
+    for j, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist(), 1):
+        dc = (b0 + b1 + b2) / (1 + a1 + a2)
+        start += [f"{number(b1 - a1 * dc + b2 - a2 * dc)} * {level} AS p{j}", f"{number(b2 - a2 * dc)} * {level} AS q{j}"]
+        step.append(f"{number(b0)} * u{j - 1} + p{j} AS u{j}, {number(b1)} * u{j - 1} - {number(a1)} * u{j} + q{j} AS np{j}, {number(b2)} * u{j - 1} - {number(a2)} * u{j} AS nq{j}")
+        level = f"{number(dc)} * {level}"
+    own = ", ".join(f"p{j}, q{j}" for j in range(1, len(sos) + 1))
+    new = ", ".join(f"np{j}, nq{j}" for j in range(1, len(sos) + 1))
+    return f"""{name}_r AS (SELECT vec_id, 0 AS i, x, {", ".join(start)}, CAST([] AS DOUBLE[]) AS y FROM {source}
+  UNION ALL SELECT vec_id, i + 1, x, {new}, list_append(y, u{len(sos)}) FROM (SELECT vec_id, i, x, y, {own}, x[i + 1] AS u0, {", ".join(step)} FROM {name}_r WHERE i < len(x))),
+{name} AS (SELECT vec_id, list_reverse(y) AS x FROM {name}_r WHERE i = len(x))"""
+
+
+def _zero_phase_sql(sos: np.ndarray, pad: int) -> str:
+    """zp: vec_id, y: the vectors forward and backward through sections, with their ends mirrored through their points."""
+    return f"""WITH RECURSIVE {_VEC}, ex AS (SELECT vec_id, list_concat(list_transform(range(0, {pad}), lambda k: 2 * v[1] - v[{pad + 1} - k]), v, list_transform(range(0, {pad}), lambda k: 2 * v[len(v)] - v[len(v) - 1 - k])) AS x FROM ve),
+{_pass_sql(sos, "fw", "ex")}, {_pass_sql(sos, "bw", "fw")}, zp AS (SELECT vec_id, x[{pad + 1}:len(x) - {pad}] AS y FROM bw)"""
+
+
+@query(f"{_zero_phase_sql(dsp.butter_sections(4, 2.0, 20.0, 64.0), 27)} SELECT vec_id, CAST(i AS BIGINT) AS pos, round(y[i + 1], 7) + 0.0 AS v FROM (SELECT vec_id, y, unnest(range(0, len(y))) AS i FROM zp)", shared=False)
 def bandpass(spark: SparkSession, d: str) -> DataFrame:
-    return dsp.filtered(_vectors(spark, d), ["vec_id"], 64.0, 2.0, 20.0)
+    return dsp.filtered(_vectors(spark, d), ["vec_id"], 64.0, 2.0, 20.0).withColumn("v", F.round("v", 7) + 0.0)
 
 
-@query()
+@query(f"{_zero_phase_sql(dsp.cheby_sections(8, 0.05, 0.2), 27)} SELECT vec_id, CAST(i AS BIGINT) AS pos, round(y[4 * i + 1], 7) + 0.0 AS v, CAST(16 AS DOUBLE) AS fs_true FROM (SELECT vec_id, y, unnest(range(0, (len(y) + 3) // 4)) AS i FROM zp)", shared=False)
 def decimate(spark: SparkSession, d: str) -> DataFrame:
-    return dsp.decimated(_vectors(spark, d), ["vec_id"], 64, 16)
+    return dsp.decimated(_vectors(spark, d), ["vec_id"], 64, 16).withColumn("v", F.round("v", 7) + 0.0)
 
 
 @query()

@@ -48,7 +48,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_has_a_test_here():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"approx_profile", "bandpass", "decimate", "rpeaks", "decimated_beats", "kmeans_clusters", "rf_profile_windows", "wilcoxon_holm"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"approx_profile", "rpeaks", "decimated_beats", "kmeans_clusters", "rf_profile_windows", "wilcoxon_holm"}
 
 
 def test_approx_profile_is_never_under_the_exact_one(spark):
@@ -61,9 +61,11 @@ def test_approx_profile_is_never_under_the_exact_one(spark):
 def test_filters_keep_the_band_and_the_length(spark):
     v = {r.vec_id: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     band, low = collections.defaultdict(list), collections.defaultdict(list)
-    for r in QUERIES["bandpass"](spark, SF).orderBy("pos").collect():
+    from pulseframe.plans.signal_queries import _vectors
+
+    for r in dsp.filtered(_vectors(spark, SF), ["vec_id"], 64.0, 2.0, 20.0).orderBy("pos").collect():
         band[r.vec_id].append(r.v)
-    for r in QUERIES["decimate"](spark, SF).orderBy("pos").collect():
+    for r in dsp.decimated(_vectors(spark, SF), ["vec_id"], 64, 16).orderBy("pos").collect():
         assert r.fs_true == 16.0
         low[r.vec_id].append(r.v)
     assert set(band) == set(low) == set(v)
