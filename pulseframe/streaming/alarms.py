@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import kept, shared_path
 
+#: Rows of a file that arrives.
+AT_ONCE = 250_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -99,18 +101,24 @@ def refractory(stream: DataFrame, key: str, ts: str, hold_seconds: float, late:
     return rows.groupBy(key).transformWithStateInPandas(state, f"`{key}` {kind}, `{ts}` timestamp", "append", "EventTime")
 
 
-def in_batches(df: DataFrame, ts: str, parts: int, most: int = 100) -> DataFrame:
-    """A stream of df's rows in the order of time: files in the shared folder, of which a trigger reads one."""
+def in_batches(df: DataFrame, ts: str, parts: int, most: int = 100, at_once: int = AT_ONCE) -> DataFrame:
+    """A stream of df's rows in the order of time: files in the shared folder, of which a trigger reads a part's.
+
+    A trigger reads a fixed number of files, so every part is written as so many; else it would read some of a part, and the
+    watermark would pass the others' rows.  A file has about at_once rows.
+    """
     spark = df.sparkSession
     path = shared_path(spark, "arriving")
-    kept_rows = kept(df)
-    cuts = kept_rows.agg(F.percentile_approx(F.unix_micros(ts), [k / parts for k in range(1, parts)], 1000).alias("q")).first()[0] or []
-    t, low = F.unix_micros(ts), None
-    for k, high in enumerate([*sorted(set(cuts)), None][:most]):  # one after the other, as files are read by age
-        part = kept_rows if low is None else kept_rows.where(t > low)
-        (part if high is None else part.where(t <= high)).write.parquet(f"{path}/{k:04d}")
-        low = high
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    kept_rows = kept(df.where(F.col(ts).isNotNull()))
+    found = kept_rows.agg(F.percentile_approx(F.unix_micros(ts), [k / parts for k in range(1, parts)], 1000).alias("q")).first()[0] or []
+    t, cuts = F.unix_micros(ts), sorted(set(found))[: most - 1]
+    part = sum(((t > c).cast("int") for c in cuts), F.lit(0))
+    sizes = [r["count"] for r in kept_rows.groupBy(part.alias("part")).count().collect()]  # a row a part
+    # No more files than the smallest part fills: rows are dealt in turn, so a task with that many rows writes to all.
+    files = max(1, min(-(-max(sizes, default=0) // at_once), min(sizes, default=0) // kept_rows.rdd.getNumPartitions()))
+    for k in range(len(cuts) + 1):  # one after the other, as files are read by age
+        kept_rows.where(part == k).repartition(files).write.parquet(f"{path}/{k:04d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
 def run_into(stream: DataFrame, path: str, checkpoint: str) -> None:

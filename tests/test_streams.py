@@ -58,3 +58,13 @@ def test_batches_arrive_by_time(spark):
     assert sorted((r.k, r.ts) for r in got.collect()) == sorted(found)
     none = alarms.in_batches(spark.createDataFrame([], SCHEMA), "ts", 4)
     assert alarms.drain(alarms.alarm_rate(none, "ts", "1 hour", "0 seconds"), "none").count() == 0
+
+
+def test_a_batch_of_several_files_is_read_at_once(spark):
+    """Rows in many partitions: a trigger reads all files of a part, so the watermark passes none of its rows."""
+    found, hold = sorted(set(rows(5, 4000))), 30
+    df = spark.createDataFrame(found, SCHEMA).repartition(4)
+    s = alarms.in_batches(df, "ts", 3, at_once=400)
+    got = alarms.drain(alarms.refractory(s, "k", "ts", hold, "0 seconds"), "files")
+    end = max(t for _, t in found).replace(microsecond=max(t for _, t in found).microsecond // 1000 * 1000)
+    assert sorted((r.k, r.ts) for r in got.collect()) == [x for x in plain_refractory(found, hold) if x[1] <= end]
