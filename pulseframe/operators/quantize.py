@@ -34,6 +34,8 @@ def learn(windows: DataFrame, initial: np.ndarray, rounds: int = 10, decay: floa
     codes = np.array(initial, float)
     if codes.size > MOST:
         raise ValueError("the codebook is too large to be sent to all tasks")
+    if not codes.size:
+        return codes
     size, total = np.ones(len(codes)), codes.copy()
     for _ in range(rounds):
         now = codes
@@ -50,6 +52,8 @@ def learn(windows: DataFrame, initial: np.ndarray, rounds: int = 10, decay: floa
                     if least > 0:
                         worst = sorted([*worst, *((float(far[i]), x[i].tolist()) for i in np.argsort(-far)[: len(now)])], reverse=True)[: len(now)]
             used = np.flatnonzero(n)
+            if not len(used):
+                return  # a task without rows: an empty column of arrays has no type
             yield pd.DataFrame({"code": used, "n": n[used], "sum": s[used].tolist(), "far": [None] * len(used)})
             if worst:
                 yield pd.DataFrame({"code": [-1] * len(worst), "n": [0.0] * len(worst), "sum": [w for _, w in worst], "far": [f for f, _ in worst]})
@@ -71,7 +75,9 @@ def learn(windows: DataFrame, initial: np.ndarray, rounds: int = 10, decay: floa
 
 
 def encode(windows: DataFrame, codes: np.ndarray) -> DataFrame:
-    """windows with code and error (mean squared difference from the code)."""
+    """windows with code and error (mean squared difference from the code); no rows where there are no codes."""
+    if not codes.size:
+        return windows.where("false").withColumns({"code": F.lit(0), "error": F.lit(0.0)})
 
     @F.pandas_udf("code int, error double")
     def run(window: pd.Series) -> pd.DataFrame:

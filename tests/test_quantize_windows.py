@@ -67,3 +67,13 @@ def test_table_function(spark, width, stride, tail):
             some = [v for v in x[s:e] if v is not None]
             want.add((k, n, s, e, kind, sum(some) / len(some) if some else None))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_codebook_with_tasks_without_rows(spark):
+    """Splits of a file may hold no rows; nor may the whole table, or the first codes."""
+    x = np.random.default_rng(6).normal(size=(3, 4))
+    w = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, window array<double>").repartition(8)
+    assert np.allclose(quantize.learn(w, x[:2], 2), plain_rounds(x, x[:2], 2, 0.8))
+    none = w.where("i < 0")
+    assert np.allclose(quantize.learn(none, x[:2], 2), plain_rounds(x[:0], x[:2], 2, 0.8))
+    assert quantize.encode(w, quantize.learn(w, np.array([]), 2)).count() == 0
