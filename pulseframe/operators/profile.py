@@ -191,7 +191,9 @@ def multivariate_anomalies(df: DataFrame, key: list[str], m: int, ratio: float)
 
     Series are rows (key, pos, v) where v is an array with a value for each dimension.
     """
-    p = segments.multivariate(df, key, m, -(-m // 4)).groupBy(*key, "pos").agg(F.avg("dist").alias("dist")).withColumn("pos", F.col("pos") + m // 2)
+    each = F.array_sort(F.collect_list("dist"))  # a value a dimension, added in one order, so that equal windows tie
+    mean = F.when(F.size(each) > 0, F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(each))
+    p = segments.multivariate(df, key, m, -(-m // 4)).groupBy(*key, "pos").agg(mean.alias("dist")).withColumn("pos", F.col("pos") + m // 2)
     w = Window.partitionBy(*key)
     p = p.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc_nulls_last("dist"), F.desc("pos"))))
     return p.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_n", "_r")

@@ -141,7 +141,8 @@ def nearest_by_diagonals(a: Windows, b: Windows, shift: int, gaps: np.ndarray, l
 def nearest_of_many(a: list[Windows], b: list[Windows], shift: int, exclusion: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Row d: for each window the smallest mean of the d + 1 best dimensions' distances to a window of the other segment.
 
-    Flat windows count as zeros.  Memory is one row of all dimensions.
+    Flat windows count as zeros.  Memory is one row of all dimensions.  A pair's distance is computed once and counts for both
+    windows, so two that are each other's nearest tie exactly.
     """
     dims, m = len(a), a[0].m
     best_a, best_b = np.full((dims, a[0].n), np.inf), np.full((dims, b[0].n), np.inf)
@@ -152,9 +153,12 @@ def nearest_of_many(a: list[Windows], b: list[Windows], shift: int, exclusion: i
         c = np.stack([cov for _, cov in rows]) * inverse * np.array([w.inverse[i] for w in a])[:, None]
         d = np.cumsum(np.sort(distance(c, m), axis=0), axis=0) / share
         d[:, max(0, i - shift - exclusion + 1) : max(0, i - shift + exclusion)] = np.inf
-        np.minimum(best_b, d, out=best_b)
-        if not same:
+        if same:
+            d[:, :i] = np.inf
+            best_b[:, i] = np.minimum(best_b[:, i], d.min(axis=1, initial=np.inf))
+        else:
             best_a[:, i] = d.min(axis=1, initial=np.inf)
+        np.minimum(best_b, d, out=best_b)
     return best_a, best_b
 
 

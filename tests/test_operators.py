@@ -535,3 +535,16 @@ def test_lists_and_scans_by_file_name(spark, tmp_path):
 def test_short_time_transform_goes_back(n_fft):
     x = np.random.default_rng(n_fft).standard_normal(64)
     assert np.allclose(dsp.istft(dsp.stft(x, n_fft), n_fft), x)
+
+
+def test_windows_that_are_each_others_nearest_tie_exactly():
+    """A pair's distance is one number for both of its windows, in a segment and across two."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        dims = [segments.Windows(x, 8) for x in rng.normal(size=(2, 60)).round(2) * 40]
+        _, best = segments.nearest_of_many(dims, dims, 0, 2, True)
+        values = best[0].tolist()
+        assert min(values) in [v for v in values if values.count(v) == 2]
+        for v in best:  # no two windows are apart by rounding alone
+            steps = np.diff(np.sort(v))
+            assert not ((steps > 0) & (steps < 1e-10)).any()
