@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from . import graph
 
 
@@ -116,6 +117,22 @@ def friedman(df: DataFrame, dataset: str, method: str, value: str, alpha: float
     return g.mapInPandas(tail, "k long, n long, chi2 double, p double").withColumn("differ", F.col("p") < alpha)
 
 
+def _before(df: DataFrame, group: list[str], order: str, count: str) -> DataFrame:
+    """Adds _before: the sum of count over the group's rows that stand before in the order, whose values are distinct in a group.
+
+    Groups are few and large, so rows are dealt by ranges of the whole order; a range's rows are summed up by themselves and what
+    the group has in ranges before is added: a row a range and group, and no task holds a group.
+    """
+    by = [*group, F.col(order).asc_nulls_last()]
+    ranged = kept(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("_range", F.spark_partition_id()))
+    whole = ranged.groupBy("_range", *group).agg(F.sum(count).alias("_own"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = whole.select("_range", *group, F.coalesce(F.sum("_own").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range", *group).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("_before", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(F.broadcast(offsets), ["_range", *group])
+    return out.select(*df.columns, (F.col("_before") + F.col("_offset")).alias("_before"))
+
+
 def wilcoxon(df: DataFrame, dataset: str, method: str, value: str, alpha: float = 0.05) -> DataFrame:
     """Signed-rank statistics of all pairs of methods: w (the smaller sum), n, z, p, p_holm, and whether the pair differs.
 
@@ -125,13 +142,12 @@ def wilcoxon(df: DataFrame, dataset: str, method: str, value: str, alpha: float
     a = df.select(F.col(dataset).alias("_d"), F.col(method).alias("a"), F.col(value).alias("_x"))
     b = df.select(F.col(dataset).alias("_e"), F.col(method).alias("b"), F.col(value).alias("_y"))
     d = a.join(b, (F.col("_d") == F.col("_e")) & (F.col("a") < F.col("b"))).withColumn("_diff", F.col("_x") - F.col("_y"))
-    w = Window.partitionBy("a", "b")
-    d = d.withColumn("_abs", F.abs("_diff")).withColumn("_r", F.rank().over(w.orderBy("_abs"))).withColumn("_c", F.count("*").over(Window.partitionBy("a", "b", "_abs")))
-    d = d.withColumn("_rank", F.col("_r") + (F.col("_c") - 1) / 2)
-    zero = F.col("_diff") == 0
+    of_sign = lambda test: F.sum(F.when(test, 1).otherwise(0))
+    d = d.groupBy("a", "b", F.abs("_diff").alias("_abs")).agg(F.count("*").alias("_c"), of_sign(F.col("_diff") > 0).alias("_up"), of_sign(F.col("_diff") < 0).alias("_down"), of_sign(F.col("_diff") == 0).alias("_zero"))
+    d = _before(d, ["a", "b"], "_abs", "_c").withColumn("_rank", F.col("_before") + 1 + (F.col("_c") - 1) / 2)
     s = d.groupBy("a", "b").agg(
-        F.sum(F.when(F.col("_diff") > 0, F.col("_rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("_diff") < 0, F.col("_rank")).otherwise(0.0)).alias("minus"),
-        F.count("*").alias("_n"), F.sum(zero.cast("long")).alias("_z"), F.sum(F.when(~zero, F.pow("_c", F.lit(2)) - 1).otherwise(0.0)).alias("_t"),
+        F.sum(F.col("_up") * F.col("_rank")).alias("plus"), F.sum(F.col("_down") * F.col("_rank")).alias("minus"),
+        F.sum("_c").alias("_n"), F.sum("_zero").alias("_z"), F.sum((F.col("_c") - F.col("_zero")) * (F.pow("_c", F.lit(2)) - 1)).alias("_t"),
     ).where("_n > _z")
     cubic = lambda c: F.col(c) * (F.col(c) + 1) * (2 * F.col(c) + 1)
     spread = F.sqrt((cubic("_n") - cubic("_z") - F.col("_t") / 2) / 24)

@@ -548,3 +548,17 @@ def test_windows_that_are_each_others_nearest_tie_exactly():
         for v in best:  # no two windows are apart by rounding alone
             steps = np.diff(np.sort(v))
             assert not ((steps > 0) & (steps < 1e-10)).any()
+
+
+def test_ranks_of_few_large_groups_by_ranges(spark):
+    """One group goes over several ranges of its order, none of which holds it; nulls come last."""
+    rows = [("a", float(k), 1 + k % 3) for k in range(400)] + [("b", 5.0, 7), ("b", 1.0, 2), ("b", None, 4)]
+    d = spark.createDataFrame(rows, "g string, x double, c long").repartition(3)
+    out = ml._before(d, ["g"], "x", "c")
+    got = {(r.g, r.x): r._before for r in out.collect()}
+    want, total = {}, {}
+    for g, x, c in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0.0)):
+        want[g, x], total[g] = total.get(g, 0), total.get(g, 0) + c
+    assert got == want
+    sizes = [r["count"] for r in out.where("g = 'a'").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 400
