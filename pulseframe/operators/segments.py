@@ -346,7 +346,7 @@ def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int,
             left = open_.join(lead.select(*key, "m", "pos"), [*key, "m", "pos"], "left_anti")
             back, step = 2, 1
             while True:
-                left = kept(left.join(bound, [*key, "m"], "left").where("bound is null or dist >= bound").drop("bound"))
+                left = kept(left.join(bound, [*key, "m"], "left").where(F.col("bound").isNull() | (F.col("dist") >= F.col("bound") - SAME)).drop("bound"))  # an equal one may stand earlier
                 over = left.where(F.col("seg") < back)
                 done.append(over.select(*key, "m", "pos", "dist"))
                 left = left.where(F.col("seg") >= back)
@@ -361,7 +361,7 @@ def left_discords(df: DataFrame, key: list[str], lengths: list[int], split: int,
         found = found.where(F.col("dist") < float("inf"))
         looked = [x.withColumn("looked", F.col("looked") * size) for x in looked]
         looked = _total([*looked, sizes.select(*key, "m", ((2 * F.ceil((F.col("n") - F.col("m") + 1) / size) - 1) * cells).cast("long").alias("looked"))], key)
-    best = F.max(F.struct("dist", (-F.col("pos")).alias("before"))).alias("_b")
+    best = F.max(F.struct(F.round(F.col("dist") / SAME).alias("step"), (-F.col("pos")).alias("before"), "dist")).alias("_b")
     out = sizes.select(*key, "m").join(found.groupBy(*key, "m").agg(best), [*key, "m"], "left")
     out = out.select(*key, "m", (F.coalesce("_b.dist", F.lit(0.0)) / (2 * F.sqrt("m"))).alias("score"), F.coalesce(-F.col("_b.before"), F.lit(-1)).cast("long").alias("pos"))
     return out.join(looked, [*key, "m"], "left") if count else out

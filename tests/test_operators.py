@@ -562,3 +562,11 @@ def test_ranks_of_few_large_groups_by_ranges(spark):
     assert got == want
     sizes = [r["count"] for r in out.where("g = 'a'").groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 1 and max(sizes) < 400
+
+
+def test_equal_left_discords_go_to_the_earlier_window(spark):
+    """Windows 36 and 37 hold the same values turned by one, as do their nearest; times 1.1 rounding alone put 37 first."""
+    x = [46, 42, 39, 19, 7, 39, 15, 40, 2, 43, 47, 43, 34, 35, 31, 9, 36, 1, 41, 23, 32, 9, 36, 8, 46, 1, 46, 18, 3, 20, 15, 12, 46, 32, 32, 5, 20, 17, 44, 31, 13, 29, 33, 25, 20, 49]
+    d = series_of(spark, {"a": np.array(x) * 1.0, "b": np.array(x) * 1.1})
+    for pruned in (True, False):
+        assert {(r.k, r.pos) for r in segments.left_discords(d, ["k"], [8], 30, pruned).collect()} == {("a", 36), ("b", 36)}
