@@ -196,3 +196,40 @@ def test_line_index_looks_up_what_the_filters_ask_for(spark, monkeypatch, compac
     assert 200 <= sum(asked) < 230
     ix = ix.delete(batch(0, 230)).insert(batch(5, 15))
     assert ix.counts().count() == 200 and (compact > 1 or ix.table.count() == 200)
+
+
+def test_simhash_comes_first_and_prefixes_only_fill_up(spark, monkeypatch):
+    """Pairs of similarity 0.9 come from SimHash's runs of bits; without these the second step still finds the same links."""
+    r = np.random.default_rng(7)
+    sets = []
+    for _ in range(200):
+        own = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+        copy = own.copy()
+        copy[:10] = r.integers(0, 1 << 63, 10, dtype=np.uint64)  # 190 of 210
+        sets += [np.unique(own), np.unique(copy)]
+    rows = [(k, len(s), near_copies.marks(s).tobytes()) for k, s in enumerate(sets)]
+    b = near_copies.bands(spark.createDataFrame(rows, "hash long, n int, marks binary"), 12).toPandas().sort_values(["key", "hash"], ignore_index=True)
+    got = set(near_copies._star(b, 0.8)[["a", "b"]].itertuples(index=False, name=None))
+    assert len(got & {(2 * k, 2 * k + 1) for k in range(200)}) >= 190 and len(got) < 250
+    words = [f"w{k}" for k in r.integers(0, 5000, 4000)]
+    texts = [" ".join([*words[100 * k : 100 * k + 99], x]) for k in range(40) for x in ("p", "q")]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    asked, plausible = [], near_copies._plausible
+    monkeypatch.setattr(near_copies, "_plausible", lambda pairs, *a: asked.append(pairs.count()) or plausible(pairs, *a))
+    want = {(2 * k,) for k in range(40)}
+    assert {(x.doc_id,) for x in near_copies.keep_first(d).collect()} == want
+    assert asked[0] >= 38 and asked[1] <= 2
+    monkeypatch.setattr(near_copies, "bands", lambda sets, bits: spark.createDataFrame([], "key long, hash long, n int, fp long"))
+    assert {(x.doc_id,) for x in near_copies.keep_first(d).collect()} == want and asked[2] == 0 and asked[3] == 40
+
+
+@pytest.mark.parametrize("n", [0, 3, 300, 30_000])
+def test_signatures_grow_with_their_sets(n):
+    """Sets that share a third are told apart at any size, no similar pair is, also where one signature is longer."""
+    r = np.random.default_rng(n)
+    own = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+    other, more = own.copy(), np.concatenate([own, r.integers(0, 1 << 63, n // 8, dtype=np.uint64)])
+    other[: len(own) // 2] = r.integers(0, 1 << 63, len(own) // 2, dtype=np.uint64)
+    possible = lambda a, b: near_copies._possible(np.array([len(a)]), np.array([len(b)]), *(np.array([near_copies.signature(x).tobytes(), None], object)[:1] for x in (a, b)), 0.8)[0]
+    assert possible(own, own) and possible(own, more) and possible(more, own)
+    assert n < 4 or not possible(own, other)
