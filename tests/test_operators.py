@@ -570,3 +570,14 @@ def test_equal_left_discords_go_to_the_earlier_window(spark):
     d = series_of(spark, {"a": np.array(x) * 1.0, "b": np.array(x) * 1.1})
     for pruned in (True, False):
         assert {(r.k, r.pos) for r in segments.left_discords(d, ["k"], [8], 30, pruned).collect()} == {("a", 36), ("b", 36)}
+
+
+def test_dense_parts_give_one_link_for_each_core_point(spark, monkeypatch):
+    """Points that are all near each other are not linked pair by pair, and parts that are searched together stay apart."""
+    found, whole = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges: found.append(edges.count()) or whole(edges))
+    monkeypatch.setattr(graph, "PAIRS", 50)
+    rows = [(k, i, i * 1e-4 + (1000.0 if i >= 30 else 0.0)) for k in range(3) for i in range(60)]
+    got = graph.density_clusters(spark.createDataFrame(rows, "k long, i long, x double"), ["k"], ["x"], "i", 0.5, 3).collect()
+    assert {(r.k, r.i, r.core, r.cluster) for r in got} == {(k, i, True, int(i >= 30)) for k in range(3) for i in range(60)}
+    assert found[0] <= 180
