@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of rows that Spark hands to Python, or gets back, at a time; both sides hold a batch several times over and keep what they took.
+BATCH = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Stands for a missing doc_id inside the operators; it sorts before every other id.
 NO_ID = -(2**63)
 
@@ -67,6 +70,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_small_batches(spark: SparkSession) -> bool:
+    """From here on the session hands rows to Python in batches of BATCH bytes; whether this was set here (an own setting of the session stays).
+
+    A number of rows (10,000 by default) bounds no memory where texts are long.  Results do not depend on it.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is not None:
+        return False
+    spark.conf.set(BATCH_BYTES, str(BATCH))
+    return True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; one of our own only where none is set and all runs on one machine."""
     if named := spark.conf.get("spark.checkpoint.dir", None):

@@ -233,3 +233,32 @@ def test_signatures_grow_with_their_sets(n):
     possible = lambda a, b: near_copies._possible(np.array([len(a)]), np.array([len(b)]), *(np.array([near_copies.signature(x).tobytes(), None], object)[:1] for x in (a, b)), 0.8)[0]
     assert possible(own, own) and possible(own, more) and possible(more, own)
     assert n < 4 or not possible(own, other)
+
+
+def test_python_stages_take_long_texts_in_small_batches(spark, tmp_path):
+    from pulseframe.llm import common
+
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def seen(batches):
+        for b in batches:
+            yield b.assign(n=b["text"].str.len().sum())[["n"]][:1]
+
+    spark.conf.unset(common.BATCH_BYTES)  # other tests call stages too
+    before = spark.conf.get(common.BATCH_BYTES)
+    try:
+        corpus_pipeline.without_toxic(spark, docs, str(tmp_path))
+        n = [r.n for r in docs.mapInPandas(seen, "n long").collect()]
+        assert sum(n) == 2000 * 10_000 and max(n) <= common.BATCH
+    finally:
+        spark.conf.unset(common.BATCH_BYTES)
+    docs.limit(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() and spark.conf.get(common.BATCH_BYTES) == before
+    spark.conf.set(common.BATCH_BYTES, "1m")
+    try:
+        corpus_pipeline.without_toxic(spark, docs, str(tmp_path))
+        assert spark.conf.get(common.BATCH_BYTES) == "1m"  # an own setting stays
+    finally:
+        spark.conf.unset(common.BATCH_BYTES)
