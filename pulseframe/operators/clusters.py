@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,15 +36,16 @@ def representatives(df: DataFrame, key: list[str], t: str, tie: str, distinct_ti
     return best.select(*c, *[F.col(f"_r._x{i}").alias(x) for i, x in enumerate(kept)], "size", "span")
 
 
-def _medoids(t: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of ascending times grouped by gaps over theta: each group's member with the smallest mean distance to others at other times
-    (the first on ties), the group's size and span."""
-    start = np.flatnonzero(np.concatenate(([True], np.diff(t) > theta)))
+def _medoids(t: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of times that ascend in each group, where new marks a group's first: the group's member with the smallest mean distance to others
+    at other times (the first on ties), the group's size and span."""
+    start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(t)))
     first, n = np.repeat(start, size), np.repeat(size, size)
     k = np.arange(len(t)) - first + 1
-    sums = np.concatenate(([0], np.cumsum(t - t[0])))
-    own, upto, every = t - t[0], sums[1:] - sums[first], sums[first + n] - sums[first]
+    own = t - t[first]
+    sums = np.concatenate(([0], np.cumsum(own)))
+    upto, every = sums[1:] - sums[first], sums[first + n] - sums[first]
     total = own * k - upto + (every - upto) - own * (n - k)
     same = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (first[1:] != first[:-1]))))
     alike = np.diff(np.append(same, len(t)))
@@ -57,36 +58,32 @@ def _medoids(t: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.nd
     return best, size, t[start + size - 1] - t[start]
 
 
-def sweep(df: DataFrame, key: list[str], t: str, tie: str, thetas: str, value: str | None = None, least: list[float] | None = None) -> DataFrame:
-    """Representatives for many settings from one sort of each series: setting, key, tie, t, size, span.
+Picked = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
-    thetas is a column with an array of gaps, the same in all rows of a series; setting is the place of a gap in it.  With
-    ``least`` there is one gap, and setting is the place of a least value: only rows that reach it take part.  A task
-    holds one series at a time; only representatives leave it.
-    """
-    columns = [*key, tie, t, thetas, *([value] if value else [])]
-    schema = ", ".join(["setting int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key, tie, t).schema), "size long", "span long"])
-    names = [*key, tie, t]
+
+def _swept(df: DataFrame, key: list[str], t: str, tie: str, thetas: str, more: list[str], schema: str, body: Callable[[pd.DataFrame, np.ndarray, list[Picked]], pd.DataFrame], value: str | None = None, least: list[float] | None = None) -> DataFrame:
+    """body(rows, number of each row's series, (setting, representatives, sizes, spans) of each setting) for complete series, many at a time."""
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        """Representatives of series that are complete."""
-        times, all_gaps = rows[t].to_numpy(np.int64), rows[thetas].to_numpy()
-        scores = rows[value].to_numpy() if value else None
-        ids = rows[key].to_numpy()
-        begin = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1))))
-        picked: list[tuple[np.ndarray, ...]] = []
-        for a, b in zip(begin, np.append(begin[1:], len(rows)), strict=True):
-            gaps = all_gaps[a]
-            some = [(k, g, None) for k, g in enumerate(gaps)] if least is None else [(k, gaps[0], x) for k, x in enumerate(least)]
-            for k, gap, floor in some:
-                part = np.arange(a, b) if floor is None else a + np.flatnonzero(scores[a:b] >= floor)
+        times, ids = rows[t].to_numpy(np.int64), rows[key].to_numpy()
+        fresh = np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1)))
+        series = np.cumsum(fresh) - 1
+        gaps = np.stack(rows[thetas].to_numpy()[fresh])  # a row a series
+        picked: list[Picked] = []
+        if least is None:
+            after = np.diff(times)
+            for k in range(gaps.shape[1]):
+                best, size, span = _medoids(times, np.concatenate(([True], fresh[1:] | (after > gaps[series[1:], k]))))
+                picked.append((k, best, size, span))
+        else:
+            scores = rows[value].to_numpy()
+            for k, x in enumerate(least):
+                part = np.flatnonzero(scores >= x)
                 if len(part):
-                    best, size, span = _medoids(times[part], gap)
-                    picked.append((np.full(len(best), k, np.int32), part[best], size, span))
-        if not picked:
-            return pd.DataFrame(columns=["setting", *names, "size", "span"])
-        setting, at, size, span = (np.concatenate(x) for x in zip(*picked, strict=True))
-        return rows[names].iloc[at].assign(setting=setting, size=size, span=span)[["setting", *names, "size", "span"]]
+                    at = series[part]
+                    best, size, span = _medoids(times[part], np.concatenate(([True], (at[1:] != at[:-1]) | (np.diff(times[part]) > gaps[at[1:], 0]))))
+                    picked.append((k, part[best], size, span))
+        return body(rows, series, picked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -104,10 +101,48 @@ def sweep(df: DataFrame, key: list[str], t: str, tie: str, thetas: str, value: s
         if held:
             yield whole(pd.concat(held, ignore_index=True))
 
-    dealt = df.select(*columns).repartition(*key).sortWithinPartitions(*key, t, tie)
+    dealt = df.select(*key, tie, t, thetas, *more).repartition(*key).sortWithinPartitions(*key, t, tie)
     return dealt.mapInPandas(run, schema)
 
 
+def sweep(df: DataFrame, key: list[str], t: str, tie: str, thetas: str, value: str | None = None, least: list[float] | None = None) -> DataFrame:
+    """Representatives for many settings from one sort of each series: setting, key, tie, t, size, span.
+
+    thetas is a column with an array of gaps, the same in all rows of a series; setting is the place of a gap in it.  With
+    ``least`` there is one gap, and setting is the place of a least value: only rows that reach it take part.  A task
+    holds a batch of series at a time, or one; only representatives leave it.
+    """
+    names = [*key, tie, t]
+    schema = ", ".join(["setting int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema), "size long", "span long"])
+
+    def body(rows: pd.DataFrame, _: np.ndarray, picked: list[Picked]) -> pd.DataFrame:
+        if not picked:
+            return pd.DataFrame(columns=["setting", *names, "size", "span"])
+        setting = np.repeat(np.array([p[0] for p in picked], np.int32), [len(p[1]) for p in picked])
+        at, size, span = (np.concatenate([p[i] for p in picked]) for i in (1, 2, 3))
+        return rows[names].iloc[at].assign(setting=setting, size=size, span=span)[["setting", *names, "size", "span"]]
+
+    return _swept(df, key, t, tie, thetas, [value] if value else [], schema, body, value, least)
+
+
+def sweep_hits(df: DataFrame, key: list[str], t: str, tie: str, thetas: str, hit: str) -> DataFrame:
+    """setting, key, clusters, tp: how many ties of a series represent a cluster for each gap of thetas (see sweep), and how many of these
+    with a true hit; a row a series and setting leaves the task instead of all representatives."""
+    schema = ", ".join(["setting int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema), "clusters long", "tp long"])
+
+    def body(rows: pd.DataFrame, series: np.ndarray, picked: list[Picked]) -> pd.DataFrame:
+        code, hits = pd.factorize(rows[tie], use_na_sentinel=False)[0], rows[hit].to_numpy(bool)
+        names = rows[key][np.concatenate(([True], series[1:] != series[:-1]))].reset_index(drop=True)
+        out = []
+        for k, best, _, _ in picked:
+            every, true = (np.unique(series[some] * len(rows) + code[some]) for some in (best, best[hits[best]]))  # a tie counts once
+            count = lambda x: np.bincount(x // len(rows), minlength=len(names))
+            out.append(names.assign(setting=np.int32(k), clusters=count(every), tp=count(true)))
+        return pd.concat(out)[["setting", *key, "clusters", "tp"]]
+
+    return _swept(df, key, t, tie, thetas, [hit], schema, body)
+
+
 def gap_means(df: DataFrame, key: list[str], position: str, gap: int, least: int) -> DataFrame:
     """Mean positions (rounded half to even) of groups of at least ``least`` positions that stand at most gap apart."""
     d = by_gap(df, key, position, gap, position)
@@ -141,9 +176,9 @@ def score_aware(df: DataFrame, key: list[str], t: str, score: str, tie: str, the
     return score_aware_sweep(df, key, t, score, tie, [theta]).withColumn("cluster", F.element_at("clusters", 1)).drop("clusters")
 
 
-def score_aware_sweep(df: DataFrame, key: list[str], t: str, score: str, tie: str, thetas: list[int]) -> DataFrame:
-    """key, tie, t, score and clusters: the number of a row's score-aware cluster for each theta, from one pass over each series."""
-    columns = [*key, tie, t, score]
+def score_aware_sweep(df: DataFrame, key: list[str], t: str, score: str, tie: str, thetas: list[int], more: Sequence[str] = ()) -> DataFrame:
+    """key, more columns, tie, t, score and clusters: the number of a row's score-aware cluster for each theta, from one pass over each series."""
+    columns = [*key, *more, tie, t, score]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema), "clusters array<long>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

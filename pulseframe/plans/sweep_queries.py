@@ -131,17 +131,21 @@ def large_sweep(spark: SparkSession, d: str) -> DataFrame:
         by_subject.append(F.lit(base) * F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.coalesce(F.col("median"), F.lit(base)) / base)))
     names = [n for n, _, _ in _fixed()] + [n for n, _ in adaptive] + [f"subject_aware_{s}s" for s in SUBJECT_AWARE]
     every = [F.lit(float(g)) for _, _, g in _fixed()] + [F.lit(float(g)) for _, g in adaptive] + by_subject
-    r = clusters.sweep(a.join(median, "subject", "left").withColumn("_gaps", F.array(*every)), KEY, "t", "event_id", "_gaps")
-    r = r.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("setting") + 1).alias("strategy"), "user_id", "event_id", "t")
-    c = clusters.score_aware_sweep(a, KEY, "t", "score", "event_id", [s * UNIT for s in SCORE_AWARE])
-    c = c.select("user_id", "event_id", "t", "score", F.posexplode("clusters").alias("setting", "cluster"))
-    first = c.groupBy("user_id", "setting", "cluster").agg(F.min(F.struct((-F.col("score")).alias("s"), "t", "event_id")).alias("x"))
-    aware = F.element_at(F.array(*[F.lit(f"score_aware_{s}s") for s in SCORE_AWARE]), F.col("setting") + 1)
-    r = r.unionByName(first.select(aware.alias("strategy"), "user_id", "x.event_id", "x.t"))
-    r = r.unionByName(a.select(F.lit("none").alias("strategy"), "user_id", "event_id", "t"))
+    # An alarm hits or not whatever cluster it stands for, so alarms are joined once and not once for each strategy.
     wide = tr.select("user_id", "seizure", (F.col("start") - PRE).alias("low"), (F.col("end") + POST).alias("high"))
-    m = intervals.range_join(r, wide, KEY, "t", "low", "high", 12 * HOUR, "left").groupBy("strategy", "user_id", "event_id").agg(F.min("seizure").alias("seizure"))
-    s = m.groupBy("strategy", "user_id").agg(F.count("*").alias("c"), F.count("seizure").alias("tp"))
+    hits = intervals.range_join(a, wide, KEY, "t", "low", "high", 12 * HOUR).select(F.col("user_id").alias("_u"), F.col("event_id").alias("_e"), F.col("t").alias("_t")).distinct()
+    a = a.join(hits, (F.col("user_id") == F.col("_u")) & F.col("event_id").eqNullSafe(F.col("_e")) & (F.col("t") == F.col("_t")), "left")
+    a = a.select("user_id", "subject", "event_id", "t", "score", F.col("_u").isNotNull().alias("hit"))
+    r = clusters.sweep_hits(a.join(median, "subject", "left").withColumn("_gaps", F.array(*every)), KEY, "t", "event_id", "_gaps", "hit")
+    by_gap = r.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("setting") + 1).alias("strategy"), "user_id", F.col("clusters").alias("c"), "tp")
+    c = clusters.score_aware_sweep(a, KEY, "t", "score", "event_id", [s * UNIT for s in SCORE_AWARE], ["hit"])
+    c = c.select("user_id", "event_id", "t", "score", "hit", F.posexplode("clusters").alias("setting", "cluster"))
+    first = c.groupBy("user_id", "setting", "cluster").agg(F.min(F.struct((-F.col("score")).alias("s"), "t", "event_id", "hit")).alias("x"))
+    aware = F.element_at(F.array(*[F.lit(f"score_aware_{s}s") for s in SCORE_AWARE]), F.col("setting") + 1)
+    r = first.select(aware.alias("strategy"), "user_id", "x.event_id", "x.hit")
+    r = r.unionByName(a.select(F.lit("none").alias("strategy"), "user_id", "event_id", "hit"))
+    m = r.groupBy("strategy", "user_id", "event_id").agg(F.max("hit").alias("hit"))
+    s = m.groupBy("strategy", "user_id").agg(F.count("*").alias("c"), F.count_if("hit").alias("tp")).unionByName(by_gap)
     g = s.groupBy("strategy").agg(F.sum("c").alias("clusters"), F.sum("tp").alias("tp"), F.sum((F.col("tp") > 0).cast("long")).alias("found")).withColumn("fp", F.col("clusters") - F.col("tp"))
     files = tr.agg(F.countDistinct("user_id").alias("files"))
     before = g.where("strategy = 'none'").select(F.col("clusters").alias("c0"), F.col("fp").alias("f0"), F.col("found").alias("d0")).crossJoin(files)  # one row

@@ -581,3 +581,23 @@ def test_dense_parts_give_one_link_for_each_core_point(spark, monkeypatch):
     got = graph.density_clusters(spark.createDataFrame(rows, "k long, i long, x double"), ["k"], ["x"], "i", 0.5, 3).collect()
     assert {(r.k, r.i, r.core, r.cluster) for r in got} == {(k, i, True, int(i >= 30)) for k in range(3) for i in range(60)}
     assert found[0] <= 180
+
+
+def test_sweep_hits_counts_what_sweep_finds(spark):
+    import random
+
+    from pulseframe.operators import clusters
+
+    r = random.Random(1)
+    rows = [(k, r.randrange(30), r.randrange(400), r.random() < 0.4, [3.0, 7.5 + k % 3, 50.0]) for k in range(60) for _ in range(r.randrange(1, 25))]
+    d = spark.createDataFrame(rows, "k long, e long, t long, hit boolean, gaps array<double>")
+    hits = {(k, e, t): h for k, e, t, h, _ in sorted(rows)}
+    d = d.dropDuplicates(["k", "e", "t"]).drop("hit").join(spark.createDataFrame([(*x, h) for x, h in hits.items()], "k long, e long, t long, hit boolean"), ["k", "e", "t"])
+    want = {}
+    for x in clusters.sweep(d, ["k"], "t", "e", "gaps").collect():
+        every, true = want.setdefault((x.setting, x.k), (set(), set()))
+        every.add(x.e)
+        if hits[x.k, x.e, x.t]:
+            true.add(x.e)
+    got = {(x.setting, x.k): (x.clusters, x.tp) for x in clusters.sweep_hits(d, ["k"], "t", "e", "gaps", "hit").collect()}
+    assert got == {x: (len(a), len(b)) for x, (a, b) in want.items()}
