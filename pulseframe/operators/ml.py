@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -25,15 +27,21 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     return StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v).drop("_raw")
 
 
+#: Numbers of clusters that are fitted at the same time; a fit is a chain of short jobs, which leave cores idle between them.
+FITS = 6
+
+
 def kmeans(df: DataFrame, columns: list[str], ks: range = range(2, 8), seed: int = 42) -> DataFrame:
-    """Adds cluster, for the number of clusters with the best silhouette."""
+    """Adds cluster, for the number of clusters with the best silhouette (the first of equal ones)."""
     v = standardised(df, columns).persist()
-    best = None
-    for k in ks:
+    v.count()  # fills the cache once, before the fits share it
+
+    def fitted(k: int) -> tuple[float, DataFrame]:
         out = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v)
-        value = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out)
-        if best is None or value > best[0]:
-            best = (value, out)
+        return ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out), out
+
+    with ThreadPool(FITS) as pool:
+        best = max(pool.map(inheritable_thread_target(fitted), ks, chunksize=1), key=lambda x: x[0])
     v.unpersist()
     return best[1].drop("features")
 

@@ -140,6 +140,23 @@ def test_kmeans_takes_the_best_silhouette(spark):
     assert len({(r.score, r.cluster) for r in found}) == 2
 
 
+def test_kmeans_fits_several_numbers_at_once(spark, monkeypatch):
+    import threading
+
+    from pulseframe.operators import ml
+
+    both = threading.Barrier(2, timeout=60)
+
+    class Met(ml.KMeans):
+        def fit(self, df):
+            both.wait()  # broken where one fit follows another
+            return super().fit(df)
+
+    monkeypatch.setattr(ml, "KMeans", Met)
+    d = spark.createDataFrame([(float(i % 2 * 100), float(i)) for i in range(20)], "x double, y double")
+    assert ml.kmeans(d, ["x", "y"], range(2, 4)).count() == 20
+
+
 def test_forest_scores_rows_that_it_was_not_fitted_to(spark):
     got = QUERIES["rf_profile_windows"](spark, SF).collect()
     assert got and all(0 <= r.p <= 1 and r.prediction == float(r.p > 0.5) or abs(r.p - 0.5) < 1e-6 for r in got)
