@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of rows that Spark hands to Python, or gets back, at a time; both sides hold a batch several times over and keep what they took.
 BATCH = 4 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a small table that one task reads, and rows of two numbers that are broadcast at most.
+FEW, SENT = 50_000, 400_000
 #: Stands for a missing doc_id inside the operators; it sorts before every other id.
 NO_ID = -(2**63)
 
@@ -137,6 +141,31 @@ def evenly(number: Column) -> Column:
     return let(x, lambda v: F.when(v >= F.lit(1 << 31), v - F.lit(1 << 32)).otherwise(v).cast("int"))
 
 
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has about so many rows, in as few partitions as these need; work that is heavy for each row comes after another shuffle."""
+    return df.coalesce(1 + rows // FEW)
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df computed once, and broadcast where it has no more than SENT rows."""
+    df = cut(df)
+    return F.broadcast(in_few(df, rows)) if (rows := df.count()) <= SENT else df
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -167,22 +196,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long): one row (node, component = smallest node) a node.
 
     Alternates the large-star and small-star steps until the edges stand still.  Every step is a minimum (combined
-    before the shuffle) and an equi join; nothing is gathered by group.
+    before the shuffle) and an equi join, with the minima broadcast where the edges are few; nothing is gathered by group.
     """
     cur = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    seen = None
+    seen, rows = None, cur.count()
     for _ in range(max_rounds):
+        few = 2 * rows <= SENT
+        cur = in_few(cur, rows) if few else cur
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.where("b > a").join(F.broadcast(low) if few else low, "a").select(F.col("m").alias("a"), "b").where("a <> b")
+        large = large if few else large.distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select("m", "a", "b")
+        small = large.join(F.broadcast(down) if few else down, "b").select("m", "a", "b")
         small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        cur = cut(small.where("a <> b").distinct())
+        small = small.where("a <> b").distinct()
+        cur = cut(in_few(small, rows) if few else small)
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == seen or state[0] == 0:
             break
-        seen = state
+        seen, rows = state, state[0]
     else:
         raise RuntimeError("the components did not settle")
-    return cur.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).union(cur.select("a", "a").distinct())
+    named = cur.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).union(cur.select("a", "a").distinct())
+    return in_few(named, rows) if few else named

@@ -4,13 +4,15 @@ import collections
 import math
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseframe.llm import decontamination, labelled, line_dedup, mixing, near_copies, simhash, toxicity
+from pulseframe.llm import common, decontamination, labelled, line_dedup, mixing, near_copies, simhash, toxicity
 
 CLASH = ["_doc", "_source", "__source", "__k", "_k", "_row", "__row", "_copies", "_copy", "_hash", "__hash", "_d", "_s", "_h", "_toxicity", "__toxicity", "_first_id", "_first_hash", "__first_id", "_leak", "__leak", "_id", "_group", "text_hash", "key", "chunk", "a.b"]
 
@@ -182,6 +184,46 @@ def test_crowded_buckets_in_parts_and_blocks(spark, monkeypatch, at_once, block)
     assert {x.doc_id for x in near_copies.keep_first(d).collect()} == {root(k) for k in range(len(texts))}
 
 
+def test_near_copies_leave_no_shuffle_files(spark):
+    """The files of a query go when it ends, while it is still in use on the driver; the session's setting is as before."""
+    folders = [Path(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {x for f in folders for x in f.rglob("shuffle_*")}
+    before, setting = files(), spark.conf.get(common.DROP_SHUFFLES, None)
+    d = spark.createDataFrame([(k, " ".join(f"w{k // 2} {j}" for j in range(40)) + f" x{k % 2}") for k in range(40)], "doc_id long, text string")
+    kept = near_copies.keep_first(d)
+    for _ in range(20):  # they go a moment later
+        if not (left := files() - before):
+            break
+        time.sleep(0.5)
+    assert not left and spark.conf.get(common.DROP_SHUFFLES, None) == setting
+    assert {x.doc_id for x in kept.collect()} == set(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_components_of_few_edges_stay_in_few_partitions(spark, monkeypatch, most):
+    """Whether the minima are broadcast or joined, the components are the same; a small graph doesn't spread over all partitions."""
+    monkeypatch.setattr(common, "SENT", most)
+    r = random.Random(5)
+    edges = [(a, max(0, a - r.choice([1, 1, 2, 0]))) for a in range(300) if a % 50] + [(7, 7)]
+    parent = list(range(300))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    with_edge = {x for a, b in edges if a != b for x in (a, b)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        named = common.cut(common.components(spark.createDataFrame(edges, "a long, b long")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, named.collect())) == sorted((x, root(x)) for x in with_edge)
+    assert not most or named.rdd.getNumPartitions() == 1
+
+
 @pytest.mark.parametrize("compact", [1, 3])
 def test_line_index_looks_up_what_the_filters_ask_for(spark, monkeypatch, compact):
     """A batch without repeats asks the exact table for next to nothing, one with repeats for these; the table stays summed up."""
